@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from netspark import schema as S
 from netspark.functions import net
+from netspark.operators import nodes
 
 ARRIVAL = ["ts_us", "packet_id"]
 
@@ -38,7 +39,7 @@ def packets_with_flow(packets: DataFrame, slice_us: int = S.SLICE_US) -> DataFra
     gap = F.col("ts_us") - F.col("_prev_ts") > F.col("_timeout")
     src, dst = net.flow_ends()
     row = F.struct("ts_us", "packet_id", src.alias("src"), dst.alias("dst"),
-                   "src_mac", "dst_mac", "vlan_id")
+                   "src_mac", "dst_mac", F.col("_isn").alias("isn"))
 
     local = Window.partitionBy(*S.FLOW_KEY, "_slice").orderBy(*ARRIVAL)
     before = local.rowsBetween(Window.unboundedPreceding, -1)
@@ -80,8 +81,6 @@ def packets_with_flow(packets: DataFrame, slice_us: int = S.SLICE_US) -> DataFra
               .withColumns({"_first_starts": F.col("carry_ts").isNull() | new_isn("first_isn")
                             | (F.col("min_ts") - F.col("carry_ts") > F.col("timeout")),
                             "_syn_starts": new_isn("syn_isn")})
-              # The first row may be the SYN that makes a later SYN with the same number a repeat;
-              # `first_syn` already excludes that case because the later row sees it inside the slice.
               .withColumns({"_starts": F.col("n") + F.col("_first_starts").cast("bigint")
                             + F.col("_syn_starts").cast("bigint"),
                             "_latest": F.greatest("last_start", F.when(F.col("_syn_starts"), F.col("_syn_row")),
@@ -93,7 +92,7 @@ def packets_with_flow(packets: DataFrame, slice_us: int = S.SLICE_US) -> DataFra
     after_syn = F.col("_after_syn") & F.col("_syn_starts")
     start = F.coalesce(F.greatest("_last_start", F.when(after_syn, F.col("_syn_row")),
                                   F.when(F.col("_first_starts"), F.col("_first_row"))), F.col("_carry"))
-    return (rows.join(slices.select("*"), [*S.FLOW_KEY, "_slice"])
+    return (rows.join(slices, [*S.FLOW_KEY, "_slice"])
             .withColumn("_at", start)
             .select(*packets.columns, *S.FLOW_KEY[:-1],
                     (F.col("_base") + F.col("_n") + F.col("_first_starts").cast("bigint")
@@ -102,7 +101,8 @@ def packets_with_flow(packets: DataFrame, slice_us: int = S.SLICE_US) -> DataFra
                     F.when(F.col("_at.src") == F.col("_row.src"), 1).otherwise(-1).alias("dir"),
                     F.col("_at.src.ip").alias("client_ip"), F.col("_at.src.port").alias("client_port"),
                     F.col("_at.dst.ip").alias("server_ip"), F.col("_at.dst.port").alias("server_port"),
-                    F.col("_at.src_mac").alias("client_mac"), F.col("_at.dst_mac").alias("server_mac")))
+                    F.col("_at.src_mac").alias("client_mac"), F.col("_at.dst_mac").alias("server_mac"),
+                    F.col("_at.isn").alias("start_isn")))
 
 
 def flow_id():
@@ -110,6 +110,42 @@ def flow_id():
     return F.xxhash64(*S.FLOW_KEY, "start_us", "start_packet").alias("flow_id")
 
 
+def flow_direction(flow_packets: DataFrame) -> DataFrame:
+    """+1 for packets sent by the side that sent the flow's first packet, -1 for the other side."""
+    return flow_packets.select("packet_id", "dir")
+
+
+def flow_summary(flow_packets: DataFrame) -> DataFrame:
+    """One row per session: times, traffic each way, aborts and whether it ended by timeout."""
+    rst = (F.col("ip_proto") == S.PROTO_TCP) & net.has_flag(S.RST)
+    ends = (F.col("ip_proto") == S.PROTO_TCP) & net.has_flag(S.FIN | S.RST)
+    aggs = [F.min("start_us").alias("start_us"), F.max("ts_us").alias("last_us")]
+    for side, direction in (("client", 1), ("server", -1)):
+        mine = F.col("dir") == direction
+        aggs += [nodes.total_if(mine).alias(f"{side}_pkts"), nodes.total_if(mine, "payload_len").alias(f"{side}_bytes"),
+                 nodes.total_if(mine, "wire_len").alias(f"{side}_l2_bytes"),
+                 nodes.total_if(mine & rst).alias(f"{side}_aborts"),
+                 F.max(F.when(mine & ends, 1).otherwise(0)).alias(f"_{side}_ended")]
+    closed = (F.col("_client_ended") == 1) & (F.col("_server_ended") == 1)
+    return (flow_packets.groupBy(*S.SESSION, "client_ip", "client_port", "server_ip", "server_port")
+            .agg(*aggs)
+            .withColumns({"age_ms": net.to_ms(F.col("last_us") - F.col("start_us")), "expired": ~closed})
+            .drop("_client_ended", "_server_ended"))
+
+
+def flow_ticks(summary: DataFrame, cycle_us: int = S.TICK_S * S.US) -> DataFrame:
+    """Open record at the first packet, a tick per cycle since then, close record at the end."""
+    step = F.lit(cycle_us).cast("bigint")
+    ticks = F.col("last_us") - F.col("start_us") >= step
+    marks = F.array(F.struct(F.lit("open").alias("way"), F.col("start_us").alias("at_us")),
+                    F.struct(F.lit("close").alias("way"), F.col("last_us").alias("at_us")))
+    tick_rows = F.transform(
+        F.when(ticks, F.sequence(F.col("start_us") + step, F.col("last_us"), step)).otherwise(F.array().cast("array<bigint>")),
+        lambda t: F.struct(F.lit("tick").alias("way"), t.alias("at_us")))
+    return (summary.withColumn("_m", F.explode(F.concat(marks, tick_rows)))
+            .select(*S.SESSION, "_m.way", "_m.at_us"))
+
+
 # Ports that name an application.
 APP_PORTS = {"dns": (S.PROTO_UDP, 53), "http": (S.PROTO_TCP, 80), "mysql": (S.PROTO_TCP, 3306)}
 

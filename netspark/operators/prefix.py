@@ -75,3 +75,34 @@ def with_priors(df: DataFrame, keys: list[str], order: list[str], slice_: Column
     helper = ["_slice", *(f"_v_{p.name}" for p in priors), *here, *carried]
     return (df.withColumns(here).join(slices, [*keys, "_slice"])
             .withColumns(merged).drop(*helper))
+
+
+def unwrap(df: DataFrame, keys: list[str], order: list[str], slice_: Column, value: str, name: str,
+           modulus: int = 1 << 32) -> DataFrame:
+    """Add `name`: a 32-bit circular counter as a running distance from the key's first value.
+
+    Each step is the signed circular distance to the previous row, so a stream
+    may pass any number of wraps.  Steps are summed inside the slice; slices
+    are chained by the distance from one slice's last value to the next one's
+    first.
+    """
+    half = modulus // 2
+
+    def step(a, b):
+        return F.pmod(b - a + half, F.lit(modulus)) - half
+
+    df = df.withColumn("_slice", slice_)
+    local = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*keys).orderBy("_slice")
+    place = F.struct(*order)
+    rows = (df.withColumn("_step", F.coalesce(step(F.lag(value).over(local), F.col(value)), F.lit(0).cast("bigint")))
+            .withColumn("_here", F.sum("_step").over(upto)))
+    slices = (rows.groupBy(*keys, "_slice")
+              .agg(F.min_by(value, place).alias("first"), F.max_by(value, place).alias("last"), F.sum("_step").alias("moved"))
+              .withColumn("jump", F.coalesce(step(F.lag("last").over(across), F.col("first")), F.lit(0).cast("bigint")))
+              .withColumn("_base", F.sum(F.col("jump")).over(across)
+                          + F.coalesce(F.sum("moved").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+              .select(*keys, "_slice", "_base"))
+    return (rows.join(slices, [*keys, "_slice"]).withColumn(name, F.col("_base") + F.col("_here"))
+            .drop("_slice", "_step", "_here", "_base"))

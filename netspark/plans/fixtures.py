@@ -5,10 +5,16 @@ that turns a timestamp into microseconds.
 """
 
 import re
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netspark.operators import flows
+from netspark.session import work_dir
+
+_WRITTEN: dict[str, set[str]] = {}
+
 SPARK_TS_US = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"
 DUCK_TS_US = "epoch_us(ts)"
 
@@ -125,7 +131,32 @@ def _run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(text, **inputs)
 
 
+def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """The rows of `build()` as a parquet table in the shared work folder.
+
+    Jobs on packets start from a decoded packet table.  It is written once per
+    application and read with pushed filters and pruned columns afterwards, so
+    a lost executor costs a re-read and not a re-decode.
+    """
+    path = f"{work_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{crc32(sf_dir.encode()):08x}"
+    written = _WRITTEN.setdefault(spark.sparkContext.applicationId, set())
+    if path not in written:
+        build().write.mode("overwrite").parquet(path)
+        written.add(path)
+    return spark.read.parquet(path)
+
+
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 in the layout of the packet schema, as a written table."""
+    return materialized(spark, sf_dir, "packets", lambda: build_packets(spark, sf_dir))
+
+
+def flow_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets with their flow columns, as a written table that flow jobs share."""
+    return materialized(spark, sf_dir, "flow_packets", lambda: flows.packets_with_flow(packets(spark, sf_dir)))
+
+
+def build_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 with the remaining columns of the packet schema."""
     ip = F.col("ip_proto") != 0
     return _run(spark, sf_dir, F1).withColumns({

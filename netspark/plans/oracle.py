@@ -88,8 +88,52 @@ pf AS (
     CASE WHEN first_value(s_ip) OVER f = s_ip AND first_value(s_port) OVER f = s_port THEN 1 ELSE -1 END AS dir,
     first_value(s_ip) OVER f AS client_ip, first_value(s_port) OVER f AS client_port,
     first_value(d_ip) OVER f AS server_ip, first_value(d_port) OVER f AS server_port,
-    first_value(src_mac) OVER f AS client_mac, first_value(dst_mac) OVER f AS server_mac
+    first_value(src_mac) OVER f AS client_mac, first_value(dst_mac) OVER f AS server_mac,
+    first_value(isn) OVER f AS start_isn, row_number() OVER f AS rk
   FROM numbered WINDOW f AS (PARTITION BY ip_a, port_a, ip_b, port_b, ip_proto, session_no ORDER BY ts_us, packet_id))"""
 
 KEY = "ip_a, port_a, ip_b, port_b, ip_proto"
 SESSION = KEY + ", session_no"
+
+# Sequence and acknowledgement numbers per sending side, relative to the side's first one.
+LINE = f"""marks AS (
+  SELECT {SESSION}, ts_us, packet_id, payload_len, (tcp_flags & 2) // 2 AS syn, dir AS side, 'seq' AS kind, tcp_seq AS value
+  FROM pf WHERE ip_proto = 6 AND (payload_len > 0 OR (tcp_flags & 3) <> 0)
+  UNION ALL SELECT {SESSION}, ts_us, packet_id, payload_len, (tcp_flags & 2) // 2, -dir, 'ack', tcp_ack
+  FROM pf WHERE ip_proto = 6 AND (tcp_flags & 16) <> 0),
+line AS (
+  SELECT *, value - first_value(value) OVER (PARTITION BY {SESSION}, side ORDER BY ts_us, packet_id) AS pos FROM marks)"""
+
+HANDSHAKE = f"""hs0 AS (
+  SELECT {SESSION}, client_ip, client_port, server_ip, server_port, min(start_us) AS start_us, max(start_isn) AS isn,
+    max(client_mac) AS client_mac, max(server_mac) AS server_mac, max(vlan_id) AS vlan_id,
+    count(*) FILTER (WHERE (tcp_flags & 18) = 2) AS syn_count,
+    min(rk) FILTER (WHERE answers) AS ack_rk, arg_min(ts_us, rk) FILTER (WHERE answers) AS synack_us,
+    arg_min(tcp_seq, rk) FILTER (WHERE answers) AS ack_seq,
+    min(rk) FILTER (WHERE (tcp_flags & 2) = 0) AS data_rk, arg_min(ts_us, rk) FILTER (WHERE (tcp_flags & 2) = 0) AS data_us,
+    arg_min(dir, rk) FILTER (WHERE (tcp_flags & 2) = 0) AS data_dir, arg_min(tcp_ack, rk) FILTER (WHERE (tcp_flags & 2) = 0) AS data_ack
+  FROM (SELECT *, (tcp_flags & 18) = 18 AND dir = -1 AND tcp_ack = (start_isn + 1) % 4294967296 AS answers FROM pf WHERE ip_proto = 6)
+  GROUP BY ALL),
+hs AS (
+  SELECT *, CASE WHEN opened <> 'none' THEN data_us END AS connected_us, CASE WHEN isn IS NOT NULL THEN start_us END AS syn_us,
+    CASE WHEN opened = 'handshake' THEN data_us - start_us END AS connect_us, data_rk IS NOT NULL AS has_data
+  FROM (SELECT *, CASE WHEN isn IS NULL AND data_rk IS NOT NULL THEN 'midstream'
+          WHEN ack_rk < data_rk AND data_dir = 1 AND data_ack = (ack_seq + 1) % 4294967296 THEN 'handshake' ELSE 'none' END AS opened FROM hs0))"""
+
+CLOSE = f"""ends AS (
+  SELECT {SESSION}, min(start_us) AS start_us, max(ts_us) AS last_us, max(start_isn) AS isn,
+    arg_min(dir, rk) FILTER (WHERE fin_rst) AS closer, arg_min(ts_us, rk) FILTER (WHERE fin_rst) AS close_us,
+    min(rk) FILTER (WHERE fin_rst AND dir = 1) AS c_rk, min(rk) FILTER (WHERE fin_rst AND dir = -1) AS s_rk,
+    arg_min(ts_us, rk) FILTER (WHERE fin_rst AND dir = 1) AS c_us, arg_min(ts_us, rk) FILTER (WHERE fin_rst AND dir = -1) AS s_us,
+    bool_or((tcp_flags & 4) <> 0) AS reset, bool_or((tcp_flags & 2) = 0) AS has_data,
+    bool_or((tcp_flags & 18) = 18 AND dir = -1 AND coalesce(tcp_ack = (start_isn + 1) % 4294967296, FALSE)) AS answered
+  FROM (SELECT *, (tcp_flags & 5) <> 0 AS fin_rst FROM pf WHERE ip_proto = 6) GROUP BY ALL),
+states AS (
+  SELECT *, CASE WHEN c_rk IS NOT NULL AND s_rk IS NOT NULL THEN 'closed' WHEN close_us IS NOT NULL THEN 'waiting'
+      WHEN has_data THEN 'established' WHEN answered THEN 'ack' WHEN isn IS NOT NULL THEN 'syn' ELSE 'none' END AS state,
+    CASE WHEN c_rk IS NOT NULL AND s_rk IS NOT NULL THEN greatest(c_us, s_us) END AS closed_us,
+    lead(CASE WHEN isn IS NOT NULL THEN start_us END) OVER (PARTITION BY {KEY} ORDER BY session_no) AS next_syn_us FROM ends),
+closes AS (
+  SELECT {SESSION}, start_us, last_us, state, closer, close_us, closed_us,
+    CASE WHEN reset THEN 'reset' WHEN state = 'closed' THEN 'normal' WHEN next_syn_us - last_us <= 600000000 THEN 'abort'
+         WHEN state = 'syn' THEN 'broken' ELSE 'timeout' END AS cause FROM states)"""

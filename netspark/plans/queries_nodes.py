@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from netspark import schema as S
 from netspark.functions import net
-from netspark.operators import flows, metrics, nodes
+from netspark.operators import metrics, nodes
 from netspark.plans import fixtures as fx
 from netspark.plans import oracle as o
 from netspark.plans.registry import query
@@ -104,7 +104,7 @@ _SERVICES = f"""services AS (
 
 @query("service_traffic", o.with_(P, o.SESSIONS, _SERVICES, "SELECT * FROM services"))
 def service_traffic(spark, sf):
-    return nodes.service_traffic(flows.packets_with_flow(fx.packets(spark, sf)))
+    return nodes.service_traffic(fx.flow_packets(spark, sf))
 
 
 _L3_NONE = f"CASE WHEN ip_proto <> 0 THEN {o.L3} ELSE 'none' END"
@@ -179,7 +179,7 @@ SELECT window_us, count(DISTINCT (mac, vlan_id, ip)) AS nodes,
 FROM (SELECT *, {o.window()} AS window_us, src_mac AS mac, {o.node_ip('src_ip')} AS ip FROM pf
       UNION ALL SELECT *, {o.window()}, dst_mac, {o.node_ip('dst_ip')} FROM pf) GROUP BY window_us"""))
 def active_keys(spark, sf):
-    return nodes.active_keys(flows.packets_with_flow(fx.packets(spark, sf)))
+    return nodes.active_keys(fx.flow_packets(spark, sf))
 
 
 @query("throughput", o.with_(P, f"""
@@ -236,16 +236,16 @@ def _metrics_oracle():
 _METRICS = [P, ENDS, FACTS, o.SESSIONS, _SERVICES, _metrics_oracle()]
 
 
-def all_metrics(packets):
+def all_metrics(packets, flow_packets):
     """Link, network and service metrics of a packet table."""
     base = metrics.node_metrics(nodes.node_facts(packets))
-    services = nodes.service_traffic(flows.packets_with_flow(packets))
+    services = nodes.service_traffic(flow_packets)
     return metrics.nonzero_metrics(base.unionByName(metrics.service_metrics(services)))
 
 
 @query("metric_rows", o.with_(*_METRICS, "SELECT * FROM metrics"))
 def metric_rows(spark, sf):
-    return all_metrics(fx.packets(spark, sf))
+    return all_metrics(fx.packets(spark, sf), fx.flow_packets(spark, sf))
 
 
 @query("nonzero_metrics", o.with_(P, ENDS, FACTS, f"""
@@ -262,9 +262,9 @@ SELECT concat_ws('|', CAST(window_us // 1000000 AS VARCHAR),
   metric, CAST(count AS VARCHAR)) AS line
 FROM (SELECT *, lower(lpad(to_hex(mac), 12, '0')) AS h FROM metrics)"""))
 def export_lines(spark, sf):
-    return metrics.export_lines(all_metrics(fx.packets(spark, sf)))
+    return metrics.export_lines(all_metrics(fx.packets(spark, sf), fx.flow_packets(spark, sf)))
 
 
 @query("write_metrics", o.with_(*_METRICS, "SELECT window_us, count(*) AS metric_count FROM metrics GROUP BY window_us"))
 def write_metrics(spark, sf):
-    return metrics.metric_finish(all_metrics(fx.packets(spark, sf)))
+    return metrics.metric_finish(all_metrics(fx.packets(spark, sf), fx.flow_packets(spark, sf)))
