@@ -122,3 +122,37 @@ def export_lines(metrics: DataFrame) -> DataFrame:
 def metric_finish(metrics: DataFrame) -> DataFrame:
     """Finish record of each period: how many metric rows it has."""
     return metrics.groupBy("window_us").agg(F.count(F.lit(1)).alias("metric_count"))
+
+
+def _side_sums(columns: dict[str, tuple[str, int | None]]):
+    """Sums of counter columns over one direction (1 sent, -1 received) or both (None)."""
+    return [total(column) if side is None else total_if(F.col("dir") == side, column)
+            for column, side in columns.values()]
+
+
+def _app(rows: DataFrame, columns: dict[str, tuple[str, int | None]], rtt: str | None = None) -> DataFrame:
+    aggs = [s.alias(f"m{i}") for i, s in enumerate(_side_sums(columns))]
+    names = {f"m{i}": metric for i, metric in enumerate(columns)}
+    if rtt:
+        aggs.append(net.safe_mean(F.sum("rtt_sum"), F.sum("rtt_count")).alias("m_rtt"))
+        names["m_rtt"] = rtt
+    return complete(to_metrics(rows.groupBy(*NODE).agg(*aggs), NODE, names), "ip")
+
+
+def app_metrics(dns: DataFrame, http: DataFrame, mysql: DataFrame) -> DataFrame:
+    """Application rows of the metric catalogue from the per-node application tables."""
+    traffic = ("pkts", "bytes", "l2_bytes")
+    sides = (("req", 1), ("rsp", -1))
+    http_rows = _app(http, {"http.reqs": ("requests", 1), "http.rsps": ("responses", -1), "http.method": ("methods", 1),
+                            "http.error": ("errors", -1),
+                            **{f"http.{s}_{c}": (c, d) for s, d in sides for c in traffic}}, "http.rtt")
+    mysql_rows = _app(mysql, {"mysql.reqs": ("commands", 1), "mysql.blocks": ("blocks", -1),
+                              **{f"mysql.{s}_{c}": (c, d) for s, d in sides for c in traffic}}, "mysql.rtt")
+    dns_rows = _app(dns, {**{f"dns.{c}": (c, None) for c in ("req_pkts", "req_bytes", "rsp_pkts", "rsp_bytes")},
+                          **{f"dns.req_opcodes|dns_opcode|{i}": (f"req_opcode_{i}", -1) for i in range(3)},
+                          **{f"dns.rsp_rcodes|dns_rcode|{i}": (f"rsp_rcode_{i}", None) for i in range(6)},
+                          "dns.rsp_errors": ("rsp_errors", 1), "dns.req_timeout": ("timeouts", None)})
+    dns_unit = complete(dns.groupBy(*NODE).agg(
+        total("rtt_count").alias("count"), total("rtt_sum").alias("sum"), F.min("rtt_min").alias("min"),
+        F.max("rtt_max").alias("max")).withColumn("metric", F.lit("dns.rtt")).filter(F.col("count") > 0), "ip")
+    return http_rows.unionByName(mysql_rows).unionByName(dns_rows).unionByName(dns_unit)

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from netspark.plans import queries_flows, queries_nodes, queries_packets  # noqa: F401
+from netspark.plans import queries_apps, queries_events, queries_flows, queries_nodes, queries_packets  # noqa: F401
 from netspark.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -4,6 +4,7 @@ The text of each fixture is the same for both engines but for the expression
 that turns a timestamp into microseconds.
 """
 
+import itertools
 import re
 from zlib import crc32
 
@@ -14,6 +15,7 @@ from netspark.operators import flows
 from netspark.session import work_dir
 
 _WRITTEN: dict[str, set[str]] = {}
+_NUMBERS = itertools.count()
 
 SPARK_TS_US = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"
 DUCK_TS_US = "epoch_us(ts)"
@@ -146,6 +148,11 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFram
     return spark.read.parquet(path)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared work folder."""
+    return f"{work_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{next(_NUMBERS)}"
+
+
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 in the layout of the packet schema, as a written table."""
     return materialized(spark, sf_dir, "packets", lambda: build_packets(spark, sf_dir))

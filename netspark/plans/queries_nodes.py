@@ -263,8 +263,3 @@ SELECT concat_ws('|', CAST(window_us // 1000000 AS VARCHAR),
 FROM (SELECT *, lower(lpad(to_hex(mac), 12, '0')) AS h FROM metrics)"""))
 def export_lines(spark, sf):
     return metrics.export_lines(all_metrics(fx.packets(spark, sf), fx.flow_packets(spark, sf)))
-
-
-@query("write_metrics", o.with_(*_METRICS, "SELECT window_us, count(*) AS metric_count FROM metrics GROUP BY window_us"))
-def write_metrics(spark, sf):
-    return metrics.metric_finish(all_metrics(fx.packets(spark, sf), fx.flow_packets(spark, sf)))
