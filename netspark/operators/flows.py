@@ -162,3 +162,26 @@ def app_of_port():
 def export_filter(rows: DataFrame, selected: list[str]) -> DataFrame:
     """Keep only the selected protocols or applications; "all" keeps every row."""
     return rows if "all" in selected else rows.filter(F.col("app").isin(selected))
+
+
+def flow_protocol(flow_packets: DataFrame, rule_app: DataFrame | None = None) -> DataFrame:
+    """Application of each session, from its bytes and ports.
+
+    UDP port 53 is DNS, a first payload that is a server greeting is MySQL, a
+    segment that starts with a request line is HTTP.  `rule_app` (session key,
+    rule_app) overrides what was detected.
+    """
+    data = F.when((F.col("payload_len") > 0) & (F.col("ip_proto") == S.PROTO_TCP), F.substring("payload", 1, 16))
+    greeting = F.col("_first.head")
+    length = F.conv(F.concat(*[F.substring(F.hex(greeting), i, 2) for i in (5, 3, 1)]), 16, 10).cast("bigint")
+    is_greeting = (F.substring(greeting, 4, 2).isin(bytes([0, 9]), bytes([0, 10])) & (length + 4 <= F.col("_first.payload_len")))
+    request = F.decode(data, "ISO-8859-1").rlike("^(GET|POST|PUT|SEARCH|CONNECT|HEAD) ")
+    detected = (F.when(F.coalesce(is_greeting, F.lit(False)), "mysql").when(F.col("_http"), "http")
+                .when(F.col("_dns"), "dns").otherwise("unknown"))
+    rows = flow_packets.groupBy(*S.SESSION).agg(
+        F.min(F.when(data.isNotNull(), F.struct(*ARRIVAL, data.alias("head"), "payload_len"))).alias("_first"),
+        F.max(F.coalesce(request, F.lit(False))).alias("_http"), F.max(app_of_port() == "dns").alias("_dns"))
+    rows = rows.select(*S.SESSION, detected.alias("app"))
+    if rule_app is None:
+        return rows
+    return rows.join(rule_app, S.SESSION, "left").withColumn("app", F.coalesce("rule_app", "app")).drop("rule_app")

@@ -181,7 +181,7 @@ def turns(flow_packets: DataFrame) -> DataFrame:
     return rows.groupBy(*S.SESSION).agg(count().alias("turns"), *aggs)
 
 
-def positions(flow_packets: DataFrame) -> DataFrame:
+def positions(flow_packets: DataFrame, payload: bool = False) -> DataFrame:
     """Sequence and acknowledgement numbers on one unwrapped line per session and sending side.
 
     Each packet gives its sequence number to the line of its own side and its
@@ -192,9 +192,10 @@ def positions(flow_packets: DataFrame) -> DataFrame:
     peer = F.struct((-F.col("dir")).alias("side"), F.lit("ack").alias("kind"), F.col("tcp_ack").alias("value"))
     sends = (F.col("payload_len") > 0) | net.has_flag(S.SYN | S.FIN)
     marks = F.filter(F.array(F.when(sends, own), F.when(net.has_flag(S.ACK), peer)), lambda m: m.isNotNull())
-    rows = (tcp(flow_packets)
-            .select(*S.SESSION, *ARRIVAL, "payload_len", net.has_flag(S.SYN).alias("syn"), F.explode(marks).alias("m"))
-            .select(*S.SESSION, *ARRIVAL, "payload_len", "syn", "m.*"))
+    kept = [*S.SESSION, *ARRIVAL, "payload_len", "syn"]
+    bytes_ = [F.when(F.col("m.kind") == "seq", F.col("payload")).alias("payload")] if payload else []
+    rows = (tcp(flow_packets).withColumns({"syn": net.has_flag(S.SYN), "m": F.explode(marks)})
+            .select(*kept, *bytes_, "m.*"))
     rows = unwrap(rows, [*S.SESSION, "side"], ARRIVAL, time_slice(), "value", "pos")
     length = F.when(F.col("kind") == "seq", F.col("payload_len") + F.col("syn").cast("int")).otherwise(0)
     return rows.withColumn("pos_end", F.col("pos") + length)
@@ -282,13 +283,14 @@ def tcp_sequence_quality(classes: DataFrame) -> DataFrame:
     return classes.groupBy(*S.SESSION, "side").agg(*aggs, total(skip).alias("skipped_bytes"))
 
 
-def distinct_segments(line: DataFrame, payload: bool = False) -> DataFrame:
+def data_segments(line: DataFrame) -> DataFrame:
+    return line.filter((F.col("kind") == "seq") & (F.col("payload_len") > 0))
+
+
+def distinct_segments(line: DataFrame) -> DataFrame:
     """One row per start position: first time, greatest length, number of copies."""
-    keys = [*S.SESSION, "side", "pos"]
-    aggs = [F.min("ts_us").alias("ts_us"), F.max("payload_len").alias("payload_len"), count().alias("copies")]
-    if payload:
-        aggs.append(F.max_by("payload", "payload_len").alias("payload"))
-    return line.filter((F.col("kind") == "seq") & (F.col("payload_len") > 0)).groupBy(*keys).agg(*aggs)
+    return data_segments(line).groupBy(*S.SESSION, "side", "pos").agg(
+        F.min("ts_us").alias("ts_us"), F.max("payload_len").alias("payload_len"), count().alias("copies"))
 
 
 def segments_by_seq(line: DataFrame) -> DataFrame:

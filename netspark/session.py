@@ -41,3 +41,11 @@ def work_dir(spark: SparkSession) -> str:
     path = os.path.join(tempfile.gettempdir(), "netspark-work")
     spark.conf.set("spark.checkpoint.dir", path)
     return path
+
+
+def cut(df):
+    """Checkpoint a table: its rows go to the shared folder and its plan starts there."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(work_dir(df.sparkSession))
+    return df.checkpoint()
