@@ -203,7 +203,7 @@ def _metric_sql(source, ids, where, items):
     return " UNION ALL ".join(parts)
 
 
-def _metrics_oracle():
+def _metrics_oracle(services=True):
     rank = [(f"l2.frames_{r}", o.count_if(f"size_rank = '{r}'")) for r in nodes.RANKS]
     l2 = [("l2.frames", "count(*)"), ("l2.bytes", o.sum_if("wire_len")), *rank]
     l2_only = []
@@ -229,7 +229,7 @@ def _metrics_oracle():
   SELECT window_us, level, mac, vlan_id, ip, metric, count, CAST(NULL AS BIGINT) AS sum, CAST(NULL AS BIGINT) AS min, CAST(NULL AS BIGINT) AS max
   FROM (SELECT window_us, 'mac' AS level, mac, 0 AS vlan_id, CAST(0 AS BIGINT) AS ip, metric, count FROM ({mac})
         UNION ALL SELECT window_us, 'ip', mac, vlan_id, ip, metric, count FROM ({ip})
-        UNION ALL SELECT window_us, 'ip', mac, vlan_id, ip, metric, count FROM ({service}))
+        {f"UNION ALL SELECT window_us, 'ip', mac, vlan_id, ip, metric, count FROM ({service})" if services else ""})
   WHERE count <> 0)"""
 
 

@@ -17,6 +17,7 @@ CAPTURES = "file STRING, record_no BIGINT, ts_us BIGINT, cap_len INT, wire_len I
 ARROW = pa.schema([("file", pa.string()), ("record_no", pa.int64()), ("ts_us", pa.int64()), ("cap_len", pa.int32()),
                    ("wire_len", pa.int32()), ("frame", pa.binary())])
 BATCH_ROWS = 4096
+BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
 def record_batches(stream, name: str) -> Iterator[pa.RecordBatch]:
@@ -106,7 +107,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def stream_capture_files(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """New capture files of a folder as a stream of frames."""
-    files = (spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch)
+    files = (spark.readStream.format("binaryFile").schema(BINARY_FILE).option("maxFilesPerTrigger", files_per_batch)
              .option("recursiveFileLookup", "true").load(path))
     return files.select("path", "content").mapInArrow(_split, CAPTURES)
 

@@ -1,0 +1,39 @@
+"""Tables that carry state from one micro-batch to the next."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+
+class TableState:
+    """State of a foreachBatch job as a table in the shared folder.
+
+    Batch b reads the slot of batch b-1 and replaces its own, so a batch that is
+    run again after a failure starts from the same state and gives the same
+    result.  Three slots are reused in turn.
+    """
+
+    SLOTS = 3
+
+    def __init__(self, path: str, schema: T.StructType):
+        self.path, self.schema = path, schema
+
+    def read(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        if batch_id == 0:
+            return spark.createDataFrame([], self.schema)
+        return spark.read.schema(self.schema).parquet(self._slot(batch_id - 1))
+
+    def write(self, rows: DataFrame, batch_id: int) -> DataFrame:
+        rows.select(*self.schema.names).write.mode("overwrite").parquet(self._slot(batch_id))
+        return rows.sparkSession.read.schema(self.schema).parquet(self._slot(batch_id))
+
+    def _slot(self, batch_id: int) -> str:
+        return f"{self.path}/slot={batch_id % self.SLOTS}"
+
+
+def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Output of one batch in its own folder: a repeated batch replaces itself."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def read_output(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("batch")
