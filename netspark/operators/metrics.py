@@ -15,10 +15,10 @@ L3_LABEL = {"icmp": "ICMP", "tcp": "TCP", "udp": "UDP", "other": "Others"}
 
 def to_metrics(wide: DataFrame, ids: list[str], names: dict[str, str]) -> DataFrame:
     """Long rows (metric, count) of the non-zero columns.  `names` maps column to metric."""
-    pairs = F.array(*[F.struct(F.lit(metric).alias("metric"), F.col(column).cast("bigint").alias("count"))
-                      for column, metric in names.items()])
-    return (wide.select(*ids, F.explode(F.filter(pairs, lambda p: p["count"] != 0)).alias("_m"))
-            .select(*ids, "_m.metric", "_m.count"))
+    values = [F.col(column).cast("bigint").alias(metric) for column, metric in names.items()]
+    named = wide.select(*ids, *values)
+    return (named.unpivot(ids, [F.col(f"`{metric}`") for metric in names.values()], "metric", "count")
+            .filter(F.col("count") != 0))
 
 
 def complete(rows: DataFrame, level: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from zlib import crc32
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netspark.operators import flows
+from netspark.operators import flows, tcp
 from netspark.session import work_dir
 
 _WRITTEN: dict[str, set[str]] = {}
@@ -133,6 +133,12 @@ def _run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(text, **inputs)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of very few input splits (small test tables) dealt out over the cores; others as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < min(cores, 8) else rows
+
+
 def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """The rows of `build()` as a parquet table in the shared work folder.
 
@@ -143,7 +149,7 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFram
     path = f"{work_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{crc32(sf_dir.encode()):08x}"
     written = _WRITTEN.setdefault(spark.sparkContext.applicationId, set())
     if path not in written:
-        build().write.mode("overwrite").parquet(path)
+        spread(build()).write.mode("overwrite").parquet(path)
         written.add(path)
     return spark.read.parquet(path)
 
@@ -163,6 +169,11 @@ def flow_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialized(spark, sf_dir, "flow_packets", lambda: flows.packets_with_flow(packets(spark, sf_dir)))
 
 
+def tcp_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unwrapped sequence and acknowledgement numbers, as a written table that the TCP jobs share."""
+    return materialized(spark, sf_dir, "tcp_line", lambda: tcp.positions(flow_packets(spark, sf_dir)))
+
+
 def build_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 with the remaining columns of the packet schema."""
     ip = F.col("ip_proto") != 0
@@ -176,15 +187,15 @@ def build_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def http_msgs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, F2)
+    return materialized(spark, sf_dir, "http_msgs", lambda: _run(spark, sf_dir, F2))
 
 
 def dns_msgs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, F3)
+    return materialized(spark, sf_dir, "dns_msgs", lambda: _run(spark, sf_dir, F3))
 
 
 def mysql_msgs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, F4)
+    return materialized(spark, sf_dir, "mysql_msgs", lambda: _run(spark, sf_dir, F4))
 
 
 def _duck(text: str) -> str:

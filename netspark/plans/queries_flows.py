@@ -13,7 +13,7 @@ P, SS, KEY, SESSION = o.ORACLE_PACKETS, o.SESSIONS, o.KEY, o.SESSION
 
 
 def line(spark, sf):
-    return tcp.positions(fx.flow_packets(spark, sf))
+    return fx.tcp_line(spark, sf)
 
 
 @query("flow_sessions", o.with_(P, SS, f"""
