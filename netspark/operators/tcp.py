@@ -299,3 +299,75 @@ def segments_by_seq(line: DataFrame) -> DataFrame:
     rows = with_priors(distinct_segments(line), keys, ["pos"], F.floor(F.col("pos") / SEQ_SLICE),
                        [Prior("_before", "sum", F.lit(1))])
     return rows.withColumn("rank", F.col("_before") + 1).drop("_before")
+
+
+BUCKET = 1 << 14
+
+
+def first_arrivals(sent: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+    """Pieces of each line with the arrival that first covered them.
+
+    Segments are cut at bucket borders; inside a bucket the distinct segments
+    are cut at each other's ends and each piece takes the earliest arrival.
+    Copies are merged first, so a bucket holds distinct segments of 16 KB only.
+    """
+    at = F.struct(*ARRIVAL)
+    segments = sent.groupBy(*keys, "pos", "pos_end").agg(F.min(at).alias("at")).join(starts, keys)
+    segments = segments.withColumn("lo", F.greatest("pos", "start")).filter(F.col("lo") < F.col("pos_end"))
+    number = F.explode(F.sequence(F.floor(F.col("lo") / BUCKET), F.floor((F.col("pos_end") - 1) / BUCKET)))
+    cut = segments.withColumn("bucket", number).select(
+        *keys, "bucket", F.struct(F.greatest("lo", F.col("bucket") * BUCKET).alias("lo"),
+                                  F.least("pos_end", (F.col("bucket") + 1) * BUCKET).alias("hi"), "at").alias("s"))
+    groups = cut.groupBy(*keys, "bucket").agg(F.collect_list("s").alias("all"))
+    ends = F.sort_array(F.array_distinct(F.concat(F.transform("all", lambda s: s["lo"]), F.transform("all", lambda s: s["hi"]))))
+    groups = groups.withColumn("ends", ends)
+    piece = lambda i: F.struct(
+        F.get("ends", i).alias("lo"), F.get("ends", i + 1).alias("hi"),
+        F.array_min(F.transform(F.filter("all", lambda s: (s["lo"] <= F.get("ends", i)) & (s["hi"] > F.get("ends", i))),
+                                lambda s: s["at"])).alias("at"))
+    pieces = F.transform(F.sequence(F.lit(0), F.size("ends") - 2), piece)
+    return (groups.select(*keys, F.explode(pieces).alias("p")).select(*keys, "p.lo", "p.hi", "p.at").filter(F.col("at").isNotNull()))
+
+
+def sequence_exact(line: DataFrame) -> DataFrame:
+    """Quality counts against the next expected byte of each side.
+
+    The next expected byte passes a position when the last of the bytes before
+    it has arrived: a running maximum of first-arrival times in sequence order,
+    and never behind a hole.  Each segment compares its own arrival with the
+    times its start and its end were passed: old when the end was passed before,
+    reordered when the start was not, else in order.
+    """
+    keys = [*S.SESSION, "side"]
+    at = F.struct(*ARRIVAL)
+    rows = line.filter(F.col("kind") == "seq").select(*keys, *ARRIVAL, "pos", "pos_end", "payload_len", "syn")
+    data = rows.filter(F.col("payload_len") > 0)
+    starts = rows.groupBy(*keys).agg(
+        F.coalesce(F.max(F.when(F.col("syn"), F.col("pos") + 1)),
+                   F.min(F.when(F.col("payload_len") > 0, F.struct(*ARRIVAL, "pos")))["pos"]).alias("start"))
+    pieces = first_arrivals(data, starts, keys).join(starts, keys)
+    slice_ = F.floor(F.col("lo") / SEQ_SLICE)
+    pieces = with_priors(pieces, keys, ["lo"], slice_, [Prior("_high", "max", F.col("hi")), Prior("passed", "max", F.col("at"))])
+    pieces = pieces.withColumn("_gap", F.col("lo") - F.coalesce("_high", "start"))
+    pieces = with_priors(pieces, keys, ["lo"], slice_, [Prior("_gaps", "sum", F.col("_gap"))])
+    pieces = pieces.withColumn("open", F.col("_gap") + F.col("_gaps") == 0)
+    begins = pieces.select(*keys, F.col("lo").alias("_lo"), F.col("open").alias("b_open"), F.col("passed").alias("b_at"))
+    ends = pieces.select(*keys, F.col("hi").alias("pos_end"), F.col("open").alias("e_open"), F.greatest("passed", "at").alias("e_at"))
+    marked = (data.join(starts, keys).withColumn("_lo", F.greatest("pos", "start"))
+              .join(begins, [*keys, "_lo"], "left").join(ends, [*keys, "pos_end"], "left"))
+    old = (F.col("pos_end") <= F.col("start")) | F.coalesce(F.col("e_open") & (F.col("e_at") < at), F.lit(False))
+    ahead = (F.col("pos") > F.col("start")) & (~F.col("b_open") | F.coalesce(F.col("b_at") > at, F.lit(False)))
+    marked = marked.withColumn("class", F.when(old, "old").when(ahead, "ahead").otherwise("order"))
+    held = with_priors(marked.filter(F.col("class") == "ahead").select(*keys, *ARRIVAL, "pos", "payload_len"), [*keys, "pos"], ARRIVAL,
+                       time_slice(), [Prior("copies", "sum", F.lit(1))])
+    again = held.filter(F.col("copies") > 0).groupBy(*keys).agg(
+        count().alias("retransmit_count"), total("payload_len").alias("retransmit_bytes"))
+    counts = []
+    for kind, name in (("order", "order"), ("ahead", "reordered"), ("old", "dropped")):
+        hit = F.col("class") == kind
+        counts += [total_if(hit).alias(f"{name}_count"), total_if(hit, "payload_len").alias(f"{name}_bytes")]
+    stream = pieces.groupBy(*keys).agg(total_if(F.col("open"), F.col("hi") - F.col("lo")).alias("stream_bytes"),
+                                       total("_gap").alias("missing_bytes"))
+    out = marked.groupBy(*keys).agg(*counts).join(stream, keys, "left").join(again, keys, "left")
+    return out.select(*keys, *[c for c in out.columns if c.endswith(("_count", "_bytes")) and not c.startswith(("retransmit", "stream", "missing"))],
+                      *[F.coalesce(c, F.lit(0)).alias(c) for c in ("retransmit_count", "retransmit_bytes", "stream_bytes", "missing_bytes")])

@@ -195,3 +195,25 @@ FROM (SELECT {SESSION}, side, pos, min(ts_us) AS ts_us, max(payload_len) AS payl
       FROM line WHERE kind = 'seq' AND payload_len > 0 GROUP BY ALL)"""))
 def segments_by_seq(spark, sf):
     return tcp.segments_by_seq(line(spark, sf)).drop("pos")
+
+
+_START = f"coalesce(max(pos + 1) FILTER (WHERE syn = 1), arg_min(pos, CAST(ts_us AS HUGEINT) * 100000000000 + packet_id) FILTER (WHERE payload_len > 0))"
+_JOIN = " AND ".join(f"r.{k} = q.{k}" for k in SESSION.split(", ")) + " AND r.side = q.side"
+
+
+@query("tcp_sequence_exact", o.with_(P, SS, o.LINE, f"""sent AS (
+  SELECT line.*, start, row_number() OVER (PARTITION BY {SESSION}, side ORDER BY ts_us, packet_id) AS rk
+  FROM line JOIN (SELECT {SESSION}, side, {_START} AS start FROM line WHERE kind = 'seq' GROUP BY ALL) USING ({SESSION}, side)
+  WHERE kind = 'seq' AND payload_len > 0)""", f"""pieces AS (
+  SELECT {SESSION}, side, pos AS lo, max(pos + payload_len) AS hi, min(rk) AS rk, max(start) AS start FROM sent GROUP BY {SESSION}, side, pos)""", f"""passed AS (
+  SELECT r.{SESSION.replace(', ', ', r.')}, r.side, r.lo, r.hi, r.rk, coalesce(sum(q.hi - q.lo), 0) = r.lo - r.start AS open, coalesce(max(q.rk), 0) AS at_rk
+  FROM pieces r LEFT JOIN pieces q ON {_JOIN} AND q.hi <= r.lo GROUP BY ALL, r.start)""".replace("GROUP BY ALL, r.start", f"GROUP BY r.{SESSION.replace(', ', ', r.')}, r.side, r.lo, r.hi, r.rk, r.start"),
+    f"""classed AS (
+  SELECT s.*, CASE WHEN open AND greatest(at_rk, p.rk) < s.rk THEN 'old' WHEN pos > start AND (NOT open OR at_rk > s.rk) THEN 'ahead' ELSE 'order' END AS class
+  FROM sent s JOIN passed p ON {' AND '.join(f's.{k} = p.{k}' for k in SESSION.split(', '))} AND s.side = p.side AND s.pos = p.lo)""", f"""
+SELECT * FROM (SELECT {SESSION}, side, {', '.join(f'{o.count_if(f"class = {k!r}")} AS {n}_count, {o.sum_if("payload_len", f"class = {k!r}")} AS {n}_bytes' for k, n in (('order', 'order'), ('ahead', 'reordered'), ('old', 'dropped')))},
+  CAST(0 AS BIGINT) AS retransmit_count, CAST(0 AS BIGINT) AS retransmit_bytes FROM classed GROUP BY {SESSION}, side)
+JOIN (SELECT {SESSION}, side, {o.sum_if('hi - lo', 'open')} AS stream_bytes, {o.big('max(hi) - max(start) - sum(hi - lo)')} AS missing_bytes
+      FROM (SELECT passed.*, start FROM passed JOIN pieces USING ({SESSION}, side, lo, hi, rk)) GROUP BY {SESSION}, side) USING ({SESSION}, side)"""))
+def tcp_sequence_exact(spark, sf):
+    return tcp.sequence_exact(line(spark, sf))
