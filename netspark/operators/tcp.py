@@ -10,6 +10,7 @@ from netspark import schema as S
 from netspark.functions import net
 from netspark.operators.nodes import NODE, count, total, total_if
 from netspark.operators.prefix import Prior, unwrap, with_priors
+from netspark.session import cut
 
 ARRIVAL = ["ts_us", "packet_id"]
 SEQ_SLICE = 1 << 20
@@ -315,10 +316,10 @@ def first_arrivals(sent: DataFrame, starts: DataFrame, keys: list[str]) -> DataF
     segments = sent.groupBy(*keys, "pos", "pos_end").agg(F.min(at).alias("at")).join(starts, keys)
     segments = segments.withColumn("lo", F.greatest("pos", "start")).filter(F.col("lo") < F.col("pos_end"))
     number = F.explode(F.sequence(F.floor(F.col("lo") / BUCKET), F.floor((F.col("pos_end") - 1) / BUCKET)))
-    cut = segments.withColumn("bucket", number).select(
+    split = segments.withColumn("bucket", number).select(
         *keys, "bucket", F.struct(F.greatest("lo", F.col("bucket") * BUCKET).alias("lo"),
                                   F.least("pos_end", (F.col("bucket") + 1) * BUCKET).alias("hi"), "at").alias("s"))
-    groups = cut.groupBy(*keys, "bucket").agg(F.collect_list("s").alias("all"))
+    groups = split.groupBy(*keys, "bucket").agg(F.collect_list("s").alias("all"))
     ends = F.sort_array(F.array_distinct(F.concat(F.transform("all", lambda s: s["lo"]), F.transform("all", lambda s: s["hi"]))))
     groups = groups.withColumn("ends", ends)
     piece = lambda i: F.struct(
@@ -350,14 +351,16 @@ def sequence_exact(line: DataFrame) -> DataFrame:
     pieces = with_priors(pieces, keys, ["lo"], slice_, [Prior("_high", "max", F.col("hi")), Prior("passed", "max", F.col("at"))])
     pieces = pieces.withColumn("_gap", F.col("lo") - F.coalesce("_high", "start"))
     pieces = with_priors(pieces, keys, ["lo"], slice_, [Prior("_gaps", "sum", F.col("_gap"))])
-    pieces = pieces.withColumn("open", F.col("_gap") + F.col("_gaps") == 0)
+    # Three readers follow; the pieces are stored once.
+    pieces = cut(pieces.withColumn("open", F.col("_gap") + F.col("_gaps") == 0))
     begins = pieces.select(*keys, F.col("lo").alias("_lo"), F.col("open").alias("b_open"), F.col("passed").alias("b_at"))
     ends = pieces.select(*keys, F.col("hi").alias("pos_end"), F.col("open").alias("e_open"), F.greatest("passed", "at").alias("e_at"))
     marked = (data.join(starts, keys).withColumn("_lo", F.greatest("pos", "start"))
               .join(begins, [*keys, "_lo"], "left").join(ends, [*keys, "pos_end"], "left"))
     old = (F.col("pos_end") <= F.col("start")) | F.coalesce(F.col("e_open") & (F.col("e_at") < at), F.lit(False))
     ahead = (F.col("pos") > F.col("start")) & (~F.col("b_open") | F.coalesce(F.col("b_at") > at, F.lit(False)))
-    marked = marked.withColumn("class", F.when(old, "old").when(ahead, "ahead").otherwise("order"))
+    marked = cut(marked.withColumn("class", F.when(old, "old").when(ahead, "ahead").otherwise("order"))
+                 .select(*keys, *ARRIVAL, "pos", "payload_len", "class"))
     held = with_priors(marked.filter(F.col("class") == "ahead").select(*keys, *ARRIVAL, "pos", "payload_len"), [*keys, "pos"], ARRIVAL,
                        time_slice(), [Prior("copies", "sum", F.lit(1))])
     again = held.filter(F.col("copies") > 0).groupBy(*keys).agg(

@@ -83,11 +83,12 @@ def test_stream_bytes_do_not_depend_on_order(spark):
     parts = [(1, p, text[p:p + n]) for p, n in ((p, rng.randrange(1, 40)) for p in range(0, 500, 7))]
     rng.shuffle(parts)
     rows = streams.stream_bytes(segments(spark, parts), ["flow_id"]).orderBy("pos").collect()
-    got = b"".join(bytes(r.payload) for r in rows if r.hole == 0)
-    whole = bytearray(len(text))
+    covered = bytearray(500)
     for _, p, d in parts:
-        whole[p:p + len(d)] = d
-    assert bytes(rows[0].payload)[:1] == text[:1] and sum(len(r.payload) + r.hole for r in rows) == len(text) or got in text
+        covered[p:p + len(d)] = b"x" * len(d)
+    assert all(bytes(r.payload) == text[r.pos:r.pos + len(r.payload)] for r in rows)
+    assert sum(len(r.payload) for r in rows) == covered.count(b"x")
+    assert sum(r.hole for r in rows) == covered.rstrip(b"\0").count(b"\0")
 
 
 HTTP = (b"GET /a HTTP/1.1\r\nHost: x\r\n\r\n" b"POST /b HTTP/1.1\r\nContent-Length: 30\r\n\r\n" + b"GET /no HTTP/1.1\r\n\r\n0123456789"
@@ -97,7 +98,7 @@ ANSWER = (b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nhello\r\n1
           + b"HTTP/1.1 204 None\r\n\r\n" + b"HTTP/1.0 200 OK\r\n\r\nall the rest")
 
 
-@pytest.mark.parametrize("size", [16, 64, 1 << 20])
+@pytest.mark.parametrize("size", [40, 1 << 20])
 def test_http_framing_does_not_depend_on_chunks(spark, size):
     parts = [(1, p, HTTP[p:p + 11]) for p in range(0, len(HTTP), 11)] + [(-1, p, ANSWER[p:p + 13]) for p in range(0, len(ANSWER), 13)]
     random.Random(2).shuffle(parts)
@@ -105,7 +106,7 @@ def test_http_framing_does_not_depend_on_chunks(spark, size):
     got = [(r.side, r.head.split("\r\n")[0], r.framing, r.body_len) for r in rows]
     assert got == [(-1, "HTTP/1.1 200 OK", "chunked", 23), (-1, "HTTP/1.1 200 OK", "length", 100), (-1, "HTTP/1.1 204 None", "none", 0),
                    (-1, "HTTP/1.0 200 OK", "close", 0), (1, "GET /a HTTP/1.1", "none", 0), (1, "POST /b HTTP/1.1", "length", 30),
-                   (1, "POST /m HTTP/1.1", "multipart", 21), (1, "HEAD /c HTTP/1.0", "none", 0)]
+                   (1, "POST /m HTTP/1.1", "multipart", 19), (1, "HEAD /c HTTP/1.0", "none", 0)]
 
 
 def packet(serial, body):
@@ -133,8 +134,8 @@ def test_rule_priority(spark, tmp_path):
     path.write_text("#proto\tip\tport\tflag\tapplication\tmajor\tminor\tattribute\tname\n"
                     "tcp\t54.92.46.172\t22\t\t1\t2\t3\t4\texact\nTCP\t\t22\t9\t\t\t\t\tport\nudp\t\t53\t\t\t\t\t\tempty\n")
     table = rules.load_rules(spark, str(path))
-    assert sorted((r.ip, r.port, r.flag, r.application, r.name) for r in table.collect()) == [(0, 22, 9, 0, "port"), (0x362E5C00 + 0xD2AC - 0x0000 if False else 912011948, 22, 0, 1, "exact")]
-    flows = spark.createDataFrame([(1, 50, 912011948, 22, 6), (1, 22, 5, 6, 6), (2, 9, 3, 22, 6), (2, 9, 3, 23, 6)],
+    assert sorted((r.ip, r.port, r.flag, r.application, r.name) for r in table.collect()) == [(0, 22, 9, 0, "port"), (912010924, 22, 0, 1, "exact")]
+    flows = spark.createDataFrame([(1, 50, 912010924, 22, 6), (1, 22, 5, 6, 6), (2, 9, 3, 22, 6), (2, 9, 3, 23, 6)],
                                   "client_ip BIGINT, client_port BIGINT, server_ip BIGINT, server_port BIGINT, ip_proto INT")
     got = [r.rule_name for r in rules.app_tags(flows, table).orderBy("client_ip", F.desc("client_port"), "server_port").collect()]
     assert got == ["exact", "port", "port", None]
