@@ -120,8 +120,8 @@ def test_mysql_rows_over_chunks(spark, size):
     server += b"".join(packet((i + 1) % 256, b) for i, b in enumerate(body))
     login = packet(1, (0x8208).to_bytes(4, "little") + bytes(28) + b"ann\0\x02pwshop\0")
     client = login + packet(0, b"\x03SELECT 1")
-    data = [(-1, 0, server[:17]), (1, 0, login), (-1, 17, server[17:28]), (1, len(login), client[len(login):])]
-    data += [(-1, 28 + p, server[28 + p:28 + p + 37]) for p in range(0, len(server) - 28, 37)]
+    data = [(-1, 0, server[:13]), (1, 0, login), (-1, 13, server[13:24]), (1, len(login), client[len(login):])]
+    data += [(-1, 24 + p, server[24 + p:24 + p + 37]) for p in range(0, len(server) - 24, 37)]
     messages = mysql_wire.mysql_messages(mysql_wire.mysql_packets(segments(spark, data), ["flow_id"], size=size, ahead=64), ["flow_id"])
     parts = {r.part: r["count"] for r in messages.filter("kind = 'response'").groupBy("part").count().collect()}
     assert parts == {"set": 1, "col": 1, "eof": 2, "row": 100}
