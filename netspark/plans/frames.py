@@ -2,11 +2,13 @@
 
 import struct
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netspark import schema as S
+from netspark.operators.prefix import Prior, with_priors
 from netspark.plans import fixtures as fx
+from netspark.sources.captures import file_system
 
 
 def hexn(value, size: int) -> Column:
@@ -88,18 +90,18 @@ def build_frames(spark: SparkSession, sf: str, options: bool) -> DataFrame:
 def write_capture_files(rows: DataFrame, path: str, files: int) -> None:
     """Each task writes the frames it holds, in time order, as one capture file."""
     def write(batches):
-        import os
-
         from pyspark import TaskContext
-        number = TaskContext.get().partitionId()
-        os.makedirs(path, exist_ok=True)
-        part = f"{path}/.part-{number:05d}.{TaskContext.get().taskAttemptId()}"
-        with open(part, "wb") as out:
+        task = TaskContext.get()
+        fs, folder = file_system(path)
+        fs.create_dir(folder, recursive=True)
+        part = f"{folder}/.part-{task.partitionId():05d}.{task.taskAttemptId()}"
+        with fs.open_output_stream(part) as out:
             out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
             for pdf in batches:
                 for ts, frame, wire in zip(pdf["ts_us"], pdf["frame"], pdf["wire_len"]):
                     out.write(struct.pack("<IIII", ts // 1_000_000, ts % 1_000_000, len(frame), wire) + frame)
-        os.replace(part, f"{path}/part-{number:05d}.pcap")
+        # A repeated task replaces the file of its first attempt.
+        fs.move(part, f"{folder}/part-{task.partitionId():05d}.pcap")
         yield from ()
 
     rows = rows.repartitionByRange(files, "ts_us").sortWithinPartitions("ts_us", "packet_id")
@@ -150,8 +152,7 @@ def http_streams(spark: SparkSession, sf: str, size: int = 1460) -> DataFrame:
             .otherwise(F.concat(start, F.lit("Content-Length: "), F.length(html).cast("string"), F.lit("\r\n\r\n"))))
     body = F.when(request, F.unhex(F.repeat(F.lit("62"), F.col("body_len").cast("int")))).when(chunked, chunks).otherwise(html)
     whole = msgs.select("flow_id", F.when(request, 1).otherwise(-1).alias("side"), "n", "ts_us", F.concat(raw(head), body).alias("data"))
-    before = Window.partitionBy("flow_id", "side").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    whole = whole.withColumn("base", F.coalesce(F.sum(F.length("data")).over(before), F.lit(0)))
+    whole = with_priors(whole, ["flow_id", "side"], ["n"], F.floor(F.col("n") / 1000), [Prior("base", "sum", F.length("data"))])
     cuts = F.explode(F.sequence(F.lit(0), F.length("data") - 1, F.lit(size)))
     rows = whole.withColumn("cut", cuts).select(
         "flow_id", "side", (F.col("base") + F.col("cut")).alias("pos"), (F.col("ts_us") + F.col("cut")).alias("ts_us"),

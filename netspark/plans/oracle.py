@@ -120,7 +120,7 @@ hs AS (
   FROM (SELECT *, CASE WHEN isn IS NULL AND data_rk IS NOT NULL THEN 'midstream'
           WHEN ack_rk < data_rk AND data_dir = 1 AND data_ack = (ack_seq + 1) % 4294967296 THEN 'handshake' ELSE 'none' END AS opened FROM hs0))"""
 
-CLOSE = f"""ends AS (
+CLOSE = f"""session_ends AS (
   SELECT {SESSION}, min(start_us) AS start_us, max(ts_us) AS last_us, max(start_isn) AS isn,
     arg_min(dir, rk) FILTER (WHERE fin_rst) AS closer, arg_min(ts_us, rk) FILTER (WHERE fin_rst) AS close_us,
     min(rk) FILTER (WHERE fin_rst AND dir = 1) AS c_rk, min(rk) FILTER (WHERE fin_rst AND dir = -1) AS s_rk,
@@ -132,8 +132,17 @@ states AS (
   SELECT *, CASE WHEN c_rk IS NOT NULL AND s_rk IS NOT NULL THEN 'closed' WHEN close_us IS NOT NULL THEN 'waiting'
       WHEN has_data THEN 'established' WHEN answered THEN 'ack' WHEN isn IS NOT NULL THEN 'syn' ELSE 'none' END AS state,
     CASE WHEN c_rk IS NOT NULL AND s_rk IS NOT NULL THEN greatest(c_us, s_us) END AS closed_us,
-    lead(CASE WHEN isn IS NOT NULL THEN start_us END) OVER (PARTITION BY {KEY} ORDER BY session_no) AS next_syn_us FROM ends),
+    lead(CASE WHEN isn IS NOT NULL THEN start_us END) OVER (PARTITION BY {KEY} ORDER BY session_no) AS next_syn_us FROM session_ends),
 closes AS (
   SELECT {SESSION}, start_us, last_us, state, closer, close_us, closed_us,
     CASE WHEN reset THEN 'reset' WHEN state = 'closed' THEN 'normal' WHEN next_syn_us - last_us <= 600000000 THEN 'abort'
          WHEN state = 'syn' THEN 'broken' ELSE 'timeout' END AS cause FROM states)"""
+
+CONNECTIONS = f"""changes AS (
+  SELECT vlan_id, client_mac, client_ip, server_mac, server_ip, 'connected' AS what, connected_us AS hit_us FROM hs WHERE connected_us IS NOT NULL
+  UNION ALL SELECT vlan_id, client_mac, client_ip, server_mac, server_ip, 'closed', close_us FROM hs JOIN closes USING ({SESSION})
+  WHERE connected_us IS NOT NULL AND close_us IS NOT NULL),
+connections AS (
+  SELECT {window('hit_us')} AS window_us, vlan_id, mac, ip, {count_if("what = 'connected'")} AS connected, {count_if("what = 'closed'")} AS closed
+  FROM (SELECT vlan_id, client_mac AS mac, {node_ip('client_ip')} AS ip, what, hit_us FROM changes
+        UNION ALL SELECT vlan_id, server_mac, {node_ip('server_ip')}, what, hit_us FROM changes) GROUP BY ALL)"""

@@ -119,7 +119,7 @@ def rule_lines(spark, sf):
                        F.lit("2"), F.lit(""), F.lit("4"), F.concat(F.lit("rule-"), key.cast("string")))
     rows = fx.table(spark, sf, "supplier").select(F.when(key % 11 == 0, F.concat(F.lit("#"), text)).otherwise(text).alias("value"), "s_suppkey")
     path = fx.fresh_path(spark, "rules")
-    rows.orderBy("s_suppkey").select("value").coalesce(1).write.text(path)
+    rows.orderBy("s_suppkey").select("value").write.text(path)
     return path
 
 

@@ -94,14 +94,7 @@ def tcp_close(spark, sf):
     return tcp.tcp_close(fx.flow_packets(spark, sf))
 
 
-@query("node_connections", o.with_(P, SS, o.HANDSHAKE, o.CLOSE, f"""
-SELECT {o.window('hit_us')} AS window_us, vlan_id, mac, ip, {o.count_if("what = 'connected'")} AS connected, {o.count_if("what = 'closed'")} AS closed
-FROM (SELECT vlan_id, client_mac AS mac, {o.node_ip('client_ip')} AS ip, what, hit_us FROM ev
-      UNION ALL SELECT vlan_id, server_mac, {o.node_ip('server_ip')}, what, hit_us FROM ev)
-GROUP BY ALL""".replace("FROM ev", f"""FROM (
-  SELECT vlan_id, client_mac, client_ip, server_mac, server_ip, 'connected' AS what, connected_us AS hit_us FROM hs WHERE connected_us IS NOT NULL
-  UNION ALL SELECT vlan_id, client_mac, client_ip, server_mac, server_ip, 'closed', close_us FROM hs JOIN closes USING ({SESSION})
-  WHERE connected_us IS NOT NULL AND close_us IS NOT NULL)""")))
+@query("node_connections", o.with_(P, SS, o.HANDSHAKE, o.CLOSE, o.CONNECTIONS, "SELECT * FROM connections"))
 def node_connections(spark, sf):
     rows = fx.flow_packets(spark, sf)
     return tcp.node_connections(tcp.handshake(rows), tcp.tcp_close(rows))

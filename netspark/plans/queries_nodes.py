@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from netspark import schema as S
 from netspark.functions import net
-from netspark.operators import metrics, nodes
+from netspark.operators import metrics, nodes, tcp
 from netspark.plans import fixtures as fx
 from netspark.plans import oracle as o
 from netspark.plans.registry import query
@@ -225,6 +225,8 @@ def _metrics_oracle(services=True):
     service = " UNION ALL ".join(
         f"SELECT window_us, mac, vlan_id, ip, 'tcp.{c}|l4_group|' || CAST(server_port AS VARCHAR) AS metric, {c} AS count FROM services"
         for c in ("req_pkts", "req_bytes", "rsp_pkts", "rsp_bytes"))
+    service += " UNION ALL " + " UNION ALL ".join(
+        f"SELECT window_us, mac, vlan_id, ip, 'tcp.{c}', {c} FROM connections" for c in ("connected", "closed"))
     return f"""metrics AS (
   SELECT window_us, level, mac, vlan_id, ip, metric, count, CAST(NULL AS BIGINT) AS sum, CAST(NULL AS BIGINT) AS min, CAST(NULL AS BIGINT) AS max
   FROM (SELECT window_us, 'mac' AS level, mac, 0 AS vlan_id, CAST(0 AS BIGINT) AS ip, metric, count FROM ({mac})
@@ -233,14 +235,16 @@ def _metrics_oracle(services=True):
   WHERE count <> 0)"""
 
 
-_METRICS = [P, ENDS, FACTS, o.SESSIONS, _SERVICES, _metrics_oracle()]
+_METRICS = [P, ENDS, FACTS, o.SESSIONS, _SERVICES, o.HANDSHAKE, o.CLOSE, o.CONNECTIONS, _metrics_oracle()]
 
 
 def all_metrics(packets, flow_packets):
     """Link, network and service metrics of a packet table."""
     base = metrics.node_metrics(nodes.node_facts(packets))
     services = nodes.service_traffic(flow_packets)
-    return metrics.nonzero_metrics(base.unionByName(metrics.service_metrics(services)))
+    connections = tcp.node_connections(tcp.handshake(flow_packets), tcp.tcp_close(flow_packets))
+    return metrics.nonzero_metrics(base.unionByName(metrics.service_metrics(services))
+                                   .unionByName(metrics.connection_metrics(connections)))
 
 
 @query("metric_rows", o.with_(*_METRICS, "SELECT * FROM metrics"))

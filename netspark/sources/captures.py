@@ -54,7 +54,9 @@ class _File(InputPartition):
         self.path = path
 
 
-def _file_system(path: str):
+def file_system(path: str):
+    """File system and path within it; a plain path is a mounted folder."""
+    path = path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
@@ -63,13 +65,13 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self):
-        fs, root = _file_system(self.path)
+        fs, root = file_system(self.path)
         info = fs.get_file_info(root)
         files = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(root, recursive=True))
         return [_File(f.path) for f in sorted(files, key=lambda f: f.path) if f.is_file and not f.base_name.startswith((".", "_"))]
 
     def read(self, partition):
-        fs, _ = _file_system(self.path)
+        fs, _ = file_system(self.path)
         # A file is walked through a buffer, so a task holds one batch and not the file.
         with fs.open_input_stream(partition.path, buffer_size=1 << 20) as stream:
             yield from record_batches(stream, partition.path)

@@ -15,7 +15,7 @@ BROADCAST_ROWS = 500_000
 def load_rules(spark: SparkSession, path: str) -> DataFrame:
     """Rules from a tab-separated file.  Empty fields are 0; rules without a key or a value are left out.
 
-    The last line of a key wins.
+    The last line of a key wins, over files in the order of their names.
     """
     lines = spark.read.csv(path, sep="\t", comment="#", schema=FIELDS, mode="PERMISSIVE")
     part = lambda i: F.coalesce(F.get(F.split("ip", r"\."), F.lit(i)).cast("bigint"), F.lit(0))
@@ -24,7 +24,7 @@ def load_rules(spark: SparkSession, path: str) -> DataFrame:
     number = F.coalesce(*[F.when(proto == n, code) for n, code in PROTO_NUMBER.items()], proto.cast("int"), F.lit(0))
     zero = F.lit(0)
     rows = lines.select(number.alias("proto"), ip.alias("ip"), F.coalesce("port", zero).alias("port"),
-                        *[F.coalesce(v, zero).alias(v) for v in VALUES], "name", F.monotonically_increasing_id().alias("line"))
+                        *[F.coalesce(v, zero).alias(v) for v in VALUES], "name", F.struct(F.input_file_name(), F.monotonically_increasing_id()).alias("line"))
     used = ((F.col("proto") != 0) | (F.col("ip") != 0) | (F.col("port") != 0)) & F.greatest(*VALUES).__gt__(0)
     last = F.max(F.struct("line", *VALUES, "name")).alias("r")
     return rows.filter(used).groupBy("proto", "ip", "port").agg(last).select("proto", "ip", "port", *[f"r.{v}" for v in VALUES], "r.name")
