@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from netspark import schema as S
 from netspark.functions import net
 from netspark.operators import nodes
+from netspark.operators.prefix import time_slice, with_slice_width
 
 ARRIVAL = ["ts_us", "packet_id"]
 
@@ -25,14 +26,16 @@ def _timeout_us():
             .otherwise(S.ICMP_ACTIVE_S) * S.US).cast("bigint")
 
 
-def packets_with_flow(packets: DataFrame, slice_us: int = S.SLICE_US) -> DataFrame:
+def packets_with_flow(packets: DataFrame, slice_us: int = S.SLICE_US, busy_rows: int | None = S.SLICE_ROWS) -> DataFrame:
     """Attach session_no, the first packet's data and the direction to each packet.
 
     A session starts at the first packet of a flow key, after a silence longer
     than the protocol's timeout, and at a pure SYN whose sequence number is not
     that of the last pure SYN.  Sessions are found slice by slice: inside a
     slice every row is decided except the first row and the first SYN, which
-    need the last time and last SYN number of earlier slices.
+    need the last time and last SYN number of earlier slices.  Flows of more
+    than `busy_rows` packets get narrower slices; their width stays in
+    `slice_us` for the jobs that follow.
     """
     first = F.col("_prev_ts").isNull()
     first_syn = F.col("_isn").isNotNull() & F.col("_prev_isn").isNull()
@@ -46,8 +49,11 @@ def packets_with_flow(packets: DataFrame, slice_us: int = S.SLICE_US) -> DataFra
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
 
     is_syn = (F.col("ip_proto") == S.PROTO_TCP) & net.pure_syn()
-    rows = (with_flow_key(packets)
-            .withColumns({"_slice": net.window_us(slice_us // S.US), "_timeout": _timeout_us(),
+    keyed = with_flow_key(packets)
+    keyed = (with_slice_width(keyed, S.FLOW_KEY, rows=busy_rows, width_us=slice_us) if busy_rows
+             else keyed.withColumn("slice_us", F.lit(slice_us).cast("bigint")))
+    rows = (keyed
+            .withColumns({"_slice": time_slice(keyed), "_timeout": _timeout_us(),
                           "_isn": F.when(is_syn, F.col("tcp_seq"))})
             .withColumns({"_prev_ts": F.lag("ts_us").over(local),
                           "_prev_isn": F.last("_isn", ignorenulls=True).over(before)})
@@ -102,7 +108,7 @@ def packets_with_flow(packets: DataFrame, slice_us: int = S.SLICE_US) -> DataFra
                     F.col("_at.src.ip").alias("client_ip"), F.col("_at.src.port").alias("client_port"),
                     F.col("_at.dst.ip").alias("server_ip"), F.col("_at.dst.port").alias("server_port"),
                     F.col("_at.src_mac").alias("client_mac"), F.col("_at.dst_mac").alias("server_mac"),
-                    F.col("_at.isn").alias("start_isn")))
+                    F.col("_at.isn").alias("start_isn"), "slice_us"))
 
 
 def flow_id():

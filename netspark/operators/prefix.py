@@ -12,6 +12,35 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netspark import schema as S
+
+BROADCAST_ROWS = 500_000
+
+
+def bounded(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a table for broadcast only when a count proves it small; larger ones join by shuffle."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def with_slice_width(df: DataFrame, keys: list[str], ts: str = "ts_us", rows: int = S.SLICE_ROWS, width_us: int = S.SLICE_US) -> DataFrame:
+    """Add slice_us: the usual width, or for keys of more than `rows` rows the width that holds about `rows` of them.
+
+    Busy keys are few (all rows / `rows` at most), so the table of their widths
+    is small and no row is shuffled for it.
+    """
+    n, span = F.count(F.lit(1)), F.max(ts) - F.min(ts) + 1
+    narrow = F.greatest(F.floor(span * rows / n), F.lit(1)).cast("bigint")
+    busy = df.groupBy(*keys).agg(n.alias("_n"), narrow.alias("_narrow")).filter(F.col("_n") > rows)
+    busy = busy.select(*keys, F.least("_narrow", F.lit(width_us).cast("bigint")).alias("_narrow"))
+    return (df.join(bounded(busy), keys, "left")
+            .withColumn("slice_us", F.coalesce("_narrow", F.lit(width_us).cast("bigint"))).drop("_narrow"))
+
+
+def time_slice(df: DataFrame, ts: str = "ts_us") -> Column:
+    """Start of a row's slice of time, of the row's own width where it has one."""
+    width = F.col("slice_us") if "slice_us" in df.columns else F.lit(S.SLICE_US).cast("bigint")
+    return F.col(ts) - F.pmod(F.col(ts), width)
+
 
 @dataclass(frozen=True)
 class Prior:

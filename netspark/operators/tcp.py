@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from netspark import schema as S
 from netspark.functions import net
 from netspark.operators.nodes import NODE, count, total, total_if
-from netspark.operators.prefix import Prior, unwrap, with_priors
+from netspark.operators.prefix import Prior, time_slice, unwrap, with_priors
 from netspark.session import cut
 
 ARRIVAL = ["ts_us", "packet_id"]
@@ -20,10 +20,6 @@ def tcp(flow_packets: DataFrame) -> DataFrame:
     return flow_packets.filter(F.col("ip_proto") == S.PROTO_TCP)
 
 
-def time_slice(width_us: int = S.SLICE_US) -> Column:
-    return net.window_us(width_us // S.US)
-
-
 def next_seq(value) -> Column:
     return F.pmod(net.col(value) + 1, F.lit(S.UINT32))
 
@@ -141,7 +137,8 @@ def data_packets(flow_packets: DataFrame) -> DataFrame:
 def packet_gaps(flow_packets: DataFrame) -> DataFrame:
     """Per session and side: smallest positive time between data packets."""
     keys = [*S.SESSION, "dir"]
-    rows = with_priors(data_packets(flow_packets).select(*keys, *ARRIVAL), keys, ARRIVAL, time_slice(),
+    sent = data_packets(flow_packets).select(*keys, *ARRIVAL, "slice_us")
+    rows = with_priors(sent, keys, ARRIVAL, time_slice(sent),
                        [Prior("prev_ts", "lag", F.col("ts_us"))])
     gap = F.col("ts_us") - F.col("prev_ts")
     return rows.groupBy(*keys).agg(F.min(F.when(gap > 0, gap)).alias("min_gap_us"), count().alias("data_pkts"))
@@ -154,11 +151,11 @@ def turn_rows(flow_packets: DataFrame) -> DataFrame:
     first packet; that packet reports it to the run before, so runs are summed
     by (session, run) and no run is looked up.
     """
-    rows = data_packets(flow_packets).select(*S.SESSION, *ARRIVAL, "dir", "payload_len")
-    rows = with_priors(rows, S.SESSION, ARRIVAL, time_slice(),
+    rows = data_packets(flow_packets).select(*S.SESSION, *ARRIVAL, "dir", "payload_len", "slice_us")
+    rows = with_priors(rows, S.SESSION, ARRIVAL, time_slice(rows),
                        [Prior("prev_dir", "lag", F.col("dir")), Prior("prev_ts", "lag", F.col("ts_us"))])
     change = (F.col("prev_dir").isNull() | (F.col("prev_dir") != F.col("dir"))).cast("bigint")
-    rows = with_priors(rows.withColumn("_change", change), S.SESSION, ARRIVAL, time_slice(),
+    rows = with_priors(rows.withColumn("_change", change), S.SESSION, ARRIVAL, time_slice(rows),
                        [Prior("_before", "sum", F.col("_change"))])
     turn = F.col("_before") + F.col("_change")
     none = F.lit(None).cast("bigint")
@@ -193,11 +190,11 @@ def positions(flow_packets: DataFrame, payload: bool = False) -> DataFrame:
     peer = F.struct((-F.col("dir")).alias("side"), F.lit("ack").alias("kind"), F.col("tcp_ack").alias("value"))
     sends = (F.col("payload_len") > 0) | net.has_flag(S.SYN | S.FIN)
     marks = F.filter(F.array(F.when(sends, own), F.when(net.has_flag(S.ACK), peer)), lambda m: m.isNotNull())
-    kept = [*S.SESSION, *ARRIVAL, "payload_len", "syn"]
+    kept = [*S.SESSION, *ARRIVAL, "payload_len", "syn", "slice_us"]
     bytes_ = [F.when(F.col("m.kind") == "seq", F.col("payload")).alias("payload")] if payload else []
     rows = (tcp(flow_packets).withColumns({"syn": net.has_flag(S.SYN), "m": F.explode(marks)})
             .select(*kept, *bytes_, "m.*"))
-    rows = unwrap(rows, [*S.SESSION, "side"], ARRIVAL, time_slice(), "value", "pos")
+    rows = unwrap(rows, [*S.SESSION, "side"], ARRIVAL, time_slice(rows), "value", "pos")
     length = F.when(F.col("kind") == "seq", F.col("payload_len") + F.col("syn").cast("int")).otherwise(0)
     return rows.withColumn("pos_end", F.col("pos") + length)
 
@@ -214,11 +211,11 @@ def rtt_segments(line: DataFrame) -> DataFrame:
     points = (line.filter((F.col("kind") == "ack") | (F.col("payload_len") > 0))
               .groupBy(*keys, point.alias("point"))
               .agg(F.min(F.when(F.col("kind") == "seq", F.col("ts_us"))).alias("sent_us"),
-                   F.min(F.when(F.col("kind") == "ack", F.col("ts_us"))).alias("ack_us")))
+                   F.min(F.when(F.col("kind") == "ack", F.col("ts_us"))).alias("ack_us"), F.max("slice_us").alias("slice_us")))
     rows = with_priors(points, keys, ["point"], F.floor(F.col("point") / SEQ_SLICE),
                        [Prior("_higher", "min", F.col("ack_us"))], descending=True)
     return (rows.filter(F.col("sent_us").isNotNull())
-            .select(*keys, "point", "sent_us", F.least("ack_us", "_higher").alias("acked_us")))
+            .select(*keys, "point", "sent_us", F.least("ack_us", "_higher").alias("acked_us"), "slice_us"))
 
 
 def rtt_samples(line: DataFrame) -> DataFrame:
@@ -227,7 +224,7 @@ def rtt_samples(line: DataFrame) -> DataFrame:
     A segment acknowledged before it was first seen gives no sample.
     """
     return (rtt_segments(line).filter(F.col("acked_us") > F.col("sent_us"))
-            .withColumn("rtt_us", F.col("acked_us") - F.col("sent_us")))
+            .withColumn("rtt_us", F.col("acked_us") - F.col("sent_us")).drop("slice_us"))
 
 
 def flow_rtt(samples: DataFrame) -> DataFrame:
@@ -248,9 +245,9 @@ def outstanding_limit(line: DataFrame, limit: int = S.ACK_QUEUE) -> DataFrame:
     never = F.lit(2 ** 62).cast("bigint")
     moments = F.explode(F.array(F.struct(F.col("sent_us").alias("at"), F.lit(1).alias("send")),
                                 F.struct(F.coalesce("acked_us", never).alias("at"), F.lit(0).alias("send"))))
-    rows = (segments.select(*keys, "point", moments.alias("m")).select(*keys, "point", "m.at", "m.send"))
+    rows = segments.select(*keys, "point", "slice_us", moments.alias("m")).select(*keys, "point", "slice_us", "m.at", "m.send")
     # Acknowledgements go before sends of the same instant.
-    rows = with_priors(rows, keys, ["at", "send", "point"], net.window_us(S.SLICE_US // S.US, "at"),
+    rows = with_priors(rows, keys, ["at", "send", "point"], time_slice(rows, "at"),
                        [Prior("sends", "sum", F.col("send"))])
     waited = (F.max(F.when(F.col("send") == 0, F.col("sends"))) - F.max(F.when(F.col("send") == 1, F.col("sends"))) - 1)
     return (rows.groupBy(*keys, "point").agg(waited.alias("later")).groupBy(*keys)
@@ -264,10 +261,10 @@ def segment_classes(line: DataFrame) -> DataFrame:
     before it; order: starts at it.
     """
     side = [*S.SESSION, "side"]
-    sent = line.filter((F.col("kind") == "seq"))
-    rows = with_priors(sent.select(*side, *ARRIVAL, "payload_len", "pos", "pos_end"), side, ARRIVAL, time_slice(),
+    sent = line.filter(F.col("kind") == "seq").select(*side, *ARRIVAL, "payload_len", "pos", "pos_end", "slice_us")
+    rows = with_priors(sent, side, ARRIVAL, time_slice(sent),
                        [Prior("high", "max", F.col("pos_end"))])
-    rows = with_priors(rows.filter(F.col("payload_len") > 0), [*side, "pos"], ARRIVAL, time_slice(),
+    rows = with_priors(rows.filter(F.col("payload_len") > 0), [*side, "pos"], ARRIVAL, time_slice(rows),
                        [Prior("copies", "sum", F.lit(1))])
     kind = (F.when(F.col("copies") > 0, "duplicate").when(F.col("high").isNull(), "order")
             .when(F.col("pos") > F.col("high"), "ahead").when(F.col("pos") < F.col("high"), "fill").otherwise("order"))
@@ -341,7 +338,7 @@ def sequence_exact(line: DataFrame) -> DataFrame:
     """
     keys = [*S.SESSION, "side"]
     at = F.struct(*ARRIVAL)
-    rows = line.filter(F.col("kind") == "seq").select(*keys, *ARRIVAL, "pos", "pos_end", "payload_len", "syn")
+    rows = line.filter(F.col("kind") == "seq").select(*keys, *ARRIVAL, "pos", "pos_end", "payload_len", "syn", "slice_us")
     data = rows.filter(F.col("payload_len") > 0)
     starts = rows.groupBy(*keys).agg(
         F.coalesce(F.max(F.when(F.col("syn"), F.col("pos") + 1)),
@@ -360,9 +357,9 @@ def sequence_exact(line: DataFrame) -> DataFrame:
     old = (F.col("pos_end") <= F.col("start")) | F.coalesce(F.col("e_open") & (F.col("e_at") < at), F.lit(False))
     ahead = (F.col("pos") > F.col("start")) & (~F.col("b_open") | F.coalesce(F.col("b_at") > at, F.lit(False)))
     marked = cut(marked.withColumn("class", F.when(old, "old").when(ahead, "ahead").otherwise("order"))
-                 .select(*keys, *ARRIVAL, "pos", "payload_len", "class"))
-    held = with_priors(marked.filter(F.col("class") == "ahead").select(*keys, *ARRIVAL, "pos", "payload_len"), [*keys, "pos"], ARRIVAL,
-                       time_slice(), [Prior("copies", "sum", F.lit(1))])
+                 .select(*keys, *ARRIVAL, "pos", "payload_len", "class", "slice_us"))
+    held = with_priors(marked.filter(F.col("class") == "ahead"), [*keys, "pos"], ARRIVAL,
+                       time_slice(marked), [Prior("copies", "sum", F.lit(1))])
     again = held.filter(F.col("copies") > 0).groupBy(*keys).agg(
         count().alias("retransmit_count"), total("payload_len").alias("retransmit_bytes"))
     counts = []

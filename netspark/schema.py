@@ -21,6 +21,8 @@ UINT32 = 1 << 32
 # Width of the time slices that ordered jobs split a flow into, so that one
 # busy flow spreads over as many tasks as it has slices.
 SLICE_US = 60 * US
+# A key with more rows than this gets slices narrow enough for about as many rows.
+SLICE_ROWS = 2_000_000
 
 PACKETS = T.StructType([
     T.StructField("packet_id", T.LongType()),

@@ -4,12 +4,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netspark import schema as S
+from netspark.operators.prefix import bounded
 
 # Layout of the rule file and protocol names.
 FIELDS = ("proto STRING, ip STRING, port INT, flag INT, application INT, major INT, minor INT, attribute INT, name STRING")
 VALUES = ["flag", "application", "major", "minor", "attribute"]
 PROTO_NUMBER = {"icmp": S.PROTO_ICMP, "tcp": S.PROTO_TCP, "udp": S.PROTO_UDP, "sctp": S.PROTO_SCTP}
-BROADCAST_ROWS = 500_000
 
 
 def load_rules(spark: SparkSession, path: str) -> DataFrame:
@@ -30,11 +30,6 @@ def load_rules(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(used).groupBy("proto", "ip", "port").agg(last).select("proto", "ip", "port", *[f"r.{v}" for v in VALUES], "r.name")
 
 
-def bounded(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a table for broadcast only when a count proves it small; larger ones join by shuffle."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
-
-
 def app_tags(flows: DataFrame, rules: DataFrame) -> DataFrame:
     """Flows with the first matching rule: exact source, source port, exact destination, destination port.
 

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from netspark import schema as S
 from netspark.functions import net
 from netspark.operators import flows, metrics, nodes, transactions as tx
-from netspark.operators.prefix import Prior, with_priors
+from netspark.operators.prefix import Prior, time_slice, with_priors
 from netspark.sources import rules
 from netspark.streaming.state import TableState, write_batch
 
@@ -131,7 +131,7 @@ def stream_flows(packets: DataFrame, out: str, state_path: str, checkpoint: str,
 def merge_flows(batch: DataFrame, state: DataFrame) -> DataFrame:
     """Sessions of the batch and the state: one row per session, `latest` for the flow's last one."""
     fresh = batch.select(*[F.col(c) if c in batch.columns else F.lit(None).alias(c) for c in PACKET_COLUMNS], F.lit(False).alias("seed"))
-    rows = flows.packets_with_flow(fresh.unionByName(_seeds(state)))
+    rows = flows.packets_with_flow(fresh.unionByName(_seeds(state)), busy_rows=None)
     real = ~F.col("seed")
     is_syn = (F.col("ip_proto") == S.PROTO_TCP) & net.pure_syn()
     sessions = (rows.groupBy(*S.SESSION, "client_ip", "client_port", "server_ip", "server_port")
@@ -240,7 +240,7 @@ def stream_mysql(messages: DataFrame, out: str, state_path: str, checkpoint: str
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = counts.read(spark, batch_id)
-        rows = with_priors(batch.withColumn("_late", 1 - F.col("is_command")), ["flow_id"], ["ts_us", "_late", "bytes"], tx.time_slice(),
+        rows = with_priors(batch.withColumn("_late", 1 - F.col("is_command")), ["flow_id"], ["ts_us", "_late", "bytes"], time_slice(batch),
                            [Prior("_before", "sum", F.col("is_command"))])
         rows = rows.join(before.select("flow_id", "seen"), "flow_id", "left")
         rows = rows.withColumn("command_no", F.col("_before") + F.col("is_command") + F.coalesce("seen", F.lit(0))).filter("command_no > 0")

@@ -37,7 +37,11 @@ def test_sessions_do_not_depend_on_slices(spark, seed):
         t += rng.choice([1, 5, 40, 300, 601]) * SEC
         rows.append({"ts_us": t, "up": rng.choice("cs"), "tcp_flags": rng.choice([SYN, ACK, ACK, SYN | ACK]), "tcp_seq": rng.randrange(2)})
     df = packets(spark, rows)
-    assert sessions(df, 1 * SEC) == sessions(df, 100 * SEC) == sessions(df, 10 ** 6 * SEC)
+    busy = flows.packets_with_flow(df, busy_rows=20)
+    assert busy.select("slice_us").distinct().first()[0] < S.SLICE_US * 1000 and busy.agg(F.count_distinct("slice_us")).first()[0] == 1
+    want = sessions(df, 10 ** 6 * SEC)
+    assert sessions(df, 1 * SEC) == sessions(df, 100 * SEC) == want
+    assert [(r.session_no, r.dir, r.start_packet) for r in busy.orderBy("packet_id").collect()] == want
 
 
 def test_syn_with_data_and_fragments_take_no_part(spark):
