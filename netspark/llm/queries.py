@@ -4,7 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netspark.llm import mixing
+from netspark.llm import mixing, packing, quality_rules
+from netspark.llm.common import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_quality_rules")
+def op1_quality_rules(spark, sf_dir):
+    """Counts, base rule and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", quality_rules.features("text").alias("_q"))
+    counted = stage(docs, "quality")
+    out = quality_rules.with_verdict(counted, quality_rules.fit(counted))
+    return out.select("doc_id", *[f"_q.{c}" for c in quality_rules.COUNTS[:5]], "_verdict.base_failed", "_verdict.kept", "_verdict.quality")
+
+
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark, sf_dir):
+    """Every piece of every document with its place in a sequence of 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
