@@ -3,8 +3,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netspark.llm import mixing, packing, quality_rules
+from netspark.llm import mixing, packing, quality_rules, secret_scan
 from netspark.llm.common import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +71,12 @@ def op8_mix_sources(spark, sf_dir):
     """All documents mixed to the weights 5, 2, 1 of their sources."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.taken_words(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_secret_scan")
+def op10_secret_scan(spark, sf_dir):
+    """Secrets in every document."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_secrets")
+    base = F.filter("_secrets", lambda s: s["rank"] < 3)
+    counts = [F.size(F.filter("_secrets", lambda s, r=r: s["rank"] == r)).cast("bigint").alias(f"n_{k}") for r, k in enumerate(secret_scan.KINDS[:3])]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.written(base), 256).alias("base_sha256"), secret_scan.written(F.col("_secrets")).alias("spans"))
