@@ -24,11 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, and a lost executor costs a read."""
+def stage(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage, and a lost executor costs a read.
+
+    `files` bounds the number of files (and of the last step's tasks) of a table whose rows are known to be few.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df if files is None else df.coalesce(files)).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
@@ -62,13 +65,13 @@ def class_rank(df: DataFrame, key: str, order: list[str], salt: Column, salts: i
             .withColumn(name, (F.col("_below") + F.col("_within")).cast("bigint")).drop("_salt", "_within", "_below"))
 
 
-def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str, parts: int | None = None) -> DataFrame:
     """Add, in one global order, each sum over the rows before a row.
 
     The rows are dealt by range of the order and written; sums run inside a
     range, and one row per range carries the totals on.  Equal rows stay in one range.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.withColumns({f"_o{i}": c for i, c in enumerate(order)}).withColumns({f"_s_{k}": c for k, c in sums.items()})
     by = [F.col(f"_o{i}").asc_nulls_last() for i in range(len(order))]
     ranged = stage(keyed.repartitionByRange(parts, *by).withColumn("_range", F.spark_partition_id()), name)

@@ -10,6 +10,8 @@ MOST_REPEATS = 3
 BLOCK_WORDS = 512
 #: Slots of the schedule per slice when ranks are counted.
 SLICE_SLOTS = 1 << 16
+#: Tasks for the table of sources, one row each.
+PARTS = 8
 GOLDEN = 0.6180339887498949
 
 
@@ -26,12 +28,12 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS)
     sources that stop are a first part, so one ordered scan finds the level.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = running_sums(per, [F.col("source")], {"place": F.lit(1)}, "sources")
+    ranked = running_sums(per, [F.col("source")], {"place": F.lit(1)}, "sources", PARTS)
     pick = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     ranked = ranked.withColumn("weight", pick).withColumn("room", F.col("source_size") * most)
     ranked = running_sums(ranked, [F.col("room") / F.col("weight"), F.col("place")],
-                          {"room_before": F.col("room"), "weight_before": F.col("weight")}, "sources")
-    ranked = stage(ranked, "sources")
+                          {"room_before": F.col("room"), "weight_before": F.col("weight")}, "sources", PARTS)
+    ranked = stage(ranked, "sources", PARTS)
     # Two single rows of totals: the sizes and weights of all, and the level of the first source that does not stop.
     all_size, all_weight = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
     level = (F.lit(all_size) - F.col("room_before")) / (F.lit(all_weight) - F.col("weight_before"))
@@ -41,7 +43,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS)
     out = out.withColumn("target", F.when(F.col("stops") | F.col("_level").isNull(), F.col("room").cast("double"))
                          .otherwise(F.least(F.col("room").cast("double"), F.col("_level") * F.col("weight"))))
     out = out.withColumn("wanted", F.floor(F.col("target") + 0.5).cast("bigint")).drop("stops", "_level", "room_before", "weight_before")
-    return stage(out, "targets")
+    return stage(out, "targets", PARTS)
 
 
 def streams(sized: DataFrame) -> DataFrame:
@@ -67,8 +69,8 @@ def schedule(targets: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     is left out; the few they do not reach follow behind the last point.
     """
     spark = targets.sparkSession
-    wide = running_sums(targets.filter("wanted > 0"), [F.col("place")], {"low_words": F.col("wanted")}, "intervals")
-    wide = stage(wide.withColumn("needs", F.ceil(F.col("wanted") / block).cast("bigint")), "intervals")
+    wide = running_sums(targets.filter("wanted > 0"), [F.col("place")], {"low_words": F.col("wanted")}, "intervals", PARTS)
+    wide = stage(wide.withColumn("needs", F.ceil(F.col("wanted") / block).cast("bigint")), "intervals", PARTS)
     words, count = wide.agg(F.sum("wanted"), F.count(F.lit(1))).first()
     slots, cells = -(-(words or 0) // block), 1 << max(6, (count or 1).bit_length())
     low, high = F.col("low_words") / F.lit(float(words or 1)), (F.col("low_words") + F.col("wanted")) / F.lit(float(words or 1))
@@ -80,7 +82,7 @@ def schedule(targets: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     point = t_high * step % 1.0 + t_low * GOLDEN
     points = spark.range(slots).withColumn("point", point - F.floor(point)).withColumn("cell", F.floor(F.col("point") * cells))
     hits = points.join(parts, "cell").filter("point >= low and point < high").select(F.col("id").alias("slot"), "source", "needs")
-    hits = stage(hits.withColumn("_slice", F.floor(F.col("slot") / SLICE_SLOTS)), "hits")
+    hits = hits.withColumn("_slice", F.floor(F.col("slot") / SLICE_SLOTS))
     across = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = hits.groupBy("source", "_slice").agg(F.count(F.lit(1)).alias("_n"))
     slices = slices.select(F.col("source").alias("_src"), F.col("_slice").alias("_sl"), F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_below"))
@@ -107,7 +109,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, block: int =
     taken one behind the other.  An empty table gives empty tables.
     """
     own = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
-    sized = stage(streams(stage(own, "sizes")), "streams")
+    sized = streams(stage(own, "sizes"))
     targets = source_targets(sized, weights, most)
     plan = schedule(targets, block)
     t = targets.select(F.col("source").alias("_src"), "source_size", "wanted")

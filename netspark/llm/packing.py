@@ -136,7 +136,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = cut.sparkSession
     order = ["doc_id", "piece", "start", "ids_crc32"]
     total = cut.count()
-    ranked = stage(class_rank(cut, "length", order, F.xxhash64(*order), salts_for(total), "rank"), "ranked")
+    ranked = stage(class_rank(cut, "length", order, F.xxhash64(*order), salts_for(total), "rank"), "ranked", salts_for(total))
     todo = np.zeros(capacity + 1, np.int64)
     for row in ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
         todo[row["length"]] = row["n"]
@@ -161,7 +161,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             skip = (F.col("_rank") - F.col("low")) * F.col("each")
             placed = placed.select("sequence_id", "gap", "length", (F.col("begin") + skip).alias("begin"),
                                    F.least(F.col("each"), F.col("took") - skip).alias("n"))
-            placed = stage(placed, "round")
+            placed = stage(placed, "round", salts_for(int(count.sum())))
             rounds.append(placed.filter("length IS NOT NULL").select("sequence_id", (F.lit(capacity) - F.col("gap")).alias("filled"), "length", "begin", "n"))
             used = F.coalesce(F.col("n") * F.col("length"), F.lit(0))
             after = placed.select("sequence_id", (F.col("gap") - used).alias("gap"))

@@ -71,7 +71,7 @@ def rules(f: str) -> dict[str, Column]:
         "symbols": vote(part("n_symbols") > 0.1, part("n_symbols") < 0.02),
         "word_length": vote((length < 2.5) | (length > 15), (length >= 3) & (length <= 10)),
         "repeated_words": vote(part("n_repeat_words") > 0.3, part("n_repeat_words") < 0.15),
-        "repeated_lines": vote(part("n_dup_lines", lines) > 0.3, (part("n_dup_lines", lines) < 0.1) & (F.col(f"{f}.n_lines") >= 3)),
+        "repeated_lines": vote((part("n_dup_lines", lines) > 0.3) & (F.col(f"{f}.n_lines") >= 6), (part("n_dup_lines", lines) < 0.1) & (F.col(f"{f}.n_lines") >= 3)),
         "upper_case": vote(part("n_upper", letters) > 0.5, part("n_upper", letters) < 0.2),
         "top_word": vote(enough & (part("n_top_word") > 0.25), enough & (part("n_top_word") < 0.15)),
         "distinct_words": vote(enough & (F.col(f"{f}.n_distinct") < 25), enough & (F.col(f"{f}.n_distinct") >= 35)),
@@ -80,27 +80,34 @@ def rules(f: str) -> dict[str, Column]:
     }
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, bad_prior: float = 0.1) -> dict:
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, most_wrong: float = 0.002, least_pass: float = 0.8,
+              share_range: tuple = (0.1, 0.5)) -> dict:
     """EM over distinct vote patterns (rows of -1, 0, 1) and how often each occurs.
 
-    A document is good or bad, and given that, rules vote independently.  The
-    start takes a text that some rule rejects for bad.  A pseudo-count of
-    one vote keeps chances off 0 and 1.  Returns the share of bad documents
-    and, per rule and vote, the log chance among good and among bad ones.
+    A document is good or bad; given that, rules vote independently, and no
+    opinion says nothing.  The start takes a text that some rule rejects for
+    bad.  Three bounds keep the two classes from becoming any two clusters:
+    a rule rejects at most `most_wrong` of good texts; a bad text passes a
+    rule with chance `least_pass` at least, since each kind of junk fails a
+    few rules only; and the share of bad texts stays in `share_range`.
+    Returns the share of bad texts and, per rule, the log-odds for bad of a
+    rejecting and of an approving vote.
     """
-    votes = np.stack([(patterns == v) for v in (-1, 0, 1)], axis=2).astype(float)  # pattern, rule, vote
+    reject, approve = (patterns == -1).astype(float), (patterns == 1).astype(float)
     bad = np.where((patterns == -1).any(axis=1), 0.9, 0.02)
-    share, chance = bad_prior, None
+    share, against, for_ = share_range[0], None, None
     for _ in range(rounds):
-        weight = {"bad": counts * bad, "good": counts * (1 - bad)}
-        chance = {k: (np.einsum("p,prv->rv", w, votes) + 1 / 3) / (w.sum() + 1) for k, w in weight.items()}
-        share = (weight["bad"].sum() + bad_prior) / (counts.sum() + 1)
-        logit = np.log(share / (1 - share)) + np.einsum("prv,rv->p", votes, np.log(chance["bad"]) - np.log(chance["good"]))
+        no, yes = counts * bad, counts * (1 - bad)
+        sensitivity = np.maximum((no @ reject + 0.5) / (no @ (reject + approve) + 1), most_wrong)
+        wrong = np.minimum((yes @ reject + 0.5) / (yes @ (reject + approve) + 1), most_wrong)
+        share = float(np.clip(no.sum() / counts.sum(), *share_range))
+        against, for_ = np.log(sensitivity / wrong), np.log(np.maximum(1 - sensitivity, least_pass) / (1 - wrong))
+        logit = np.log(share / (1 - share)) + reject @ against + approve @ for_
         after = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
         if np.abs(after - bad).max() < 1e-9:
             break
         bad = after
-    return {"share_bad": float(share), "good": np.log(chance["good"]), "bad": np.log(chance["bad"])}
+    return {"share_bad": share, "against": against, "for": for_}
 
 
 def fit(featured: DataFrame, f: str = "_q") -> dict:
@@ -118,8 +125,7 @@ def posterior(model: dict, f: str = "_q") -> Column:
         return F.lit(1.0)
     logit = F.lit(float(np.log(1 - model["share_bad"]) - np.log(model["share_bad"])))
     for j, vote in enumerate(rules(f).values()):
-        step = model["good"][j] - model["bad"][j]
-        logit = logit + F.when(vote == -1, float(step[0])).when(vote == 0, float(step[1])).otherwise(float(step[2]))
+        logit = logit - F.when(vote == -1, float(model["against"][j])).when(vote == 1, float(model["for"][j])).otherwise(0.0)
     return 1 / (1 + F.exp(-logit))
 
 

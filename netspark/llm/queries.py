@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netspark.llm import mixing, packing, quality_rules, secret_scan
+from netspark.llm import license_scan, mixing, packing, quality_rules, secret_scan
 from netspark.llm.common import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,5 +78,17 @@ def op10_secret_scan(spark, sf_dir):
     """Secrets in every document."""
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_secrets")
     base = F.filter("_secrets", lambda s: s["rank"] < 3)
-    counts = [F.size(F.filter("_secrets", lambda s, r=r: s["rank"] == r)).cast("bigint").alias(f"n_{k}") for r, k in enumerate(secret_scan.KINDS[:3])]
+    ranks = F.transform("_secrets", lambda s: s["rank"])
+    counts = [(F.size(ranks) - F.size(F.array_remove(ranks, r))).cast("bigint").alias(f"n_{k}") for r, k in enumerate(secret_scan.KINDS[:3])]
     return found.select("doc_id", *counts, F.sha2(secret_scan.written(base), 256).alias("base_sha256"), secret_scan.written(F.col("_secrets")).alias("spans"))
+
+
+@query("op7_license_scan")
+def op7_license_scan(spark, sf_dir):
+    """License phrases and signatures of every document."""
+    out = license_scan.label_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.array_distinct(F.transform("base", lambda b: b["label"]))
+    starts = F.transform("base", lambda b: b["start"])
+    return out.select("doc_id", "n_words", F.size("base").cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+                      F.array_join(F.array_sort(base), ",").alias("base_labels"),
+                      F.array_join(F.array_sort(F.array_union(base, F.col("found_labels"))), ",").alias("labels"), "score")
