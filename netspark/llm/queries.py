@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netspark.llm import license_scan, mixing, packing, quality_rules, secret_scan
+from netspark.llm import license_scan, minhash, mixing, packing, quality_rules, secret_scan
 from netspark.llm.common import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,9 @@ def op7_license_scan(spark, sf_dir):
     return out.select("doc_id", "n_words", F.size("base").cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
                       F.array_join(F.array_sort(base), ",").alias("base_labels"),
                       F.array_join(F.array_sort(F.array_union(base, F.col("found_labels"))), ",").alias("labels"), "score")
+
+
+@query("op5_minhash_near_duplicates")
+def op5_minhash_near_duplicates(spark, sf_dir):
+    """Near-duplicate component of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
