@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netspark.llm.common import components, stage
+from netspark.llm.common import components, repeated_ids, stage
 from netspark.llm.hashing import mixed, shingles, text_words
 
 WIDTH = 5
@@ -179,9 +179,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = signed.join(classes, name, "left").withColumn("_node0", F.coalesce("rep", "doc_id"))
     out = out.join(found, F.col("_node0") == F.col("_node"), "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("_part", "_node0")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
-
-def repeated_ids(members: DataFrame) -> DataFrame:
-    """Links (rep, id) for ids that stand in more than one class; with ids given once there are none."""
-    many = members.groupBy("b").agg(F.min("a").alias("_low"), F.max("a").alias("_high")).filter("_low < _high").select("b")
-    return members.join(many, "b", "left_semi").filter("a != b").select("a", "b")

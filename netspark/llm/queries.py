@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netspark.llm import license_scan, minhash, mixing, packing, quality_rules, secret_scan
+from netspark.llm import license_scan, minhash, mixing, packing, quality_rules, secret_scan, vector_dedup
 from netspark.llm.common import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def op7_license_scan(spark, sf_dir):
 def op5_minhash_near_duplicates(spark, sf_dir):
     """Near-duplicate component of every document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op9_vector_near_duplicates")
+def op9_vector_near_duplicates(spark, sf_dir):
+    """Links and component of every embedding."""
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
