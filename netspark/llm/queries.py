@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netspark.llm import license_scan, minhash, mixing, packing, quality_rules, secret_scan, vector_dedup
+from netspark.llm import backoff_lm, license_scan, minhash, mixing, packing, quality_rules, secret_scan, vector_dedup
 from netspark.llm.common import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,9 @@ def op5_minhash_near_duplicates(spark, sf_dir):
 def op9_vector_near_duplicates(spark, sf_dir):
     """Links and component of every embedding."""
     return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_backoff_scores")
+def op6_backoff_scores(spark, sf_dir):
+    """Language-model scores of all documents by the n-grams of the training folds."""
+    return backoff_lm.score(table(spark, sf_dir, "documents"))
