@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netspark.llm import backoff_lm, license_scan, minhash, mixing, packing, quality_rules, secret_scan, vector_dedup
+from netspark.llm import backoff_lm, chat_tree, license_scan, minhash, mixing, packing, quality_rules, secret_scan, vector_dedup
 from netspark.llm.common import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,16 @@ def op9_vector_near_duplicates(spark, sf_dir):
 def op6_backoff_scores(spark, sf_dir):
     """Language-model scores of all documents by the n-grams of the training folds."""
     return backoff_lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op3_chat_tree")
+def op3_chat_tree(spark, sf_dir):
+    """Digests of every conversation, read back from the segments of the tree."""
+    tricky = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], rows.schema)
+    read = chat_tree.read_back(*chat_tree.build(rows.unionByName(extra))).withColumn("turns", chat_tree.parsed("formatted"))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("masked", "")
+    return read.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length(loss).cast("bigint").alias("loss_chars"),
+                       F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
