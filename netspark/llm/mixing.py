@@ -95,10 +95,10 @@ def schedule(targets: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     return ranked.unionByName(tail.select((F.lit(slots) + F.col("rank") - F.col("_got")).cast("bigint").alias("slot"), "source", "rank"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, block: int = BLOCK_WORDS):
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, block: int = BLOCK_WORDS, extra: tuple = ()):
     """Mix `docs` (doc_id, text, source) to target weights.
 
-    Returns (sized, targets, pieces).  `sized`: doc_id, source, size, begin.
+    Returns (sized, targets, pieces).  `sized`: doc_id, source, size, begin, and the columns `extra`.
     `pieces`: slot, source, begin, epoch, start, length: in slot order, which
     words of which document (named by source and begin) the mix takes.  A
     source's stream is repeated in epochs; block r is words
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, block: int =
     of its own, last.  Null ids sort first in their source.  Equal rows are
     taken one behind the other.  An empty table gives empty tables.
     """
-    own = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
+    own = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), *extra)
     sized = streams(stage(own, "sizes"))
     targets = source_targets(sized, weights, most)
     plan = schedule(targets, block)

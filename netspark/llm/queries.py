@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netspark.llm import backoff_lm, chat_tree, license_scan, minhash, mixing, packing, quality_rules, secret_scan, vector_dedup
+from netspark.llm import backoff_lm, chat_tree, license_scan, minhash, mixing, packing, pii_crf, quality_rules, secret_scan, vector_dedup
 from netspark.llm.common import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,18 @@ def op3_chat_tree(spark, sf_dir):
     loss = F.array_join("masked", "")
     return read.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length(loss).cast("bigint").alias("loss_chars"),
                        F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+@query("op2_pii_crf")
+def op2_pii_crf(spark, sf_dir):
+    """Personal data in every document."""
+    found = pii_crf.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_pii")
+    names = F.array(*[F.lit(k) for k in pii_crf.KINDS])
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("_pii", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("bigint").alias(f"n_{k}") for i, k in enumerate(pii_crf.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("_pii")).alias("spans"))
