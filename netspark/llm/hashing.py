@@ -5,7 +5,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text hashed at a time; a longer text is cut at white space.
-SLAB = 2 << 20
+SLAB = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

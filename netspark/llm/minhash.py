@@ -18,6 +18,8 @@ NUMERATOR, DENOMINATOR = 75, 100
 BANDS, ROWS = 72, 7
 #: Signature values compared, how many at a time, and the chance of a true pair lost to pruning at one look.
 COMPARED, BATCH, MISS = 256, 32, 1e-6
+#: Most rows and shingles of a block where buckets are compared within.
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
 
 
 @lru_cache
@@ -107,30 +109,37 @@ def plausible(pairs: DataFrame, values: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "va", "vb").mapInArrow(compare, f"a {key}, b {key}")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose full shingle sets are similar enough; docs: doc_id, text of the documents named."""
-    key = pairs.schema["a"].dataType.simpleString()
+def full_sets(docs: DataFrame) -> DataFrame:
+    key = docs.schema["doc_id"].dataType.simpleString()
 
     def sets(batches):
         for batch in batches:
             out = [shingles(w, WIDTH).tobytes() for w in text_words(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.large_binary())], names=["doc_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "hashes"])
+
+    return docs.select("doc_id", "text").mapInArrow(sets, f"doc_id {key}, hashes binary")
+
+
+def near_enough(x: np.ndarray, y: np.ndarray) -> bool:
+    if min(len(x), len(y)) * DENOMINATOR < NUMERATOR * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs whose full shingle sets are similar enough; docs: doc_id, text of the documents named."""
+    key = pairs.schema["a"].dataType.simpleString()
 
     def check(batches):
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("ha"), batch.column("hb"))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if min(len(x), len(y)) * DENOMINATOR < NUMERATOR * max(len(x), len(y)):
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both):
-                    keep.append(i)
+            keep = [i for i, (x, y) in enumerate(zip(batch.column("ha"), batch.column("hb")))
+                    if near_enough(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))]
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
 
     named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    full = docs.join(named, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, f"doc_id {key}, hashes binary")
+    full = full_sets(docs.join(named, "doc_id", "left_semi"))
     a, b = (full.select(F.col("doc_id").alias(x), F.col("hashes").alias(f"h{x}")) for x in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ha", "hb").mapInArrow(check, f"a {key}, b {key}")
 
@@ -139,15 +148,69 @@ def similar(pairs: DataFrame, values: DataFrame, docs: DataFrame) -> DataFrame:
     return stage(verified(stage(plausible(pairs, values).distinct(), "plausible"), docs), "links")
 
 
+def compare_block(table: pa.Table) -> pa.Table:
+    """Links between different components in two blocks of a bucket: at most one for each two components.
+
+    Signatures are compared batch by batch as in `plausible`; what is left is
+    verified on the full sets, a pair only in the first band that it shares.
+    """
+    ids, parts = table.column("doc_id").to_pylist(), table.column("part").to_pylist()
+    part = np.unique(np.array(parts, dtype=object), return_inverse=True)[1]
+    values = np.stack([np.frombuffer(v.as_buffer(), "<u2") for v in table.column("values")])
+    block = np.array(table.column("block"), np.int64)
+    pairs = np.triu(part[:, None] != part[None, :], 1)
+    if table.column("first")[0] != table.column("second")[0]:
+        pairs &= block[:, None] != block[None, :]
+    a, b = np.nonzero(pairs)
+    links = []
+    bands = np.array(table.column("bands").to_pylist(), np.int64)
+    here = table.column("band")[0].as_py()
+    sets = table.column("hashes")
+    matched = np.zeros(len(a), np.int64)
+    for look, least in enumerate(least_matches()):
+        span = slice(look * BATCH, (look + 1) * BATCH)
+        for i in range(0, len(a), 1 << 16):
+            c = slice(i, i + (1 << 16))
+            matched[c] += (values[a[c], span] == values[b[c], span]).sum(axis=1)
+        keep = matched >= least
+        a, b, matched = a[keep], b[keep], matched[keep]
+    joined = set()
+    for i, j in zip(a.tolist(), b.tolist()):
+        if (part[i], part[j]) in joined or bands[i][np.argmax(bands[i] == bands[j])] != here:
+            continue
+        if near_enough(*(np.frombuffer(sets[k].as_buffer(), np.uint64) for k in (i, j))):
+            joined |= {(part[i], part[j]), (part[j], part[i])}
+            links.append((i, j))
+    key = table.schema.field("doc_id").type
+    return pa.table({"a": pa.array([min(ids[i], ids[j]) for i, j in links], key), "b": pa.array([max(ids[i], ids[j]) for i, j in links], key)})
+
+
+def across(open_: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links in buckets that hold several components; open_: band, doc_id, part; reps: doc_id, n_shingles, bands, values.
+
+    A bucket is dealt into blocks of bounded rows and shingles, and each two
+    blocks meet in a task: no pair becomes a row unless it is a link.
+    """
+    key = docs.schema["doc_id"].dataType.simpleString()
+    sized = open_.join(reps.select("doc_id", "n_shingles"), "doc_id").groupBy("band").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s"))
+    sized = sized.select("band", F.greatest(F.ceil(F.col("_n") / BLOCK_ROWS), F.ceil(F.col("_s") / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
+    named = open_.select("doc_id").distinct()
+    load = reps.join(named, "doc_id", "left_semi").select("doc_id", "values", "bands").join(full_sets(docs.join(named, "doc_id", "left_semi")), "doc_id")
+    rows = open_.join(sized, "band").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.withColumn("first", F.least("block", "_other")).withColumn("second", F.greatest("block", "_other")).drop("_other", "_blocks")
+    return rows.join(stage(load, "sets"), "doc_id").groupBy("band", "first", "second").applyInArrow(compare_block, f"a {key}, b {key}")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents with equal sets form a class first, named by its smallest id.
     Class names are banded.  In each bucket all are compared with the smallest;
-    then, in buckets that still hold more than one component, the pairs of
-    different components are.  So every pair that shares a band is either
-    compared or already connected, and a group of thousands of copies costs
-    one comparison per member and bucket, not one per pair.
+    then, in buckets that still hold more than one component, those of
+    different components are, block by block.  So every pair that shares a band
+    is either compared or already connected, and rows grow with the members of
+    buckets, not with their pairs.
 
     Null or empty texts have no set: they are their own component.  Rows of
     one id share a component.  A null id names nothing: component null, kept
@@ -169,10 +232,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(links).withColumnsRenamed({"node": "doc_id", "component": "part"})
     placed = members.join(found, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
     mixed_buckets = placed.groupBy("band").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).filter("_a < _b").select("band")
-    open_ = stage(placed.join(mixed_buckets, "band").filter("doc_id > pivot").select("band", "doc_id", "part").distinct(), "open")
-    x, y = open_.withColumnsRenamed({"doc_id": "a", "part": "_pa"}), open_.withColumnsRenamed({"doc_id": "b", "part": "_pb"})
-    rest = x.join(y, "band").filter("a < b AND _pa != _pb").select("a", "b").distinct()
-    links = links.unionByName(similar(rest, values, own))
+    open_ = stage(placed.join(mixed_buckets, "band").select("band", "doc_id", "part").distinct(), "open")
+    rep_rows = usable.join(classes.select("rep", *name).withColumnRenamed("rep", "doc_id"), ["doc_id", *name], "left_semi").dropDuplicates(["doc_id", *name])
+    links = links.unionByName(stage(across(open_, rep_rows, own), "links").distinct())
     same_id = usable.join(classes, name).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     links = links.unionByName(repeated_ids(same_id))
     found = components(links).withColumnsRenamed({"node": "_node", "component": "_part"})

@@ -37,7 +37,7 @@ def usable(value) -> np.ndarray | None:
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, dim, digest and vector (doubles as bytes); dim 0 where the row can have no links."""
+    """vec_id, label, dim, vector (doubles as bytes) and digest (of label and vector); dim 0 where the row can have no links."""
     key, label = (vectors.schema[c].dataType.simpleString() for c in ("vec_id", "label"))
 
     def read(batches):
@@ -45,9 +45,10 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
             rows = [usable(v) if tag is not None and i is not None else None
                     for v, tag, i in zip(batch.column("embedding").to_pylist(), batch.column("label").to_pylist(), batch.column("vec_id").to_pylist())]
             data = [None if x is None else x.tobytes() for x in rows]
+            names = [None if d is None else hashlib.md5(repr(tag).encode() + b":" + d).digest() for d, tag in zip(data, batch.column("label").to_pylist())]
             yield pa.RecordBatch.from_arrays([
                 batch.column("vec_id"), batch.column("label"), pa.array([0 if x is None else len(x) for x in rows], pa.int32()),
-                pa.array([None if d is None else hashlib.md5(d).digest() for d in data], pa.binary()), pa.array(data, pa.binary())],
+                pa.array(names, pa.binary()), pa.array(data, pa.binary())],
                 names=["vec_id", "label", "dim", "digest", "vector"])
 
     return vectors.select("vec_id", "embedding", "label").mapInArrow(read, f"vec_id {key}, label {label}, dim int, digest binary, vector binary")
@@ -55,7 +56,7 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
 
 def project(reps: DataFrame, trees: int, levels: int) -> DataFrame:
     """Rows rep, label, dim, tree, places: a vector's projections at each level of a tree."""
-    key, label = (reps.schema[c].dataType.simpleString() for c in ("rep", "label"))
+    label = reps.schema["label"].dataType.simpleString()
 
     def run(batches):
         cache = {}
@@ -73,7 +74,7 @@ def project(reps: DataFrame, trees: int, levels: int) -> DataFrame:
                                               pa.array(np.tile(np.arange(trees, dtype=np.int32), len(dims))), flat],
                                              names=["rep", "label", "dim", "tree", "places"])
 
-    return reps.select("rep", "label", "dim", "vector").mapInArrow(run, f"rep {key}, label {label}, dim int, tree int, places array<float>")
+    return reps.select("rep", "label", "dim", "vector").mapInArrow(run, f"rep binary, label {label}, dim int, tree int, places array<float>")
 
 
 def forest(reps: DataFrame, trees: int = TREES, leaf: int = LEAF_ROWS, cosine: float = LEAST_COSINE) -> DataFrame:
@@ -115,9 +116,10 @@ def forest(reps: DataFrame, trees: int = TREES, leaf: int = LEAF_ROWS, cosine: f
 def compare_leaf(cosine: float):
     def run(table: pa.Table) -> pa.Table:
         x = np.stack([np.frombuffer(v.as_buffer(), np.float64) for v in table.column("vector")])
-        reps = np.array(table.column("rep").to_pylist(), dtype=object)
-        order = np.argsort(reps)
-        x, reps = x[order], reps[order]
+        lows = np.array(table.column("low").to_pylist(), dtype=object)
+        order = np.argsort(lows, kind="stable")
+        x, lows = x[order], lows[order]
+        reps = table.column("rep").take(pa.array(order))
         sizes = np.array(table.column("size"), np.int64)[order]
         block = np.array(table.column("block"), np.int64)[order]
         first, second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
@@ -154,8 +156,9 @@ def compare_leaf(cosine: float):
                     break
                 part = low
         some = (links > 0) | (part != np.arange(len(x)))
-        return pa.table({"rep": pa.array(list(reps[some]), table.schema.field("rep").type), "links": pa.array(links[some], pa.int64()),
-                         "part": pa.array(list(reps[part[some]]), table.schema.field("rep").type)})
+        ids = table.schema.field("low").type
+        return pa.table({"rep": reps.filter(pa.array(some)), "links": pa.array(links[some], pa.int64()),
+                         "low": pa.array(list(lows[some]), ids), "part": pa.array(list(lows[part[some]]), ids)})
     return run
 
 
@@ -173,29 +176,28 @@ def near_vectors(vectors: DataFrame, cosine: float = LEAST_COSINE, trees: int =
     of different lengths are never compared.  An empty table gives an empty table.
     """
     read = stage(valid_vectors(vectors), "vectors")
-    name = ["label", "dim", "digest"]
-    classes = stage(read.filter("dim > 0").groupBy(*name).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
-    # One row per class: rows of one id and vector are equal.
-    reps = read.filter("dim > 0").join(classes.withColumnRenamed("rep", "vec_id"), [*name, "vec_id"]).dropDuplicates([*name, "vec_id"])
-    reps = stage(reps.select(F.col("vec_id").alias("rep"), "label", "dim", "digest", "vector", "size"), "reps")
+    able = read.filter("dim > 0")
+    classes = stage(able.groupBy("digest").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("size")), "classes")
+    # One row per class: its rows are equal but for their ids.
+    reps = able.join(classes, (able["digest"] == classes["digest"]) & (able["vec_id"] == classes["low"]), "inner").drop(classes["digest"]).dropDuplicates(["digest"])
+    reps = stage(reps.select(F.col("digest").alias("rep"), "low", "label", "dim", "vector", "size"), "reps")
     leaves = stage(forest(reps, trees, cosine=cosine), "leaves")
     mine = leaves.groupBy("rep").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))  # a few per tree
     crowded = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     crowded = crowded.select("leaf", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-    rows = reps.join(mine, "rep").select("rep", "vector", "size", "leaves", F.explode("leaves").alias("leaf")).join(crowded, "leaf")
+    rows = reps.join(mine, "rep").select("rep", "low", "vector", "size", "leaves", F.explode("leaves").alias("leaf")).join(crowded, "leaf")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("first", F.least("block", "_other")).withColumn("second", F.greatest("block", "_other"))
     key = vectors.schema["vec_id"].dataType.simpleString()
-    found = rows.select("rep", "vector", "size", "leaves", "leaf", "block", "first", "second").groupBy("leaf", "first", "second").applyInArrow(
-        compare_leaf(cosine), f"rep {key}, links bigint, part {key}")
+    found = rows.select("rep", "low", "vector", "size", "leaves", "leaf", "block", "first", "second").groupBy("leaf", "first", "second").applyInArrow(
+        compare_leaf(cosine), f"rep binary, links bigint, low {key}, part {key}")
     found = stage(found, "near")
-    sums = found.groupBy("rep").agg(F.sum("links").alias("_links")).withColumnRenamed("rep", "_rep")
-    links = found.select(F.col("part").alias("a"), F.col("rep").alias("b")).filter("a != b").distinct()
-    links = links.unionByName(repeated_ids(read.filter("dim > 0").join(classes, name).select(F.col("rep").alias("a"), F.col("vec_id").alias("b"))))
+    sums = found.groupBy(F.col("rep").alias("digest")).agg(F.sum("links").alias("_links"))
+    links = found.select(F.col("part").alias("a"), F.col("low").alias("b")).filter("a != b").distinct()
+    links = links.unionByName(repeated_ids(able.join(classes, "digest").select(F.col("low").alias("a"), F.col("vec_id").alias("b"))))
     parts = components(links).withColumnsRenamed({"node": "_node", "component": "_part"})
-    out = read.drop("vector").join(classes, name, "left").withColumn("_rep0", F.coalesce("rep", "vec_id"))
-    # Rows without links of their own must not borrow those of another row of their id.
-    out = out.join(sums, F.when(F.col("rep").isNotNull(), F.col("rep")) == F.col("_rep"), "left").join(parts, F.col("_rep0") == F.col("_node"), "left")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("_part", "_rep0"))
+    out = read.drop("vector").join(classes.join(sums, "digest", "left"), "digest", "left").withColumn("_low", F.coalesce("low", "vec_id"))
+    out = out.join(parts, F.col("_low") == F.col("_node"), "left")
+    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("_part", "_low"))
     return out.select("vec_id", (F.coalesce("_links", F.lit(0)) + F.coalesce(F.col("size") - 1, F.lit(0))).cast("bigint").alias("n_links"),
                       component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
