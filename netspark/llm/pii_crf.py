@@ -17,6 +17,8 @@ SHAPES = 1 << 14
 #: Rounds of message passing, damping, and the posterior from which a token is taken.
 ROUNDS, DAMPING, CERTAIN = 20, 0.3, 0.9
 LIMIT = 6.0
+#: Differing and agreeing skip links assumed before any are seen; their keys are narrow, so agreement is the rule.
+AGREE = [1.0, 100.0]
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -113,25 +115,31 @@ class Graph:
 
 
 def train_counts(text: str | None) -> Counter:
-    """Counts of (shape, label), of neighbouring labels and of labels at both ends of skip links, by the base labels."""
+    """Counts of (shape, label), of neighbouring labels and of labels at both ends of skip links, by the base labels.
+
+    A base label is sure, its absence is not: a repeat in another form is just
+    what the base misses.  So a skip link counts where both its ends are labelled.
+    """
     out = Counter()
     text = text or ""
     if not MARKED.search(text):
         return out
     g = Graph(text, base_spans(text))
     out.update(("shape", s, y) for s, y in zip(g.shapes, g.labels))
-    linked = {j for _, j in g.chain}
+    left, right = {j for _, j in g.chain}, {i for i, _ in g.chain}
     out.update(("chain", g.labels[i], g.labels[j]) for i, j in g.chain)
-    out.update(("chain", 0, y) for i, y in enumerate(g.labels) if i not in linked)
+    out.update(("chain", 0, y) for i, y in enumerate(g.labels) if i not in left)
+    out.update(("chain", y, 0) for i, y in enumerate(g.labels) if i not in right)
     for i, j in g.skips:
-        out[("skip", *sorted((g.labels[i], g.labels[j])))] += 1
+        if g.labels[i] and g.labels[j]:
+            out[("skip", int(g.labels[i] == g.labels[j]), 0)] += 1
     return out
 
 
 def fit(docs: DataFrame) -> dict:
     """Piecewise training over all texts: each factor is estimated by itself from corpus counts.
 
-    The counts are summed by Spark; at most SHAPES * 5 + 50 sums reach the driver.
+    The counts are summed by Spark; at most SHAPES * 5 + 27 sums reach the driver.
     """
     def count(batches):
         for frame in batches:
@@ -154,7 +162,7 @@ def association(counts: np.ndarray) -> np.ndarray:
 
 def factors(counts: dict) -> dict:
     n = len(LABELS)
-    shapes, chain, skip = {}, np.zeros((n, n)), np.zeros((n, n))
+    shapes, chain, agree = {}, np.zeros((n, n)), np.array(AGREE)
     prior = np.full(n, 0.01)
     prior[0] = 1.0
     for (factor, a, b), c in counts.items():
@@ -164,12 +172,12 @@ def factors(counts: dict) -> dict:
         elif factor == "chain":
             chain[a, b] += c
         else:
-            skip[a, b] += c
-            skip[b, a] += c * (a != b)
+            agree[a] += c
     prior /= prior.sum()
     unary = {s: np.log((c + prior) / (c.sum() + 1)) for s, c in shapes.items()}
-    agree = association(skip + 2 * np.eye(n))  # before any data, related tokens agree
-    return {"shapes": unary, "unseen": np.log(prior), "chain": association(chain), "skip": agree}
+    # One weight for agreement, whatever the label; before any data related tokens agree.
+    weight = np.clip(np.log(agree[1] / agree[0] * (n - 1)), 0, LIMIT)
+    return {"shapes": unary, "unseen": np.log(prior), "chain": association(chain), "skip": weight * np.eye(n)}
 
 
 def posteriors(g: Graph, model: dict) -> np.ndarray:
