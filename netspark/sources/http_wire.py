@@ -11,11 +11,12 @@ from netspark.sources import streams
 
 FOREVER = 1 << 62
 
-# Start lines, and the longest head that is read.
+# Start lines.
 START = {1: re.compile(rb"^(?:GET|POST|PUT|SEARCH|CONNECT|HEAD) [^\r\n]*HTTP/1\.\d[ \t]*\r?\n", re.M),
          -1: re.compile(rb"^HTTP/1\.\d +\d+[^\r\n]*\r?\n", re.M)}
-HEAD_END = re.compile(rb"\r?\n\r?\n")
-HEAD_LIMIT = 4096
+# Bytes that no head holds; missing bytes read as zero, so a head with a gap has them.
+NO_TEXT = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+STATUS = re.compile(rb"HTTP/1\.\d +\d")
 SIZE_LINE = re.compile(rb"([0-9A-Fa-f]+)[^\r\n]*\r?\n")
 
 UNITS = [("offset", pa.int64(), "BIGINT"), ("ts_us", pa.int64(), "BIGINT"), ("unit", pa.string(), "STRING"),
@@ -32,10 +33,10 @@ def _framing(head: bytes, side: int) -> tuple[str, int]:
     length = _field(head, b"Content-Length")
     size = int(length) if length and length.isdigit() else None
     if side == 1:
-        if not head.startswith(b"POST "):
-            return "none", 0
         if size is not None:
             return "length", size
+        if not head.startswith(b"POST "):
+            return "none", 0
         boundary = re.match(rb'(?i)multipart/form-data.*boundary="?([^";]+)', _field(head, b"Content-Type") or b"")
         return ("multipart:" + boundary.group(1).decode("latin-1"), 0) if boundary else ("none", 0)
     if (_field(head, b"Transfer-Encoding") or b"").lower().startswith(b"chunked"):
@@ -45,6 +46,25 @@ def _framing(head: bytes, side: int) -> tuple[str, int]:
     return ("length", size) if size is not None else ("close", 0)
 
 
+def head_end(data: bytes, at: int) -> int | None:
+    """Place behind the blank line that ends the head lines from `at`; -1 if they are no text, None if the data end before."""
+    while True:
+        end = data.find(b"\n", at)
+        line = data[at:end if end >= 0 else len(data)]
+        if NO_TEXT.search(line):
+            return -1
+        if end < 0:
+            return None
+        if not line.rstrip(b"\r"):
+            return end + 1
+        at = end + 1
+
+
+def bodiless(data: bytes, end: int, size: int) -> bool:
+    """Whether an answer that tells a length has no body, as after HEAD: the next answer follows at once, and none follows the length."""
+    return bool(STATUS.match(data, end)) and end + size != len(data) and not STATUS.match(data, end + size)
+
+
 def parse_chunk(view: streams.ChunkView, side: int, place: streams.Place | None):
     """Units that start in the chunk: heads, and the parts of bodies whose size no head tells."""
     base, data, own = view.start, view.data, view.size
@@ -57,26 +77,48 @@ def parse_chunk(view: streams.ChunkView, side: int, place: streams.Place | None)
 
     while at - base < min(own, len(data)):
         p = at - base
-        if mode in ("start", "sync"):
-            found = START[side].search(memoryview(data)[p:])
-            if not found or p + found.start() >= own:
-                at, mode = base + own, "sync"
+        if mode in ("start", "sync") or mode.startswith("head:"):
+            if mode.startswith("head:"):
+                # A head begun in an earlier chunk: its place, time and bytes so far come with the mode.
+                _, begin, ts, text = mode.split(":", 3)
+                kept, begin, ts, mode = text.encode("latin-1"), int(begin), int(ts), "sync"
+                text, lead = kept + data[p:], len(kept)
+            else:
+                found = START[side].search(memoryview(data)[p:])
+                if not found or p + found.start() >= own:
+                    at, mode = base + own, "sync"
+                    break
+                p += found.start()
+                begin, ts, text, lead = base + p, view.time_at(base + p), data[p:], 0
+            end = head_end(text, 0)
+            if end is None and view.end >= base + own:
+                at, mode = base + own, f"head:{begin}:{ts}:" + text[:lead + own - p].decode("latin-1")
+                began = began or (begin, "start")
                 break
-            begin = p + found.start()
-            end = HEAD_END.search(data, begin, begin + HEAD_LIMIT)
-            if not end:
-                at, mode = base + p + found.end(), "sync"
+            if end is None or end < 0:
+                at, mode = base + p + (0 if lead else max(1, text.find(b"\n") + 1)), "sync"
                 continue
-            began = began or (base + begin, "start")
-            head = data[begin:end.end()]
+            began = began or (begin, "start")
+            head = text[:end]
             framing, size = _framing(head, side)
-            add(base + begin, "head", framing.split(":")[0], head.decode("latin-1"), size)
-            at = base + end.end() + size
+            end += p - lead
+            if side == -1 and framing == "length" and bodiless(data, end, size):
+                framing, size = "none", 0
+            units.append({"offset": begin, "ts_us": ts, "unit": "head", "framing": framing.split(":")[0], "head": head.decode("latin-1"), "size": size})
+            at = base + end + size
             mode = {"chunked": "chunk"}.get(framing, "start")
             if framing.startswith("multipart:"):
                 mode = framing
             elif framing == "close":
                 at = FOREVER
+        elif mode == "trailer":
+            end = head_end(data, p)
+            if end is None:
+                # Go on at the first line of the next chunk.
+                line = data.find(b"\n", max(own - 1, p)) + 1
+                at = base + (line if line >= own else own)
+                break
+            at, mode = (base + end, "start") if end >= 0 else (at, "sync")
         elif mode == "chunk":
             line = SIZE_LINE.match(data, p)
             if not line:
@@ -89,8 +131,7 @@ def parse_chunk(view: streams.ChunkView, side: int, place: streams.Place | None)
                 add(at, "body", "chunked", None, size)
                 at = base + line.end() + size + 2
             else:
-                blank = HEAD_END.search(data, max(line.end() - 2, 0), line.end() + HEAD_LIMIT)
-                at, mode = base + (blank.end() if blank else line.end()), "start"
+                at, mode = base + line.end(), "trailer"
         else:
             mark = b"--" + mode.split(":", 1)[1].encode("latin-1") + b"--"
             stop = data.find(mark, p)

@@ -13,10 +13,12 @@ MORE_RESULTS = 0x8
 OK, INFILE, EOF, ERR = 0x00, 0xFB, 0xFE, 0xFF
 HEADER = 4
 GUESS_LINKS = 4
+# A packet of this size goes on in the next one.
+FULL = 0xFFFFFF
 
 UNITS = [("offset", pa.int64(), "BIGINT"), ("ts_us", pa.int64(), "BIGINT"), ("serial", pa.int32(), "INT"), ("bytes", pa.int64(), "BIGINT"),
          ("code", pa.int32(), "INT"), ("more", pa.bool_(), "BOOLEAN"), ("version", pa.string(), "STRING"),
-         ("user", pa.string(), "STRING"), ("database", pa.string(), "STRING"), ("argument", pa.string(), "STRING")]
+         ("user", pa.string(), "STRING"), ("database", pa.string(), "STRING"), ("argument", pa.string(), "STRING"), ("piece", pa.int64(), "BIGINT")]
 
 
 def _text(data: bytes, at: int) -> tuple[str, int]:
@@ -48,9 +50,10 @@ def _header(data: bytes, p: int) -> tuple[int, int]:
     return int.from_bytes(data[p:p + 3], "little"), data[p + 3]
 
 
-def _guess(data: bytes, own: int) -> int | None:
-    """First offset from which some packets follow each other with rising serial numbers."""
-    for p in range(min(own, len(data) - HEADER)):
+def _guess(view: streams.ChunkView, begin: int = 0) -> int | None:
+    """First offset from which some packets follow each other with rising serial numbers, none of their headers in a hole."""
+    data = view.data
+    for p in range(begin, min(view.size, len(data) - HEADER)):
         at, (size, serial), links = p, _header(data, p), 0
         while size and links < GUESS_LINKS:
             at += HEADER + size
@@ -60,44 +63,105 @@ def _guess(data: bytes, own: int) -> int | None:
             if following != (serial + 1) % 256:
                 break
             serial, links = following, links + 1
-        if links == GUESS_LINKS:
+        if links == GUESS_LINKS and view.hole_at(p, p + HEADER) is None:
             return p
     return None
 
 
+def _after_hole(view: streams.ChunkView, begin: int) -> int | None:
+    """Where packets go on behind a hole: a chain of packets, or a packet that ends with its segment."""
+    ends = {p["pos"] - view.start + len(p["payload"]) for p in view.parts}
+    if begin + HEADER <= len(view.data):
+        size, _ = _header(view.data, begin)
+        if size and begin + HEADER + size in ends and view.hole_at(begin, begin + HEADER + size) is None:
+            return begin
+    return _guess(view, begin)
+
+
 def parse_chunk(view: streams.ChunkView, side: int, place: streams.Place | None):
+    """Packets that start in the chunk, and the pieces in it of packets that started before.
+
+    A mode "body:first:left:full" says that `left` bytes of the packet at `first`
+    are still to come, "more:first" that the next packet continues it.  Only
+    a command's text is kept; other bodies are stepped over.  A header with
+    missing bytes ends the chain, which is taken up again behind the hole.
+    """
     base, data, own = view.start, view.data, view.size
     if place is None:
-        p = _guess(data, own)
+        p = _guess(view)
         if p is None:
             return [], (base + own, "lost"), (base + own, "lost")
         place = (base + p, "start")
     at, mode = place
     units = []
-    while at - base < min(own, len(data) - HEADER):
+
+    def add(offset, piece, **values):
+        units.append(dict.fromkeys(n for n, _, _ in UNITS) | {"offset": offset, "piece": piece, "ts_us": view.time_at(piece), "more": False} | values)
+
+    def text(begin, end):
+        return data[begin:end].decode("latin-1")
+
+    while at - base < min(own, len(data)):
         p = at - base
+        if mode.startswith("body:"):
+            first, left, full = map(int, mode.split(":")[1:])
+            end = min(p + left, own)
+            add(first, at, bytes=0, argument=text(p, end))
+            left -= end - p
+            at, mode = base + end, f"body:{first}:{left}:{full}" if left else f"more:{first}" if full else "start"
+            continue
+        hole = view.hole_at(p, p + HEADER) if p + HEADER <= len(data) else None
+        if hole is not None or mode == "lost":
+            p = _after_hole(view, hole or p)
+            at, mode = (base + own, "lost") if p is None else (base + p, "start")
+            if p is None:
+                break
+            continue
+        if p + HEADER > len(data):
+            break
         size, serial = _header(data, p)
-        body = data[p + HEADER:p + HEADER + min(size, 512)]
-        unit = dict.fromkeys(n for n, _, _ in UNITS)
-        unit.update(offset=at, ts_us=view.time_at(at), serial=serial, bytes=size, code=body[0] if body else None, more=False)
-        if side == -1:
-            if serial == 0:
-                unit["version"] = _greeting(body)
-            if body[:1] == b"\xfe" and size < 9:
-                unit["more"] = bool(int.from_bytes(body[3:5], "little") & MORE_RESULTS)
-        elif serial:
-            unit["user"], unit["database"] = _login(body) if len(body) > 5 else (None, None)
+        begin, reach = p + HEADER, min(p + HEADER + size, max(own, p + HEADER))
+        full = int(size == FULL)
+        if mode.startswith("more:"):
+            first = int(mode[5:])
+            add(first, at, bytes=size, argument=text(begin, reach) if side == 1 else None)
+            keep = side == 1
+        else:
+            first, keep = at, side == 1 and serial == 0
+            body = data[begin:begin + size] if serial == 0 or side == 1 else data[begin:begin + min(size, 16)]
+            unit = {"serial": serial, "bytes": size, "code": body[0] if body else None}
+            if side == -1:
+                if serial == 0:
+                    unit["version"] = _greeting(body)
+                if body[:1] == b"\xfe" and size < 9:
+                    unit["more"] = bool(int.from_bytes(body[3:5], "little") & MORE_RESULTS)
+            elif serial:
+                unit["user"], unit["database"] = _login(body) if len(body) > 5 else (None, None)
+            else:
+                unit["argument"] = text(begin + 1, reach)
+            add(at, at, **unit)
+        left = begin + size - reach
+        if keep and left:
+            at, mode = base + reach, f"body:{first}:{left}:{full}"
         else:
-            unit["argument"] = body[1:].decode("latin-1")
-        units.append(unit)
-        at += HEADER + size
+            at, mode = base + begin + size, f"more:{first}" if full else "start"
     return units, place, (at, mode)
 
 
 def mysql_packets(segments: DataFrame, keys: list[str], size: int = streams.CHUNK, ahead: int = streams.AHEAD) -> DataFrame:
-    """Protocol packets of the streams: keys, side and the fields of UNITS (side 1 is the client)."""
-    pieces = streams.stream_bytes(segments, keys)
-    return streams.framed(streams.chunks(pieces, keys, size, ahead), keys, parse_chunk, UNITS, size)
+    """Protocol packets of the streams: keys, side and the fields of UNITS but `piece` (side 1 is the client).
+
+    A packet in several pieces, over a chunk's edge or over 16 MB, is one row.
+    """
+    line = [*keys, "side"]
+    rows = streams.framed(streams.chunks(streams.stream_bytes(segments, keys), keys, size, ahead), keys, parse_chunk, UNITS, size)
+    later = F.sort_array(F.collect_list(F.when(F.col("piece") != F.col("offset"), F.struct("piece", F.coalesce("argument", F.lit("")).alias("argument")))))
+    rest = (rows.filter("piece != offset").groupBy(*line, "offset")
+            .agg(F.sum("bytes").alias("_bytes"), F.array_join(F.transform(later, lambda x: x["argument"]), "").alias("_argument")))
+    whole = rows.filter("piece = offset").join(rest, [*line, "offset"], "left")
+    return whole.withColumns({"bytes": F.col("bytes") + F.coalesce("_bytes", F.lit(0)),
+                              "argument": F.when(F.col("_argument").isNull(), F.col("argument")).otherwise(F.concat(F.coalesce("argument", F.lit("")), "_argument"))}
+                             ).drop("piece", "_bytes", "_argument")
 
 
 def mysql_messages(packets: DataFrame, keys: list[str]) -> DataFrame:

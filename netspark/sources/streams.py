@@ -62,7 +62,7 @@ def chunks(pieces: DataFrame, keys: list[str], size: int = CHUNK, ahead: int = A
 
 
 class ChunkView:
-    """Bytes of one chunk; missing bytes read as zero."""
+    """Bytes of one chunk; missing bytes read as zero and are listed in `holes` as (start, end) within `data`."""
 
     def __init__(self, parts, start: int, size: int):
         self.start, self.size = start, size
@@ -72,6 +72,15 @@ class ChunkView:
         for p in parts:
             data[p["pos"] - start:p["pos"] - start + len(p["payload"])] = p["payload"]
         self.data = bytes(data)
+        self.holes, covered = [], 0
+        for p in parts:
+            if p["pos"] - start > covered:
+                self.holes.append((covered, p["pos"] - start))
+            covered = max(covered, p["pos"] - start + len(p["payload"]))
+
+    def hole_at(self, begin: int, end: int) -> int | None:
+        """End of the first hole that [begin, end) of the data touches."""
+        return next((b for a, b in self.holes if a < end and b > begin), None)
 
     def time_at(self, offset: int) -> int:
         """Arrival time of the piece that holds an offset, else of the one before it."""

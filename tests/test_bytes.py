@@ -129,6 +129,51 @@ def test_mysql_rows_over_chunks(spark, size):
     assert (who.version, who.user, who.database, who.status) == ("5.7", "ann", "shop", "success")
 
 
+@pytest.mark.parametrize("size,ahead", [(4096, 256), (1 << 20, 1 << 16)])
+def test_heads_of_any_length(spark, size, ahead):
+    long = b"GET /a HTTP/1.1\r\nCookie: " + b"c" * 20_000 + b"\r\nHost: x\r\n\r\n"
+    text = long + b"PUT /b HTTP/1.1\r\nContent-Length: 18\r\n\r\nGET /no HTTP/1.1\r\n\r\n"[:-2] + b"HEAD /c HTTP/1.1\r\n\r\nGET /d HTTP/1.1\r\n\r\n"
+    reply = (b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nhello\r\n0\r\n" + b"T: " + b"t" * 9000 + b"\r\nU: v\r\n\r\n"
+             + b"HTTP/1.1 200 OK\r\nContent-Length: 50\r\n\r\nHTTP/1.1 404 No\r\nContent-Length: 2\r\n\r\nno")
+    parts = [(1, p, text[p:p + 997]) for p in range(0, len(text), 997)] + [(-1, p, reply[p:p + 501]) for p in range(0, len(reply), 501)]
+    rows = http_wire.body_framing(segments(spark, parts), ["flow_id"], size=size, ahead=ahead).orderBy("side", "n").collect()
+    assert [(r.side, r.head.split("\r\n")[0], r.framing, r.body_len) for r in rows] == [
+        (-1, "HTTP/1.1 200 OK", "chunked", 5), (-1, "HTTP/1.1 200 OK", "none", 0), (-1, "HTTP/1.1 404 No", "length", 2),
+        (1, "GET /a HTTP/1.1", "none", 0), (1, "PUT /b HTTP/1.1", "length", 18), (1, "HEAD /c HTTP/1.1", "none", 0), (1, "GET /d HTTP/1.1", "none", 0)]
+    assert rows[3].head.encode("latin-1") == long
+
+
+def test_http_goes_on_behind_a_gap(spark):
+    text = b"GET /a HTTP/1.1\r\nHost: x\r\n\r\n" + b"GET /lost HTTP/1.1\r\nHost: x\r\n\r\n" + b"GET /b HTTP/1.1\r\n\r\n"
+    parts = [(1, 0, text[:40]), (1, 55, text[55:])]
+    rows = http_wire.body_framing(segments(spark, parts), ["flow_id"]).orderBy("n").collect()
+    assert [r.head.split("\r\n")[0] for r in rows] == ["GET /a HTTP/1.1", "GET /b HTTP/1.1"]
+
+
+@pytest.mark.parametrize("size,ahead", [(20_000, 100), (1 << 20, 1 << 16)])
+def test_long_commands(spark, size, ahead):
+    queries = [b"\x03SELECT " + bytes([97 + i]) * n for i, n in enumerate((5, 100_000, 7, 2000))]
+    client = b"".join(packet(0, q) for q in queries)
+    data = [(1, p, client[p:p + 1460]) for p in range(0, len(client), 1460)]
+    rows = mysql_wire.mysql_packets(segments(spark, data), ["flow_id"], size=size, ahead=ahead).orderBy("offset").collect()
+    assert [(r.argument.encode("latin-1"), r.bytes, r.code) for r in rows] == [(q[1:], len(q), 3) for q in queries]
+
+
+def test_command_over_sixteen_megabytes(spark):
+    query = b"\x03" + b"q" * (0xFFFFFF + 500)
+    client = packet(0, query[:0xFFFFFF]) + packet(1, query[0xFFFFFF:]) + packet(0, b"\x03SELECT 1")
+    data = [(1, p, client[p:p + 65536]) for p in range(0, len(client), 65536)]
+    rows = mysql_wire.mysql_packets(segments(spark, data), ["flow_id"], size=4 << 20).orderBy("offset").collect()
+    assert [(r.serial, r.bytes, len(r.argument)) for r in rows] == [(0, len(query), len(query) - 1), (0, 9, 8)]
+
+
+def test_mysql_invents_nothing_in_a_gap(spark):
+    first, second = packet(0, b"\x03SELECT 1"), packet(0, b"\x03SELECT 2")
+    data = [(1, 0, first), (1, len(first) + 100, second)]
+    rows = mysql_wire.mysql_packets(segments(spark, data), ["flow_id"]).orderBy("offset").collect()
+    assert [(r.offset, r.argument) for r in rows] == [(0, "SELECT 1"), (len(first) + 100, "SELECT 2")]
+
+
 def test_rule_priority(spark, tmp_path):
     path = tmp_path / "rules.tsv"
     path.write_text("#proto\tip\tport\tflag\tapplication\tmajor\tminor\tattribute\tname\n"
