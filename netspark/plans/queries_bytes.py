@@ -67,14 +67,16 @@ def tcp_options(spark, sf):
 
 
 @query("read_captures", o.with_(P, f"""
-SELECT ts_us, CAST(wire_len + {TAG} AS INTEGER) AS wire_len, CAST(wire_len + {TAG} AS INTEGER) AS cap_len, src_ip, dst_ip, src_port, dst_port, tcp_seq FROM packets"""))
+SELECT ts_us, CAST(wire_len + {TAG} AS INTEGER) AS wire_len, CAST(wire_len + {TAG} AS INTEGER) AS cap_len, src_ip, dst_ip, src_port, dst_port, tcp_seq, TRUE AS unique_id FROM packets"""))
 def read_captures(spark, sf):
     """Frames written as capture files by Spark tasks, read by the capture source and decoded."""
     path = fx.fresh_path(spark, "captures")
     fr.write_capture_files(fr.frames(spark, sf), path, files=8)
     frames = captures.number_packets(captures.read_captures(spark, path))
-    return decode.decode(frames.drop("cap_len")).select(
-        "ts_us", "wire_len", "cap_len", "src_ip", "dst_ip", "src_port", "dst_port", "tcp_seq")
+    rows = decode.decode(frames.drop("cap_len"))
+    ids = rows.groupBy(F.col("packet_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    return rows.join(ids, F.col("packet_id") == F.col("_id")).select(
+        "ts_us", "wire_len", "cap_len", "src_ip", "dst_ip", "src_port", "dst_port", "tcp_seq", (F.col("_n") == 1).alias("unique_id"))
 
 
 _DATA = ("CASE qtype WHEN 'Address' THEN '10.0.0.' || CAST(i AS VARCHAR) WHEN 'Canonical Name' THEN 'n' || CAST(i AS VARCHAR) || '.' || qname "

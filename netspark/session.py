@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -22,6 +23,8 @@ def local_session(cpus: int | str = 8, name: str = "netspark") -> SparkSession:
                .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false"))
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    if not SparkConf().get("spark.checkpoint.dir"):
+        builder = builder.config("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "netspark-work"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -30,16 +33,12 @@ def local_session(cpus: int | str = 8, name: str = "netspark") -> SparkSession:
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    A cluster names it in spark.checkpoint.dir.  Only a local master, where
-    every task sees the same disk, may fall back to a temporary folder.
+    It is named in spark.checkpoint.dir and nowhere else; `local_session` sets
+    one for tests where none is set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
+    if not path:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = os.path.join(tempfile.gettempdir(), "netspark-work")
-    spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 

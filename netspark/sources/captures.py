@@ -13,14 +13,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 MAGIC = 0xA1B2C3D4
 FILE_HEADER, RECORD_HEADER = 24, 16
 
-CAPTURES = "file STRING, record_no BIGINT, ts_us BIGINT, cap_len INT, wire_len INT, frame BINARY"
-ARROW = pa.schema([("file", pa.string()), ("record_no", pa.int64()), ("ts_us", pa.int64()), ("cap_len", pa.int32()),
+CAPTURES = "file STRING, file_no BIGINT, record_no BIGINT, ts_us BIGINT, cap_len INT, wire_len INT, frame BINARY"
+ARROW = pa.schema([("file", pa.string()), ("file_no", pa.int64()), ("record_no", pa.int64()), ("ts_us", pa.int64()), ("cap_len", pa.int32()),
                    ("wire_len", pa.int32()), ("frame", pa.binary())])
 BATCH_ROWS = 4096
 BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
-def record_batches(stream, name: str) -> Iterator[pa.RecordBatch]:
+def record_batches(stream, name: str, file_no: int | None = None) -> Iterator[pa.RecordBatch]:
     """Records of one open file in batches; a cut-off last record is left out."""
     head = stream.read(FILE_HEADER)
     if len(head) < FILE_HEADER:
@@ -35,7 +35,7 @@ def record_batches(stream, name: str) -> Iterator[pa.RecordBatch]:
         frame = stream.read(size)
         if len(frame) < size:
             break
-        rows.append((name, number, sec * 1_000_000 + usec, size, wire, frame))
+        rows.append((name, file_no, number, sec * 1_000_000 + usec, size, wire, frame))
         number += 1
         if len(rows) == BATCH_ROWS:
             yield _batch(rows)
@@ -49,17 +49,24 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class _File(InputPartition):
-    def __init__(self, path: str):
+    def __init__(self, path: str, number: int):
         super().__init__(path)
-        self.path = path
+        self.path, self.number = path, number
 
 
 def file_system(path: str):
-    """File system and path within it; a plain path is a mounted folder."""
+    """File system and path within it.  A plain path is one on this machine: `shared` refuses it on a cluster."""
     path = path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
+def shared(spark: SparkSession, path: str) -> str:
+    """A path that all executors can open: a cluster wants its scheme, as a plain path is each machine's own disk."""
+    if "://" not in path and not path.startswith("file:") and not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"give {path} with its scheme, such as hdfs://, s3:// or file:// for a mounted folder")
+    return path
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
@@ -68,13 +75,14 @@ class _Reader(DataSourceReader):
         fs, root = file_system(self.path)
         info = fs.get_file_info(root)
         files = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(root, recursive=True))
-        return [_File(f.path) for f in sorted(files, key=lambda f: f.path) if f.is_file and not f.base_name.startswith((".", "_"))]
+        paths = sorted(f.path for f in files if f.is_file and not f.base_name.startswith((".", "_")))
+        return [_File(path, number) for number, path in enumerate(paths)]
 
     def read(self, partition):
         fs, _ = file_system(self.path)
         # A file is walked through a buffer, so a task holds one batch and not the file.
         with fs.open_input_stream(partition.path, buffer_size=1 << 20) as stream:
-            yield from record_batches(stream, partition.path)
+            yield from record_batches(stream, partition.path, partition.number)
 
 
 class CaptureSource(DataSource):
@@ -92,13 +100,16 @@ class CaptureSource(DataSource):
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """(file, record_no, ts_us, cap_len, wire_len, frame) of a capture file or folder.
+    """(file, file_no, record_no, ts_us, cap_len, wire_len, frame) of a capture file or folder.
+
+    file_no counts the files in order of their paths, so names that begin with
+    the time of a rotation put packet numbers in the order of time.
 
     One file is one task, as a record chain cannot be entered in the middle;
     rotated files give the parallelism.
     """
     spark.dataSource.register(CaptureSource)
-    return spark.read.format("capture").load(path)
+    return spark.read.format("capture").load(shared(spark, path))
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,6 +126,12 @@ def stream_capture_files(spark: SparkSession, path: str, files_per_batch: int =
 
 
 def number_packets(frames: DataFrame) -> DataFrame:
-    """Add packet_id: file and record position, stable when a task is repeated."""
-    position = F.pmod(F.xxhash64("file"), F.lit(1 << 30)) * (1 << 32) + F.col("record_no")
-    return frames.withColumn("packet_id", position)
+    """Add packet_id: file and record position, stable when a task is repeated.
+
+    A folder read at once has file numbers, so ids are unique and follow the
+    files.  A stream meets its files one batch at a time: there 38 bits of the
+    path's hash stand for the number, and ids say nothing about order between files.
+    """
+    numbered = F.col("file_no") * (1 << 40) + F.col("record_no")
+    hashed = F.pmod(F.xxhash64("file"), F.lit(1 << 38)) * (1 << 25) + F.pmod(F.col("record_no"), F.lit(1 << 25))
+    return frames.withColumn("packet_id", F.coalesce(numbered, hashed)).drop("file_no")

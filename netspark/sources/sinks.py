@@ -6,26 +6,28 @@ from pyspark.sql import functions as F
 from netspark.functions import net
 
 
-def _timed(rows: DataFrame, at: str) -> DataFrame:
-    time = net.as_timestamp(at)
-    return rows.withColumns({"day": F.date_format(time, "yyyy-MM-dd"), "hour": F.hour(time)})
-
-
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """Write whole hours of metric rows.
+    """Write metric rows, one folder per day and window.
 
-    Only the hours present are replaced, so a repeated run gives the same
-    table.  The rebalance splits an hour that is too large for one task and
-    joins small ones.
+    Only the windows present are replaced, so a repeated run gives the same
+    table and a run over part of an hour leaves the other windows.  The
+    rebalance splits a window that is too large for one task and joins small
+    ones.
     """
-    (_timed(metrics, "window_us").hint("rebalance", "day", "hour")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "hour").parquet(path))
+    rows = metrics.withColumn("day", F.date_format(net.as_timestamp("window_us"), "yyyy-MM-dd"))
+    (rows.hint("rebalance", "day", "window_us")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "window_us").parquet(path))
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    """Append events, one folder per event code and day."""
-    (_timed(events, "at_us").drop("hour").hint("rebalance", "event_code", "day")
-     .write.mode("append").partitionBy("event_code", "day").parquet(path))
+def write_events(events: DataFrame, path: str, run: str) -> None:
+    """Write the events of a run, one folder per event code, day and run.
+
+    `run` names the input (an hour, a batch id).  A repeated run replaces its
+    own folders and no others, so its rows stand there once.
+    """
+    rows = events.withColumns({"day": F.date_format(net.as_timestamp("at_us"), "yyyy-MM-dd"), "run": F.lit(run)})
+    (rows.hint("rebalance", "event_code", "day")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_code", "day", "run").parquet(path))
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
