@@ -199,7 +199,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     k = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")  # at most capacity / length pieces in a gap
     matched = matched.select("sequence_id", "filled", "length", "begin", k).select(
         "sequence_id", (F.col("filled") + F.col("k") * F.col("length")).alias("offset"), "length", (F.col("begin") + F.col("k")).alias("rank"))
-    others = ranked.join(matched, ["length", "rank"]).select(*ranked.columns, "sequence_id", "offset")
+    # Both sides grow with the corpus, however well their files compress.
+    others = ranked.join(matched.hint("merge"), ["length", "rank"]).select(*ranked.columns, "sequence_id", "offset")
     return firsts.unionByName(others).drop("rank")
 
 
