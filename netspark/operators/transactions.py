@@ -3,8 +3,8 @@
 Message tables have one row per message.  DNS: flow_id, dns_id, qr, ts_us,
 client_ip, server_ip, opcode, rcode, qname, qtype, answer_count, bytes.  HTTP:
 flow_id, n, kind (req/rsp), ts_us, head, body_len.  MySQL: flow_id, ts_us,
-is_command, command, bytes and optionally part (set/col/row).  Tables with very
-busy flows get `prefix.with_slice_width(messages, ["flow_id"])` first.
+is_command, command, bytes and optionally part (set/col/row).  Very busy flows
+get narrow slices here, unless the caller has given `slice_us`.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from netspark import schema as S
 from netspark.functions import names, net
 from netspark.operators.nodes import NODE, both_ends, count, total, total_if
-from netspark.operators.prefix import Prior, time_slice, with_priors
+from netspark.operators.prefix import Prior, sliced, time_slice, with_priors
 
 
 # ---- ICMP ----
@@ -40,6 +40,7 @@ def dns_txn(messages: DataFrame, open_s: int = S.DNS_OPEN_S) -> DataFrame:
     its transaction.  A response on its own has no request time.
     """
     keys, order = ["flow_id", "dns_id"], ["ts_us", "qr"]
+    messages = sliced(messages, keys)
     rows = with_priors(messages, keys, order, time_slice(messages),
                        [Prior("prev_qr", "lag", F.col("qr")), Prior("prev_ts", "lag", F.col("ts_us"))])
     cut = (F.col("prev_qr").isNull() | (F.col("prev_qr") == 1)
@@ -132,8 +133,9 @@ def http_messages(messages: DataFrame) -> DataFrame:
 
 def numbered(messages: DataFrame) -> DataFrame:
     """Number requests and responses of each flow in order (`turn_no` from 1)."""
-    rows = with_priors(messages, ["flow_id", "kind"], ["ts_us", "n"], time_slice(messages), [Prior("_before", "sum", F.lit(1))])
-    return rows.withColumn("turn_no", F.col("_before") + 1).drop("_before")
+    rows = sliced(messages, ["flow_id"])
+    rows = with_priors(rows, ["flow_id", "kind"], ["ts_us", "n"], time_slice(rows), [Prior("_before", "sum", F.lit(1))])
+    return rows.withColumn("turn_no", F.col("_before") + 1).select(*messages.columns, "turn_no")
 
 
 def http_txn(parsed: DataFrame) -> DataFrame:
@@ -153,6 +155,7 @@ def http_txn(parsed: DataFrame) -> DataFrame:
 def pipelined_requests(messages: DataFrame) -> DataFrame:
     """Requests with a flag: was another request of the flow still unanswered?"""
     change = F.when(F.col("kind") == "req", 1).otherwise(-1)
+    messages = sliced(messages, ["flow_id"])
     rows = with_priors(messages, ["flow_id"], ["ts_us", "kind", "n"], time_slice(messages), [Prior("pending", "sum", change)])
     return (rows.filter(F.col("kind") == "req")
             .select("flow_id", "n", "ts_us", (F.col("pending") > 0).alias("pipelined")))
@@ -196,6 +199,7 @@ def mysql_txn(messages: DataFrame) -> DataFrame:
     if "part" not in messages.columns:
         messages = messages.withColumn("part", F.lit(None).cast("string"))
     command = F.col("is_command") == 1
+    messages = sliced(messages, ["flow_id"])
     rows = messages.withColumn("_late", 1 - F.col("is_command"))
     rows = with_priors(rows, ["flow_id"], ["ts_us", "_late", "bytes"], time_slice(messages),
                        [Prior("_before", "sum", F.col("is_command"))])

@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netspark.operators.prefix import Prior, time_slice, with_priors
+from netspark.operators.prefix import Prior, sliced, time_slice, with_priors
 from netspark.sources import streams
 
 # Capability and status bits, command and reply codes.
@@ -171,6 +171,7 @@ def mysql_messages(packets: DataFrame, keys: list[str]) -> DataFrame:
     packets before the first EOF are columns, those before the second are rows.
     """
     order = ["ts_us", "_late", "offset"]
+    packets = sliced(packets, keys)
     slice_ = time_slice(packets)
     client = F.col("side") == 1
     is_command = client & (F.col("serial") == 0)

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from netspark import schema as S
 from netspark.operators.late import newest_time
-from netspark.operators.prefix import Prior, unwrap, with_priors
+from netspark.operators.prefix import Prior, time_slice, unwrap, with_priors, with_slice_width
 
 
 @pytest.fixture(scope="module")
@@ -45,3 +46,14 @@ def test_newest_time(spark):
     df = spark.createDataFrame([(0, 10), (1, 30), (2, 20), (3, 40)], "packet_id BIGINT, ts_us BIGINT")
     got = newest_time(df).orderBy("packet_id").collect()
     assert [(r.account_us, r.late) for r in got] == [(10, False), (30, False), (30, True), (40, False)]
+
+
+def test_a_burst_gets_narrow_slices(spark):
+    # A busy key that idles for days around one burst, and a quiet key.
+    burst = spark.range(20_000).selectExpr("1 AS k", "IF(id < 10, id * 86400000000, 900000000000 + id * 7) AS t")
+    df = burst.unionByName(spark.range(50).selectExpr("2 AS k", "id * 1000000 AS t")).withColumn("ts_us", F.col("t"))
+    rows = with_slice_width(df, ["k"], rows=1000)
+    slices = rows.withColumn("s", time_slice(rows)).groupBy("k", "s").count()
+    assert slices.agg(F.max("count")).first()[0] <= 1000
+    assert slices.filter("k = 1").count() < 200 and rows.filter("k = 2").select("slice_us").distinct().first()[0] == S.SLICE_US
+    assert rows.groupBy("k").agg(F.count_distinct("slice_us").alias("n")).agg(F.max("n")).first()[0] == 1
