@@ -32,13 +32,8 @@ def icmp_echo(flow_packets: DataFrame) -> DataFrame:
 
 # ---- DNS ----
 
-def dns_txn(messages: DataFrame, open_s: int = S.DNS_OPEN_S) -> DataFrame:
-    """One row per query and its response.
-
-    Messages of one (flow, id) are cut into transactions after a response and
-    after a silence longer than the query timeout; a repeated query stays in
-    its transaction.  A response on its own has no request time.
-    """
+def dns_numbered(messages: DataFrame, open_s: int = S.DNS_OPEN_S) -> DataFrame:
+    """Messages with txn_no, the number of their transaction among those of (flow, id)."""
     keys, order = ["flow_id", "dns_id"], ["ts_us", "qr"]
     messages = sliced(messages, keys)
     rows = with_priors(messages, keys, order, time_slice(messages),
@@ -46,8 +41,22 @@ def dns_txn(messages: DataFrame, open_s: int = S.DNS_OPEN_S) -> DataFrame:
     cut = (F.col("prev_qr").isNull() | (F.col("prev_qr") == 1)
            | (F.col("ts_us") - F.col("prev_ts") > open_s * S.US)).cast("bigint")
     rows = with_priors(rows.withColumn("_cut", cut), keys, order, time_slice(rows), [Prior("_before", "sum", F.col("_cut"))])
+    return rows.withColumn("txn_no", F.col("_before") + F.col("_cut")).drop("prev_qr", "prev_ts", "_cut", "_before")
+
+
+def dns_txn(messages: DataFrame, open_s: int = S.DNS_OPEN_S) -> DataFrame:
+    """One row per query and its response.
+
+    Messages of one (flow, id) are cut into transactions after a response and
+    after a silence longer than the query timeout; a repeated query stays in
+    its transaction.  A response on its own has no request time.
+    """
+    return dns_rows(dns_numbered(messages, open_s))
+
+
+def dns_rows(numbered_messages: DataFrame) -> DataFrame:
     query, answer = F.col("qr") == 0, F.col("qr") == 1
-    return (rows.withColumn("txn_no", F.col("_before") + F.col("_cut")).groupBy(*keys, "txn_no")
+    return (numbered_messages.groupBy("flow_id", "dns_id", "txn_no")
             .agg(F.max("client_ip").alias("client_ip"), F.max("server_ip").alias("server_ip"),
                  F.max("qname").alias("qname"), F.max("qtype").alias("qtype"), F.max("opcode").alias("opcode"),
                  F.max(F.when(answer, F.col("rcode"))).alias("rcode"),

@@ -12,7 +12,7 @@ from netspark.plans.queries_bytes import TAG
 from netspark.plans.queries_events import _LOOKUP, _RULES, rule_lines
 from netspark.plans.queries_flows import SUMMARY
 from netspark.plans.queries_nodes import _metrics_oracle
-from netspark.plans.registry import query
+from netspark.plans.registry import ORACLES, query
 from netspark.sources import captures, decode
 from netspark.streaming import jobs
 from netspark.streaming.state import read_output
@@ -20,13 +20,17 @@ from netspark.streaming.state import read_output
 P, SS, SESSION = o.ORACLE_PACKETS, o.SESSIONS, o.SESSION
 
 
+LATE_US = 4_000_000
+
+
 def stream_input(spark, rows: DataFrame, name: str, parts: int = 3) -> str:
-    """A table written as successive files in time order, as a collector would."""
+    """A table written as successive files, as a collector would: rows arrive up to four seconds late, so files overlap in time."""
     path = fx.fresh_path(spark, f"in-{name}")
     first, last = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
-    width = (last - first) // parts + 1
+    width = (last - first + LATE_US) // parts + 1
+    arrival = F.col("ts_us") + F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("payload", "head")]), F.lit(LATE_US))
     for i in range(parts):
-        rows.filter(F.floor((F.col("ts_us") - first) / width) == i).coalesce(1).write.mode("append").parquet(path)
+        rows.filter(F.floor((arrival - first) / width) == i).coalesce(1).write.mode("append").parquet(path)
     return path
 
 
@@ -74,28 +78,21 @@ def stream_flows(spark, sf):
     out, state = fx.fresh_path(spark, "flows"), fx.fresh_path(spark, "state")
     packets = fx.packets(spark, sf)
     started = finish(jobs.stream_flows(open_stream(spark, packets, "packets"), out, state, fx.fresh_path(spark, "cp"), cycle_us=5000))
-    rows = read_output(spark, out).unionByName(jobs.flush_flows(spark, state, batches(started)))
+    rows = read_output(spark, out).unionByName(jobs.flush_flows(spark, state, batches(started), cycle_us=5000))
     closing = F.col("way") == "close"
     return rows.select(*S.FLOW_KEY, "client_ip", "client_port", "server_ip", "server_port", "start_us", "way", "at_us",
                        *[F.when(closing, F.col(c)).alias(c) for c in jobs.COUNTERS])
 
 
-@query("stream_dns", o.with_(o.ORACLE_DNS, """
-SELECT q.flow_id, q.dns_id, q.client_ip, q.server_ip, q.qname, q.ts_us AS req_us, r.ts_us AS rsp_us, r.rcode
-FROM (SELECT * FROM dns_msgs WHERE qr = 0) q LEFT JOIN (SELECT * FROM dns_msgs WHERE qr = 1) r
-  ON q.flow_id = r.flow_id AND q.dns_id = r.dns_id AND r.ts_us BETWEEN q.ts_us AND q.ts_us + 5000000"""))
+_DNS = ["flow_id", "dns_id", "client_ip", "server_ip", "qname", "qtype", "opcode", "rcode", "req_us", "rsp_us", "req_pkts", "rsp_pkts", "wait_ms", "req_timeout"]
+
+
+@query("stream_dns", f"SELECT {', '.join(_DNS)} FROM ({ORACLES['dns_txn']})")
 def stream_dns(spark, sf):
-    """The stream's pairs; queries too young to be given up when the input ended are added."""
-    messages, out = fx.dns_msgs(spark, sf), fx.fresh_path(spark, "dns")
-    rows = jobs.stream_dns(open_stream(spark, messages, "dns"))
-    started = finish(rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", fx.fresh_path(spark, "cp"))
-                     .trigger(availableNow=True).start())
-    done = spark.read.parquet(out)
-    reached = jobs.watermark_us(started)
-    young = (messages.filter((F.col("qr") == 0) & (F.col("ts_us") + S.DNS_OPEN_S * S.US >= reached))
-             .select("flow_id", "dns_id", "client_ip", "server_ip", "qname", F.col("ts_us").alias("req_us"))
-             .join(done, ["flow_id", "dns_id", "req_us"], "left_anti"))
-    return done.unionByName(young, allowMissingColumns=True)
+    """The stream's transactions, and those still open when the input ended; the SQL is that of the batch."""
+    out, state = fx.fresh_path(spark, "dns"), fx.fresh_path(spark, "state")
+    started = finish(jobs.stream_dns(open_stream(spark, fx.dns_msgs(spark, sf), "dns"), out, state, fx.fresh_path(spark, "cp")))
+    return read_output(spark, out).unionByName(jobs.flush_dns(spark, state, batches(started))).select(*_DNS)
 
 
 @query("stream_http_mysql", o.with_(o.ORACLE_HTTP, o.ORACLE_MYSQL, f"""
@@ -108,15 +105,15 @@ UNION ALL SELECT 'mysql', flow_id, command_no, 'close', max(ts_us) FILTER (WHERE
     "FROM m ", "FROM (SELECT * FROM (SELECT *, CAST(sum(is_command) OVER (PARTITION BY flow_id ORDER BY ts_us, is_command DESC, bytes ROWS UNBOUNDED PRECEDING) AS BIGINT) AS command_no FROM mysql_msgs) WHERE command_no > 0) ")))
 def stream_http_mysql(spark, sf):
     """Open and close events of HTTP transactions and MySQL commands."""
-    out = fx.fresh_path(spark, "http")
+    out, state = fx.fresh_path(spark, "http"), fx.fresh_path(spark, "state")
     http = fx.http_msgs(spark, sf).select("flow_id", "kind", "ts_us", "n")
-    finish(jobs.stream_transactions(open_stream(spark, http, "http"), out, fx.fresh_path(spark, "state"), fx.fresh_path(spark, "cp")))
+    started = finish(jobs.stream_transactions(open_stream(spark, http, "http"), out, state, fx.fresh_path(spark, "cp")))
     none = F.lit(None).cast("bigint")
-    events = read_output(spark, out).select(F.lit("http").alias("app"), "flow_id", "turn_no", "way", "at_us", none.alias("rsp_count"), none.alias("rsp_bytes"))
-    out = fx.fresh_path(spark, "mysql")
+    events = read_output(spark, out).unionByName(jobs.flush_transactions(spark, state, batches(started))).select(F.lit("http").alias("app"), "flow_id", "turn_no", "way", "at_us", none.alias("rsp_count"), none.alias("rsp_bytes"))
+    out, state = fx.fresh_path(spark, "mysql"), fx.fresh_path(spark, "state")
     mysql = fx.mysql_msgs(spark, sf)
-    finish(jobs.stream_mysql(open_stream(spark, mysql, "mysql"), out, fx.fresh_path(spark, "state"), fx.fresh_path(spark, "cp")))
-    commands = jobs.mysql_updates(read_output(spark, out)).withColumn("app", F.lit("mysql")).withColumnRenamed("command_no", "turn_no")
+    started = finish(jobs.stream_mysql(open_stream(spark, mysql, "mysql"), out, state, fx.fresh_path(spark, "cp")))
+    commands = jobs.mysql_updates(read_output(spark, out).unionByName(jobs.flush_mysql(spark, state, batches(started)))).withColumn("app", F.lit("mysql")).withColumnRenamed("command_no", "turn_no")
     opened = commands.select("app", "flow_id", "turn_no", F.lit("open").alias("way"), F.col("open_us").alias("at_us"), none.alias("rsp_count"), none.alias("rsp_bytes"))
     closed = commands.filter("rsp_count > 0").select("app", "flow_id", "turn_no", F.lit("close").alias("way"), F.col("rsp_us").alias("at_us"), "rsp_count", "rsp_bytes")
     return events.unionByName(opened).unionByName(closed)

@@ -12,7 +12,7 @@ from netspark.functions import net
 from netspark.operators import flows, metrics, nodes, transactions as tx
 from netspark.operators.prefix import Prior, time_slice, with_priors
 from netspark.sources import rules
-from netspark.streaming.state import TableState, write_batch
+from netspark.streaming.state import InOrder, TableState, write_batch
 
 DELAY = "10 seconds"
 
@@ -109,18 +109,16 @@ def stream_flows(packets: DataFrame, out: str, state_path: str, checkpoint: str,
     A micro-batch is cut into sessions by the batch function, slice by slice, so
     a busy flow is spread over tasks.  The open session of each flow enters the
     batch as one seed packet and is merged with its continuation afterwards.
+    Packets are taken in the order of their times, up to `delay_s` late ones
+    included; later ones are counted (`late_rows`).
     """
-    store = TableState(state_path, FLOW_STATE)
+    store, order = TableState(state_path, FLOW_STATE), in_order(state_path, delay_s)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = store.read(spark, batch_id)
-        merged = merge_flows(batch, state).persist()
-        newest = merged.agg(F.max("last_us")).first()[0]
-        if newest is None:
-            newest = 0
-        timeout = flows._timeout_us()
-        over = ~F.col("latest") | (F.col("last_us") + timeout < newest - delay_s * S.US)
+        state = store.read(batch.sparkSession, batch_id)
+        due, reached = order.take(batch, batch_id)
+        merged = merge_flows(due, state).persist()
+        over = ~F.col("latest") | F.coalesce(F.col("last_us") + flows._timeout_us() < F.lit(reached), F.lit(False))
         write_batch(flow_records(merged, over, cycle_us), out, batch_id)
         store.write(merged.filter(~over), batch_id)
         merged.unpersist()
@@ -128,6 +126,18 @@ def stream_flows(packets: DataFrame, out: str, state_path: str, checkpoint: str,
     return run(packets, checkpoint, each, trigger)
 
 
+PACKETS_HELD = T.StructType([f for f in S.PACKETS if f.name in PACKET_COLUMNS])
+
+
+def in_order(state_path: str, delay_s: int, schema: T.StructType = PACKETS_HELD) -> InOrder:
+    return InOrder(f"{state_path}-order", schema, delay_s * S.US)
+
+
+def late_rows(spark: SparkSession, state_path: str, batches: int, schema: T.StructType = PACKETS_HELD) -> int:
+    """Rows left out after so many micro-batches because they came too late."""
+    return in_order(state_path, 0, schema).mark(spark, batches)[1]
+
+
 def merge_flows(batch: DataFrame, state: DataFrame) -> DataFrame:
     """Sessions of the batch and the state: one row per session, `latest` for the flow's last one."""
     fresh = batch.select(*[F.col(c) if c in batch.columns else F.lit(None).alias(c) for c in PACKET_COLUMNS], F.lit(False).alias("seed"))
@@ -168,92 +178,152 @@ def flow_records(merged: DataFrame, over, cycle_us: int) -> DataFrame:
             .unionByName(record(merged.filter(over), "close", F.col("last_us"), F.col("last_us"))))
 
 
-def flush_flows(spark: SparkSession, state_path: str, batches: int) -> DataFrame:
-    """Close records of the flows still open after `batches` micro-batches."""
-    if batches == 0:
-        return flow_records(spark.createDataFrame([], FLOW_STATE).withColumns({"seen_us": F.col("last_us")}), F.lit(True), S.TICK_S * S.US)
-    rows = TableState(state_path, FLOW_STATE).read(spark, batches)
-    return flow_records(rows.withColumn("seen_us", F.col("last_us")), F.lit(True), S.TICK_S * S.US)
+def flush_flows(spark: SparkSession, state_path: str, batches: int, cycle_us: int = S.TICK_S * S.US) -> DataFrame:
+    """Records of the packets still held and of the flows still open after `batches` micro-batches: all are closed."""
+    state = TableState(state_path, FLOW_STATE).read(spark, batches)
+    return flow_records(merge_flows(in_order(state_path, 0).rest(spark, batches), state), F.lit(True), cycle_us)
+
 
+# ---- DNS: transactions cut by the batch function ----
 
-# ---- DNS: interval join of two streams ----
+DNS_HELD = T.StructType([*[T.StructField(c, T.LongType()) for c in ("flow_id", "dns_id", "ts_us", "client_ip", "server_ip", "bytes")],
+                         *[T.StructField(c, T.IntegerType()) for c in ("qr", "opcode", "rcode", "answer_count")],
+                         T.StructField("qname", T.StringType()), T.StructField("qtype", T.StringType())])
+
+
+def stream_dns(messages: DataFrame, out: str, state_path: str, checkpoint: str, delay_s: int = 10, open_s: int = S.DNS_OPEN_S,
+               trigger: dict | None = None) -> StreamingQuery:
+    """Rows of `transactions.dns_txn` as soon as a transaction is answered or its time is over.
+
+    The state holds the messages of the transactions still open, which are at
+    most `open_s` old, so it does not grow with the stream.
+    """
+    store, order = TableState(state_path, DNS_HELD), in_order(state_path, delay_s, DNS_HELD)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        due, reached = order.take(batch, batch_id)
+        rows = tx.dns_numbered(due.unionByName(store.read(batch.sparkSession, batch_id)), open_s).persist()
+        done = tx.dns_rows(rows).withColumn("_open", F.col("rsp_us").isNull() & F.coalesce(F.col("req_us") + open_s * S.US >= F.lit(reached), F.lit(True))).persist()
+        write_batch(done.filter("NOT _open").drop("_open", "txn_no"), out, batch_id)
+        store.write(rows.join(done.filter("_open").select("flow_id", "dns_id", "txn_no"), ["flow_id", "dns_id", "txn_no"], "left_semi"), batch_id)
+        rows.unpersist()
+        done.unpersist()
+
+    return run(messages, checkpoint, each, trigger)
 
-def stream_dns(messages: DataFrame, open_s: int = S.DNS_OPEN_S) -> DataFrame:
-    """Queries with their responses within the timeout; a query without one leaves after the watermark."""
-    query = messages.filter("qr = 0").select("flow_id", "dns_id", "client_ip", "server_ip", "qname", F.col("ts_us").alias("req_us"),
-                                             F.col("ts").alias("q_ts")).alias("q")
-    reply = messages.filter("qr = 1").select("flow_id", "dns_id", "rcode", F.col("ts_us").alias("rsp_us"), F.col("ts").alias("r_ts")).alias("r")
-    cond = F.expr(f"q.flow_id = r.flow_id AND q.dns_id = r.dns_id AND r_ts >= q_ts AND r_ts <= q_ts + INTERVAL {open_s} SECONDS")
-    return (query.join(reply, cond, "leftOuter")
-            .select("q.flow_id", "q.dns_id", "client_ip", "server_ip", "qname", "req_us", "rsp_us", "rcode"))
+
+def flush_dns(spark: SparkSession, state_path: str, batches: int, open_s: int = S.DNS_OPEN_S) -> DataFrame:
+    """Transactions of the messages still held or open after `batches` micro-batches."""
+    rows = in_order(state_path, 0, DNS_HELD).rest(spark, batches).unionByName(TableState(state_path, DNS_HELD).read(spark, batches))
+    return tx.dns_txn(rows, open_s).drop("txn_no")
 
 
 # ---- HTTP and MySQL: numbering by state ----
 
-COUNT_STATE = T.StructType([T.StructField("flow_id", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("seen", T.LongType())])
+COUNT_STATE = T.StructType([T.StructField("flow_id", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("seen", T.LongType()),
+                            T.StructField("last_us", T.LongType())])
 PENDING_STATE = T.StructType([T.StructField("flow_id", T.LongType()), T.StructField("turn_no", T.LongType()), T.StructField("kind", T.StringType()),
                               T.StructField("ts_us", T.LongType()), T.StructField("n", T.LongType())])
+HTTP_HELD = T.StructType([T.StructField("flow_id", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("ts_us", T.LongType()), T.StructField("n", T.LongType())])
+MYSQL_HELD = T.StructType([*[T.StructField(c, T.LongType()) for c in ("flow_id", "ts_us", "bytes")], T.StructField("is_command", T.IntegerType())])
+
+
+def alive(at, reached: int | None):
+    """Whether a flow whose last message came at `at` may go on: sessions end after a silence of the flow timeout."""
+    return F.lit(True) if reached is None else F.col(at) + S.TCP_ACTIVE_S * S.US >= reached
+
 
+def summed(before: DataFrame, new: DataFrame, reached: int | None) -> DataFrame:
+    counts = before.unionByName(new).groupBy("flow_id", "kind").agg(F.sum("seen").alias("seen"), F.max("last_us").alias("last_us"))
+    return counts.filter(alive("last_us", reached))
 
-def stream_transactions(messages: DataFrame, out: str, state_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+
+def match_turns(due: DataFrame, before: DataFrame, waiting: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events, messages without a partner, counts of the batch) of messages that follow those counted in `before`."""
+    local = tx.numbered(due.select("flow_id", "kind", "ts_us", "n")).join(before, ["flow_id", "kind"], "left")
+    fresh = local.select("flow_id", (F.col("turn_no") + F.coalesce("seen", F.lit(0))).alias("turn_no"), "kind", "ts_us", "n")
+    rows = fresh.unionByName(waiting)
+    side = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
+    pairs = rows.groupBy("flow_id", "turn_no").agg(side("req", "ts_us").alias("req_us"), side("rsp", "ts_us").alias("rsp_us"),
+                                                   side("req", "n").alias("n"), side("rsp", "n").alias("_m"))
+    opened = fresh.filter("kind = 'req'").select("flow_id", "turn_no", F.lit("open").alias("way"), F.col("ts_us").alias("at_us"), "n")
+    closed = pairs.filter("req_us IS NOT NULL AND rsp_us IS NOT NULL").select(
+        "flow_id", "turn_no", F.lit("close").alias("way"), F.col("rsp_us").alias("at_us"), "n")
+    alone = pairs.filter("req_us IS NULL OR rsp_us IS NULL").select(
+        "flow_id", "turn_no", F.when(F.col("req_us").isNotNull(), "req").otherwise("rsp").alias("kind"),
+        F.coalesce("req_us", "rsp_us").alias("ts_us"), F.coalesce("n", "_m").alias("n"))
+    new = due.groupBy("flow_id", "kind").agg(nodes.count().alias("seen"), F.max("ts_us").alias("last_us"))
+    return opened.unionByName(closed), alone, new
+
+
+def stream_transactions(messages: DataFrame, out: str, state_path: str, checkpoint: str, delay_s: int = 10, trigger: dict | None = None) -> StreamingQuery:
     """Open (request) and close (response) events of FIFO-matched transactions.
 
-    The state holds one message count per flow and side, and the messages still
-    without a partner.  Messages of a batch are numbered by a sliced running
-    count on top of it.
+    Messages are taken in the order of their times.  The state holds one
+    message count per flow and side, and the messages still without a partner;
+    both leave it once the flow has been silent for the session timeout.
     """
     counts, pending = TableState(f"{state_path}/counts", COUNT_STATE), TableState(f"{state_path}/pending", PENDING_STATE)
+    order = in_order(state_path, delay_s, HTTP_HELD)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        due, reached = order.take(batch, batch_id)
         before = counts.read(spark, batch_id)
-        local = tx.numbered(batch.select("flow_id", "kind", "ts_us", "n")).join(before, ["flow_id", "kind"], "left")
-        fresh = local.select("flow_id", (F.col("turn_no") + F.coalesce("seen", F.lit(0))).alias("turn_no"), "kind", "ts_us", "n").persist()
-        rows = fresh.unionByName(pending.read(spark, batch_id))
-        side = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
-        pairs = rows.groupBy("flow_id", "turn_no").agg(side("req", "ts_us").alias("req_us"), side("rsp", "ts_us").alias("rsp_us"),
-                                                       side("req", "n").alias("n"), side("rsp", "n").alias("_m")).persist()
-        opened = fresh.filter("kind = 'req'").select("flow_id", "turn_no", F.lit("open").alias("way"), F.col("ts_us").alias("at_us"), "n")
-        closed = pairs.filter("req_us IS NOT NULL AND rsp_us IS NOT NULL").select(
-            "flow_id", "turn_no", F.lit("close").alias("way"), F.col("rsp_us").alias("at_us"), "n")
-        write_batch(opened.unionByName(closed), out, batch_id)
-        waiting = pairs.filter("req_us IS NULL OR rsp_us IS NULL").select(
-            "flow_id", "turn_no", F.when(F.col("req_us").isNotNull(), "req").otherwise("rsp").alias("kind"),
-            F.coalesce("req_us", "rsp_us").alias("ts_us"), F.coalesce("n", "_m").alias("n"))
-        pending.write(waiting, batch_id)
-        new = batch.groupBy("flow_id", "kind").agg(nodes.count().alias("seen"))
-        counts.write(before.unionByName(new).groupBy("flow_id", "kind").agg(F.sum("seen").alias("seen")), batch_id)
-        fresh.unpersist()
-        pairs.unpersist()
+        events, alone, new = match_turns(due.persist(), before, pending.read(spark, batch_id))
+        write_batch(events, out, batch_id)
+        pending.write(alone.filter(alive("ts_us", reached)), batch_id)
+        counts.write(summed(before, new, reached), batch_id)
+        due.unpersist()
 
     return run(messages, checkpoint, each, trigger)
 
 
-def stream_mysql(messages: DataFrame, out: str, state_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def flush_transactions(spark: SparkSession, state_path: str, batches: int) -> DataFrame:
+    """Events of the messages still held after `batches` micro-batches."""
+    rest = in_order(state_path, 0, HTTP_HELD).rest(spark, batches)
+    states = [TableState(f"{state_path}/{n}", schema).read(spark, batches) for n, schema in (("counts", COUNT_STATE), ("pending", PENDING_STATE))]
+    return match_turns(rest, *states)[0]
+
+
+def mysql_step(due: DataFrame, before: DataFrame) -> DataFrame:
+    """Per command the open time and the sums of its responses in these messages; responses may belong to a command counted in `before`."""
+    rows = tx.sliced(due, ["flow_id"])
+    rows = with_priors(rows.withColumn("_late", 1 - F.col("is_command")), ["flow_id"], ["ts_us", "_late", "bytes"], time_slice(rows),
+                       [Prior("_before", "sum", F.col("is_command"))])
+    rows = rows.join(before.select("flow_id", "seen"), "flow_id", "left")
+    rows = rows.withColumn("command_no", F.col("_before") + F.col("is_command") + F.coalesce("seen", F.lit(0))).filter("command_no > 0")
+    command = F.col("is_command") == 1
+    return rows.groupBy("flow_id", "command_no").agg(
+        F.min(F.when(command, F.col("ts_us"))).alias("open_us"), F.max(F.when(~command, F.col("ts_us"))).alias("rsp_us"),
+        nodes.total_if(~command).alias("rsp_count"), nodes.total_if(~command, "bytes").alias("rsp_bytes"))
+
+
+def stream_mysql(messages: DataFrame, out: str, state_path: str, checkpoint: str, delay_s: int = 10, trigger: dict | None = None) -> StreamingQuery:
     """Open event of each command and an update of its responses per micro-batch.
 
-    The state holds the number of commands seen per flow; responses belong to
+    Messages are taken in the order of their times.  The state holds the number
+    of commands seen per flow until the session timeout; responses belong to
     the last command before them, which may be in an earlier batch.
     """
-    counts = TableState(state_path, COUNT_STATE)
+    counts, order = TableState(state_path, COUNT_STATE), in_order(state_path, delay_s, MYSQL_HELD)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = counts.read(spark, batch_id)
-        rows = with_priors(batch.withColumn("_late", 1 - F.col("is_command")), ["flow_id"], ["ts_us", "_late", "bytes"], time_slice(batch),
-                           [Prior("_before", "sum", F.col("is_command"))])
-        rows = rows.join(before.select("flow_id", "seen"), "flow_id", "left")
-        rows = rows.withColumn("command_no", F.col("_before") + F.col("is_command") + F.coalesce("seen", F.lit(0))).filter("command_no > 0")
-        command = F.col("is_command") == 1
-        write_batch(rows.groupBy("flow_id", "command_no").agg(
-            F.min(F.when(command, F.col("ts_us"))).alias("open_us"), F.max(F.when(~command, F.col("ts_us"))).alias("rsp_us"),
-            nodes.total_if(~command).alias("rsp_count"), nodes.total_if(~command, "bytes").alias("rsp_bytes")), out, batch_id)
-        new = batch.groupBy("flow_id").agg(nodes.total("is_command").alias("seen")).withColumn("kind", F.lit("command"))
-        counts.write(before.unionByName(new).groupBy("flow_id", "kind").agg(F.sum("seen").alias("seen")), batch_id)
+        due, reached = order.take(batch, batch_id)
+        before = counts.read(batch.sparkSession, batch_id)
+        write_batch(mysql_step(due, before), out, batch_id)
+        new = due.groupBy("flow_id").agg(nodes.total("is_command").alias("seen"), F.max("ts_us").alias("last_us")).withColumn("kind", F.lit("command"))
+        counts.write(summed(before, new, reached), batch_id)
 
     return run(messages, checkpoint, each, trigger)
 
 
+def flush_mysql(spark: SparkSession, state_path: str, batches: int) -> DataFrame:
+    """Updates of the messages still held after `batches` micro-batches."""
+    rest = in_order(state_path, 0, MYSQL_HELD).rest(spark, batches)
+    return mysql_step(rest, TableState(state_path, COUNT_STATE).read(spark, batches))
+
+
 def mysql_updates(updates: DataFrame) -> DataFrame:
     """Commands with all their batch updates summed."""
     return updates.groupBy("flow_id", "command_no").agg(

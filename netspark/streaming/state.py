@@ -1,6 +1,7 @@
 """Tables that carry state from one micro-batch to the next."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -30,6 +31,46 @@ class TableState:
         return f"{self.path}/slot={batch_id % self.SLOTS}"
 
 
+MARKS = T.StructType([T.StructField("reached", T.LongType()), T.StructField("late", T.LongType())])
+
+
+class InOrder:
+    """Rows of micro-batches in the order of their times.
+
+    A row is held back until the newest time seen is `delay_us` ahead of it,
+    so each batch hands on a stretch of time that lies behind those before.
+    Rows that come later than that are left out and counted (`late`).  Only the
+    rows of the last `delay_us` are held.
+    """
+
+    def __init__(self, path: str, schema: T.StructType, delay_us: int):
+        self.held, self.marks = TableState(f"{path}/held", schema), TableState(f"{path}/marks", MARKS)
+        self.delay_us = delay_us
+
+    def mark(self, spark: SparkSession, batch_id: int) -> tuple[int | None, int]:
+        """Time reached before a batch, and the number of late rows so far."""
+        row = self.marks.read(spark, batch_id).first()
+        return (row["reached"], row["late"]) if row else (None, 0)
+
+    def take(self, batch: DataFrame, batch_id: int) -> tuple[DataFrame, int | None]:
+        """The rows that are due, and the time that is reached with them."""
+        spark, at = batch.sparkSession, F.col("ts_us")
+        batch = batch.select(*[F.col(f.name).cast(f.dataType) if f.name in batch.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.held.schema])
+        before, late = self.mark(spark, batch_id)
+        newest, behind = batch.agg(F.max(at), F.count(F.when(at <= F.lit(before), 1))).first()
+        reached = before if newest is None else newest - self.delay_us if before is None else max(before, newest - self.delay_us)
+        fresh = batch if before is None else batch.filter(at > before)
+        rows = fresh.unionByName(self.held.read(spark, batch_id))
+        due = F.lit(False) if reached is None else at <= reached
+        self.held.write(rows.filter(~due), batch_id)
+        self.marks.write(spark.createDataFrame([(reached, late + behind)], MARKS), batch_id)
+        return rows.filter(due), reached
+
+    def rest(self, spark: SparkSession, batches: int) -> DataFrame:
+        """Rows still held after so many batches."""
+        return self.held.read(spark, batches)
+
+
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     """Output of one batch in its own folder: a repeated batch replaces itself."""
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
