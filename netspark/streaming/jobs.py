@@ -39,6 +39,11 @@ def watermark_us(query: StreamingQuery) -> int | None:
     return int(latest.timestamp() * S.US)
 
 
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that Spark's own state operators left out because they came behind the watermark."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 # ---- node metrics: windowed aggregation, one append per finished period ----
 
 def stream_facts(packets: DataFrame, seconds: int = S.PERIOD_S) -> DataFrame:

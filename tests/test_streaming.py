@@ -9,7 +9,7 @@ from helpers import packets
 from netspark import schema as S
 from netspark.operators import flows
 from netspark.streaming import jobs
-from netspark.streaming.state import TableState
+from netspark.streaming.state import InOrder, TableState
 
 SEC = S.US
 
@@ -35,7 +35,7 @@ def test_flows_over_batches(spark, tmp_path, seed):
         merged = jobs.merge_flows(batch, store.read(spark, batch_id)).cache()
         closed += [r for r in jobs.flow_records(merged, ~F.col("latest"), 10 * SEC).collect()]
         store.write(merged.filter("latest"), batch_id)
-    closed += jobs.flush_flows(spark, str(tmp_path / "state"), 4).collect()
+    closed += jobs.flow_records(store.read(spark, 4).withColumn("seen_us", F.col("last_us")), F.lit(True), 10 * SEC).collect()
     summary = flows.flow_summary(flows.packets_with_flow(df)).collect()
     got = sorted((r.start_us, r.last_us, r.client_ip, r.client_pkts, r.server_pkts) for r in closed if r.way == "close")
     assert got == sorted((r.start_us, r.last_us, r.client_ip, r.client_pkts, r.server_pkts) for r in summary)
@@ -48,10 +48,49 @@ def test_flows_over_batches(spark, tmp_path, seed):
 
 def test_state_of_a_repeated_batch(spark, tmp_path):
     store = TableState(str(tmp_path), jobs.COUNT_STATE)
-    row = lambda n: spark.createDataFrame([(1, "req", n)], jobs.COUNT_STATE)
+    row = lambda n: spark.createDataFrame([(1, "req", n, 0)], jobs.COUNT_STATE)
     assert store.read(spark, 0).count() == 0
     store.write(row(1), 0)
     for _ in range(2):
         assert store.read(spark, 1).first().seen == 1
         store.write(row(2), 1)
     assert store.read(spark, 2).first().seen == 2
+
+
+def _late_rows(n=120, late=8):
+    """Rows of one flow in order of arrival, each up to `late` seconds late."""
+    rng = random.Random(4)
+    rows = [{"ts_us": t * SEC, "up": "cs"[t % 3 == 1], "tcp_flags": S.SYN if t % 40 == 0 else S.ACK, "tcp_seq": t // 40, "wire_len": 70} for t in range(n)]
+    return sorted(enumerate(rows), key=lambda r: r[1]["ts_us"] + rng.randrange(late * SEC))
+
+
+@pytest.mark.parametrize("size", [40])
+def test_late_packets_over_batches_give_the_batch_result(spark, tmp_path, size):
+    arrivals = _late_rows()
+    df = packets(spark, [r for _, r in sorted(arrivals)]).cache()
+    store, order = TableState(str(tmp_path / "state"), jobs.FLOW_STATE), InOrder(str(tmp_path / "order"), jobs.PACKETS_HELD, 10 * SEC)
+    closed, batch_id = [], 0
+    for begin in range(0, len(arrivals), size):
+        ids = [i for i, _ in arrivals[begin:begin + size]]
+        due, _ = order.take(df.filter(F.col("packet_id").isin(ids)), batch_id)
+        merged = jobs.merge_flows(due, store.read(spark, batch_id)).cache()
+        closed += jobs.flow_records(merged, ~F.col("latest"), 10 * SEC).collect()
+        store.write(merged.filter("latest"), batch_id)
+        batch_id += 1
+    rest = jobs.merge_flows(order.rest(spark, batch_id), store.read(spark, batch_id))
+    closed += jobs.flow_records(rest, F.lit(True), 10 * SEC).collect()
+    summary = flows.flow_summary(flows.packets_with_flow(df)).collect()
+    key = lambda r: (r.start_us, r.last_us, r.client_ip, r.client_pkts, r.server_pkts)
+    assert sorted(key(r) for r in closed if r.way == "close") == sorted(map(key, summary))
+    assert order.mark(spark, batch_id)[1] == 0
+
+
+def test_rows_later_than_the_delay_are_counted(spark, tmp_path):
+    order = InOrder(str(tmp_path), jobs.HTTP_HELD, 10)
+    batch = lambda *times: spark.createDataFrame([(1, "req", t, t) for t in times], jobs.HTTP_HELD)
+    taken = []
+    for i, times in enumerate([(100, 95, 103), (), (120, 99), (90, 93, 125)]):
+        due, reached = order.take(batch(*times), i)
+        taken.append((sorted(r.ts_us for r in due.collect()), reached))
+    assert taken == [([], 93), ([], 93), ([95, 99, 100, 103], 110), ([], 115)]
+    assert order.mark(spark, 4) == (115, 2) and sorted(r.ts_us for r in order.rest(spark, 4).collect()) == [120, 125]
