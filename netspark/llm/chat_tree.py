@@ -3,11 +3,12 @@
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netspark.llm.common import running_sums, stage
+from netspark.llm.common import stage
+from netspark.llm.spans import sums_before
 
 # The template of a turn: HEAD role SEP text TAIL.
 HEAD, SEP, TAIL = "### ", ": ", "</turn>\n"
@@ -23,77 +24,110 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def turns_with_paths(turns: DataFrame) -> DataFrame:
-    """Rows conv_id, k, path, role, text: turn k (from 0) of a conversation, and its path in the tree.
+def gathered(turns: DataFrame) -> DataFrame:
+    """One row per conversation: conv_id, turns (role, text) in order, and names, the chained hash of each beginning.
 
-    A path is the hashes of all turns so far, 64 hex digits each, so that it
-    sorts before its extensions and equal beginnings have equal paths.  A
-    conversation is gathered in one row: it is one sequence in the end.
+    A conversation is gathered in one row: it is one sequence in the end.
     """
     key = F.struct(F.coalesce(F.col("turn"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = turns.select("conv_id", key.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    rows = rows.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
     hashed = F.transform("turns", lambda t: F.sha2(F.concat(F.length(t["role"]).cast("string"), F.lit(":"), t["role"], t["text"]), 256))
     rows = rows.withColumn("_hashes", hashed)
-    # A node is named by the chained hash of its turns, so names stay short however deep the tree is.
     chain = F.aggregate("_hashes", F.array().cast("array<string>"),
                         lambda done, h: F.array_append(done, F.sha2(F.concat(F.coalesce(F.get(done, F.size(done) - 1), F.lit("")), h), 256)))
-    rows = rows.withColumn("_names", chain)
-    zipped = F.arrays_zip(F.col("turns").alias("t"), F.col("_hashes").alias("h"), F.col("_names").alias("name"))
-    return rows.select("conv_id", F.col("_names").alias("names"), F.posexplode(zipped).alias("k", "z")).select(
-        "conv_id", "k", "names", F.col("z.name").alias("name"), F.col("z.t.role").alias("role"), F.col("z.t.text").alias("text"))
+    return rows.withColumn("names", chain).drop("_hashes")
 
 
-def build(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(segments, conversations) of turns (conv_id, turn, role, text).
+def shared_start(a: Column, b: Column) -> Column:
+    """Number of leading elements that two arrays have in common."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    return F.when(a.isNull() | b.isNull(), 0).when(differs == 0, F.size(a)).otherwise(differs - 1).cast("int")
 
-    `segments`: one row per distinct beginning, in depth-first order of
-    `begin`: name, parent, root, depth, begin and finish (its place in the
-    emitted stream, in characters), position (the position id of its first
-    character: characters before it in its own conversations), formatted,
-    mask_from and mask_to (the loss mask inside it; equal where none), and
-    attends: the [begin, finish) intervals of its ancestors and itself, all
-    that a character of it may attend to, besides later characters.
-    `conversations`: conv_id, leaf (the segment it ends in) and n_turns.
 
+def emitted(leaves: DataFrame) -> DataFrame:
+    """Leaves (names, ...) in depth-first order, with `kept`, the turns that the leaf before has already emitted, and `base`, the characters emitted before.
+
+    In order of their chained names the leaves of a tree stand as a walk in
+    depth visits them, and what a leaf shares with any earlier one it shares
+    with the one just before.  The order is a range partitioning; one row per
+    range carries the last leaf and the sum on.
+    """
+    parts = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stage(leaves.repartitionByRange(parts, "names").withColumn("_range", F.spark_partition_id()), "leaves")
+    ranges = Window.orderBy("_range")  # one row per range
+    lasts = ranged.groupBy("_range").agg(F.max("names").alias("_last")).select("_range", F.lag("_last").over(ranges).alias("_last"))
+    inside = Window.partitionBy("_range").orderBy("names")
+    rows = ranged.withColumn("_prev", F.lag("names").over(inside)).join(lasts, "_range")
+    rows = rows.withColumn("kept", shared_start(F.coalesce("_prev", "_last"), F.col("names"))).drop("_prev", "_last")
+    fresh = F.slice("parts", F.col("kept") + 1, F.greatest(F.size("parts") - F.col("kept"), F.lit(0)))
+    rows = stage(rows.withColumn("fresh", fresh).withColumn("_sum", F.aggregate("fresh", F.lit(0).cast("bigint"), lambda t, p: t + F.length(p["formatted"]))), "emitted")
+    totals = rows.groupBy("_range").agg(F.sum("_sum").alias("_t"))
+    totals = totals.select("_range", F.coalesce(F.sum("_t").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"))
+    before = F.coalesce(F.sum("_sum").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_before", before).join(totals, "_range").withColumn("base", F.col("_below") + F.col("_before")).drop("_range", "_sum", "_before", "_below")
+
+
+def build(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(segments, leaves, conversations) of turns (conv_id, turn, role, text).
+
+    `segments`: one row per distinct beginning, depth first by `begin`: name,
+    parent, root, depth, begin and finish (its place in the emitted stream, in
+    characters), position (the position id of its first character: the
+    characters before it in its conversations), formatted, and mask_from and
+    mask_to (the loss mask inside it; equal where none).
+    `leaves`: leaf (the last segment of a conversation), steps (the begin of
+    each of its segments) and attends (the intervals that these make in the
+    stream, neighbours joined).  A character of any segment may attend to the
+    intervals of a leaf below it, as far as they stand before it.
+    `conversations`: conv_id, leaf and n_turns.
+
+    All tables grow with the turns, also where a conversation is very long.
     Null roles and texts are empty.  Turns sort by number, null first, then
     by role and text, so ties and repeated rows have a fixed order; a null
     conv_id is a conversation.  Other columns are not read.  An empty table
     gives empty tables.
     """
-    rows = stage(turns_with_paths(turns.select("conv_id", "turn", "role", "text")), "turns")
-    # The names of all beginnings, one row each; a beginning that a third of the conversations share is merged before the shuffle.
-    nodes = rows.groupBy("name").agg(F.min("k").alias("k"), F.min("names").alias("names"), F.min("role").alias("role"), F.min("text").alias("text"))
-    head = F.concat(F.lit(HEAD), escaped(F.col("role")), F.lit(SEP))
-    body = escaped(F.col("text"))
-    nodes = nodes.select(
-        "name", F.col("k").alias("depth"), F.slice("names", F.lit(1), F.col("k") + 1).alias("chain"), F.concat(head, body, F.lit(TAIL)).alias("formatted"),
-        F.length(head).cast("bigint").alias("mask_from"), F.when(F.col("role") == "assistant", F.length(head) + F.length(body)).otherwise(F.length(head)).cast("bigint").alias("mask_to"))
-    # Arrays of names compare element by element, a beginning before its extensions: their order is depth-first.
-    placed = running_sums(nodes, [F.col("chain")], {"begin": F.length("formatted").cast("bigint")}, "nodes")
-    placed = placed.withColumn("finish", F.col("begin") + F.length("formatted"))
-    placed = stage(placed, "placed")
-    spots = placed.select(F.col("name").alias("_anc"), F.col("begin").alias("_b"), F.col("finish").alias("_f"))
-    up = placed.select("name", F.posexplode("chain").alias("_i", "_anc")).join(spots, "_anc")
-    attends = up.groupBy("name").agg(F.sort_array(F.collect_list(F.struct(F.col("_i").alias("depth"), F.col("_b").alias("begin"), F.col("_f").alias("finish")))).alias("attends"))
-    segments = placed.join(attends, "name")
-    inside = F.aggregate("attends", F.lit(0).cast("bigint"), lambda s, x: s + x["finish"] - x["begin"])
-    segments = segments.select("name", F.when(F.col("depth") > 0, F.get("chain", F.col("depth") - 1)).alias("parent"), F.get("chain", F.lit(0)).alias("root"), "depth",
-                               "begin", "finish", (inside - F.length("formatted")).alias("position"), "formatted", "mask_from", "mask_to", "attends")
-    ends = rows.filter(F.col("k") == F.size("names") - 1).select("conv_id", F.col("name").alias("leaf"), F.size("names").cast("bigint").alias("n_turns"))
-    return stage(segments, "segments"), stage(ends, "conversations")
-
-
-def read_back(segments: DataFrame, conversations: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, n_turns, formatted (its text along the intervals it attends to) and masked (unescaped texts under the loss mask).
+    convs = stage(gathered(turns.select("conv_id", "turn", "role", "text")).withColumn("leaf", F.element_at("names", -1)), "conversations")
+    # Equal conversations are merged before the shuffle.
+    distinct = convs.groupBy("leaf").agg(F.min("names").alias("names"), F.min("turns").alias("turns"))
+
+    def part(t):
+        head, body = F.concat(F.lit(HEAD), escaped(t["role"]), F.lit(SEP)), escaped(t["text"])
+        begin = F.length(head).cast("bigint")
+        return F.struct(F.concat(head, body, F.lit(TAIL)).alias("formatted"), begin.alias("mask_from"),
+                        F.when(t["role"] == "assistant", begin + F.length(body)).otherwise(begin).alias("mask_to"))
+
+    walk = stage(emitted(distinct.select("leaf", "names", F.transform("turns", part).alias("parts"))), "walk")
+    lengths = F.transform("parts", lambda p: F.length(p["formatted"]).cast("bigint"))
+    fresh_lengths = F.transform("fresh", lambda p: F.length(p["formatted"]).cast("bigint"))
+    rows = walk.withColumn("_offsets", sums_before(fresh_lengths)).withColumn("_places", F.slice(sums_before(lengths), F.col("kept") + 1, F.greatest(F.size("fresh"), F.lit(0))))
+    zipped = F.arrays_zip(F.col("fresh").alias("p"), F.col("_offsets").alias("o"), F.col("_places").alias("at"), F.slice("names", F.col("kept") + 1, F.size("fresh")).alias("name"),
+                          F.when(F.col("kept") > 0, F.slice("names", F.col("kept"), F.size("fresh")))
+                          .otherwise(F.concat(F.array(F.lit(None).cast("string")), F.slice("names", F.lit(1), F.size("fresh") - 1))).alias("parent"))
+    rows = rows.select(F.get("names", F.lit(0)).alias("root"), "kept", "base", F.posexplode(zipped).alias("i", "z"))
+    begin = F.col("base") + F.col("z.o")
+    segments = rows.select("z.name", "z.parent", "root", (F.col("kept") + F.col("i")).alias("depth"), begin.alias("begin"),
+                           (begin + F.length("z.p.formatted")).alias("finish"), F.col("z.at").alias("position"), "z.p.formatted", "z.p.mask_from", "z.p.mask_to")
+    segments = stage(segments, "segments")
+    spots = segments.select(F.col("name").alias("_name"), F.struct("depth", "begin", "finish").alias("_spot"))
+    steps = walk.select("leaf", F.explode("names").alias("_name")).join(spots, "_name").groupBy("leaf").agg(F.sort_array(F.collect_list("_spot")).alias("_spots"))
+    # A step that begins where the one before ends makes no new interval.
+    opens = F.filter("_spots", lambda s, i: (i == 0) | (s["begin"] != F.get(F.col("_spots"), i - 1)["finish"]))
+    closes = F.filter("_spots", lambda s, i: (i == F.size("_spots") - 1) | (s["finish"] != F.get(F.col("_spots"), i + 1)["begin"]))
+    attends = F.zip_with(opens, closes, lambda a, b: F.struct(a["begin"].alias("begin"), b["finish"].alias("finish")))
+    leaves = stage(steps.select("leaf", F.transform("_spots", lambda s: s["begin"]).alias("steps"), attends.alias("attends")), "leaves")
+    return segments, leaves, convs.select("conv_id", "leaf", F.size("names").cast("bigint").alias("n_turns"))
+
+
+def read_back(segments: DataFrame, leaves: DataFrame, conversations: DataFrame) -> DataFrame:
+    """One row per conversation: conv_id, n_turns, formatted (its text along its leaf's segments) and masked (unescaped texts under the loss mask).
 
     Leaves are read once however many conversations end in them; a segment
     many leaves share is joined by its place, which adaptive execution splits.
     """
-    leaves = conversations.select("leaf").distinct().join(segments.select(F.col("name").alias("leaf"), "attends"), "leaf")
-    steps = leaves.select("leaf", F.explode("attends").alias("a")).select("leaf", F.col("a.depth").alias("depth"), F.col("a.begin").alias("begin"))
-    own = segments.select("begin", "formatted", "mask_from", "mask_to")
-    parts = F.sort_array(F.collect_list(F.struct("depth", "formatted", "mask_from", "mask_to")))
-    texts = steps.join(own, "begin").groupBy("leaf").agg(parts.alias("parts"))
+    own = segments.select("begin", F.struct("begin", "formatted", "mask_from", "mask_to").alias("_part"))
+    texts = leaves.select("leaf", F.explode("steps").alias("begin")).join(own, "begin").groupBy("leaf").agg(F.sort_array(F.collect_list("_part")).alias("parts"))
     masked = F.transform("parts", lambda p: F.substring(p["formatted"], (p["mask_from"] + 1).cast("int"), (p["mask_to"] - p["mask_from"]).cast("int")))
     texts = texts.select("leaf", F.array_join(F.transform("parts", lambda p: p["formatted"]), "").alias("formatted"), F.transform(masked, unescaped).alias("masked"))
     return conversations.join(texts, "leaf").select("conv_id", "n_turns", "formatted", "masked")

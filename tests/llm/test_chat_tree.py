@@ -29,13 +29,13 @@ TURNS = [
 ]
 
 
-def check(segments, ends, turns):
+def check(segments, leaves, ends, turns):
     want = conversations(turns)
     by_name = {s["name"]: s for s in segments}
     # Every distinct beginning once, and the stream without gaps in depth-first order.
     beginnings = {tuple(c[:k + 1]) for c in want.values() for k in range(len(c))}
     assert len(segments) == len(by_name) == len(beginnings)
-    at, open_ = 0, []
+    at, open_, chains = 0, [], {}
     for s in sorted(segments, key=lambda s: s["begin"]):
         assert s["begin"] == at and s["finish"] - at == len(s["formatted"])
         at = s["finish"]
@@ -43,32 +43,47 @@ def check(segments, ends, turns):
         assert s["parent"] == (open_[-1] if open_ else None)
         open_.append(s["name"])
         chain = [by_name[n] for n in open_]
-        assert [(a["begin"], a["finish"]) for a in s["attends"]] == [(c["begin"], c["finish"]) for c in chain]
+        chains[s["name"]] = chain
         assert s["position"] == sum(len(c["formatted"]) for c in chain[:-1]) and s["root"] == open_[0]
     assert sorted(str(e["conv_id"]) for e in ends) == sorted(map(str, want))
+    ends_in = {leaf["leaf"]: leaf for leaf in leaves}
+    assert len(ends_in) == len(leaves) and set(ends_in) == {e["leaf"] for e in ends}
+    for name, leaf in ends_in.items():
+        assert leaf["steps"] == [c["begin"] for c in chains[name]]
+        covered = [x for a in leaf["attends"] for x in range(a["begin"], a["finish"])] if at < 100_000 else None
+        assert covered is None or covered == [x for c in chains[name] for x in range(c["begin"], c["finish"])]
+        assert all(a["finish"] < b["begin"] for a, b in zip(leaf["attends"], leaf["attends"][1:]))
     stream = "".join(s["formatted"] for s in sorted(segments, key=lambda s: s["begin"]))
     for e in ends:
-        leaf = by_name[e["leaf"]]
-        text = "".join(stream[a["begin"]:a["finish"]] for a in leaf["attends"])
+        text = "".join(stream[a["begin"]:a["finish"]] for a in ends_in[e["leaf"]]["attends"])
         assert C.parse(text) == want[e["conv_id"]] and e["n_turns"] == len(want[e["conv_id"]])
 
 
 def test_odd_rows(spark):
-    segments, ends = C.build(frame(spark, TURNS))
-    check(rows(segments), rows(ends), TURNS)
+    segments, leaves, ends = C.build(frame(spark, TURNS))
+    check(rows(segments), rows(leaves), rows(ends), TURNS)
     want = conversations(TURNS)
-    for r in rows(C.read_back(segments, ends).withColumn("turns", C.parsed("formatted"))):
+    for r in rows(C.read_back(segments, leaves, ends).withColumn("turns", C.parsed("formatted"))):
         assert [(t["role"], t["text"]) for t in r["turns"]] == want[r["conv_id"]]
         assert "".join(r["masked"]) == "".join(t for role, t in want[r["conv_id"]] if role == "assistant")
     empty = C.build(frame(spark, []))
-    assert rows(empty[0]) == [] and rows(empty[1]) == [] and rows(C.read_back(*empty)) == []
+    assert all(rows(t) == [] for t in empty) and rows(C.read_back(*empty)) == []
 
 
 def test_shared_first_turn(spark):
     turns = [(i, 0, "user", "the same") for i in range(400)] + [(i, 1, "assistant", f"answer {i % 150}") for i in range(400)]
-    segments, ends = C.build(frame(spark, turns))
+    segments, leaves, ends = C.build(frame(spark, turns))
     assert segments.count() == 151
-    check(rows(segments), rows(ends), turns)
+    check(rows(segments), rows(leaves), rows(ends), turns)
+
+
+def test_a_very_long_conversation(spark):
+    turns = [(1, k, "user" if k % 2 else "assistant", f"turn {k}") for k in range(1500)] + [(2, k, "user" if k % 2 else "assistant", f"turn {k}") for k in range(700)]
+    turns += [(3, k, "user" if k % 2 else "assistant", f"turn {k}" if k < 900 else f"other {k}") for k in range(1000)]
+    segments, leaves, ends = C.build(frame(spark, turns))
+    got = rows(leaves)
+    check(rows(segments), got, rows(ends), turns)
+    assert max(len(x["attends"]) for x in got) == 2
 
 
 def test_query(spark):
