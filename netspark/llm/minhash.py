@@ -18,6 +18,8 @@ NUMERATOR, DENOMINATOR = 75, 100
 BANDS, ROWS = 72, 7
 #: Signature values compared, how many at a time, and the chance of a true pair lost to pruning at one look.
 COMPARED, BATCH, MISS = 256, 32, 1e-6
+#: Buckets of up to so many rows are compared as joined pairs, larger ones in blocks; both ways compare all.
+SMALL_BUCKET = 8
 #: Most rows and shingles of a block where buckets are compared within.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
 
@@ -148,24 +150,19 @@ def similar(pairs: DataFrame, values: DataFrame, docs: DataFrame) -> DataFrame:
     return stage(verified(stage(plausible(pairs, values).distinct(), "plausible"), docs), "links")
 
 
-def compare_block(table: pa.Table) -> pa.Table:
-    """Links between different components in two blocks of a bucket: at most one for each two components.
+def block_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, part): places of the pairs of different components in two blocks of a bucket that their signatures leave.
 
-    Signatures are compared batch by batch as in `plausible`; what is left is
-    verified on the full sets, a pair only in the first band that it shares.
+    Signatures are compared batch by batch as in `plausible`.  A pair that
+    shares one of the bands inside the compared values stays only in the first.
     """
-    ids, parts = table.column("doc_id").to_pylist(), table.column("part").to_pylist()
-    part = np.unique(np.array(parts, dtype=object), return_inverse=True)[1]
+    part = np.unique(np.array(table.column("part").to_pylist(), dtype=object), return_inverse=True)[1]
     values = np.stack([np.frombuffer(v.as_buffer(), "<u2") for v in table.column("values")])
     block = np.array(table.column("block"), np.int64)
     pairs = np.triu(part[:, None] != part[None, :], 1)
     if table.column("first")[0] != table.column("second")[0]:
         pairs &= block[:, None] != block[None, :]
     a, b = np.nonzero(pairs)
-    links = []
-    bands = np.array(table.column("bands").to_pylist(), np.int64)
-    here = table.column("band")[0].as_py()
-    sets = table.column("hashes")
     matched = np.zeros(len(a), np.int64)
     for look, least in enumerate(least_matches()):
         span = slice(look * BATCH, (look + 1) * BATCH)
@@ -174,11 +171,29 @@ def compare_block(table: pa.Table) -> pa.Table:
             matched[c] += (values[a[c], span] == values[b[c], span]).sum(axis=1)
         keep = matched >= least
         a, b, matched = a[keep], b[keep], matched[keep]
-    joined = set()
+    inside, here = COMPARED // ROWS, table.column("band_no")[0].as_py()
+    bands = values[:, : inside * ROWS].reshape(len(values), inside, ROWS)
+    own = np.ones(len(a), bool)
+    for i in range(0, len(a), 4096):
+        c = slice(i, i + 4096)
+        shared = (bands[a[c]] == bands[b[c]]).all(axis=2)
+        own[c] = ~shared.any(axis=1) | (shared.argmax(axis=1) == here)
+    return a[own], b[own], part
+
+
+def involved(table: pa.Table) -> pa.Table:
+    """The rows of a block pair that stand in some pair left by the signatures."""
+    a, b, _ = block_pairs(table)
+    return table.take(pa.array(np.unique(np.concatenate([a, b]))))
+
+
+def compare_block(table: pa.Table) -> pa.Table:
+    """Links in a block pair, verified on the full sets: at most one for each two components."""
+    a, b, part = block_pairs(table)
+    ids, sets = table.column("doc_id").to_pylist(), table.column("hashes")
+    joined, links = set(), []
     for i, j in zip(a.tolist(), b.tolist()):
-        if (part[i], part[j]) in joined or bands[i][np.argmax(bands[i] == bands[j])] != here:
-            continue
-        if near_enough(*(np.frombuffer(sets[k].as_buffer(), np.uint64) for k in (i, j))):
+        if (part[i], part[j]) not in joined and near_enough(*(np.frombuffer(sets[k].as_buffer(), np.uint64) for k in (i, j))):
             joined |= {(part[i], part[j]), (part[j], part[i])}
             links.append((i, j))
     key = table.schema.field("doc_id").type
@@ -186,20 +201,24 @@ def compare_block(table: pa.Table) -> pa.Table:
 
 
 def across(open_: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links in buckets that hold several components; open_: band, doc_id, part; reps: doc_id, n_shingles, bands, values.
+    """Links in buckets that hold several components; open_: band, band_no, doc_id, part; reps: doc_id, n_shingles, values.
 
     A bucket is dealt into blocks of bounded rows and shingles, and each two
     blocks meet in a task: no pair becomes a row unless it is a link.
     """
     key = docs.schema["doc_id"].dataType.simpleString()
-    sized = open_.join(reps.select("doc_id", "n_shingles"), "doc_id").groupBy("band").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s"))
+    held = stage(open_.join(reps.select("doc_id", "n_shingles", "values"), "doc_id"), "held")
+    sized = held.groupBy("band").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s"))
     sized = sized.select("band", F.greatest(F.ceil(F.col("_n") / BLOCK_ROWS), F.ceil(F.col("_s") / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
-    named = open_.select("doc_id").distinct()
-    load = reps.join(named, "doc_id", "left_semi").select("doc_id", "values", "bands").join(full_sets(docs.join(named, "doc_id", "left_semi")), "doc_id")
-    rows = open_.join(sized, "band").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
+    rows = held.join(sized, "band").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.withColumn("first", F.least("block", "_other")).withColumn("second", F.greatest("block", "_other")).drop("_other", "_blocks")
-    return rows.join(stage(load, "sets"), "doc_id").groupBy("band", "first", "second").applyInArrow(compare_block, f"a {key}, b {key}")
+    rows = rows.withColumn("first", F.least("block", "_other")).withColumn("second", F.greatest("block", "_other"))
+    rows = rows.select("band", "band_no", "doc_id", "part", "block", "first", "second", "values")
+    # Signatures first; the full sets, much larger, go only to what they leave.
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    left = stage(rows.groupBy("band", "first", "second").applyInArrow(involved, schema), "involved")
+    sets = full_sets(docs.join(left.select("doc_id").distinct(), "doc_id", "left_semi"))
+    return left.join(sets, "doc_id").groupBy("band", "first", "second").applyInArrow(compare_block, f"a {key}, b {key}")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -208,7 +227,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Documents with equal sets form a class first, named by its smallest id.
     Class names are banded.  In each bucket all are compared with the smallest;
     then, in buckets that still hold more than one component, those of
-    different components are, block by block.  So every pair that shares a band
+    different components are, block by block where a bucket is large.  So every pair that shares a band
     is either compared or already connected, and rows grow with the members of
     buckets, not with their pairs.
 
@@ -223,7 +242,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = usable.groupBy(*name).agg(F.min("doc_id").alias("rep"))
     # A rep may stand in several rows of one id with different sets; each row's bands count.
     first = usable.join(classes.select("rep", *name).withColumnRenamed("rep", "doc_id"), ["doc_id", *name], "left_semi").select("doc_id", "bands", "values")
-    rows = first.select("doc_id", F.explode("bands").alias("band"))
+    rows = first.select("doc_id", F.posexplode("bands").alias("band_no", "band"))
     crowded = rows.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("_last")).filter("pivot < _last").drop("_last")
     members = stage(rows.join(crowded, "band"), "buckets")
     values = first.select("doc_id", "values")  # an id with two sets has two rows, and either may make a link
@@ -232,9 +251,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(links).withColumnsRenamed({"node": "doc_id", "component": "part"})
     placed = members.join(found, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
     mixed_buckets = placed.groupBy("band").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).filter("_a < _b").select("band")
-    open_ = stage(placed.join(mixed_buckets, "band").select("band", "doc_id", "part").distinct(), "open")
+    open_ = stage(placed.join(mixed_buckets, "band").select("band", "band_no", "doc_id", "part").distinct(), "open")
+    sizes = open_.groupBy("band").agg(F.count(F.lit(1)).alias("_n"))
+    small = open_.join(sizes.filter(F.col("_n") <= SMALL_BUCKET).select("band"), "band")
+    x, y = small.select("band", F.col("doc_id").alias("a"), F.col("part").alias("_pa")), small.select("band", F.col("doc_id").alias("b"), F.col("part").alias("_pb"))
+    links = links.unionByName(similar(x.join(y, "band").filter("a < b AND _pa != _pb").select("a", "b").distinct(), values, own))
+    large = open_.join(sizes.filter(F.col("_n") > SMALL_BUCKET).select("band"), "band")
     rep_rows = usable.join(classes.select("rep", *name).withColumnRenamed("rep", "doc_id"), ["doc_id", *name], "left_semi").dropDuplicates(["doc_id", *name])
-    links = links.unionByName(stage(across(open_, rep_rows, own), "links").distinct())
+    links = links.unionByName(stage(across(large, rep_rows, own), "links").distinct())
     same_id = usable.join(classes, name).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     links = links.unionByName(repeated_ids(same_id))
     found = components(links).withColumnsRenamed({"node": "_node", "component": "_part"})
