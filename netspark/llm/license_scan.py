@@ -15,7 +15,11 @@ BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 NAMED, TITLE, CLAUSE, HINT = 1, 2, 3, 4
 SCORES = {NAMED: 1.0, TITLE: 0.8, CLAUSE: 0.6, HINT: 0.3}
 
+#: What ends the name in the endorsement clause, however long the name is; the second part keeps the search linear.
+NEITHER = "nor the names of its contributors may be used to endorse |neither the name of "
+
 # Rules are written over lower-case words with one space between, so "CC BY-NC 4.0" reads "cc by nc 4 0".
+# Every match of a rule holds its keyword as a word; spellings without a common word are rules of their own.
 # (label, keyword, pattern, versions, tier): {v} takes each version's words; without versions the pattern stands alone.
 FAMILIES = [
     ("gpl-{}", "general", r"(?:gnu )?general public license(?: gpl)?(?: as published by the free software foundation)?(?: either)? v(?:ersion )?{v}", ["1", "2", "3"], NAMED),
@@ -46,7 +50,8 @@ FAMILIES = [
     ("artistic-{}", "artistic", r"artistic licen[sc]e(?: v(?:ersion)?)? ?{v}", ["1 0", "2 0"], NAMED),
     ("bsl-{}", "boost", r"boost software licen[sc]e(?: v(?:ersion)?)? ?{v}", ["1 0"], NAMED),
     ("bsd-{}-clause", "bsd", r"(?:{v} clause bsd|bsd {v} clause)(?: licen[sc]e)?", ["0", "1", "2", "3", "4"], NAMED),
-    ("bsd-2-clause", "bsd", r"(?:simplified bsd|freebsd)(?: licen[sc]e)?", [], NAMED),
+    ("bsd-2-clause", "bsd", r"simplified bsd(?: licen[sc]e)?", [], NAMED),
+    ("bsd-2-clause", "freebsd", r"freebsd(?: licen[sc]e)?", [], NAMED),
     ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd)(?: licen[sc]e)?", [], NAMED),
     ("bsd-4-clause", "bsd", r"original bsd(?: licen[sc]e)?", [], NAMED),
     ("ms-pl", "microsoft", r"microsoft public licen[sc]e", [], NAMED),
@@ -86,11 +91,11 @@ FAMILIES = [
     ("public-domain", "domain", r"(?:released|placed|dedicated) (?:in)?to the public domain", [], TITLE),
     ("public-domain", "domain", r"(?:is|are) in the public domain", [], TITLE),
     ("proprietary", "proprietary", r"proprietary (?:and confidential|licen[sc]e|software)", [], TITLE),
-    ("proprietary", "licensed", r"may not be (?:copied|reproduced|redistributed) without (?:prior |written |express )*permission", [], TITLE),
+    ("proprietary", "permission", r"may not be (?:copied|reproduced|redistributed) without (?:prior |written |express )*permission", [], TITLE),
     ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy", [], CLAUSE),
     ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", [], CLAUSE),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", [], CLAUSE),
-    ("bsd-3-clause", "endorse", r"neither the name of .{1,80}? nor the names of its contributors may be used to endorse", [], CLAUSE),
+    ("bsd-3-clause", "endorse", rf"neither the name of(?: (?!{NEITHER})[^ ]++)++ nor the names of its contributors may be used to endorse", [], CLAUSE),
     ("zlib", "origin", r"the origin of this software must not be misrepresented", [], CLAUSE),
     ("apache-2.0", "unless", r"unless required by applicable law or agreed to in writing software distributed under the licen[sc]e", [], CLAUSE),
     ("gpl", "software", r"this program is free software you can redistribute it and or modify it", [], CLAUSE),
@@ -101,7 +106,8 @@ FAMILIES = [
     ("copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}", [], HINT),
     ("licensed", "licensed", r"(?:is )?licensed under", [], HINT),
     ("licensed", "released", r"released under", [], HINT),
-    ("licensed", "license", r"see (?:the )?licen[sc]e(?: file)?", [], HINT),
+    ("licensed", "license", r"see (?:the )?license(?: file)?", [], HINT),
+    ("licensed", "licence", r"see (?:the )?licence(?: file)?", [], HINT),
     ("licensed", "spdx", r"spdx license identifier", [], HINT),
 ]
 CC_PARTS = ["by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"]

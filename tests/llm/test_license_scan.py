@@ -89,3 +89,63 @@ def test_rules_are_many_and_all_compile():
 @pytest.mark.parametrize("text, label", [("MIT License", "mit"), ("GPL-3.0-only", "gpl-3"), ("CC0 1.0 Universal", "cc0-1.0"), ("cc by sa 4 0", "cc-by-sa-4.0"), ("New BSD License", "bsd-3-clause")])
 def test_names(text, label):
     assert label in {d[4] for d in surviving(normal_words(text))}
+
+
+def samples(parsed):
+    """Texts a pattern matches: every alternative, every optional part with and without, repeats once and twice at most."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            some = [chr(arg)]
+        elif name == "IN":
+            some = ["x", "0"] if str(arg[0][0]) == "CATEGORY" else [chr(v if str(k) == "LITERAL" else v[0]) for k, v in arg]
+        elif name == "NOT_LITERAL":
+            some = ["x"]
+        elif name == "SUBPATTERN":
+            some = samples(arg[3])
+        elif name == "BRANCH":
+            some = [x for branch in arg[1] for x in samples(branch)]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            low, high, part = arg
+            one = samples(part)
+            some = [x * k for x in one for k in sorted({low, min(int(high), low + 1)})]
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT"), name
+            some = [""]
+        out = [a + b for a in out for b in dict.fromkeys(some)]
+    return out
+
+
+def matched(w, rules):
+    """Rules by their matches in a normal text, without any gate."""
+    text = " " + " ".join(w) + " "
+    return {(m.start(), m.end(), i) for i, _, _, regex, _ in rules for m in re.finditer(regex, text)}
+
+
+def test_every_match_holds_the_keyword():
+    for rule in S.signatures():
+        for text in samples(re._parser.parse(rule[3])):
+            assert matched(text.split(" "), [rule]), (rule, text)
+            assert f" {rule[2]} " in f" {text} ", (rule, text)
+
+
+NAME = "the " + "very " * 60 + "long named university of x nor y"
+
+
+def test_gate_drops_nothing(spark):
+    """Texts that match one rule each, alone, as the query finds them and as the rules do without the gate."""
+    texts = [samples(re._parser.parse(r[3]))[-1] for r in S.signatures()]
+    texts += ["May not be reproduced without prior written permission.", "FreeBSD License", "see the LICENCE file", "see LICENSE", "may not be copied", "licence",
+              f"Neither the name of {NAME} nor the names of its contributors may be used to endorse",
+              "neither the name of a neither the name of b nor the names of its contributors may be used to endorse x",
+              "neither the name of nor the names of its contributors may be used to endorse", "neither the name of x. " * 5000]
+    docs = odd_docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    found = docs.select("doc_id", S.detections(S.normal(docs["text"])).alias("d")).collect()
+    for r in found:
+        w = normal_words(texts[r["doc_id"]])
+        text = " " + " ".join(w) + " "
+        want = {(text[:a].count(" ") - 1, text[:b].count(" "), i) for a, b, i in matched(w, S.signatures())}
+        assert {(d["start"], d["end"], d["rule"]) for d in r["d"]} == want, texts[r["doc_id"]][:80]
+    labels = {r["doc_id"] - len(S.signatures()): {d["label"] for d in r["d"]} for r in found}
+    assert [sorted(labels[i]) for i in range(10)] == [["proprietary"], ["bsd-2-clause"], ["licensed"], ["licensed"], [], [], ["bsd-3-clause"], ["bsd-3-clause"], [], []]
