@@ -14,8 +14,10 @@ KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["none", *KINDS]
 #: Token shapes are hashed to so many classes, which bounds the model.
 SHAPES = 1 << 14
-#: Rounds of message passing, damping, and the posterior from which a token is taken.
-ROUNDS, DAMPING, CERTAIN = 20, 0.3, 0.9
+#: Message passing ends when no message changes by more than the first number; damping; and the posterior from which a token is taken.
+TOLERANCE, DAMPING, CERTAIN = 1e-4, 0.3, 0.9
+#: Without convergence, which loops cannot promise, it ends after so many sweeps and one more per path.
+SWEEPS = 200
 LIMIT = 6.0
 #: Differing and agreeing skip links assumed before any are seen; their keys are narrow, so agreement is the rule.
 AGREE = [1.0, 100.0]
@@ -87,12 +89,14 @@ def skip_key(token: str) -> str | None:
 class Graph:
     """The tokens of a text that hold a digit or an @: places, shapes, links to neighbours, and skip links between related ones.
 
-    A skip link joins an occurrence to the next one with its key, so links grow with the tokens and not with their pairs.
+    A skip link joins an occurrence to the next one with its key, and an open one to the nearest labelled ones with its key before and
+    behind it, so links grow with the tokens and not with their pairs, and a label needs no way through other open occurrences.
+    `paths` holds all links as (table, nodes in order): table 0 for neighbours, 1 for skip links.
     """
 
     def __init__(self, text: str, spans: list[tuple[int, int, int]]):
-        self.places, self.shapes, self.labels, numbers, last = [], [], [], [], {}
-        self.skips, self.chain = [], []
+        self.places, self.shapes, self.labels, numbers, lists = [], [], [], [], {}
+        self.chain, self.paths = [], []
         at = 0
         for number, m in enumerate(TOKEN.finditer(text)):
             if not MARKED.search(m[0]):
@@ -103,15 +107,48 @@ class Graph:
             i = len(self.places)
             if numbers and numbers[-1] == number - 1:
                 self.chain.append((i - 1, i))
+                self.paths[-1][1].append(i)
+            else:
+                self.paths.append((0, [i]))
             key = skip_key(m[0])
             if key is not None:
-                if key in last:
-                    self.skips.append((last[key], i))
-                last[key] = i
+                lists.setdefault(key, []).append(i)
             self.places.append((m.start(), m.end()))
             self.shapes.append(shape(m[0]))
             self.labels.append(label)
             numbers.append(number)
+        self.joined = set(self.chain)
+        self.skips = [link for nodes in lists.values() for path in [nodes, *self.anchored(nodes)] for link in self.join(1, path)]
+        self.paths = [p for p in self.paths if len(p[1]) > 1]
+
+    def anchored(self, nodes: list[int]) -> list[list[int]]:
+        """Each open node with the nearest labelled one before it, and with the nearest behind it."""
+        out, before, behind = [], None, None
+        for i in nodes:
+            if self.labels[i]:
+                before = i
+            elif before is not None:
+                out.append([before, i])
+        for i in reversed(nodes):
+            if self.labels[i]:
+                behind = i
+            elif behind is not None:
+                out.append([i, behind])
+        return out
+
+    def join(self, table: int, nodes: list[int]) -> list[tuple[int, int]]:
+        """Link each node to the next; a pair that is linked already stays so, as a second link would count its evidence twice."""
+        links, path = [], nodes[:1]
+        for link in zip(nodes, nodes[1:]):
+            if link in self.joined:
+                self.paths.append((table, path))
+                path = [link[1]]
+            else:
+                self.joined.add(link)
+                links.append(link)
+                path.append(link[1])
+        self.paths.append((table, path))
+        return links
 
 
 def train_counts(text: str | None) -> Counter:
@@ -180,38 +217,63 @@ def factors(counts: dict) -> dict:
     return {"shapes": unary, "unseen": np.log(prior), "chain": association(chain), "skip": weight * np.eye(n)}
 
 
+def sweep(local: np.ndarray, table: np.ndarray, tables: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Messages along all paths at once, from each first node to the last: what comes into each element, log.
+
+    `local` is what an element knows besides its path, `place` its number in the
+    path.  A message is the product of the steps before it; products of 1, 2,
+    4, ... steps are put together, so a path takes the logarithm of its length.
+    """
+    steps = np.exp(local - local.max(axis=1, keepdims=True))[:, :, None] * np.exp(tables - tables.max(axis=(1, 2), keepdims=True))[table]
+    width, longest = 1, int(place.max())
+    while width < longest:
+        at = np.flatnonzero(place >= width)
+        both = steps[at - width] @ steps[at]
+        steps[at] = both / both.max(axis=(1, 2), keepdims=True)
+        width *= 2
+    out = np.zeros_like(local)
+    into = np.flatnonzero(place > 0)
+    out[into] = np.log(np.maximum(steps[into - 1].sum(axis=1), 1e-300))
+    return out - out.max(axis=1, keepdims=True)
+
+
 def posteriors(g: Graph, model: dict) -> np.ndarray:
-    """Label chances of a text's tokens by damped loopy message passing over chain and skip links, all links at once.
+    """Label chances of a text's tokens by damped loopy message passing over chain and skip links, until messages stand still.
 
+    A sweep passes messages along every path in both directions, so evidence
+    reaches all occurrences of a key at once, however many there are.
     Neighbours that hold neither digit nor @ are known to be none.  Tokens
     under a base span are fixed to its label, so only what is open moves.
     """
     n = len(g.places)
     own = np.stack([model["shapes"].get(s, model["unseen"]) for s in g.shapes])
-    left, right = {j for _, j in g.chain}, {i for i, _ in g.chain}
-    own[[i not in left for i in range(n)]] += model["chain"][0]
-    own[[i not in right for i in range(n)]] += model["chain"][:, 0]
+    inner = np.zeros((2, n), bool)
+    for i, j in g.chain:
+        inner[0, j] = inner[1, i] = True
+    own[~inner[0]] += model["chain"][0]
+    own[~inner[1]] += model["chain"][:, 0]
     for i, y in enumerate(g.labels):
         if y:
-            own[i] = -50.0
+            own[i] = -1e9  # more than any number of links can say
             own[i, y] = 0.0
-    edges = [(i, j, 0) for i, j in g.chain] + [(i, j, 1) for i, j in g.skips]
-    if edges:
-        a, b, kind = np.array(edges).T
-        table = np.stack([model["chain"], model["skip"]])[kind]
-        src, dst = np.concatenate([a, b]), np.concatenate([b, a])
-        table = np.concatenate([table, table.transpose(0, 2, 1)])  # [link, label of src, label of dst]
-        back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
-        messages = np.zeros((len(src), len(LABELS)))
-        for _ in range(ROUNDS):
+    if g.paths:
+        sizes = np.array([len(nodes) for _, nodes in g.paths])
+        node = np.concatenate([nodes for _, nodes in g.paths])
+        table = np.repeat([t for t, _ in g.paths], sizes)
+        place = np.arange(len(node)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        rest = np.repeat(sizes, sizes) - 1 - place
+        tables = np.stack([model["chain"], model["skip"]])
+        messages = np.zeros((2, len(node), len(LABELS)))
+        for _ in range(SWEEPS + len(sizes)):
             belief = own.copy()
-            np.add.at(belief, dst, messages)
-            send = (belief[src] - messages[back])[:, :, None] + table
-            top = send.max(axis=1, keepdims=True)
-            fresh = np.log(np.exp(send - top).sum(axis=1)) + top[:, 0]
-            fresh -= fresh.max(axis=1, keepdims=True)
+            np.add.at(belief, node, messages[0] + messages[1])
+            local = belief[node] - messages[0] - messages[1]
+            fresh = np.stack([sweep(local, table, tables, place), sweep(local[::-1], table[::-1], tables.transpose(0, 2, 1), rest[::-1])[::-1]])
+            change = np.abs(fresh - messages).max()
             messages = DAMPING * messages + (1 - DAMPING) * fresh
-        np.add.at(own, dst, messages)
+            if change < TOLERANCE:
+                break
+        np.add.at(own, node, messages[0] + messages[1])
     own -= own.max(axis=1, keepdims=True)
     chance = np.exp(own)
     return chance / chance.sum(axis=1, keepdims=True)

@@ -104,3 +104,32 @@ def test_odd_rows(spark):
     for r in out:
         assert [(s["start"], s["kind"], s["end"]) for s in r["_pii"] if s["base"]] == expected(r["text"])
     assert rows(P.scan(empty_docs(spark))) == []
+
+
+def test_label_reaches_every_repeat(spark):
+    model = P.fit(odd_docs(spark, [(i, t, "s") for i, t in enumerate(corpus())]))
+    text = "ask +1 (017) 482-9931 today" + " word word 482-9931 again" * 300
+    found = P.find(text, model)
+    assert [(text[a:b], P.KINDS[k], base) for a, k, b, base in found] == [("+1 (017) 482-9931", "phone", True)] + [("482-9931", "phone", False)] * 300
+
+
+def test_long_path_agrees_with_passes_in_order():
+    rng = np.random.default_rng(1)
+    g = P.Graph(" w ".join(["1234567"] * 101), [])
+    k = len(P.LABELS)
+    model = {"shapes": {}, "unseen": np.zeros(k), "chain": np.zeros((k, k)), "skip": 6 * np.eye(k)}
+    g.labels[0] = 3
+    g.shapes = list(range(101))
+    model["shapes"] = {s: rng.normal(size=k) for s in g.shapes}
+    assert g.skips == [(i, i + 1) for i in range(100)]
+    own = np.exp(np.stack([model["shapes"][s] for s in g.shapes]))
+    own[0] = np.eye(k)[3]
+    table = np.exp(model["skip"])
+    ahead, back = np.ones((101, k)), np.ones((101, k))
+    for i in range(1, 101):
+        ahead[i] = (ahead[i - 1] * own[i - 1]) @ table
+        ahead[i] /= ahead[i].sum()
+        back[100 - i] = table @ (back[101 - i] * own[101 - i])
+        back[100 - i] /= back[100 - i].sum()
+    want = own * ahead * back
+    assert np.abs(P.posteriors(g, model) - want / want.sum(axis=1, keepdims=True)).max() < 1e-3
