@@ -21,6 +21,11 @@ SWEEPS = 200
 LIMIT = 6.0
 #: Differing and agreeing skip links assumed before any are seen; their keys are narrow, so agreement is the rule.
 AGREE = [1.0, 100.0]
+#: Tokens of fewer digits are equal by chance more often: by their digits, agreeing links assumed to a differing one.
+#: At most so many digits say little, and there an open repeat of a labelled token counts as differing.
+FEW, SAME = 3, [0.1, 0.1, 1.0, 10.0, 100.0, 100.0, 100.0]
+#: A number that is written in groups has at most so many digits.
+LONGEST = 19
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -30,6 +35,8 @@ CARD = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 MARKED = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"\S+")
+DIGITS, OUTER = frozenset("0123456789"), "()[]{}<>.,;:!?'\"+-*/#"
+NUMBER = re.compile(r"[^\w@]*[0-9](?:[^\w@]|[0-9])*")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -86,18 +93,43 @@ def skip_key(token: str) -> str | None:
     return re.sub(r"[^\w@]", "", token).lower() if "@" in token else None
 
 
+def group_keys(run: list[str]) -> list[tuple[int, tuple]]:
+    """(place before the end, key) of the last tokens of a run of neighbouring number tokens, given by their digits, last first.
+
+    The last seven digits of the joined run name it, so "+44 20 7946 0958" and
+    "020 7946 0958" meet token by token from the end; a token before those
+    seven digits meets one with equal last two digits.
+    """
+    joined = ""
+    for p, digits in enumerate(run):
+        joined = digits + joined
+        if len(joined) >= 7:
+            break
+    if len(joined) < 7:
+        return []
+    name, size, out = joined[-7:], 0, []
+    for p, digits in enumerate(run):
+        if p and size + len(digits) > LONGEST:
+            break
+        out.append((p, (name, p) if size < 7 else (name, p, digits[-2:])))
+        size += len(digits)
+    return out
+
+
 class Graph:
     """The tokens of a text that hold a digit or an @: places, shapes, links to neighbours, and skip links between related ones.
 
     A skip link joins an occurrence to the next one with its key, and an open one to the nearest labelled ones with its key before and
     behind it, so links grow with the tokens and not with their pairs, and a label needs no way through other open occurrences.
-    `paths` holds all links as (table, nodes in order): table 0 for neighbours, 1 for skip links.
+    Keys are those of single tokens, and of every end of a run of neighbouring tokens that are numbers, so a number in groups has them too.
+    Shorter tokens are related where they are equal and one of them is labelled; these links are `repeats` (first, second, digits).
+    `paths` holds all links as (table, nodes in order): table 0 for neighbours, 1 for skip links, 2 + digits for repeats.
     """
 
     def __init__(self, text: str, spans: list[tuple[int, int, int]]):
         self.places, self.shapes, self.labels, numbers, lists = [], [], [], [], {}
         self.chain, self.paths = [], []
-        at = 0
+        at, run, equal = 0, [], {}
         for number, m in enumerate(TOKEN.finditer(text)):
             if not MARKED.search(m[0]):
                 continue
@@ -110,15 +142,31 @@ class Graph:
                 self.paths[-1][1].append(i)
             else:
                 self.paths.append((0, [i]))
+                run = []
+            bare = m[0].strip(OUTER)
+            digits = re.sub(r"[^0-9]", "", m[0])
             key = skip_key(m[0])
-            if key is not None:
-                lists.setdefault(key, []).append(i)
+            if NUMBER.fullmatch(m[0]):
+                run = [digits, *run[: LONGEST - 1]]
+                for p, name in group_keys(run):
+                    lists.setdefault(name, []).append(i - p)
+            else:
+                run = []
+                if key is not None:
+                    lists.setdefault((key, 0), []).append(i)
+            if key is None and bare:
+                equal.setdefault(bare.lower(), []).append(i)
             self.places.append((m.start(), m.end()))
             self.shapes.append(shape(m[0]))
             self.labels.append(label)
             numbers.append(number)
         self.joined = set(self.chain)
         self.skips = [link for nodes in lists.values() for path in [nodes, *self.anchored(nodes)] for link in self.join(1, path)]
+        self.repeats = []
+        for bare, nodes in equal.items():
+            if len(nodes) > 1 and any(self.labels[i] for i in nodes):
+                size = sum(c in DIGITS for c in bare)
+                self.repeats += [(*link, size) for path in [nodes, *self.anchored(nodes)] for link in self.join(2 + size, path)]
         self.paths = [p for p in self.paths if len(p[1]) > 1]
 
     def anchored(self, nodes: list[int]) -> list[list[int]]:
@@ -155,7 +203,8 @@ def train_counts(text: str | None) -> Counter:
     """Counts of (shape, label), of neighbouring labels and of labels at both ends of skip links, by the base labels.
 
     A base label is sure, its absence is not: a repeat in another form is just
-    what the base misses.  So a skip link counts where both its ends are labelled.
+    what the base misses.  So a skip link counts where both its ends are labelled;
+    of the links of tokens of few digits, where repeats by chance are the rule, also those with one labelled end.
     """
     out = Counter()
     text = text or ""
@@ -170,13 +219,16 @@ def train_counts(text: str | None) -> Counter:
     for i, j in g.skips:
         if g.labels[i] and g.labels[j]:
             out[("skip", int(g.labels[i] == g.labels[j]), 0)] += 1
+    for i, j, size in g.repeats:
+        if (g.labels[i] and g.labels[j]) or (size <= FEW and (g.labels[i] or g.labels[j])):
+            out[("repeat", int(g.labels[i] == g.labels[j]), size)] += 1
     return out
 
 
 def fit(docs: DataFrame) -> dict:
     """Piecewise training over all texts: each factor is estimated by itself from corpus counts.
 
-    The counts are summed by Spark; at most SHAPES * 5 + 27 sums reach the driver.
+    The counts are summed by Spark; at most SHAPES * 5 + 41 sums reach the driver.
     """
     def count(batches):
         for frame in batches:
@@ -200,6 +252,7 @@ def association(counts: np.ndarray) -> np.ndarray:
 def factors(counts: dict) -> dict:
     n = len(LABELS)
     shapes, chain, agree = {}, np.zeros((n, n)), np.array(AGREE)
+    same = np.array([[1.0, x] for x in SAME])
     prior = np.full(n, 0.01)
     prior[0] = 1.0
     for (factor, a, b), c in counts.items():
@@ -208,13 +261,16 @@ def factors(counts: dict) -> dict:
             prior[b] += c
         elif factor == "chain":
             chain[a, b] += c
+        elif factor == "repeat":
+            same[b, a] += c
         else:
             agree[a] += c
     prior /= prior.sum()
     unary = {s: np.log((c + prior) / (c.sum() + 1)) for s, c in shapes.items()}
     # One weight for agreement, whatever the label; before any data related tokens agree.
     weight = np.clip(np.log(agree[1] / agree[0] * (n - 1)), 0, LIMIT)
-    return {"shapes": unary, "unseen": np.log(prior), "chain": association(chain), "skip": weight * np.eye(n)}
+    repeat = np.clip(np.log(same[:, 1] / same[:, 0] * (n - 1)), 0, LIMIT)
+    return {"shapes": unary, "unseen": np.log(prior), "chain": association(chain), "skip": weight * np.eye(n), "repeat": repeat[:, None, None] * np.eye(n)}
 
 
 def sweep(local: np.ndarray, table: np.ndarray, tables: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -262,7 +318,7 @@ def posteriors(g: Graph, model: dict) -> np.ndarray:
         table = np.repeat([t for t, _ in g.paths], sizes)
         place = np.arange(len(node)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         rest = np.repeat(sizes, sizes) - 1 - place
-        tables = np.stack([model["chain"], model["skip"]])
+        tables = np.stack([model["chain"], model["skip"], *model.get("repeat", [])])
         messages = np.zeros((2, len(node), len(LABELS)))
         for _ in range(SWEEPS + len(sizes)):
             belief = own.copy()

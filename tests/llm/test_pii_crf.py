@@ -133,3 +133,44 @@ def test_long_path_agrees_with_passes_in_order():
         back[100 - i] /= back[100 - i].sum()
     want = own * ahead * back
     assert np.abs(P.posteriors(g, model) - want / want.sum(axis=1, keepdims=True)).max() < 1e-3
+
+
+def grouped():
+    """Phones and cards in groups, labelled once and repeated in forms that the base patterns miss."""
+    rng = np.random.default_rng(3)
+    out = []
+    for i in range(300):
+        a, b, c = rng.integers(20, 99), rng.integers(1000, 9999), rng.integers(1000, 9999)
+        phone = f"+44 {a} {b} {c} and later +44 {a} {b} {c} word"
+        phone += f" word +1 2{a} {b // 10} {c} word"
+        out.append([phone + f" 0{a} {b} {c} word", phone + " call 12 of 40", "about 2024 items of 100 at 4.0 word 12 of 300 word"][i % 3])
+    return out
+
+
+def test_numbers_in_groups_take_the_label(spark):
+    model = P.fit(odd_docs(spark, [(i, t, "s") for i, t in enumerate(grouped())]))
+    text = "call +44 20 7946 0958 today, or 020 7946 0958. word 7946 0958 again, 12 of 300 items in 2024"
+    found = [(text[a:b], P.KINDS[k], base) for a, k, b, base in P.find(text, model)]
+    assert found == [("+44 20 7946 0958", "phone", True), ("020 7946 0958", "phone", False), ("7946 0958", "phone", False)]
+    assert P.find(text[text.index("020 7946"):], model) == []
+
+
+def test_links_of_groups_and_short_tokens():
+    text = "card 4539 1488 0343 6467 word 4539  1488  0343  6467 word 45-39 x9 12"
+    g = P.Graph(text, P.base_spans(text))
+    word = [text[a:b] for a, b in g.places]
+    links = {(i, j) for i, j in g.skips} | {(i, j) for i, j, _ in g.repeats}
+    assert {(0, 4), (1, 5), (2, 6), (3, 7)} <= {(i, j) for i, j in links}
+    assert all(word[i] == word[j] for i, j in links) and len(links) == len(set(links))
+    assert not links & set(g.chain)
+    text = "+44 20 7946 0958 or 020 7946 0958 and +442079460958"
+    g = P.Graph(text, [(0, 3, 16)])
+    assert {(1, 4), (2, 5), (3, 6), (6, 7)} <= set(g.skips)
+    # Without a labelled token, short tokens are not related.
+    assert P.Graph("v 12 w 12 w 2024 w 2024", []).repeats == []
+
+
+def test_runs_of_numbers_stay_linear():
+    for text in ("1 " * 50_000, "12 x " * 50_000, "+44 20 7946 0958 " * 10_000):
+        g = P.Graph(text, P.base_spans(text))
+        assert sum(len(nodes) for _, nodes in g.paths) <= 25 * len(g.places)
