@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from netspark.llm.common import stage
 from netspark.llm.hashing import mixed, text_words
 
-ORDER = 2
+ORDER = 3
 #: Weight of the lower order in (count + weight * lower) / (context + weight).
 BACKOFF = 20.0
 #: Smoothing of single tokens.
@@ -36,15 +36,28 @@ def held_out(doc_id) -> bool:
 
 
 def pack_numbers(x: np.ndarray) -> bytes:
-    """32-bit numbers by byte planes, compressed."""
-    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+    """Numbers of up to 64 bits by the byte planes they use, compressed; behind their count and the number of planes."""
+    x = x.astype("<u8")
+    used = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :used].T)
+    return len(x).to_bytes(7, "little") + bytes([used]) + (pa.compress(planes.tobytes(), "zstd", asbytes=True) if used else b"")
 
 
 def unpack_numbers(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+    n, used = int.from_bytes(data[:7], "little"), data[7]
+    out = np.zeros((n, 8), np.uint8)
+    if used:
+        out[:, :used] = np.frombuffer(pa.decompress(data[8:], decompressed_size=used * n, codec="zstd", asbytes=True), np.uint8).reshape(used, n).T
+    return out.view("<u8").reshape(-1)
+
+
+def pack_keys(hashes: np.ndarray) -> bytes:
+    """Sorted numbers by their differences."""
+    return pack_numbers(np.diff(hashes, prepend=np.uint64(0)))
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack_numbers(data), dtype=np.uint64)
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -91,7 +104,7 @@ def ngrams(lengths: np.ndarray, tokens: np.ndarray, words: np.ndarray, order: in
     starts = np.zeros(len(tokens), bool)
     starts[np.cumsum(lengths)[:-1]] = True
     starts[0] = True
-    out = [{"hashes": words, "index": tokens.astype(np.int64), "contexts": None}]
+    out = [{"hashes": words, "index": tokens.astype(np.int32), "contexts": None}]
     for k in range(2, order + 1):
         lower = out[-1]
         context = np.empty(len(tokens), np.int64)
@@ -102,8 +115,8 @@ def ngrams(lengths: np.ndarray, tokens: np.ndarray, words: np.ndarray, order: in
         codes[absent] = -1
         kinds, index = np.unique(codes, return_inverse=True)
         skip = int(len(kinds) > 0 and kinds[0] == -1)
-        kinds, index = kinds[skip:], index - skip
-        contexts, last = kinds // len(words) - 1, kinds % len(words)
+        kinds, index = kinds[skip:], (index - skip).astype(np.int32)
+        contexts, last = (kinds // len(words) - 1).astype(np.int32), (kinds % len(words)).astype(np.int32)
         before = np.append(lower["hashes"], BEGIN)[contexts]
         out.append({"hashes": mixed(before * _PAIR + words[last] + np.uint64(k)), "index": index, "contexts": contexts, "last": last})
     return out
@@ -111,7 +124,7 @@ def ngrams(lengths: np.ndarray, tokens: np.ndarray, words: np.ndarray, order: in
 
 def block_columns(batch, i):
     lengths, tokens = (unpack_numbers(batch.column(c)[i].as_py()) for c in ("lengths", "tokens"))
-    return lengths.astype(np.int64), tokens, np.frombuffer(batch.column("words")[i].as_buffer(), np.uint64)
+    return lengths.astype(np.int64), tokens.astype(np.int64), np.frombuffer(batch.column("words")[i].as_buffer(), np.uint64)
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -129,13 +142,13 @@ def requests(table: DataFrame, order: int, buckets: int) -> DataFrame:
                 rows = []
                 for level, grams in enumerate(ngrams(lengths, tokens, words, order), 1):
                     use = train & (grams["index"] >= 0)
-                    counts = np.bincount(grams["index"][use], minlength=len(grams["hashes"])).astype("<u4")
+                    counts = np.bincount(grams["index"][use], minlength=len(grams["hashes"]))
                     by = np.argsort(grams["hashes"]) if level > 1 else slice(None)
                     hashes, counts = grams["hashes"][by], counts[by]
                     edges = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
-                    # Single words keep all 64 bits; longer n-grams the low 48 beside their bucket.
-                    keys = hashes.view(np.uint8).reshape(-1, 8)[:, : 8 if level == 1 else 6]
-                    rows += [(b, level, keys[lo:hi].tobytes(), counts[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])) if hi > lo]
+                    # Single words keep all 64 bits; longer n-grams 48 below those that tell their bucket.
+                    keys = hashes >> np.uint64(0 if level == 1 else max(0, 16 - (buckets - 1).bit_length()))
+                    rows += [(b, level, pack_keys(keys[lo:hi]), pack_numbers(counts[lo:hi])) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])) if hi > lo]
                 block = batch.column("block")[i].as_py()
                 for at in range(0, len(rows), 1024):
                     part = rows[at: at + 1024]
@@ -148,15 +161,11 @@ def requests(table: DataFrame, order: int, buckets: int) -> DataFrame:
 
 def answer(table: pa.Table) -> pa.Table:
     """Sum a bucket's counts over blocks: per request the sums in its order, and once the number of n-grams seen in training."""
-    level = table.column("level")[0].as_py()
-    width = 8 if level == 1 else 6
-    parts = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, width) for x in table.column("keys")]
-    keys = np.zeros((sum(map(len, parts)), 8), np.uint8)
-    np.concatenate(parts, out=keys[:, :width])
-    counts = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table.column("counts")])
-    _, which = np.unique(keys.view(np.uint64).reshape(-1), return_inverse=True)
+    parts = [unpack_keys(x.as_py()) for x in table.column("keys")]
+    counts = np.concatenate([unpack_numbers(x.as_py()) for x in table.column("counts")])
+    _, which = np.unique(np.concatenate(parts), return_inverse=True)
     sums = np.bincount(which, weights=counts).astype(np.int64)
-    every = np.minimum(sums, 0xFFFFFFFF)[which].astype("<u4")
+    every = np.minimum(sums, 0xFFFFFFFF)[which]
     edges = np.cumsum([0] + [len(p) for p in parts])
     seen = [int((sums > 0).sum())] + [0] * (len(parts) - 1)
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "level": table.column("level"),
@@ -233,13 +242,13 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
         got = sorted(zip(right.column("level").to_pylist(), right.column("bucket").to_pylist(), right.column("sums").to_pylist()))
         counts = []
         for k, level in enumerate(grams, 1):
-            ordered = np.concatenate([unpack_numbers(x[2]) for x in got if x[0] == k] or [np.empty(0, np.uint32)]).astype(np.int64)
+            ordered = np.concatenate([unpack_numbers(x[2]) for x in got if x[0] == k] or [np.empty(0, np.uint64)]).astype(np.int64)
             mine = np.empty(len(ordered), np.int64)
             mine[np.argsort(level["hashes"]) if k > 1 else slice(None)] = ordered
             counts.append(mine)
             if k > 2:  # the n-gram one shorter that ends at the same position
                 at = level["index"] >= 0
-                level["suffix"] = np.zeros(len(level["hashes"]), np.int64)
+                level["suffix"] = np.zeros(len(level["hashes"]), np.int32)
                 level["suffix"][level["index"][at]] = grams[k - 2]["index"][at]
         arcs, fails = automaton(grams, counts, total, distinct, trained, backoff)
         edges = np.cumsum(lengths) - lengths

@@ -80,3 +80,15 @@ def test_empty_and_untrained(spark):
 def test_numbers_round_trip(numbers):
     x = np.array(numbers, np.uint32)
     assert L.unpack_numbers(L.pack_numbers(x)).tolist() == numbers
+
+
+@given(st.lists(st.integers(0, 2**64 - 1)))
+def test_keys_round_trip(numbers):
+    assert L.unpack_keys(L.pack_keys(np.sort(np.array(numbers, np.uint64)))).tolist() == sorted(numbers)
+
+
+def test_registered_order_counts_trigrams(spark):
+    """After "a b" comes c, after "x b" comes d: only a third token of context tells them apart."""
+    docs = [(i, "a b c" if i % 2 else "x b d", "s") for i in range(200)] + [(1000, "a b d", "s")]
+    out = {r["doc_id"]: r["score"] for r in rows(L.score(odd_docs(spark, docs)))}
+    assert out[1] - out[1000] > 0.5
