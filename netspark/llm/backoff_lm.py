@@ -165,7 +165,7 @@ def answer(table: pa.Table) -> pa.Table:
     counts = np.concatenate([unpack_numbers(x.as_py()) for x in table.column("counts")])
     _, which = np.unique(np.concatenate(parts), return_inverse=True)
     sums = np.bincount(which, weights=counts).astype(np.int64)
-    every = np.minimum(sums, 0xFFFFFFFF)[which]
+    every = sums[which]
     edges = np.cumsum([0] + [len(p) for p in parts])
     seen = [int((sums > 0).sum())] + [0] * (len(parts) - 1)
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "level": table.column("level"),

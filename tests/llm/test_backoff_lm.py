@@ -92,3 +92,18 @@ def test_registered_order_counts_trigrams(spark):
     docs = [(i, "a b c" if i % 2 else "x b d", "s") for i in range(200)] + [(1000, "a b d", "s")]
     out = {r["doc_id"]: r["score"] for r in rows(L.score(odd_docs(spark, docs)))}
     assert out[1] - out[1000] > 0.5
+
+
+@given(st.lists(st.integers(0, 2**64 - 1)))
+def test_large_numbers_round_trip(numbers):
+    assert L.unpack_numbers(L.pack_numbers(np.array(numbers, np.uint64))).tolist() == numbers
+
+
+def test_sums_pass_32_bits():
+    """Two requests for one word whose counts add up to more than 32 bits."""
+    import pyarrow as pa
+
+    keys, counts = L.pack_keys(np.array([7], np.uint64)), L.pack_numbers(np.array([2**32 - 5]))
+    asked = pa.table({"bucket": pa.array([0, 0], pa.int32()), "block": pa.array([1, 2], pa.int64()), "level": pa.array([1, 1], pa.int32()),
+                      "keys": pa.array([keys] * 2, pa.binary()), "counts": pa.array([counts] * 2, pa.binary())})
+    assert [L.unpack_numbers(x).tolist() for x in L.answer(asked).column("sums").to_pylist()] == [[2**33 - 10]] * 2
