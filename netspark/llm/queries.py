@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netspark.llm import backoff_lm, chat_tree, license_scan, minhash, mixing, packing, pii_crf, quality_rules, secret_scan, vector_dedup
+from netspark.llm import backoff_lm, bpe, chat_tree, license_scan, minhash, mixing, packing, pii_crf, quality_rules, secret_scan, vector_dedup
 from netspark.llm.common import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,12 @@ def op2_pii_crf(spark, sf_dir):
     kinds = F.transform(base, lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("bigint").alias(f"n_{k}") for i, k in enumerate(pii_crf.KINDS)]
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("_pii")).alias("spans"))
+
+
+@query("op11_byte_bpe")
+def op11_byte_bpe(spark, sf_dir):
+    """Every document's token ids, and the bytes that they decode to."""
+    encoded = bpe.encode(table(spark, sf_dir, "documents"))
+    told = encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(bpe.ids_text("ids"), 256).alias("ids_sha256"), "ids")
+    decoded = bpe.decode(told, ("doc_id", "n_tokens", "ids_sha256"))
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
