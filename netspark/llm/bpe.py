@@ -27,7 +27,7 @@ WIDTHS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 48, 64, 96, 128)
 #: Cells of a matrix, bytes of texts taken together, matches of a longer text taken together.
 CELLS, TOGETHER, MATCHES = 1 << 20, 1 << 22, 1 << 18
 #: Code points of words whose ids a task remembers.
-REMEMBERED = 1 << 23
+REMEMBERED = 1 << 21
 
 
 class Vocabulary:

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netspark.llm import backoff_lm, bpe, chat_tree, license_scan, minhash, mixing, packing, pii_crf, quality_rules, secret_scan, vector_dedup
+from netspark.llm import backoff_lm, bpe, chat_tree, license_scan, minhash, mixing, packing, pii_crf, quality_rules, resampling, secret_scan, vector_dedup
 from netspark.llm.common import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,40 @@ def op11_byte_bpe(spark, sf_dir):
     told = encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(bpe.ids_text("ids"), 256).alias("ids_sha256"), "ids")
     decoded = bpe.decode(told, ("doc_id", "n_tokens", "ids_sha256"))
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+# CRC-32 of the distinct words, byte by byte with the table of the reversed polynomial 0xEDB88320.
+RESAMPLE_SQL = r"""
+WITH crc AS (
+  SELECT list(v ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce([i::UINTEGER] || range(8)::UINTEGER[], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END) AS v
+    FROM range(256) r(i))),
+texts AS (SELECT doc_id, text, row_number() OVER () AS rid, true AS own FROM documents UNION ALL SELECT NULL, text, NULL, false FROM benchmark),
+split AS (
+  SELECT doc_id, rid, own, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM texts),
+features AS (SELECT rid, own, unnest(words) AS word FROM split),
+buckets AS (
+  SELECT word, xor(list_reduce([4294967295::UINTEGER] || list_transform(range(1, strlen(word) + 1), lambda k: ('0x' || substr(hex(encode(word)), 2 * k::INT - 1, 2))::UINTEGER),
+    lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])), 4294967295::UINTEGER)::BIGINT % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM features), crc),
+counts AS (SELECT bucket, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM features JOIN buckets USING (word) GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0)::BIGINT AS big, coalesce(sum(t), 0)::BIGINT AS small FROM counts),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (big + 10000) / ((s + 1) * (small + 10000)))) AS BIGINT) AS gain FROM counts, totals),
+weights AS (SELECT rid, sum(gain)::BIGINT AS weight FROM features JOIN buckets USING (word) JOIN gains USING (bucket) WHERE own GROUP BY rid),
+scored AS (
+  SELECT doc_id, rid, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM split LEFT JOIN weights USING (rid) WHERE own),
+ranked AS (
+  SELECT *, count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS drawn,
+    row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank FROM ranked
+"""
+
+
+@query("op12_importance_resampling", RESAMPLE_SQL)
+def op12_importance_resampling(spark, sf_dir):
+    """Documents drawn towards the benchmark texts, by single words."""
+    out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
