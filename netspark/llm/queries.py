@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netspark.llm import backoff_lm, bpe, chat_tree, license_scan, minhash, mixing, packing, pii_crf, quality_rules, resampling, secret_scan, vector_dedup
+from netspark.llm import backoff_lm, bpe, chat_tree, license_scan, minhash, mixing, packing, pii_crf, quality_rules, resampling, secret_scan, vector_dedup, whitening
 from netspark.llm.common import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +184,10 @@ def op12_importance_resampling(spark, sf_dir):
     """Documents drawn towards the benchmark texts, by single words."""
     out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_feast_whitening")
+def op13_feast_whitening(spark, sf_dir):
+    """The embeddings on their 16 largest components, each with unit variance."""
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("bigint"))
