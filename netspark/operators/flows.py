@@ -7,6 +7,7 @@ from netspark import schema as S
 from netspark.functions import net
 from netspark.operators import nodes
 from netspark.operators.prefix import time_slice, with_slice_width
+from netspark.operators.sessions import Timeouts, soft_starts
 
 ARRIVAL = ["ts_us", "packet_id"]
 
@@ -20,26 +21,22 @@ def with_flow_key(packets: DataFrame) -> DataFrame:
     return tracked.select("*", *net.flow_key_columns())
 
 
-def _timeout_us():
-    return (F.when(F.col("ip_proto") == S.PROTO_TCP, S.TCP_ACTIVE_S)
-            .when(F.col("ip_proto") == S.PROTO_UDP, S.UDP_ACTIVE_S)
-            .otherwise(S.ICMP_ACTIVE_S) * S.US).cast("bigint")
-
-
-def packets_with_flow(packets: DataFrame, slice_us: int = S.SLICE_US, busy_rows: int | None = S.SLICE_ROWS) -> DataFrame:
+def packets_with_flow(packets: DataFrame, slice_us: int = S.SLICE_US, busy_rows: int | None = S.SLICE_ROWS,
+                      timeouts: Timeouts = Timeouts()) -> DataFrame:
     """Attach session_no, the first packet's data and the direction to each packet.
 
     A session starts at the first packet of a flow key, after a silence longer
-    than the protocol's timeout, and at a pure SYN whose sequence number is not
-    that of the last pure SYN.  Sessions are found slice by slice: inside a
-    slice every row is decided except the first row and the first SYN, which
-    need the last time and last SYN number of earlier slices.  Flows of more
-    than `busy_rows` packets get narrower slices; their width stays in
-    `slice_us` for the jobs that follow.
+    than the protocol's timeout, at a pure SYN whose sequence number is not
+    that of the last pure SYN, and where the state of the session before lets
+    it end sooner (`sessions.soft_starts`).  The latter are known beforehand;
+    the others are found slice by slice: inside a slice every row is decided
+    except the first row and the first SYN, which need the last time and last
+    SYN number of earlier slices.  Flows of more than `busy_rows` packets get
+    narrower slices; their width stays in `slice_us` for the jobs that follow.
     """
     first = F.col("_prev_ts").isNull()
     first_syn = F.col("_isn").isNotNull() & F.col("_prev_isn").isNull()
-    gap = F.col("ts_us") - F.col("_prev_ts") > F.col("_timeout")
+    gap = (F.col("ts_us") - F.col("_prev_ts") > F.col("_timeout")) | F.col("_soft")
     src, dst = net.flow_ends()
     row = F.struct("ts_us", "packet_id", src.alias("src"), dst.alias("dst"),
                    "src_mac", "dst_mac", F.col("_isn").alias("isn"))
@@ -52,8 +49,11 @@ def packets_with_flow(packets: DataFrame, slice_us: int = S.SLICE_US, busy_rows:
     keyed = with_flow_key(packets)
     keyed = (with_slice_width(keyed, S.FLOW_KEY, rows=busy_rows, width_us=slice_us) if busy_rows
              else keyed.withColumn("slice_us", F.lit(slice_us).cast("bigint")))
+    soft = soft_starts(keyed, timeouts)
+    keyed = (keyed.withColumn("_soft", F.lit(False)) if soft is None else
+             keyed.join(soft.withColumn("_soft", F.lit(True)), [*S.FLOW_KEY, *ARRIVAL], "left").withColumn("_soft", F.coalesce("_soft", F.lit(False))))
     rows = (keyed
-            .withColumns({"_slice": time_slice(keyed), "_timeout": _timeout_us(),
+            .withColumns({"_slice": time_slice(keyed), "_timeout": timeouts.longest_us(),
                           "_isn": F.when(is_syn, F.col("tcp_seq"))})
             .withColumns({"_prev_ts": F.lag("ts_us").over(local),
                           "_prev_isn": F.last("_isn", ignorenulls=True).over(before)})
@@ -71,7 +71,7 @@ def packets_with_flow(packets: DataFrame, slice_us: int = S.SLICE_US, busy_rows:
         F.min("ts_us").alias("min_ts"), F.max("ts_us").alias("max_ts"), F.max("_timeout").alias("timeout"),
         F.max("_n").alias("n"), F.max("_last_start").alias("last_start"),
         F.max(F.when(F.col("_first"), F.col("_row"))).alias("_first_row"),
-        F.max(F.when(F.col("_first"), F.col("_isn"))).alias("first_isn"),
+        F.max(F.when(F.col("_first"), F.col("_isn"))).alias("first_isn"), F.max(F.col("_first") & F.col("_soft")).alias("first_soft"),
         F.max(F.when(F.col("_open_syn"), F.col("_row"))).alias("_syn_row"),
         F.max(F.when(F.col("_open_syn"), F.col("_isn"))).alias("syn_isn"),
         F.max_by("_isn", F.when(F.col("_isn").isNotNull(), F.struct(*ARRIVAL))).alias("last_isn"))
@@ -84,7 +84,7 @@ def packets_with_flow(packets: DataFrame, slice_us: int = S.SLICE_US, busy_rows:
     slices = (slices
               .withColumns({"carry_ts": F.max("max_ts").over(earlier),
                             "carry_isn": F.last("last_isn", ignorenulls=True).over(earlier)})
-              .withColumns({"_first_starts": F.col("carry_ts").isNull() | new_isn("first_isn")
+              .withColumns({"_first_starts": F.col("carry_ts").isNull() | new_isn("first_isn") | F.col("first_soft")
                             | (F.col("min_ts") - F.col("carry_ts") > F.col("timeout")),
                             "_syn_starts": new_isn("syn_isn")})
               .withColumns({"_starts": F.col("n") + F.col("_first_starts").cast("bigint")

@@ -118,6 +118,12 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 """
 
 
+# Seconds by which packets are later, so that silences fall before, in and after the established phase, and behind repeated openings.
+SILENCES = """CASE conv_id % 13 WHEN 1 THEN CASE WHEN packet_id % 16 >= 1 THEN 10 ELSE 0 END
+  WHEN 2 THEN CASE WHEN packet_id % 16 >= 2 THEN 10 ELSE 0 END WHEN 3 THEN CASE WHEN packet_id % 16 >= 5 THEN 10 ELSE 0 END
+  WHEN 4 THEN CASE WHEN packet_id % 16 >= 9 THEN 10 ELSE 0 END WHEN 5 THEN CASE WHEN packet_id % 16 >= 2 THEN 8 WHEN packet_id % 16 = 1 THEN 4 ELSE 0 END
+  WHEN 6 THEN CASE WHEN packet_id % 16 >= 4 THEN 601 ELSE 0 END WHEN 7 THEN CASE WHEN packet_id % 16 >= 9 THEN 4 ELSE 0 END ELSE 0 END * 1000000"""
+
 _TABLES = {F1: ["events"], F2: ["pages"], F3: ["events"], F4: ["orders", "lineitem"]}
 
 
@@ -164,6 +170,11 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialized(spark, sf_dir, "packets", lambda: build_packets(spark, sf_dir))
 
 
+def silent_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets with silences inside conversations."""
+    return packets(spark, sf_dir).withColumn("ts_us", F.col("ts_us") + F.expr(SILENCES).cast("bigint"))
+
+
 def flow_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packets with their flow columns, as a written table that flow jobs share."""
     return materialized(spark, sf_dir, "flow_packets", lambda: flows.packets_with_flow(packets(spark, sf_dir)))
@@ -210,6 +221,8 @@ ORACLE_PACKETS = f"""packets AS (
     CASE WHEN ip_proto = 1 THEN conv_id END AS icmp_id,
     CASE WHEN ip_proto = 1 THEN 0 END AS icmp_seq
   FROM ({_duck(F1)}))"""
+ORACLE_SILENT = ORACLE_PACKETS.replace("packets AS (", "plain_packets AS (", 1) + f""",
+packets AS (SELECT * REPLACE (ts_us + {SILENCES} AS ts_us) FROM plain_packets)"""
 ORACLE_HTTP = f"http_msgs AS ({_duck(F2)})"
 ORACLE_DNS = f"dns_msgs AS ({_duck(F3)})"
 ORACLE_MYSQL = f"mysql_msgs AS ({_duck(F4)})"

@@ -1,6 +1,6 @@
 """Pieces of check SQL shared by several queries (text for the checking engine only)."""
 
-from netspark.plans.fixtures import ORACLE_DNS, ORACLE_HTTP, ORACLE_MYSQL, ORACLE_PACKETS  # noqa: F401
+from netspark.plans.fixtures import ORACLE_DNS, ORACLE_HTTP, ORACLE_MYSQL, ORACLE_PACKETS, ORACLE_SILENT  # noqa: F401
 
 
 def with_(*parts: str) -> str:
@@ -93,6 +93,32 @@ pf AS (
   FROM numbered WINDOW f AS (PARTITION BY ip_a, port_a, ip_b, port_b, ip_proto, session_no ORDER BY ts_us, packet_id))"""
 
 KEY = "ip_a, port_a, ip_b, port_b, ip_proto"
+
+
+def walked_sessions(opening: int = 5, closing: int = 5, active: int = 600, icmp: int = 5) -> str:
+    """Sessions by walking each flow packet by packet with the session's phase: 0 SYN, 1 answered, 2 established, 3 closing."""
+    same = " AND ".join(f"w.{k} = p.{k}" for k in KEY.split(", "))
+    fresh = "CASE WHEN p.ip_proto <> 6 THEN 2 WHEN (p.tcp_flags & 18) = 2 THEN 0 WHEN (p.tcp_flags & 2) <> 0 THEN 1 WHEN (p.tcp_flags & 5) <> 0 THEN 3 ELSE 2 END"
+    goes_on = ("CASE WHEN w.phase = 3 OR p.ip_proto <> 6 THEN w.phase WHEN (p.tcp_flags & 2) = 0 AND (p.tcp_flags & 5) <> 0 THEN 3 WHEN (p.tcp_flags & 2) = 0 THEN 2 "
+               "WHEN w.phase = 0 AND (p.tcp_flags & 16) <> 0 AND p.tcp_ack = (p.prev_isn + 1) % 4294967296 THEN 1 ELSE w.phase END")
+    lives = (f"p.ts_us + 1000000 * CASE {{0}} WHEN 0 THEN {opening} WHEN 1 THEN {opening} WHEN 3 THEN {closing} "
+             f"ELSE CASE p.ip_proto WHEN 1 THEN {icmp} ELSE {active} END END")
+    return f"""ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY ts_us, packet_id) AS place, isn IS NOT NULL AND isn IS DISTINCT FROM prev_isn AS new_isn FROM prior),
+walked AS (
+  WITH RECURSIVE w AS (
+    SELECT {KEY}, place, packet_id, CAST(1 AS BIGINT) AS session_no, {fresh} AS phase, CAST({lives.format(fresh)} AS BIGINT) AS live FROM ordered p WHERE place = 1
+    UNION ALL
+    SELECT {', '.join(f'p.{k}' for k in KEY.split(', '))}, p.place, p.packet_id, w.session_no + CASE WHEN p.new_isn OR p.ts_us > w.live THEN 1 ELSE 0 END,
+      CASE WHEN p.new_isn OR p.ts_us > w.live THEN {fresh} ELSE {goes_on} END,
+      CAST(CASE WHEN p.new_isn OR p.ts_us > w.live THEN {lives.format(fresh)}
+                WHEN {goes_on} = 2 OR {goes_on} <> w.phase THEN {lives.format(goes_on)} ELSE w.live END AS BIGINT)
+    FROM w JOIN ordered p ON {same} AND p.place = w.place + 1)
+  SELECT * FROM w)"""
+
+
+#: The parts of SESSIONS up to the rows with the time and SYN number before, for sessions that are walked.
+PRIOR = SESSIONS[:SESSIONS.index("numbered AS (")].rstrip().rstrip(",")
 SESSION = KEY + ", session_no"
 
 # Sequence and acknowledgement numbers per sending side, relative to the side's first one.

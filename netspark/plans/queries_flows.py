@@ -16,11 +16,11 @@ def line(spark, sf):
     return fx.tcp_line(spark, sf)
 
 
-@query("flow_sessions", o.with_(P, SS, f"""
-SELECT {SESSION}, min(ts_us) AS start_us, max(ts_us) AS last_us, count(*) AS packets FROM pf GROUP BY ALL"""))
+@query("flow_sessions", o.with_(o.ORACLE_SILENT, o.PRIOR, o.walked_sessions(), f"""
+SELECT {SESSION}, min(ts_us) AS start_us, max(ts_us) AS last_us, count(*) AS packets FROM walked JOIN ordered USING ({KEY}, place) GROUP BY ALL"""))
 def flow_sessions(spark, sf):
-    """From the packets themselves, not from the shared table."""
-    return (flows.packets_with_flow(fx.packets(spark, sf)).groupBy(*S.SESSION)
+    """From the packets themselves, not from the shared table, with silences before, in and after the established phase."""
+    return (flows.packets_with_flow(fx.silent_packets(spark, sf)).groupBy(*S.SESSION)
             .agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("last_us"), F.count(F.lit(1)).alias("packets")))
 
 

@@ -123,7 +123,7 @@ def stream_flows(packets: DataFrame, out: str, state_path: str, checkpoint: str,
         state = store.read(batch.sparkSession, batch_id)
         due, reached = order.take(batch, batch_id)
         merged = merge_flows(due, state).persist()
-        over = ~F.col("latest") | F.coalesce(F.col("last_us") + flows._timeout_us() < F.lit(reached), F.lit(False))
+        over = ~F.col("latest") | F.coalesce(F.col("last_us") + flows.Timeouts().longest_us() < F.lit(reached), F.lit(False))
         write_batch(flow_records(merged, over, cycle_us), out, batch_id)
         store.write(merged.filter(~over), batch_id)
         merged.unpersist()
