@@ -62,8 +62,12 @@ def dns_rows(numbered_messages: DataFrame) -> DataFrame:
                  F.max(F.when(answer, F.col("rcode"))).alias("rcode"),
                  F.max(F.when(query, F.col("ts_us"))).alias("req_us"), F.max(F.when(answer, F.col("ts_us"))).alias("rsp_us"),
                  total_if(query).alias("req_pkts"), total_if(query, "bytes").alias("req_bytes"),
-                 total_if(answer).alias("rsp_pkts"), total_if(answer, "bytes").alias("rsp_bytes"))
-            .withColumns({"wait_ms": net.to_ms(F.col("rsp_us") - F.col("req_us")), "req_timeout": F.col("rsp_us").isNull(),
+                 total_if(answer).alias("rsp_pkts"), total_if(answer, "bytes").alias("rsp_bytes")).transform(dns_told))
+
+
+def dns_told(rows: DataFrame) -> DataFrame:
+    """What follows from a transaction's times and code."""
+    return (rows.withColumns({"wait_ms": net.to_ms(F.col("rsp_us") - F.col("req_us")), "req_timeout": F.col("rsp_us").isNull(),
                           "error": F.when(F.col("rcode").isNotNull(), names.name_of("rcode", names.DNS_RCODE, "Unknown"))}))
 
 

@@ -15,27 +15,36 @@ from netspark.plans.queries_nodes import _metrics_oracle
 from netspark.plans.registry import ORACLES, query
 from netspark.sources import captures, decode
 from netspark.streaming import jobs
-from netspark.streaming.state import read_output
+from netspark.streaming.keyed import COUNTERS
+from netspark.streaming.output import read_output
 
 P, SS, SESSION = o.ORACLE_PACKETS, o.SESSIONS, o.SESSION
 
 
 LATE_US = 4_000_000
+DAY_US = 86_400 * S.US
 
 
-def stream_input(spark, rows: DataFrame, name: str, parts: int = 3) -> str:
-    """A table written as successive files, as a collector would: rows arrive up to four seconds late, so files overlap in time."""
+def stream_input(spark, rows: DataFrame, name: str, parts: int = 3, ends: bool = False) -> str:
+    """A table written as successive files, as a collector would: rows arrive up to four seconds late, so parts overlap in time.
+
+    The stream takes files in the order in which they were written.  With `ends`
+    one more row follows, far ahead in time, so that the watermark passes all
+    that came before it; that row itself is held back.
+    """
     path = fx.fresh_path(spark, f"in-{name}")
     first, last = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
     width = (last - first + LATE_US) // parts + 1
     arrival = F.col("ts_us") + F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("payload", "head")]), F.lit(LATE_US))
     for i in range(parts):
         rows.filter(F.floor((arrival - first) / width) == i).coalesce(1).write.mode("append").parquet(path)
+    if ends:
+        rows.limit(1).withColumn("ts_us", F.lit(last + 10**11)).coalesce(1).write.mode("append").parquet(path)
     return path
 
 
-def open_stream(spark, rows: DataFrame, name: str) -> DataFrame:
-    return jobs.stream_table(spark, stream_input(spark, rows, name), rows.schema, files_per_batch=1)
+def open_stream(spark, rows: DataFrame, name: str, ends: bool = False) -> DataFrame:
+    return jobs.stream_table(spark, stream_input(spark, rows, name, ends=ends), rows.schema, files_per_batch=1)
 
 
 def finish(started):
@@ -45,8 +54,13 @@ def finish(started):
     return started
 
 
-def batches(started) -> int:
-    return max(p["batchId"] for p in started.recentProgress) + 1
+def output(spark, job, rows: DataFrame, name: str, **options) -> DataFrame:
+    """What a job appends by the time its input has ended."""
+    out = fx.fresh_path(spark, name)
+    started = finish(job(open_stream(spark, rows, name, ends=True), out, fx.fresh_path(spark, "cp"), **options))
+    if jobs.dropped_rows(started):
+        raise RuntimeError("rows came behind the watermark")
+    return spark.read.parquet(out)
 
 
 _NODE_METRICS = _metrics_oracle(services=False)
@@ -74,14 +88,11 @@ SELECT {o.KEY}, client_ip, client_port, server_ip, server_port, start_us, way, a
 FROM (SELECT *, 'open' AS way, start_us AS at_us FROM summary UNION ALL SELECT *, 'close', last_us FROM summary
       UNION ALL SELECT *, 'tick', unnest(generate_series(start_us + 5000, last_us, 5000)) FROM summary)"""))
 def stream_flows(spark, sf):
-    """Open, tick and close records; flows still open at the end are closed by a flush."""
-    out, state = fx.fresh_path(spark, "flows"), fx.fresh_path(spark, "state")
-    packets = fx.packets(spark, sf)
-    started = finish(jobs.stream_flows(open_stream(spark, packets, "packets"), out, state, fx.fresh_path(spark, "cp"), cycle_us=5000))
-    rows = read_output(spark, out).unionByName(jobs.flush_flows(spark, state, batches(started), cycle_us=5000))
+    """Open, tick and close records."""
+    rows = output(spark, jobs.stream_flows, fx.packets(spark, sf), "flows", cycle_us=5000)
     closing = F.col("way") == "close"
     return rows.select(*S.FLOW_KEY, "client_ip", "client_port", "server_ip", "server_port", "start_us", "way", "at_us",
-                       *[F.when(closing, F.col(c)).alias(c) for c in jobs.COUNTERS])
+                       *[F.when(closing, F.col(c)).alias(c) for c in COUNTERS])
 
 
 _DNS = ["flow_id", "dns_id", "client_ip", "server_ip", "qname", "qtype", "opcode", "rcode", "req_us", "rsp_us", "req_pkts", "rsp_pkts", "wait_ms", "req_timeout"]
@@ -89,10 +100,9 @@ _DNS = ["flow_id", "dns_id", "client_ip", "server_ip", "qname", "qtype", "opcode
 
 @query("stream_dns", f"SELECT {', '.join(_DNS)} FROM ({ORACLES['dns_txn']})")
 def stream_dns(spark, sf):
-    """The stream's transactions, and those still open when the input ended; the SQL is that of the batch."""
-    out, state = fx.fresh_path(spark, "dns"), fx.fresh_path(spark, "state")
-    started = finish(jobs.stream_dns(open_stream(spark, fx.dns_msgs(spark, sf), "dns"), out, state, fx.fresh_path(spark, "cp")))
-    return read_output(spark, out).unionByName(jobs.flush_dns(spark, state, batches(started))).select(*_DNS)
+    """The stream's transactions; the SQL is that of the batch."""
+    return output(spark, jobs.stream_dns, fx.dns_msgs(spark, sf), "dns").select(
+        *_DNS[:6], *[F.col(c).cast("int").alias(c) for c in _DNS[6:8]], *_DNS[8:])
 
 
 @query("stream_http_mysql", o.with_(o.ORACLE_HTTP, o.ORACLE_MYSQL, f"""
@@ -105,15 +115,14 @@ UNION ALL SELECT 'mysql', flow_id, command_no, 'close', max(ts_us) FILTER (WHERE
     "FROM m ", "FROM (SELECT * FROM (SELECT *, CAST(sum(is_command) OVER (PARTITION BY flow_id ORDER BY ts_us, is_command DESC, bytes ROWS UNBOUNDED PRECEDING) AS BIGINT) AS command_no FROM mysql_msgs) WHERE command_no > 0) ")))
 def stream_http_mysql(spark, sf):
     """Open and close events of HTTP transactions and MySQL commands."""
-    out, state = fx.fresh_path(spark, "http"), fx.fresh_path(spark, "state")
-    http = fx.http_msgs(spark, sf).select("flow_id", "kind", "ts_us", "n")
-    started = finish(jobs.stream_transactions(open_stream(spark, http, "http"), out, state, fx.fresh_path(spark, "cp")))
     none = F.lit(None).cast("bigint")
-    events = read_output(spark, out).unionByName(jobs.flush_transactions(spark, state, batches(started))).select(F.lit("http").alias("app"), "flow_id", "turn_no", "way", "at_us", none.alias("rsp_count"), none.alias("rsp_bytes"))
-    out, state = fx.fresh_path(spark, "mysql"), fx.fresh_path(spark, "state")
-    mysql = fx.mysql_msgs(spark, sf)
-    started = finish(jobs.stream_mysql(open_stream(spark, mysql, "mysql"), out, state, fx.fresh_path(spark, "cp")))
-    commands = jobs.mysql_updates(read_output(spark, out).unionByName(jobs.flush_mysql(spark, state, batches(started)))).withColumn("app", F.lit("mysql")).withColumnRenamed("command_no", "turn_no")
+    # The fixtures begin at the epoch, where no watermark lies behind a row; the streams run a day later.
+    http = fx.http_msgs(spark, sf).select("flow_id", "kind", (F.col("ts_us") + DAY_US).alias("ts_us"), "n")
+    events = output(spark, jobs.stream_transactions, http, "http").select(
+        F.lit("http").alias("app"), "flow_id", "turn_no", "way", (F.col("at_us") - DAY_US).alias("at_us"), none.alias("rsp_count"), none.alias("rsp_bytes"))
+    mysql = fx.mysql_msgs(spark, sf).withColumn("ts_us", F.col("ts_us") + DAY_US)
+    commands = jobs.mysql_updates(output(spark, jobs.stream_mysql, mysql, "mysql")).withColumns({c: F.col(c) - DAY_US for c in ("open_us", "rsp_us")})
+    commands = commands.withColumn("app", F.lit("mysql")).withColumnRenamed("command_no", "turn_no")
     opened = commands.select("app", "flow_id", "turn_no", F.lit("open").alias("way"), F.col("open_us").alias("at_us"), none.alias("rsp_count"), none.alias("rsp_bytes"))
     closed = commands.filter("rsp_count > 0").select("app", "flow_id", "turn_no", F.lit("close").alias("way"), F.col("rsp_us").alias("at_us"), "rsp_count", "rsp_bytes")
     return events.unionByName(opened).unionByName(closed)

@@ -10,9 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 from netspark import schema as S
 from netspark.functions import net
 from netspark.operators import flows, metrics, nodes, transactions as tx
-from netspark.operators.prefix import Prior, time_slice, with_priors
+from netspark.operators.sessions import Timeouts
 from netspark.sources import rules
-from netspark.streaming.state import InOrder, TableState, write_batch
+from netspark.streaming import keyed
+from netspark.streaming.output import write_batch
 
 DELAY = "10 seconds"
 
@@ -84,253 +85,49 @@ def final_flush(packets: DataFrame, reached_us: int, seconds: int = S.PERIOD_S)
 
 # ---- flows ----
 
-FLOW_STATE = T.StructType([
-    *[T.StructField(k, T.LongType()) for k in ("ip_a", "port_a", "ip_b", "port_b")], T.StructField("ip_proto", T.IntegerType()),
-    *[T.StructField(k, T.LongType()) for k in (
-        "client_ip", "client_port", "server_ip", "server_port", "start_us", "last_us", "last_packet", "last_isn",
-        "client_pkts", "client_bytes", "server_pkts", "server_bytes")]])
-COUNTERS = ["client_pkts", "client_bytes", "server_pkts", "server_bytes"]
-PACKET_COLUMNS = ["packet_id", "ts_us", "wire_len", "payload_len", "src_mac", "dst_mac", "vlan_id", "src_ip", "dst_ip", "ip_proto",
-                  "frag_offset", "src_port", "dst_port", "tcp_flags", "tcp_seq", "icmp_type", "icmp_id", "icmp_seq"]
-
-
-def _seeds(state: DataFrame) -> DataFrame:
-    """The open session of a flow as one packet: its client's last sign of life with its last SYN number."""
-    icmp = F.col("ip_proto") == S.PROTO_ICMP
-    none = F.lit(None)
-    values = {
-        "packet_id": F.col("last_packet"), "ts_us": F.col("last_us"), "wire_len": F.lit(0), "payload_len": F.lit(0),
-        "src_mac": F.lit(0), "dst_mac": F.lit(0), "vlan_id": F.lit(0), "src_ip": F.col("client_ip"), "dst_ip": F.col("server_ip"),
-        "ip_proto": F.col("ip_proto"), "frag_offset": F.lit(0), "src_port": F.col("client_port"), "dst_port": F.col("server_port"),
-        "tcp_flags": F.when(F.col("last_isn").isNotNull(), S.SYN).otherwise(S.ACK), "tcp_seq": F.coalesce("last_isn", F.lit(0)),
-        "icmp_type": F.when(icmp, 8), "icmp_id": F.when(icmp, F.col("server_port")), "icmp_seq": F.when(icmp, F.col("client_port"))}
-    return state.select(*[values.get(c, none).alias(c) for c in PACKET_COLUMNS], F.lit(True).alias("seed"))
-
-
-def stream_flows(packets: DataFrame, out: str, state_path: str, checkpoint: str, delay_s: int = 10,
-                 cycle_us: int = S.TICK_S * S.US, trigger: dict | None = None) -> StreamingQuery:
-    """Open, tick and close records of flows.
-
-    A micro-batch is cut into sessions by the batch function, slice by slice, so
-    a busy flow is spread over tasks.  The open session of each flow enters the
-    batch as one seed packet and is merged with its continuation afterwards.
-    Packets are taken in the order of their times, up to `delay_s` late ones
-    included; later ones are counted (`late_rows`).
-    """
-    store, order = TableState(state_path, FLOW_STATE), in_order(state_path, delay_s)
+def stream_flows(packets: DataFrame, out: str, checkpoint: str, cycle_us: int = S.TICK_S * S.US, timeouts: Timeouts = Timeouts(),
+                 trigger: dict | None = None) -> StreamingQuery:
+    """Open, tick and close records of flows, from keyed state with a timer per session.
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        state = store.read(batch.sparkSession, batch_id)
-        due, reached = order.take(batch, batch_id)
-        merged = merge_flows(due, state).persist()
-        over = ~F.col("latest") | F.coalesce(F.col("last_us") + flows.Timeouts().longest_us() < F.lit(reached), F.lit(False))
-        write_batch(flow_records(merged, over, cycle_us), out, batch_id)
-        store.write(merged.filter(~over), batch_id)
-        merged.unpersist()
-
-    return run(packets, checkpoint, each, trigger)
-
-
-PACKETS_HELD = T.StructType([f for f in S.PACKETS if f.name in PACKET_COLUMNS])
-
-
-def in_order(state_path: str, delay_s: int, schema: T.StructType = PACKETS_HELD) -> InOrder:
-    return InOrder(f"{state_path}-order", schema, delay_s * S.US)
-
-
-def late_rows(spark: SparkSession, state_path: str, batches: int, schema: T.StructType = PACKETS_HELD) -> int:
-    """Rows left out after so many micro-batches because they came too late."""
-    return in_order(state_path, 0, schema).mark(spark, batches)[1]
-
-
-def merge_flows(batch: DataFrame, state: DataFrame) -> DataFrame:
-    """Sessions of the batch and the state: one row per session, `latest` for the flow's last one."""
-    fresh = batch.select(*[F.col(c) if c in batch.columns else F.lit(None).alias(c) for c in PACKET_COLUMNS], F.lit(False).alias("seed"))
-    rows = flows.packets_with_flow(fresh.unionByName(_seeds(state)), busy_rows=None)
-    real = ~F.col("seed")
-    is_syn = (F.col("ip_proto") == S.PROTO_TCP) & net.pure_syn()
-    sessions = (rows.groupBy(*S.SESSION, "client_ip", "client_port", "server_ip", "server_port")
-                .agg(F.min("ts_us").alias("new_start"), F.max("ts_us").alias("last_us"), F.max("packet_id").alias("last_packet"),
-                     F.max("seed").alias("seeded"), F.max(F.when(is_syn, F.struct("ts_us", "packet_id", "tcp_seq")))["tcp_seq"].alias("isn"),
-                     *[f.alias(f"new_{n}") for n, f in zip(COUNTERS, (
-                         nodes.total_if(real & (F.col("dir") == 1)), nodes.total_if(real & (F.col("dir") == 1), "payload_len"),
-                         nodes.total_if(real & (F.col("dir") == -1)), nodes.total_if(real & (F.col("dir") == -1), "payload_len")))]))
-    last = sessions.groupBy(*S.FLOW_KEY).agg(F.max("session_no").alias("_last"))
-    old = state.select(*S.FLOW_KEY, F.col("start_us").alias("old_start"), F.col("last_us").alias("old_last"),
-                       F.col("last_isn").alias("old_isn"), *[F.col(c).alias(f"old_{c}") for c in COUNTERS])
-    joined = sessions.join(last, S.FLOW_KEY).join(old, S.FLOW_KEY, "left")
-    before = F.col("seeded")
-    return joined.select(
-        *S.FLOW_KEY, "client_ip", "client_port", "server_ip", "server_port",
-        F.when(before, F.col("old_start")).otherwise(F.col("new_start")).alias("start_us"), "last_us", "last_packet",
-        F.coalesce("isn", "old_isn").alias("last_isn"),
-        *[(F.col(f"new_{c}") + F.when(before, F.col(f"old_{c}")).otherwise(0)).alias(c) for c in COUNTERS],
-        F.when(before, F.col("old_last")).alias("seen_us"), (F.col("session_no") == F.col("_last")).alias("latest"))
-
-
-def flow_records(merged: DataFrame, over, cycle_us: int) -> DataFrame:
-    """Records of one batch: open for new sessions, ticks since the last batch, close for ended ones."""
-    step = F.lit(cycle_us).cast("bigint")
-    base = [*S.FLOW_KEY, "client_ip", "client_port", "server_ip", "server_port", "start_us"]
-    record = lambda rows, way, at, last: rows.select(*base, F.lit(way).alias("way"), at.alias("at_us"), last.alias("last_us"),
-                                                     *COUNTERS)
-    done = F.col("last_us") - F.col("start_us")
-    ticked = F.coalesce(F.col("seen_us") - F.col("start_us"), F.lit(0))
-    ticks = merged.filter(F.floor(done / cycle_us) > F.floor(ticked / cycle_us)).withColumn(
-        "_tick", F.explode(F.sequence(F.col("start_us") + (F.floor(ticked / cycle_us) + 1) * step, F.col("last_us"), step)))
-    return (record(merged.filter(F.col("seen_us").isNull()), "open", F.col("start_us"), F.col("last_us"))
-            .unionByName(record(ticks, "tick", F.col("_tick"), F.col("last_us")))
-            .unionByName(record(merged.filter(over), "close", F.col("last_us"), F.col("last_us"))))
-
-
-def flush_flows(spark: SparkSession, state_path: str, batches: int, cycle_us: int = S.TICK_S * S.US) -> DataFrame:
-    """Records of the packets still held and of the flows still open after `batches` micro-batches: all are closed."""
-    state = TableState(state_path, FLOW_STATE).read(spark, batches)
-    return flow_records(merge_flows(in_order(state_path, 0).rest(spark, batches), state), F.lit(True), cycle_us)
-
-
-# ---- DNS: transactions cut by the batch function ----
-
-DNS_HELD = T.StructType([*[T.StructField(c, T.LongType()) for c in ("flow_id", "dns_id", "ts_us", "client_ip", "server_ip", "bytes")],
-                         *[T.StructField(c, T.IntegerType()) for c in ("qr", "opcode", "rcode", "answer_count")],
-                         T.StructField("qname", T.StringType()), T.StructField("qtype", T.StringType())])
-
-
-def stream_dns(messages: DataFrame, out: str, state_path: str, checkpoint: str, delay_s: int = 10, open_s: int = S.DNS_OPEN_S,
-               trigger: dict | None = None) -> StreamingQuery:
-    """Rows of `transactions.dns_txn` as soon as a transaction is answered or its time is over.
-
-    The state holds the messages of the transactions still open, which are at
-    most `open_s` old, so it does not grow with the stream.
+    Packets are taken in the order of their times, up to the watermark's delay
+    late ones included.  A flow is the unit of state, so one flow's packets of
+    a micro-batch go to one task.
     """
-    store, order = TableState(state_path, DNS_HELD), in_order(state_path, delay_s, DNS_HELD)
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        due, reached = order.take(batch, batch_id)
-        rows = tx.dns_numbered(due.unionByName(store.read(batch.sparkSession, batch_id)), open_s).persist()
-        done = tx.dns_rows(rows).withColumn("_open", F.col("rsp_us").isNull() & F.coalesce(F.col("req_us") + open_s * S.US >= F.lit(reached), F.lit(True))).persist()
-        write_batch(done.filter("NOT _open").drop("_open", "txn_no"), out, batch_id)
-        store.write(rows.join(done.filter("_open").select("flow_id", "dns_id", "txn_no"), ["flow_id", "dns_id", "txn_no"], "left_semi"), batch_id)
-        rows.unpersist()
-        done.unpersist()
-
-    return run(messages, checkpoint, each, trigger)
-
-
-def flush_dns(spark: SparkSession, state_path: str, batches: int, open_s: int = S.DNS_OPEN_S) -> DataFrame:
-    """Transactions of the messages still held or open after `batches` micro-batches."""
-    rows = in_order(state_path, 0, DNS_HELD).rest(spark, batches).unionByName(TableState(state_path, DNS_HELD).read(spark, batches))
-    return tx.dns_txn(rows, open_s).drop("txn_no")
-
-
-# ---- HTTP and MySQL: numbering by state ----
-
-COUNT_STATE = T.StructType([T.StructField("flow_id", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("seen", T.LongType()),
-                            T.StructField("last_us", T.LongType())])
-PENDING_STATE = T.StructType([T.StructField("flow_id", T.LongType()), T.StructField("turn_no", T.LongType()), T.StructField("kind", T.StringType()),
-                              T.StructField("ts_us", T.LongType()), T.StructField("n", T.LongType())])
-HTTP_HELD = T.StructType([T.StructField("flow_id", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("ts_us", T.LongType()), T.StructField("n", T.LongType())])
-MYSQL_HELD = T.StructType([*[T.StructField(c, T.LongType()) for c in ("flow_id", "ts_us", "bytes")], T.StructField("is_command", T.IntegerType())])
+    src, _ = net.flow_ends()
+    kind = (F.when(F.col("ip_proto") != S.PROTO_TCP, keyed.PLAIN).when(net.pure_syn(), keyed.SYN).when(net.has_flag(S.SYN), keyed.ANSWER)
+            .when(net.has_flag(S.FIN | S.RST), keyed.END).otherwise(keyed.PLAIN))
+    rows = flows.with_flow_key(packets).withColumns({
+        "kind": kind, "seq": F.coalesce("tcp_seq", F.lit(0)), "ack": F.coalesce("tcp_ack", F.lit(0)),
+        "up": (src == F.struct(F.col("ip_a").alias("ip"), F.col("port_a").alias("port"))).cast("int")})
+    rows = rows.select(*keyed.columns(keyed.FLOW_KEYS), *keyed.columns(keyed.Flows.held), "ts")
+    return keyed.append(keyed.records(rows, S.FLOW_KEY, keyed.Flows(timeouts, cycle_us)), out, checkpoint, trigger)
 
 
-def alive(at, reached: int | None):
-    """Whether a flow whose last message came at `at` may go on: sessions end after a silence of the flow timeout."""
-    return F.lit(True) if reached is None else F.col(at) + S.TCP_ACTIVE_S * S.US >= reached
+# ---- DNS ----
 
+def stream_dns(messages: DataFrame, out: str, checkpoint: str, open_s: int = S.DNS_OPEN_S, trigger: dict | None = None) -> StreamingQuery:
+    """Rows of `transactions.dns_txn`, without their numbers, as soon as a transaction is answered or its time is over."""
+    rows = messages.select("flow_id", "dns_id", *keyed.columns(keyed.Dns.held), "ts")
+    return keyed.append(tx.dns_told(keyed.records(rows, ["flow_id", "dns_id"], keyed.Dns(open_s))), out, checkpoint, trigger)
 
-def summed(before: DataFrame, new: DataFrame, reached: int | None) -> DataFrame:
-    counts = before.unionByName(new).groupBy("flow_id", "kind").agg(F.sum("seen").alias("seen"), F.max("last_us").alias("last_us"))
-    return counts.filter(alive("last_us", reached))
 
+# ---- HTTP and MySQL ----
 
-def match_turns(due: DataFrame, before: DataFrame, waiting: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(events, messages without a partner, counts of the batch) of messages that follow those counted in `before`."""
-    local = tx.numbered(due.select("flow_id", "kind", "ts_us", "n")).join(before, ["flow_id", "kind"], "left")
-    fresh = local.select("flow_id", (F.col("turn_no") + F.coalesce("seen", F.lit(0))).alias("turn_no"), "kind", "ts_us", "n")
-    rows = fresh.unionByName(waiting)
-    side = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
-    pairs = rows.groupBy("flow_id", "turn_no").agg(side("req", "ts_us").alias("req_us"), side("rsp", "ts_us").alias("rsp_us"),
-                                                   side("req", "n").alias("n"), side("rsp", "n").alias("_m"))
-    opened = fresh.filter("kind = 'req'").select("flow_id", "turn_no", F.lit("open").alias("way"), F.col("ts_us").alias("at_us"), "n")
-    closed = pairs.filter("req_us IS NOT NULL AND rsp_us IS NOT NULL").select(
-        "flow_id", "turn_no", F.lit("close").alias("way"), F.col("rsp_us").alias("at_us"), "n")
-    alone = pairs.filter("req_us IS NULL OR rsp_us IS NULL").select(
-        "flow_id", "turn_no", F.when(F.col("req_us").isNotNull(), "req").otherwise("rsp").alias("kind"),
-        F.coalesce("req_us", "rsp_us").alias("ts_us"), F.coalesce("n", "_m").alias("n"))
-    new = due.groupBy("flow_id", "kind").agg(nodes.count().alias("seen"), F.max("ts_us").alias("last_us"))
-    return opened.unionByName(closed), alone, new
-
-
-def stream_transactions(messages: DataFrame, out: str, state_path: str, checkpoint: str, delay_s: int = 10, trigger: dict | None = None) -> StreamingQuery:
-    """Open (request) and close (response) events of FIFO-matched transactions.
-
-    Messages are taken in the order of their times.  The state holds one
-    message count per flow and side, and the messages still without a partner;
-    both leave it once the flow has been silent for the session timeout.
-    """
-    counts, pending = TableState(f"{state_path}/counts", COUNT_STATE), TableState(f"{state_path}/pending", PENDING_STATE)
-    order = in_order(state_path, delay_s, HTTP_HELD)
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        due, reached = order.take(batch, batch_id)
-        before = counts.read(spark, batch_id)
-        events, alone, new = match_turns(due.persist(), before, pending.read(spark, batch_id))
-        write_batch(events, out, batch_id)
-        pending.write(alone.filter(alive("ts_us", reached)), batch_id)
-        counts.write(summed(before, new, reached), batch_id)
-        due.unpersist()
-
-    return run(messages, checkpoint, each, trigger)
-
-
-def flush_transactions(spark: SparkSession, state_path: str, batches: int) -> DataFrame:
-    """Events of the messages still held after `batches` micro-batches."""
-    rest = in_order(state_path, 0, HTTP_HELD).rest(spark, batches)
-    states = [TableState(f"{state_path}/{n}", schema).read(spark, batches) for n, schema in (("counts", COUNT_STATE), ("pending", PENDING_STATE))]
-    return match_turns(rest, *states)[0]
-
-
-def mysql_step(due: DataFrame, before: DataFrame) -> DataFrame:
-    """Per command the open time and the sums of its responses in these messages; responses may belong to a command counted in `before`."""
-    rows = tx.sliced(due, ["flow_id"])
-    rows = with_priors(rows.withColumn("_late", 1 - F.col("is_command")), ["flow_id"], ["ts_us", "_late", "bytes"], time_slice(rows),
-                       [Prior("_before", "sum", F.col("is_command"))])
-    rows = rows.join(before.select("flow_id", "seen"), "flow_id", "left")
-    rows = rows.withColumn("command_no", F.col("_before") + F.col("is_command") + F.coalesce("seen", F.lit(0))).filter("command_no > 0")
-    command = F.col("is_command") == 1
-    return rows.groupBy("flow_id", "command_no").agg(
-        F.min(F.when(command, F.col("ts_us"))).alias("open_us"), F.max(F.when(~command, F.col("ts_us"))).alias("rsp_us"),
-        nodes.total_if(~command).alias("rsp_count"), nodes.total_if(~command, "bytes").alias("rsp_bytes"))
-
-
-def stream_mysql(messages: DataFrame, out: str, state_path: str, checkpoint: str, delay_s: int = 10, trigger: dict | None = None) -> StreamingQuery:
-    """Open event of each command and an update of its responses per micro-batch.
-
-    Messages are taken in the order of their times.  The state holds the number
-    of commands seen per flow until the session timeout; responses belong to
-    the last command before them, which may be in an earlier batch.
-    """
-    counts, order = TableState(state_path, COUNT_STATE), in_order(state_path, delay_s, MYSQL_HELD)
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        due, reached = order.take(batch, batch_id)
-        before = counts.read(batch.sparkSession, batch_id)
-        write_batch(mysql_step(due, before), out, batch_id)
-        new = due.groupBy("flow_id").agg(nodes.total("is_command").alias("seen"), F.max("ts_us").alias("last_us")).withColumn("kind", F.lit("command"))
-        counts.write(summed(before, new, reached), batch_id)
-
-    return run(messages, checkpoint, each, trigger)
+def stream_transactions(messages: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Open (request) and close (response) events of FIFO-matched transactions."""
+    rows = messages.select("flow_id", *keyed.columns(keyed.Turns.held), "ts")
+    return keyed.append(keyed.records(rows, ["flow_id"], keyed.Turns(S.TCP_ACTIVE_S)), out, checkpoint, trigger)
 
 
-def flush_mysql(spark: SparkSession, state_path: str, batches: int) -> DataFrame:
-    """Updates of the messages still held after `batches` micro-batches."""
-    rest = in_order(state_path, 0, MYSQL_HELD).rest(spark, batches)
-    return mysql_step(rest, TableState(state_path, COUNT_STATE).read(spark, batches))
+def stream_mysql(messages: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Open event of each command and updates of its responses, which belong to the last command before them."""
+    rows = messages.withColumn("late", 1 - F.col("is_command"))
+    rows = rows.select("flow_id", *keyed.columns(keyed.Commands.held), "ts")
+    return keyed.append(keyed.records(rows, ["flow_id"], keyed.Commands(S.TCP_ACTIVE_S)), out, checkpoint, trigger)
 
 
 def mysql_updates(updates: DataFrame) -> DataFrame:
-    """Commands with all their batch updates summed."""
+    """Commands with all their updates summed."""
     return updates.groupBy("flow_id", "command_no").agg(
         F.min("open_us").alias("open_us"), F.max("rsp_us").alias("rsp_us"), F.sum("rsp_count").alias("rsp_count"), F.sum("rsp_bytes").alias("rsp_bytes"))
 

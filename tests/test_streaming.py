@@ -1,4 +1,4 @@
-"""Micro-batch merging against the batch result."""
+"""Keyed processors against the batch result, over micro-batches with late rows."""
 
 import random
 
@@ -7,90 +7,164 @@ from pyspark.sql import functions as F
 
 from helpers import packets
 from netspark import schema as S
-from netspark.operators import flows
-from netspark.streaming import jobs
-from netspark.streaming.state import InOrder, TableState
+from netspark.operators import flows, transactions as tx
+from netspark.operators.sessions import Timeouts
+from netspark.streaming import jobs, keyed
 
 SEC = S.US
 
 
-def _rows(seed):
-    """One flow with silences, new and repeated SYNs that fall on both sides of batch borders."""
+class Store:
+    """The state of one key, as a processor's handle gives it."""
+
+    def __init__(self):
+        self.values, self.timers, self.writes = {}, set(), 0
+
+    def getValueState(self, name, schema):
+        store = self
+
+        class Value:
+            def get(self):
+                return store.values.get(name)
+
+            def update(self, value):
+                assert len(value) == len(schema)
+                store.values[name] = value
+                store.writes += 1
+
+            def clear(self):
+                store.values.pop(name, None)
+        return Value()
+
+    def getListState(self, name, schema):
+        value = self.getValueState(name, schema)
+        value.exists = lambda: name in self.values
+        value.get = lambda: iter(self.values.get(name, []))
+        value.put = lambda rows: self.values.__setitem__(name, rows)
+        return value
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class Mark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def streamed(make, key, batches, delay_us):
+    """Records of one key: rows of each batch, then timers that the watermark passed; at the end it passes all."""
+    store, out, newest, mark = Store(), [], 0, 0
+    for rows in [*batches, [], None]:
+        if rows is None:
+            mark = keyed.NEVER // 1000
+        else:
+            rows = [r for r in rows if r["ts_us"] > mark * 1000]
+        processor = make()
+        processor.init(store)
+        if rows:
+            out += list(processor.handleInputRows(key, iter(rows), Mark(mark)))
+            newest = max(newest, *(r["ts_us"] for r in rows))
+        while any(t < mark for t in store.timers):
+            store.timers.remove(min(store.timers))
+            out += list(processor.handleExpiredTimer(key, Mark(mark), None))
+        mark = max(mark, (newest - delay_us) // 1000) if rows is not None else mark
+    assert not store.values and not store.timers
+    return [r.asDict() for r in out]
+
+
+def arrivals(rng, rows, late_us, size):
+    """Batches of the rows in the order of their arrival, up to late_us behind their times."""
+    rows = sorted(rows, key=lambda r: r["ts_us"] + rng.randrange(late_us + 1))
+    return [rows[i:i + size] for i in range(0, len(rows), size)]
+
+
+@pytest.mark.parametrize("seed, timeouts", [(0, Timeouts()), (1, Timeouts(opening_s=15, closing_s=60))])
+def test_flows_over_batches_give_the_batch_sessions(spark, seed, timeouts):
     rng = random.Random(seed)
-    t, rows = 0, []
-    for _ in range(90):
-        t += rng.choice([1, 3, 20, 650]) * SEC
-        rows.append({"ts_us": t, "up": rng.choice("cs"), "tcp_flags": rng.choice([S.SYN, S.ACK, S.ACK]), "tcp_seq": rng.randrange(2), "wire_len": 70})
-    return rows
-
-
-@pytest.mark.parametrize("seed", [0, 1])
-def test_flows_over_batches(spark, tmp_path, seed):
-    df = packets(spark, _rows(seed)).cache()
-    store = TableState(str(tmp_path / "state"), jobs.FLOW_STATE)
-    closed = []
-    for batch_id in range(4):
-        low, high = [-1, 22, 45, 67, 90][batch_id:batch_id + 2]
-        batch = df.filter((F.col("packet_id") > low) & (F.col("packet_id") <= high))
-        merged = jobs.merge_flows(batch, store.read(spark, batch_id)).cache()
-        closed += [r for r in jobs.flow_records(merged, ~F.col("latest"), 10 * SEC).collect()]
-        store.write(merged.filter("latest"), batch_id)
-    closed += jobs.flow_records(store.read(spark, 4).withColumn("seen_us", F.col("last_us")), F.lit(True), 10 * SEC).collect()
-    summary = flows.flow_summary(flows.packets_with_flow(df)).collect()
-    got = sorted((r.start_us, r.last_us, r.client_ip, r.client_pkts, r.server_pkts) for r in closed if r.way == "close")
-    assert got == sorted((r.start_us, r.last_us, r.client_ip, r.client_pkts, r.server_pkts) for r in summary)
-    ticks = sorted((r.start_us, r.at_us) for r in closed if r.way == "tick")
-    batch_ticks = flows.flow_ticks(flows.flow_summary(flows.packets_with_flow(df))).filter("way = 'tick'")
-    starts = {r.session_no: r.start_us for r in summary}
-    assert ticks == sorted((starts[r.session_no], r.at_us) for r in batch_ticks.collect())
-    assert sorted(r.start_us for r in closed if r.way == "open") == sorted(starts.values())
-
-
-def test_state_of_a_repeated_batch(spark, tmp_path):
-    store = TableState(str(tmp_path), jobs.COUNT_STATE)
-    row = lambda n: spark.createDataFrame([(1, "req", n, 0)], jobs.COUNT_STATE)
-    assert store.read(spark, 0).count() == 0
-    store.write(row(1), 0)
-    for _ in range(2):
-        assert store.read(spark, 1).first().seen == 1
-        store.write(row(2), 1)
-    assert store.read(spark, 2).first().seen == 2
-
-
-def _late_rows(n=120, late=8):
-    """Rows of one flow in order of arrival, each up to `late` seconds late."""
-    rng = random.Random(4)
-    rows = [{"ts_us": t * SEC, "up": "cs"[t % 3 == 1], "tcp_flags": S.SYN if t % 40 == 0 else S.ACK, "tcp_seq": t // 40, "wire_len": 70} for t in range(n)]
-    return sorted(enumerate(rows), key=lambda r: r[1]["ts_us"] + rng.randrange(late * SEC))
-
-
-@pytest.mark.parametrize("size", [40])
-def test_late_packets_over_batches_give_the_batch_result(spark, tmp_path, size):
-    arrivals = _late_rows()
-    df = packets(spark, [r for _, r in sorted(arrivals)]).cache()
-    store, order = TableState(str(tmp_path / "state"), jobs.FLOW_STATE), InOrder(str(tmp_path / "order"), jobs.PACKETS_HELD, 10 * SEC)
-    closed, batch_id = [], 0
-    for begin in range(0, len(arrivals), size):
-        ids = [i for i, _ in arrivals[begin:begin + size]]
-        due, _ = order.take(df.filter(F.col("packet_id").isin(ids)), batch_id)
-        merged = jobs.merge_flows(due, store.read(spark, batch_id)).cache()
-        closed += jobs.flow_records(merged, ~F.col("latest"), 10 * SEC).collect()
-        store.write(merged.filter("latest"), batch_id)
-        batch_id += 1
-    rest = jobs.merge_flows(order.rest(spark, batch_id), store.read(spark, batch_id))
-    closed += jobs.flow_records(rest, F.lit(True), 10 * SEC).collect()
-    summary = flows.flow_summary(flows.packets_with_flow(df)).collect()
-    key = lambda r: (r.start_us, r.last_us, r.client_ip, r.client_pkts, r.server_pkts)
-    assert sorted(key(r) for r in closed if r.way == "close") == sorted(map(key, summary))
-    assert order.mark(spark, batch_id)[1] == 0
-
-
-def test_rows_later_than_the_delay_are_counted(spark, tmp_path):
-    order = InOrder(str(tmp_path), jobs.HTTP_HELD, 10)
-    batch = lambda *times: spark.createDataFrame([(1, "req", t, t) for t in times], jobs.HTTP_HELD)
-    taken = []
-    for i, times in enumerate([(100, 95, 103), (), (120, 99), (90, 93, 125)]):
-        due, reached = order.take(batch(*times), i)
-        taken.append((sorted(r.ts_us for r in due.collect()), reached))
-    assert taken == [([], 93), ([], 93), ([95, 99, 100, 103], 110), ([], 115)]
-    assert order.mark(spark, 4) == (115, 2) and sorted(r.ts_us for r in order.rest(spark, 4).collect()) == [120, 125]
+    t, rows, packed = 1000 * SEC, [], []
+    for i in range(150):
+        t += rng.choice([0, 1, 3, 6, 20, 62, 650]) * SEC
+        flags = rng.choice([S.SYN, S.SYN | S.ACK, S.ACK, S.ACK, S.ACK, S.FIN | S.ACK])
+        side, seq, ack, size = rng.choice("cs"), rng.randrange(2), rng.choice([1, 2]), rng.randrange(9) if not flags & S.SYN else 0
+        packed.append({"ts_us": t, "up": side, "tcp_flags": flags, "tcp_seq": seq, "tcp_ack": ack, "payload_len": size})
+        kind = keyed.END if flags & S.FIN else keyed.PLAIN if flags == S.ACK else keyed.ANSWER if flags & S.ACK else keyed.SYN
+        rows.append({"ts_us": t, "packet_id": i, "kind": kind, "seq": seq, "ack": ack, "up": int(side == "c"), "payload_len": size})
+    got = streamed(lambda: keyed.Flows(timeouts, 10 * SEC), (10, 1000, 20, 80, 6), arrivals(rng, rows, 8 * SEC, 20), 10 * SEC)
+    summary = flows.flow_summary(flows.packets_with_flow(packets(spark, packed), timeouts=timeouts)).collect()
+    columns = ("client_ip", "client_port", "start_us", "last_us", *keyed.COUNTERS)
+    assert sorted(tuple(r[c] for c in columns) for r in got if r["way"] == "close") == sorted(tuple(r[c] for c in columns) for r in summary)
+    assert sorted(r["start_us"] for r in got if r["way"] == "open") == sorted(r.start_us for r in summary)
+    ticks = [(r.start_us, at) for r in summary for at in range(r.start_us + 10 * SEC, r.last_us + 1, 10 * SEC)]
+    assert sorted((r["start_us"], r["at_us"]) for r in got if r["way"] == "tick") == sorted(ticks)
+
+
+def test_dns_over_batches_gives_the_batch_transactions(spark):
+    rng = random.Random(2)
+    t, rows = 1000 * SEC, []
+    for _ in range(60):
+        t += rng.choice([1, 2, 4, 6, 30]) * SEC
+        rows.append({"ts_us": t, "qr": rng.randrange(2), "client_ip": 1, "server_ip": 2, "opcode": rng.choice([None, 0, 2]), "qname": rng.choice([None, "a", "b"]),
+                     "qtype": "Text", "rcode": rng.choice([None, 0, 3]), "bytes": rng.randrange(50)})
+    got = streamed(lambda: keyed.Dns(5), (7, 9), arrivals(rng, rows, 3 * SEC, 7), 3 * SEC)
+    schema = "flow_id bigint, dns_id bigint, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.Dns.held)
+    df = spark.createDataFrame([(7, 9, *(r[n] for n in keyed.Dns.held.names)) for r in rows], schema)
+    want = tx.dns_txn(df).select(*keyed.Dns.record.names).collect()
+    key = lambda r: [str(x) for x in r]
+    assert sorted(map(key, (r.values() for r in got))) == sorted(map(key, want))
+
+
+def test_turns_and_commands_over_batches():
+    rng = random.Random(3)
+    times = sorted(rng.sample(range(1000, 1400), 120))
+    rows = [{"ts_us": t * SEC, "kind": rng.choice(["req", "rsp"]), "n": t} for t in times]
+    got = streamed(lambda: keyed.Turns(600), (1,), arrivals(rng, rows, 4 * SEC, 13), 5 * SEC)
+    asked, told = ([r for r in rows if r["kind"] == k] for k in ("req", "rsp"))
+    want = [(i + 1, "open", r["ts_us"], r["n"]) for i, r in enumerate(asked)] + [(i + 1, "close", p["ts_us"], q["n"]) for i, (q, p) in enumerate(zip(asked, told))]
+    assert sorted((r["turn_no"], r["way"], r["at_us"], r["n"]) for r in got) == sorted(want)
+    rows = [{"ts_us": t * SEC, "late": rng.choice([0, 1, 1]), "bytes": rng.randrange(9)} for t in times]
+    got = streamed(lambda: keyed.Commands(600), (1,), arrivals(rng, rows, 4 * SEC, 13), 5 * SEC)
+    number, want = 0, {}
+    for r in rows:
+        number += not r["late"]
+        want.setdefault(number, [0, 0])
+        want[number][0] += r["late"]
+        want[number][1] += r["late"] * r["bytes"]
+    want.pop(0, None)
+    sums = {n: [sum(r["rsp_count"] for r in got if r["command_no"] == n), sum(r["rsp_bytes"] for r in got if r["command_no"] == n)] for n in want}
+    assert sums == want
+
+
+def test_a_batch_writes_only_what_it_changed():
+    store = Store()
+    processor = keyed.Flows(Timeouts(), 10 * SEC)
+    processor.init(store)
+    key = (10, 1000, 20, 80, 17)
+    row = {"ts_us": 5 * SEC, "packet_id": 1, "kind": 0, "seq": 0, "ack": 0, "up": 1, "payload_len": 3}
+    assert list(processor.handleInputRows(key, iter([row]), Mark(0))) == [] and store.writes == 0
+    assert [r.way for r in processor.handleExpiredTimer(key, Mark(6000), None)] == ["open"] and store.writes == 1
+    assert list(processor.handleExpiredTimer(key, Mark(7000), None)) == [] and store.writes == 1
+
+
+def test_rows_behind_the_watermark_are_dropped_and_counted(spark, tmp_path):
+    schema = "flow_id bigint, dns_id bigint, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.Dns.held)
+    row = lambda dns, ts, qr: (1, dns, ts * SEC, qr, 1, 2, 0, "q", "t", None if qr == 0 else 0, 10)
+    path = str(tmp_path / "in")
+    for part in ([row(1, 1000, 0), row(2, 1001, 0)], [row(1, 1002, 1), row(3, 1030, 0)], [row(3, 1031, 1)], [row(2, 1004, 1)], [row(4, 9000, 0)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    rows = jobs.stream_table(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+    query = jobs.stream_dns(rows, str(tmp_path / "out"), str(tmp_path / "cp"))
+    query.awaitTermination()
+    # The answer to 2 came 16 seconds behind the mark of 1030 - 10 seconds, by which the batch before it went.
+    assert jobs.dropped_rows(query) == 1
+    got = spark.read.parquet(str(tmp_path / "out")).select("dns_id", "req_timeout").orderBy("dns_id").collect()
+    assert [tuple(r) for r in got] == [(1, False), (2, True), (3, False)]
