@@ -184,7 +184,9 @@ def positions(flow_packets: DataFrame, payload: bool = False) -> DataFrame:
 
     Each packet gives its sequence number to the line of its own side and its
     acknowledgement number to the line of the other side; in arrival order the
-    two stay close together, so one pass of circular steps places both.
+    two stay close together, so one pass of circular steps places both.  Where
+    the packets have `sacks`, acknowledgements keep theirs as `blocks`, placed
+    on the same line.
     """
     own = F.struct(F.col("dir").alias("side"), F.lit("seq").alias("kind"), F.col("tcp_seq").alias("value"))
     peer = F.struct((-F.col("dir")).alias("side"), F.lit("ack").alias("kind"), F.col("tcp_ack").alias("value"))
@@ -192,11 +194,58 @@ def positions(flow_packets: DataFrame, payload: bool = False) -> DataFrame:
     marks = F.filter(F.array(F.when(sends, own), F.when(net.has_flag(S.ACK), peer)), lambda m: m.isNotNull())
     kept = [*S.SESSION, *ARRIVAL, "payload_len", "syn", "slice_us"]
     bytes_ = [F.when(F.col("m.kind") == "seq", F.col("payload")).alias("payload")] if payload else []
+    sacked = "sacks" in flow_packets.columns
+    if sacked:
+        bytes_.append(F.when(F.col("m.kind") == "ack", F.col("sacks")).alias("_sacks"))
     rows = (tcp(flow_packets).withColumns({"syn": net.has_flag(S.SYN), "m": F.explode(marks)})
             .select(*kept, *bytes_, "m.*"))
     rows = unwrap(rows, [*S.SESSION, "side"], ARRIVAL, time_slice(rows), "value", "pos")
     length = F.when(F.col("kind") == "seq", F.col("payload_len") + F.col("syn").cast("int")).otherwise(0)
-    return rows.withColumn("pos_end", F.col("pos") + length)
+    rows = rows.withColumn("pos_end", F.col("pos") + length)
+    if not sacked:
+        return rows
+    place = lambda edge: F.col("pos") + net.seq_diff(F.col("value"), edge)
+    blocks = F.transform("_sacks", lambda b: F.struct(place(b["left"]).alias("lo"), place(b["right"]).alias("hi")))
+    # A block before the acknowledgement number tells of a repeat, not of new bytes.
+    return rows.withColumn("blocks", F.filter(blocks, lambda b: (b["lo"] >= F.col("pos")) & (b["lo"] < b["hi"]))).drop("_sacks")
+
+
+LEVELS = 32
+
+
+def covering_nodes(lo: Column, hi: Column) -> Column:
+    """The dyadic intervals (level, node) that make up the whole numbers from lo up to, and without, hi.
+
+    A level has two of them at most: the one left of an odd border, the one
+    right of it.
+    """
+    def pieces(k):
+        first, last = F.ceil(lo / F.pow(F.lit(2), k)).cast("bigint"), F.floor(hi / F.pow(F.lit(2), k)).cast("bigint")
+        open_ = first < last
+        node = lambda cond, n: F.when(open_ & cond, F.struct(k.alias("level"), n.alias("node")))
+        return F.filter(F.array(node(F.pmod(first, F.lit(2)) == 1, first), node(F.pmod(last, F.lit(2)) == 1, last - 1)), lambda n: n.isNotNull())
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), pieces))
+
+
+def sack_times(line: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, point, sack_us): when a selective acknowledgement first covered a point.
+
+    Which blocks a point lies in is an interval stabbing: blocks are cut into
+    dyadic intervals, of each the earliest time is kept, and a point looks up
+    the one interval of each level that it lies in, of the levels its side
+    has.  All are equality joins on (side, level, interval), so neither many
+    blocks nor many segments of a side meet in one task, and nested or
+    repeated blocks collapse before the shuffle.
+    """
+    blocks = line.filter((F.col("kind") == "ack") & (F.size("blocks") > 0)).select(*keys, "ts_us", F.explode("blocks").alias("b"))
+    # The end of a segment is covered where lo < end <= hi.
+    nodes = blocks.select(*keys, "ts_us", F.explode(covering_nodes(F.col("b.lo") + 1, F.col("b.hi") + 1)).alias("n"))
+    nodes = nodes.groupBy(*keys, F.col("n.level").alias("level"), F.col("n.node").alias("node")).agg(F.min("ts_us").alias("sack_us"))
+    levels = nodes.groupBy(*keys).agg(F.collect_set("level").alias("levels"))
+    sought = points.join(levels, keys).select(*keys, "point", F.explode("levels").alias("level"))
+    sought = sought.withColumn("node", F.floor(F.col("point") / F.pow(F.lit(2), F.col("level"))).cast("bigint"))
+    return sought.join(nodes, [*keys, "level", "node"]).groupBy(*keys, "point").agg(F.min("sack_us").alias("sack_us"))
 
 
 def rtt_segments(line: DataFrame) -> DataFrame:
@@ -205,6 +254,8 @@ def rtt_segments(line: DataFrame) -> DataFrame:
     Acknowledgements are cumulative, so the time a position was reached is the
     smallest time over all equal or higher acknowledgement numbers: a running
     minimum in falling position order.  No segment meets more than one value.
+    Where the line has `blocks`, a selective acknowledgement of the segment's
+    end counts as well.
     """
     keys = [*S.SESSION, "side"]
     point = F.when(F.col("kind") == "seq", F.col("pos_end")).otherwise(F.col("pos"))
@@ -214,8 +265,12 @@ def rtt_segments(line: DataFrame) -> DataFrame:
                    F.min(F.when(F.col("kind") == "ack", F.col("ts_us"))).alias("ack_us"), F.max("slice_us").alias("slice_us")))
     rows = with_priors(points, keys, ["point"], F.floor(F.col("point") / SEQ_SLICE),
                        [Prior("_higher", "min", F.col("ack_us"))], descending=True)
-    return (rows.filter(F.col("sent_us").isNotNull())
-            .select(*keys, "point", "sent_us", F.least("ack_us", "_higher").alias("acked_us"), "slice_us"))
+    out = (rows.filter(F.col("sent_us").isNotNull())
+           .select(*keys, "point", "sent_us", F.least("ack_us", "_higher").alias("acked_us"), "slice_us"))
+    if "blocks" not in line.columns:
+        return out
+    sacked = sack_times(line, out.select(*keys, "point"), keys)
+    return out.join(sacked, [*keys, "point"], "left").withColumn("acked_us", F.least("acked_us", "sack_us")).drop("sack_us")
 
 
 def rtt_samples(line: DataFrame) -> DataFrame:

@@ -156,6 +156,33 @@ def flow_rtt(spark, sf):
     return tcp.flow_rtt(tcp.rtt_samples(line(spark, sf)))
 
 
+# The client's acknowledgement of the first response (step 7) is given a hole and blocks: one that covers the second segment, one that ends
+# within it, or one of bytes that are acknowledged anyway.
+_SACK_ACK = "CASE WHEN conv_id % 5 = 0 AND packet_id % 16 = 7 AND conv_id % 3 < 2 THEN 1001 ELSE tcp_ack END"
+_SACK_EDGES = ("CASE conv_id % 3 WHEN 0 THEN 2001 WHEN 1 THEN 2001 ELSE 1001 END", "CASE conv_id % 3 WHEN 0 THEN 2461 WHEN 1 THEN 2400 ELSE 2001 END")
+_SACKED = "conv_id % 5 = 0 AND packet_id % 16 = 7"
+
+
+@query("rtt_samples_sack", o.with_(P, SS.replace("FROM packets WHERE", f"FROM (SELECT * REPLACE ({_SACK_ACK} AS tcp_ack) FROM packets) WHERE"), o.LINE, f"""
+blocks AS (
+  SELECT {SESSION}, side, l.ts_us, l.pos + e_lo - l.value AS lo, l.pos + e_hi - l.value AS hi
+  FROM (SELECT *, {_SACK_EDGES[0]} AS e_lo, {_SACK_EDGES[1]} AS e_hi FROM (SELECT *, (packet_id // 16) AS conv_id FROM line) WHERE kind = 'ack' AND {_SACKED}) l
+  WHERE e_lo >= l.value)""", f"""
+segs AS (SELECT {SESSION}, side, pos + payload_len + syn AS point, min(ts_us) AS sent_us FROM line WHERE kind = 'seq' AND payload_len > 0 GROUP BY ALL),
+told AS (
+  SELECT {SESSION}, side, point, a.ts_us FROM segs JOIN (SELECT {SESSION}, side, pos, ts_us FROM line WHERE kind = 'ack') a USING ({SESSION}, side) WHERE a.pos >= point
+  UNION ALL SELECT {SESSION}, side, point, b.ts_us FROM segs JOIN blocks b USING ({SESSION}, side) WHERE b.lo < point AND point <= b.hi)""", f"""
+SELECT {SESSION}, side, sent_us, min(told.ts_us) AS acked_us, min(told.ts_us) - sent_us AS rtt_us FROM segs JOIN told USING ({SESSION}, side, point)
+GROUP BY {SESSION}, side, point, sent_us HAVING min(told.ts_us) > sent_us"""))
+def rtt_samples_sack(spark, sf):
+    """Round trips where segments are acknowledged selectively."""
+    edge = [F.expr(e).cast("bigint") for e in _SACK_EDGES]
+    sacks = F.when(F.expr(_SACKED), F.array(F.struct(edge[0].alias("left"), edge[1].alias("right"))))
+    packets = fx.flow_packets(spark, sf).withColumn("conv_id", F.floor(F.col("packet_id") / 16))
+    packets = packets.withColumns({"tcp_ack": F.expr(_SACK_ACK).cast("bigint"), "sacks": sacks})
+    return tcp.rtt_samples(tcp.positions(packets)).drop("point")
+
+
 # A queue of one segment, as the short conversations never fill the usual 128.
 @query("outstanding_limit", o.with_(P, SS, o.LINE, RTT, f"""
 SELECT {SESSION}, side, count(*) AS segments, {o.count_if('later >= 1')} AS rtt_dropped

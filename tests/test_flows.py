@@ -116,6 +116,47 @@ def test_rtt_over_the_wrap_and_repeats(spark):
     assert got == [(10, 30), (20, 70)]
 
 
+def test_covering_nodes_are_the_interval(spark):
+    rng = random.Random(1)
+    spans = [(a, a + rng.choice([0, 1, 2, 7, 100, 1000])) for a in [rng.randrange(-2000, 5000) for _ in range(60)]]
+    df = spark.createDataFrame(spans, "lo bigint, hi bigint")
+    for r in df.select("lo", "hi", tcp.covering_nodes(F.col("lo"), F.col("hi")).alias("n")).collect():
+        numbers = [x for n in r.n for x in range(n.node << n.level, (n.node + 1) << n.level)]
+        assert sorted(numbers) == list(range(r.lo, r.hi)) and len(r.n) <= 2 * 12
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_selective_acknowledgements(spark, seed):
+    """Random blocks, nested, repeated and over the wrap, against a look at every block of every segment."""
+    rng = random.Random(seed)
+    isn = 4294966000
+    seq = lambda p: (isn + p) % S.UINT32
+    rows, sent, told = [], {}, []
+    t = 0
+    for _ in range(80):
+        t += 10
+        p, n = 100 * rng.randrange(40), 100 * rng.randrange(1, 4)
+        if rng.random() < 0.6:
+            rows.append({"ts_us": t, "tcp_seq": seq(p), "payload_len": n, "sacks": []})
+            sent.setdefault(p + n, t)
+        else:
+            ack = 100 * rng.randrange(10)
+            blocks = [(lo, lo + rng.choice([50, 100, 1000, 3000])) for lo in (100 * rng.randrange(40) for _ in range(rng.randrange(4)))]
+            rows.append({"ts_us": t, "up": "s", "tcp_ack": seq(ack), "sacks": [(seq(a), seq(b)) for a, b in blocks]})
+            told += [(t, None, ack)] + [(t, a, b) for a, b in blocks if a >= ack]
+    rows.insert(0, {"ts_us": 0, "tcp_flags": SYN, "tcp_seq": seq(-1), "sacks": []})
+    base = packets(spark, [{k: v for k, v in r.items() if k != "sacks"} for r in rows])
+    blocks = spark.createDataFrame([(i, r["sacks"]) for i, r in enumerate(rows)], "packet_id bigint, sacks array<struct<left: bigint, right: bigint>>")
+    line = tcp.positions(flows.packets_with_flow(base).join(blocks, "packet_id"))
+    got = sorted((r.sent_us, r.rtt_us) for r in tcp.rtt_samples(line).filter("side = 1").collect())
+    want = []
+    for point, at in sent.items():
+        first = min([w for w, lo, hi in told if point <= hi and (lo is None or lo < point)], default=None)
+        if first is not None and first > at:
+            want.append((at, first - at))
+    assert got == sorted(want)
+
+
 def test_outstanding_limit(spark):
     rows = [{"ts_us": i, "tcp_seq": 10 * i, "payload_len": 10} for i in range(1, 6)] + [{"ts_us": 50, "up": "s", "tcp_ack": 60}]
     line = tcp.positions(flows.packets_with_flow(packets(spark, rows)))
