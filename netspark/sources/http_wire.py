@@ -1,26 +1,37 @@
-"""HTTP/1.x messages of byte streams: heads and where bodies end."""
+"""HTTP/1.x messages of byte streams: heads and where bodies end.
+
+Where a message starts is known only from the one before it, yet a stream is
+not read from its start here.  One pass over its chunks lists every place that
+may matter, whatever came before: lines that look like start lines, size lines
+of chunked bodies, closing marks of multipart ones.  What follows each of them,
+were it one, is a pointer to another such place.  The messages are the places
+that the pointers reach from the first one.  Pointers are followed inside each
+chunk first, and from chunk to chunk by doubling, so a stream of n chunks takes
+log n steps over a few rows a chunk, and no byte is read again.
+"""
 
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netspark.operators.prefix import Prior, with_priors
+from netspark.session import cut
 from netspark.sources import streams
 
-FOREVER = 1 << 62
-
-# Start lines.
-START = {1: re.compile(rb"^(?:GET|POST|PUT|SEARCH|CONNECT|HEAD) [^\r\n]*HTTP/1\.\d[ \t]*\r?\n", re.M),
-         -1: re.compile(rb"^HTTP/1\.\d +\d+[^\r\n]*\r?\n", re.M)}
+# Start lines, at any place, as a message may follow a body that ends without a new line.
+START = {1: re.compile(rb"(?=(?:GET|POST|PUT|SEARCH|CONNECT|HEAD) [^\r\n]*HTTP/1\.\d[ \t]*\r?\n)"),
+         -1: re.compile(rb"(?=HTTP/1\.\d +\d+[^\r\n]*\r?\n)")}
 # Bytes that no head holds; missing bytes read as zero, so a head with a gap has them.
 NO_TEXT = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
-STATUS = re.compile(rb"HTTP/1\.\d +\d")
-SIZE_LINE = re.compile(rb"([0-9A-Fa-f]+)[^\r\n]*\r?\n")
+SIZE_LINE = re.compile(rb"^([0-9A-Fa-f]{1,15})[ \t]*(?:;[^\r\n]*)?\r?\n", re.M)
+CLOSING = re.compile(rb"^--([^\r\n]+)--[ \t]*(?:\r?\n|\Z)", re.M)
+BLANK = re.compile(rb"^\r*\n", re.M)
 
-UNITS = [("offset", pa.int64(), "BIGINT"), ("ts_us", pa.int64(), "BIGINT"), ("unit", pa.string(), "STRING"),
-         ("framing", pa.string(), "STRING"), ("head", pa.string(), "STRING"), ("size", pa.int64(), "BIGINT")]
+MARKS = [("kind", pa.string(), "STRING"), ("at", pa.int64(), "BIGINT"), ("is_line", pa.bool_(), "BOOLEAN"), ("ts_us", pa.int64(), "BIGINT"),
+         ("end", pa.int64(), "BIGINT"), ("framing", pa.string(), "STRING"), ("size", pa.int64(), "BIGINT"), ("text", pa.string(), "STRING")]
 
 
 def _field(head: bytes, name: bytes) -> bytes | None:
@@ -60,110 +71,240 @@ def head_end(data: bytes, at: int) -> int | None:
         at = end + 1
 
 
-def bodiless(data: bytes, end: int, size: int) -> bool:
-    """Whether an answer that tells a length has no body, as after HEAD: the next answer follows at once, and none follows the length."""
-    return bool(STATUS.match(data, end)) and end + size != len(data) and not STATUS.match(data, end + size)
-
+def scan(view: streams.ChunkView, side: int) -> list[dict]:
+    """Marks of what begins in a chunk.
 
-def parse_chunk(view: streams.ChunkView, side: int, place: streams.Place | None):
-    """Units that start in the chunk: heads, and the parts of bodies whose size no head tells."""
+    kind: "head" (with its end, framing and text), "open" (a head that goes on
+    behind the bytes at hand), "size", "close", and once a chunk "blank" and
+    "bad" (the first blank line and the first byte that no head holds),
+    "newline" (the next chunk begins with a line), "begin" and "end".  Whether
+    a line begins at the chunk's first byte is not known here (is_line is null).
+    """
     base, data, own = view.start, view.data, view.size
-    at, mode = place if place else (max(view.parts[0]["pos"], base), "sync")
-    began = place
-    units = []
-
-    def add(offset, unit, framing, head, size):
-        units.append({"offset": offset, "ts_us": view.time_at(offset), "unit": unit, "framing": framing, "head": head, "size": size})
-
-    while at - base < min(own, len(data)):
-        p = at - base
-        if mode in ("start", "sync") or mode.startswith("head:"):
-            if mode.startswith("head:"):
-                # A head begun in an earlier chunk: its place, time and bytes so far come with the mode.
-                _, begin, ts, text = mode.split(":", 3)
-                kept, begin, ts, mode = text.encode("latin-1"), int(begin), int(ts), "sync"
-                text, lead = kept + data[p:], len(kept)
-            else:
-                found = START[side].search(memoryview(data)[p:])
-                if not found or p + found.start() >= own:
-                    at, mode = base + own, "sync"
-                    break
-                p += found.start()
-                begin, ts, text, lead = base + p, view.time_at(base + p), data[p:], 0
-            end = head_end(text, 0)
-            if end is None and view.end >= base + own:
-                at, mode = base + own, f"head:{begin}:{ts}:" + text[:lead + own - p].decode("latin-1")
-                began = began or (begin, "start")
-                break
-            if end is None or end < 0:
-                at, mode = base + p + (0 if lead else max(1, text.find(b"\n") + 1)), "sync"
-                continue
-            began = began or (begin, "start")
-            head = text[:end]
-            framing, size = _framing(head, side)
-            end += p - lead
-            if side == -1 and framing == "length" and bodiless(data, end, size):
-                framing, size = "none", 0
-            units.append({"offset": begin, "ts_us": ts, "unit": "head", "framing": framing.split(":")[0], "head": head.decode("latin-1"), "size": size})
-            at = base + end + size
-            mode = {"chunked": "chunk"}.get(framing, "start")
-            if framing.startswith("multipart:"):
-                mode = framing
-            elif framing == "close":
-                at = FOREVER
-        elif mode == "trailer":
-            end = head_end(data, p)
-            if end is None:
-                # Go on at the first line of the next chunk.
-                line = data.find(b"\n", max(own - 1, p)) + 1
-                at = base + (line if line >= own else own)
-                break
-            at, mode = (base + end, "start") if end >= 0 else (at, "sync")
-        elif mode == "chunk":
-            line = SIZE_LINE.match(data, p)
-            if not line:
-                if len(data) - p < 32 and view.end < base + own:
-                    break
-                mode = "sync"
-                continue
-            size = int(line.group(1), 16)
-            if size:
-                add(at, "body", "chunked", None, size)
-                at = base + line.end() + size + 2
-            else:
-                at, mode = base + line.end(), "trailer"
-        else:
-            mark = b"--" + mode.split(":", 1)[1].encode("latin-1") + b"--"
-            stop = data.find(mark, p)
-            if stop < 0:
-                # Step back by the mark's length so that one across the edge is found from the next chunk.
-                reach = max(min(own, len(data)), p)
-                following = max(base + reach - len(mark) + 1, at) if view.end < base + own else base + own
-                add(at, "body", "multipart", None, following - at)
-                at = following
+    first = view.parts[0]["pos"] - base
+    rest = memoryview(data)[first:]
+    out = []
+
+    def add(kind, at, end=None, framing=None, size=None, text=None):
+        is_line = None if at == first else data[at - 1:at] == b"\n"
+        out.append({"kind": kind, "at": base + at, "is_line": is_line, "ts_us": view.time_at(base + at),
+                    "end": None if end is None else base + end, "framing": framing, "size": size, "text": text})
+
+    def places(pattern):
+        for found in pattern.finditer(rest):
+            if first + found.start() >= own:
                 break
-            end = stop + len(mark)
-            end += 2 if data[end:end + 2] == b"\r\n" else 0
-            add(at, "body", "multipart", None, base + end - at)
-            at, mode = base + end, "start"
-    return units, began or (at, mode), (at, mode)
+            yield first + found.start(), first + found.end(), found
+
+    add("begin", first)
+    add("end", len(data))
+    if data[own - 1:own] == b"\n":
+        add("newline", own)
+    for at, _, _ in places(START[side]):
+        end = head_end(data, at)
+        if end is None:
+            add("open", at)
+        elif end >= 0:
+            framing, size = _framing(data[at:end], side)
+            add("head", at, end, framing, size, data[at:end].decode("latin-1"))
+    for at, end, found in places(SIZE_LINE) if side == -1 else ():
+        add("size", at, end, size=int(found.group(1), 16))
+    for at, _, found in places(CLOSING) if side == 1 else ():
+        end = at + len(found.group(1)) + 4
+        # The line's end belongs to the body.
+        add("close", at, end + (2 if data[end:end + 2] == b"\r\n" else 0), text=found.group(1).decode("latin-1"))
+    for at, end, _ in places(BLANK):
+        add("blank", at, end)
+        # One at the chunk's first byte may be the end of a line; the next one counts as well then.
+        if at > first:
+            break
+    bad = NO_TEXT.search(data, first, own)
+    if bad:
+        add("bad", bad.start())
+    return out
+
+
+def marks_of(chunk_rows: DataFrame, line: list[str], size: int) -> DataFrame:
+    """The marks of all chunks: keys, side and the fields of MARKS."""
+    types = {f.name: f.dataType.simpleString() for f in chunk_rows.schema}
+    columns = ", ".join([*[f"{k} {types[k]}" for k in line], *[f"{n} {d}" for n, _, d in MARKS]])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                found = scan(streams.ChunkView(row["parts"][0].as_py(), row["chunk"][0].as_py() * size, size), row["side"][0].as_py())
+                keys = [pa.array([row[k][0].as_py()] * len(found), row.schema.field(k).type) for k in line]
+                yield pa.RecordBatch.from_arrays([*keys, *[pa.array([m[n] for m in found], t) for n, t, _ in MARKS]], names=[*line, *[n for n, _, _ in MARKS]])
+
+    return chunk_rows.select(*line, "chunk", "parts").mapInArrow(run, columns)
+
+
+def following(marks: DataFrame, probes: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Probes (keys, x, ...) with the least `at` of the marks that is not before x."""
+    extra = [c for c in probes.columns if c not in (*keys, "x")]
+    rows = marks.select(*keys, F.col("at").alias("x"), F.lit(1).alias("_mark"), *[F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in extra])
+    rows = rows.unionByName(probes.withColumn("_mark", F.lit(0)))
+    rows = with_priors(rows, keys, ["x", "_mark"], F.floor(F.col("x") / streams.POS_SLICE), [Prior(name, "last", F.when(F.col("_mark") == 1, F.col("x")))], descending=True)
+    return rows.filter("_mark = 0").drop("_mark")
+
+
+def long_heads(marks: DataFrame, holes: DataFrame, chunk_rows: DataFrame, line: list[str], size: int) -> DataFrame:
+    """Heads that go over the bytes of their chunk, in the layout of the marks.
+
+    Each ends at the first blank line behind its chunk, unless a byte that no
+    head holds comes before.  Their bytes are fetched from the chunks that they
+    lie in, so only places travel until then.
+    """
+    opened = marks.filter("kind = 'open'").select(*line, ((F.floor(F.col("at") / size) + 1) * size).alias("x"), F.col("at").alias("begin"), "is_line", "ts_us")
+    # A blank line at a chunk's first byte is one where the chunk before ends with a line.
+    begun = marks.filter("kind = 'newline'").select(*line, "at", F.lit(True).alias("_line"))
+    blanks = marks.filter("kind = 'blank'").join(begun, [*line, "at"], "left").filter(F.coalesce("is_line", "_line", F.lit(False)))
+    bad = marks.filter("kind = 'bad'").select(*line, "at").unionByName(holes)
+    ends = following(bad, following(blanks, opened, line, "blank").withColumnRenamed("x", "_x").withColumn("x", F.col("_x")), line, "bad")
+    ends = ends.filter("blank IS NOT NULL AND (bad IS NULL OR bad > blank)").join(blanks.select(*line, F.col("at").alias("blank"), "end"), [*line, "blank"])
+    ends = ends.select(*line, "begin", "is_line", "ts_us", "end")
+    number = F.explode(F.sequence(F.floor(F.col("begin") / size), F.floor((F.col("end") - 1) / size)))
+    pieces = ends.withColumn("chunk", number).join(chunk_rows, [*line, "chunk"])
+    inside = F.filter("parts", lambda p: (p["pos"] < F.least("end", (F.col("chunk") + 1) * size)) & (p["pos"] + F.length(p["payload"]) > F.col("begin")))
+
+    def cut_out(p):
+        low = F.greatest(p["pos"], F.col("begin"))
+        high = F.least(p["pos"] + F.length(p["payload"]), F.col("end"), (F.col("chunk") + 1) * size)
+        return F.hex(F.substr(p["payload"], (low - p["pos"] + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int")))
+
+    pieces = pieces.select(*line, "begin", "is_line", "ts_us", "end", "chunk", F.array_join(F.transform(inside, cut_out), "").alias("bytes"))
+    whole = pieces.groupBy(*line, "begin", "is_line", "ts_us", "end").agg(F.sort_array(F.collect_list(F.struct("chunk", "bytes"))).alias("p"))
+    whole = whole.withColumn("bytes", F.unhex(F.array_join(F.transform("p", lambda p: p["bytes"]), "")))
+
+    @F.pandas_udf("framing STRING, size BIGINT")
+    def framing(head: pd.Series, side: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_framing(bytes(h), s) for h, s in zip(head, side)], columns=["framing", "size"], dtype=object).astype({"size": "int64"})
+
+    whole = whole.withColumn("f", framing("bytes", "side"))
+    return whole.select(*line, F.lit("head").alias("kind"), F.col("begin").alias("at"), "is_line", "ts_us", "end", "f.framing", "f.size", F.decode("bytes", "ISO-8859-1").alias("text"))
+
+
+def with_empty_answers(heads: DataFrame, ends: DataFrame, keys: list[str], line: list[str]) -> DataFrame:
+    """Answers that tell a length and have no body, as after HEAD, get framing "none".
+
+    They can only stand in a flow with a HEAD request, or one whose requests
+    were not seen; there the next answer follows at once, and neither an answer
+    nor the stream's end follows the length.
+    """
+    asks = heads.filter("side = 1").groupBy(*keys).agg(F.max(F.col("text").startswith("HEAD ")).alias("_asked"))
+    at = heads.select(*line, F.col("at").alias("end"), F.lit(True).alias("_next"))
+    behind = heads.select(*line, F.col("at").alias("_after"), F.lit(True).alias("_there"))
+    rows = heads.withColumn("_after", F.col("end") + F.col("size")).join(asks, keys, "left").join(ends, line)
+    rows = rows.join(at.distinct(), [*line, "end"], "left").join(behind.distinct(), [*line, "_after"], "left")
+    empty = ((F.col("side") == -1) & (F.col("framing") == "length") & F.coalesce("_asked", F.lit(True)) & F.col("_next").isNotNull()
+             & F.col("_there").isNull() & (F.col("_after") != F.col("last")))
+    return rows.withColumns({"framing": F.when(empty, "none").otherwise(F.col("framing")), "size": F.when(empty, 0).otherwise(F.col("size"))}
+                            ).drop("_after", "_asked", "_next", "_there")
+
+
+def pointers(heads: DataFrame, sizes: DataFrame, closes: DataFrame, line: list[str]) -> DataFrame:
+    """Rows (line, type, at, body, to_type, to_at): what would follow each head (H) and size line (L); to_at is null at a stream's end."""
+    framing = F.col("framing")
+    head = heads.select(*line, F.lit("H").alias("type"), "at", "end", "framing", "size", "last")
+    boundary = F.regexp_extract("framing", r"(?s)^multipart:(.*)$", 1)
+    parts = head.filter(framing.startswith("multipart:")).withColumns({"text": boundary, "x": F.col("end")})
+    marked = following(closes, parts, [*line, "text"], "mark").join(closes.select(*line, "text", F.col("at").alias("mark"), F.col("end").alias("mark_end")), [*line, "text", "mark"], "left")
+    # A body without its closing mark goes on to the end of the stream.
+    marked = marked.select(*line, "type", "at", (F.coalesce("mark_end", "last") - F.col("end")).alias("body"), F.col("mark_end").alias("x"), F.lit(False).alias("sized"))
+    plain = head.filter(~framing.startswith("multipart:")).select(
+        *line, "type", "at", F.col("size").alias("body"), F.when(framing != "close", F.col("end") + F.col("size")).alias("x"), (framing == "chunked").alias("sized"))
+    size = sizes.select(*line, F.lit("L").alias("type"), "at", F.col("size").alias("body"),
+                        F.when(F.col("size") > 0, F.col("end") + F.col("size") + 2).otherwise(F.col("end")).alias("x"), (F.col("size") > 0).alias("sized"))
+    nodes = plain.unionByName(marked).unionByName(size)
+    nodes = nodes.join(sizes.select(*line, F.col("at").alias("x"), F.lit(True).alias("sized"), F.lit("L").alias("_size")), [*line, "x", "sized"], "left")
+    nodes = nodes.join(heads.select(*line, F.col("at").alias("x"), F.lit("H").alias("_head")), [*line, "x"], "left")
+    hit = F.coalesce("_size", "_head")
+    out = [*line, "type", "at", "body"]
+    exact = nodes.filter(hit.isNotNull()).select(*out, hit.alias("to_type"), F.col("x").alias("to_at"))
+    # Else, also where a size line was due and there is none, on at the next line that is a start line.
+    lost = following(heads.filter("is_line"), nodes.filter(hit.isNull() & F.col("x").isNotNull()).select(*out, "x"), line, "to_at")
+    last = nodes.filter("x IS NULL").select(*out, F.lit("H").alias("to_type"), F.lit(None).cast("bigint").alias("to_at"))
+    return exact.unionByName(lost.select(*out, F.lit("H").alias("to_type"), "to_at")).unionByName(last)
+
+
+def reached(edges: DataFrame, firsts: DataFrame, line: list[str], size: int) -> DataFrame:
+    """The rows of edges that lie on the way from the first head of each line."""
+    edges = cut(edges.withColumn("chunk", F.floor(F.col("at") / size)))
+    firsts = edges.join(firsts.withColumn("type", F.lit("H")), [*line, "type", "at"], "left_semi")
+    entered = edges.filter(F.floor(F.col("to_at") / size) != F.col("chunk")).select(*line, F.col("to_type").alias("type"), F.col("to_at").alias("at"))
+    entered = entered.unionByName(firsts.select(*line, "type", "at")).distinct()
+    types = {f.name: f.dataType.simpleString() for f in edges.schema}
+    keys = ", ".join(f"{k} {types[k]}" for k in line)
+
+    def table(rows: list[dict], schema: pa.Schema, names: list[str]) -> pa.Table:
+        return pa.Table.from_pylist([{n: r[n] for n in names} for r in rows], pa.schema([schema.field(n) for n in names]))
+
+    def leaves(group: pa.Table) -> pa.Table:
+        """Where each entry of a chunk leaves it; pointers lead onward, so a pass from the end knows all ends."""
+        ends, out = {}, []
+        for row in sorted(group.to_pylist(), key=lambda r: -r["at"]):
+            to = None if row["to_at"] is None else (row["to_type"], row["to_at"])
+            goal = ends[row["type"], row["at"]] = ends.get(to, to)
+            if row["entry"] and goal:
+                out.append(row | {"to_type": goal[0], "to_at": goal[1]})
+        return table(out, group.schema, [*line, "type", "at", "to_type", "to_at"])
+
+    flagged = edges.join(entered.withColumn("entry", F.lit(True)), [*line, "type", "at"], "left")
+    jumps = flagged.groupBy(*line, "chunk").applyInArrow(leaves, f"{keys}, type STRING, at BIGINT, to_type STRING, to_at BIGINT")
+    jumps = cut(jumps)
+    known = firsts.select(*line, "type", "at")
+    while not jumps.isEmpty():
+        step = jumps.join(known, [*line, "type", "at"], "left_semi").select(*line, F.col("to_type").alias("type"), F.col("to_at").alias("at"))
+        known = cut(known.unionByName(step).distinct())
+        on = jumps.select(*line, F.col("type").alias("to_type"), F.col("at").alias("to_at"), F.col("to_type").alias("_type"), F.col("to_at").alias("_at"))
+        jumps = cut(jumps.join(on, [*line, "to_type", "to_at"]).select(*line, "type", "at", F.col("_type").alias("to_type"), F.col("_at").alias("to_at")))
+
+    def walked(group: pa.Table) -> pa.Table:
+        on, out = set(), []
+        for row in sorted(group.to_pylist(), key=lambda r: r["at"]):
+            if row["entry"] or (row["type"], row["at"]) in on:
+                out.append(row)
+                on.add((row["to_type"], row["to_at"]))
+        return table(out, group.schema, [*line, "type", "at", "body"])
+
+    flagged = edges.join(known.withColumn("entry", F.lit(True)), [*line, "type", "at"], "left")
+    return flagged.groupBy(*line, "chunk").applyInArrow(walked, f"{keys}, type STRING, at BIGINT, body BIGINT")
 
 
 def body_framing(segments: DataFrame, keys: list[str], size: int = streams.CHUNK, ahead: int = streams.AHEAD) -> DataFrame:
     """Messages of the streams: keys, side, n, offset, ts_us, framing, head, body_len.
 
-    Parts of chunked and multipart bodies are summed under the head before them.
+    The result does not depend on `size` and `ahead` as long as start lines fit
+    into `ahead`.  Parts of chunked bodies are summed under the head before them.
     """
-    pieces = streams.stream_bytes(segments, keys)
-    units = streams.framed(streams.chunks(pieces, keys, size, ahead), keys, parse_chunk, UNITS, size)
     line = [*keys, "side"]
-    is_head = (F.col("unit") == "head").cast("int")
-    rows = with_priors(units.withColumn("_head", is_head), line, ["offset"], F.floor(F.col("offset") / streams.POS_SLICE),
-                       [Prior("_before", "sum", F.col("_head"))])
-    first = F.max(F.when(F.col("unit") == "head", F.struct("offset", "ts_us", "framing", "head"))).alias("h")
-    return (rows.withColumn("n", F.col("_before") + F.col("_head")).groupBy(*line, "n")
-            .agg(first, F.coalesce(F.sum("size"), F.lit(0)).alias("body_len")).filter(F.col("h").isNotNull())
-            .select(*line, "n", "h.*", "body_len"))
+    pieces = streams.stream_bytes(segments, keys)
+    chunk_rows = cut(streams.chunks(pieces, keys, size, ahead))
+    marks = cut(marks_of(chunk_rows, line, size))
+    bounds = marks.groupBy(*line).agg(F.min(F.when(F.col("kind") == "begin", F.col("at"))).alias("first"), F.max(F.when(F.col("kind") == "end", F.col("at"))).alias("last"))
+    heads = marks.filter("kind = 'head'")
+    if not marks.filter("kind = 'open'").isEmpty():
+        holes = pieces.filter("hole > 0").select(*line, (F.col("pos") - 1).alias("at"))
+        heads = heads.unionByName(long_heads(marks, holes, chunk_rows, line, size).select(*heads.columns))
+
+    begun = marks.filter("kind = 'newline'").select(*line, "at", F.lit(True).alias("_line"))
+
+    def told(rows):
+        """Rows that know whether a line begins there: at a chunk's first byte the chunk before says so, or the stream begins."""
+        rows = rows.join(begun, [*line, "at"], "left").join(bounds, line)
+        return rows.withColumn("is_line", F.coalesce("is_line", "_line", F.col("at") == F.col("first"))).drop("_line")
+
+    heads = cut(with_empty_answers(told(heads).drop("last"), bounds.select(*line, "last"), keys, line))
+    sizes, closes = told(marks.filter("kind = 'size'")).filter("is_line"), told(marks.filter("kind = 'close'")).filter("is_line")
+    firsts = heads.filter("is_line").groupBy(*line).agg(F.min("at").alias("at"))
+    units = reached(pointers(heads, sizes, closes, line), firsts, line, size)
+    is_head = (F.col("type") == "H").cast("int")
+    rows = with_priors(units.withColumn("_head", is_head), line, ["at"], F.floor(F.col("at") / streams.POS_SLICE), [Prior("_before", "sum", F.col("_head"))])
+    rows = (rows.withColumn("n", F.col("_before") + F.col("_head")).groupBy(*line, "n")
+            .agg(F.max(F.when(F.col("_head") == 1, F.col("at"))).alias("at"), F.coalesce(F.sum("body"), F.lit(0)).alias("body_len")))
+    return (rows.join(heads, [*line, "at"])
+            .select(*line, "n", F.col("at").alias("offset"), "ts_us", F.split("framing", ":")[0].alias("framing"), F.col("text").alias("head"), "body_len"))
 
 
 def as_messages(framed: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ FULL = 0xFFFFFF
 
 UNITS = [("offset", pa.int64(), "BIGINT"), ("ts_us", pa.int64(), "BIGINT"), ("serial", pa.int32(), "INT"), ("bytes", pa.int64(), "BIGINT"),
          ("code", pa.int32(), "INT"), ("more", pa.bool_(), "BOOLEAN"), ("version", pa.string(), "STRING"),
-         ("user", pa.string(), "STRING"), ("database", pa.string(), "STRING"), ("argument", pa.string(), "STRING"), ("piece", pa.int64(), "BIGINT")]
+         ("user", pa.string(), "STRING"), ("database", pa.string(), "STRING"), ("argument", pa.string(), "STRING"), ("missing", pa.int64(), "BIGINT"), ("piece", pa.int64(), "BIGINT")]
 
 
 def _text(data: bytes, at: int) -> tuple[str, int]:
@@ -85,6 +85,8 @@ def parse_chunk(view: streams.ChunkView, side: int, place: streams.Place | None)
     are still to come, "more:first" that the next packet continues it.  Only
     a command's text is kept; other bodies are stepped over.  A header with
     missing bytes ends the chain, which is taken up again behind the hole.
+    Missing bytes of what is read of a body are counted; text ends before them,
+    and a greeting or login with some names nothing.
     """
     base, data, own = view.start, view.data, view.size
     if place is None:
@@ -96,17 +98,21 @@ def parse_chunk(view: streams.ChunkView, side: int, place: streams.Place | None)
     units = []
 
     def add(offset, piece, **values):
-        units.append(dict.fromkeys(n for n, _, _ in UNITS) | {"offset": offset, "piece": piece, "ts_us": view.time_at(piece), "more": False} | values)
+        units.append(dict.fromkeys(n for n, _, _ in UNITS) | {"offset": offset, "piece": piece, "ts_us": view.time_at(piece), "more": False, "missing": 0} | values)
+
+    def missing(begin, end):
+        return sum(max(0, min(b, end) - max(a, begin)) for a, b in view.holes)
 
     def text(begin, end):
-        return data[begin:end].decode("latin-1")
+        stop = min((max(a, begin) for a, b in view.holes if a < end and b > begin), default=end)
+        return {"argument": data[begin:stop].decode("latin-1"), "missing": missing(begin, end)}
 
     while at - base < min(own, len(data)):
         p = at - base
         if mode.startswith("body:"):
             first, left, full = map(int, mode.split(":")[1:])
             end = min(p + left, own)
-            add(first, at, bytes=0, argument=text(p, end))
+            add(first, at, bytes=0, **text(p, end))
             left -= end - p
             at, mode = base + end, f"body:{first}:{left}:{full}" if left else f"more:{first}" if full else "start"
             continue
@@ -124,21 +130,23 @@ def parse_chunk(view: streams.ChunkView, side: int, place: streams.Place | None)
         full = int(size == FULL)
         if mode.startswith("more:"):
             first = int(mode[5:])
-            add(first, at, bytes=size, argument=text(begin, reach) if side == 1 else None)
+            add(first, at, bytes=size, **(text(begin, reach) if side == 1 else {}))
             keep = side == 1
         else:
             first, keep = at, side == 1 and serial == 0
             body = data[begin:begin + size] if serial == 0 or side == 1 else data[begin:begin + min(size, 16)]
-            unit = {"serial": serial, "bytes": size, "code": body[0] if body else None}
+            whole = not missing(begin, begin + len(body))
+            unit = {"serial": serial, "bytes": size, "code": body[0] if body and not missing(begin, begin + 1) else None}
             if side == -1:
                 if serial == 0:
-                    unit["version"] = _greeting(body)
+                    unit["version"] = _greeting(body) if whole else None
                 if body[:1] == b"\xfe" and size < 9:
                     unit["more"] = bool(int.from_bytes(body[3:5], "little") & MORE_RESULTS)
             elif serial:
-                unit["user"], unit["database"] = _login(body) if len(body) > 5 else (None, None)
+                unit["user"], unit["database"] = _login(body) if len(body) > 5 and whole else (None, None)
+                unit["missing"] = missing(begin, begin + len(body))
             else:
-                unit["argument"] = text(begin + 1, reach)
+                unit |= text(begin + 1, reach)
             add(at, at, **unit)
         left = begin + size - reach
         if keep and left:
@@ -155,13 +163,16 @@ def mysql_packets(segments: DataFrame, keys: list[str], size: int = streams.CHUN
     """
     line = [*keys, "side"]
     rows = streams.framed(streams.chunks(streams.stream_bytes(segments, keys), keys, size, ahead), keys, parse_chunk, UNITS, size)
-    later = F.sort_array(F.collect_list(F.when(F.col("piece") != F.col("offset"), F.struct("piece", F.coalesce("argument", F.lit("")).alias("argument")))))
-    rest = (rows.filter("piece != offset").groupBy(*line, "offset")
-            .agg(F.sum("bytes").alias("_bytes"), F.array_join(F.transform(later, lambda x: x["argument"]), "").alias("_argument")))
+    later = F.sort_array(F.collect_list(F.when(F.col("piece") != F.col("offset"), F.struct("piece", F.coalesce("argument", F.lit("")).alias("argument"), "missing"))))
+    rest = rows.filter("piece != offset").groupBy(*line, "offset").agg(F.sum("bytes").alias("_bytes"), F.sum("missing").alias("_missing"), later.alias("_later"))
+    # Text goes on up to the piece with the first missing byte.
+    gap = F.array_position(F.transform("_later", lambda x: x["missing"] > 0), True)
+    rest = rest.withColumn("_later", F.when(gap > 0, F.slice("_later", 1, gap.cast("int"))).otherwise(F.col("_later")))
     whole = rows.filter("piece = offset").join(rest, [*line, "offset"], "left")
-    return whole.withColumns({"bytes": F.col("bytes") + F.coalesce("_bytes", F.lit(0)),
-                              "argument": F.when(F.col("_argument").isNull(), F.col("argument")).otherwise(F.concat(F.coalesce("argument", F.lit("")), "_argument"))}
-                             ).drop("piece", "_bytes", "_argument")
+    goes_on = F.col("_later").isNotNull() & (F.col("missing") == 0)
+    text = F.concat(F.coalesce("argument", F.lit("")), F.array_join(F.transform("_later", lambda x: x["argument"]), ""))
+    return whole.withColumns({"bytes": F.col("bytes") + F.coalesce("_bytes", F.lit(0)), "argument": F.when(goes_on, text).otherwise(F.col("argument")),
+                              "missing": F.col("missing") + F.coalesce("_missing", F.lit(0))}).drop("piece", "_bytes", "_missing", "_later")
 
 
 def mysql_messages(packets: DataFrame, keys: list[str]) -> DataFrame:
@@ -191,7 +202,7 @@ def mysql_messages(packets: DataFrame, keys: list[str]) -> DataFrame:
             .when(F.col("command_no") > 0, "response").when(F.col("_logins") > 0, "login_reply").otherwise("greeting"))
     return (rows.withColumns({"part": part, "kind": kind, "command": F.when(is_command, F.col("code"))})
             .select(*keys, "side", "offset", "ts_us", "serial", "bytes", "code", "kind", "part", "is_command", "command", "command_no",
-                    "version", "user", "database", "argument"))
+                    "version", "user", "database", "argument", "missing"))
 
 
 def mysql_login(messages: DataFrame, keys: list[str]) -> DataFrame:
