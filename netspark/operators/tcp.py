@@ -3,6 +3,10 @@
 Every function takes packets with flow columns (`flows.packets_with_flow`).
 """
 
+from heapq import heappop, heappush
+from itertools import pairwise
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -357,29 +361,51 @@ def segments_by_seq(line: DataFrame) -> DataFrame:
 BUCKET = 1 << 14
 
 
+def earliest_cover(segments: list[tuple]) -> list[tuple]:
+    """Pieces (lo, hi, at) of the line that segments (lo, hi, at) cover, cut at all their ends, with the least `at` over each.
+
+    A sweep from the left with a heap of the segments open at a place; one that
+    has ended leaves the heap when it comes to its top.
+    """
+    waiting = sorted(segments, reverse=True)
+    ends = sorted({end for s in segments for end in s[:2]})
+    out, open_ = [], []
+    for lo, hi in pairwise(ends):
+        while waiting and waiting[-1][0] <= lo:
+            _, end, at = waiting.pop()
+            heappush(open_, (at, end))
+        while open_ and open_[0][1] <= lo:
+            heappop(open_)
+        if open_:
+            out.append((lo, hi, open_[0][0]))
+    return out
+
+
 def first_arrivals(sent: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
     """Pieces of each line with the arrival that first covered them.
 
-    Segments are cut at bucket borders; inside a bucket the distinct segments
-    are cut at each other's ends and each piece takes the earliest arrival.
-    Copies are merged first, so a bucket holds distinct segments of 16 KB only.
+    Segments are cut at bucket borders, so an open one goes on in the next
+    bucket, and each bucket is swept by itself.  Copies are merged first, so a
+    bucket holds distinct segments of 16 KB only.
     """
     at = F.struct(*ARRIVAL)
     segments = sent.groupBy(*keys, "pos", "pos_end").agg(F.min(at).alias("at")).join(starts, keys)
     segments = segments.withColumn("lo", F.greatest("pos", "start")).filter(F.col("lo") < F.col("pos_end"))
     number = F.explode(F.sequence(F.floor(F.col("lo") / BUCKET), F.floor((F.col("pos_end") - 1) / BUCKET)))
     split = segments.withColumn("bucket", number).select(
-        *keys, "bucket", F.struct(F.greatest("lo", F.col("bucket") * BUCKET).alias("lo"),
-                                  F.least("pos_end", (F.col("bucket") + 1) * BUCKET).alias("hi"), "at").alias("s"))
-    groups = split.groupBy(*keys, "bucket").agg(F.collect_list("s").alias("all"))
-    ends = F.sort_array(F.array_distinct(F.concat(F.transform("all", lambda s: s["lo"]), F.transform("all", lambda s: s["hi"]))))
-    groups = groups.withColumn("ends", ends)
-    piece = lambda i: F.struct(
-        F.get("ends", i).alias("lo"), F.get("ends", i + 1).alias("hi"),
-        F.array_min(F.transform(F.filter("all", lambda s: (s["lo"] <= F.get("ends", i)) & (s["hi"] > F.get("ends", i))),
-                                lambda s: s["at"])).alias("at"))
-    pieces = F.transform(F.sequence(F.lit(0), F.size("ends") - 2), piece)
-    return (groups.select(*keys, F.explode(pieces).alias("p")).select(*keys, "p.lo", "p.hi", "p.at").filter(F.col("at").isNotNull()))
+        *keys, "bucket", F.greatest("lo", F.col("bucket") * BUCKET).alias("lo"), F.least("pos_end", (F.col("bucket") + 1) * BUCKET).alias("hi"), "at.ts_us", "at.packet_id")
+    # Of segments that are equal inside the bucket the earliest counts.
+    split = split.groupBy(*keys, "bucket", "lo", "hi").agg(F.min(F.struct("ts_us", "packet_id")).alias("at")).select(*keys, "bucket", "lo", "hi", "at.ts_us", "at.packet_id")
+    types = {f.name: f.dataType.simpleString() for f in split.schema}
+
+    def swept(group: pa.Table) -> pa.Table:
+        found = earliest_cover([(lo, hi, (ts, n)) for lo, hi, ts, n in zip(*(group[c].to_pylist() for c in ("lo", "hi", "ts_us", "packet_id")))])
+        key = [pa.array([group[k][0].as_py()] * len(found), group.schema.field(k).type) for k in keys]
+        columns = [pa.array(c, pa.int64()) for c in zip(*((lo, hi, ts, n) for lo, hi, (ts, n) in found))]
+        return pa.Table.from_arrays([*key, *columns], names=[*keys, "lo", "hi", "ts_us", "packet_id"])
+
+    pieces = split.groupBy(*keys, "bucket").applyInArrow(swept, ", ".join(f"{k} {types[k]}" for k in [*keys, "lo", "hi", "ts_us", "packet_id"]))
+    return pieces.select(*keys, "lo", "hi", at.alias("at"))
 
 
 def sequence_exact(line: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Sessions, connection states and sequence quality on literal packets."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +107,25 @@ def test_exact_sequence_quality(spark, seed):
     assert got.stream_bytes == stream
 
 
+def test_earliest_cover():
+    rng = random.Random(3)
+    for _ in range(200):
+        segments = [(a, a + rng.randrange(1, 9), (rng.randrange(30), i)) for i, a in enumerate(rng.randrange(30) for _ in range(rng.randrange(9)))]
+        got = {p: at for lo, hi, at in tcp.earliest_cover(segments) for p in range(lo, hi)}
+        assert got == {p: min(at for lo, hi, at in segments if lo <= p < hi) for p in range(40) if any(lo <= p < hi for lo, hi, _ in segments)}
+
+
+def test_a_bucket_of_one_byte_segments(spark):
+    """Sixteen thousand of them, each sent twice, the odd ones first: linear work."""
+    order = [*range(1, 16_000, 2), *range(0, 16_000, 2), *range(0, 16_000, 2)]
+    df = spark.createDataFrame([(1, p, p + 1, i, i) for i, p in enumerate(order)], "side INT, pos BIGINT, pos_end BIGINT, ts_us BIGINT, packet_id BIGINT")
+    starts = spark.createDataFrame([(1, 0)], "side INT, start BIGINT")
+    began = time.time()
+    got = tcp.first_arrivals(df, starts, ["side"]).orderBy("lo").collect()
+    assert [(r.lo, r.hi, r.at.ts_us) for r in got] == [(p, p + 1, p // 2 if p % 2 else 8000 + p // 2) for p in range(16_000)]
+    assert time.time() - began < 60
+
+
 def test_rtt_over_the_wrap_and_repeats(spark):
     isn = 4294967000
     rows = [{"ts_us": 0, "tcp_flags": SYN, "tcp_seq": isn}, {"ts_us": 10, "tcp_seq": isn + 1, "payload_len": 200},
