@@ -183,20 +183,20 @@ def turns(flow_packets: DataFrame) -> DataFrame:
     return rows.groupBy(*S.SESSION).agg(count().alias("turns"), *aggs)
 
 
-def positions(flow_packets: DataFrame, payload: bool = False) -> DataFrame:
+def positions(flow_packets: DataFrame, payload: bool = False, keep: list[str] = ()) -> DataFrame:
     """Sequence and acknowledgement numbers on one unwrapped line per session and sending side.
 
     Each packet gives its sequence number to the line of its own side and its
     acknowledgement number to the line of the other side; in arrival order the
     two stay close together, so one pass of circular steps places both.  Where
     the packets have `sacks`, acknowledgements keep theirs as `blocks`, placed
-    on the same line.
+    on the same line.  Columns in `keep` come along.
     """
     own = F.struct(F.col("dir").alias("side"), F.lit("seq").alias("kind"), F.col("tcp_seq").alias("value"))
     peer = F.struct((-F.col("dir")).alias("side"), F.lit("ack").alias("kind"), F.col("tcp_ack").alias("value"))
     sends = (F.col("payload_len") > 0) | net.has_flag(S.SYN | S.FIN)
     marks = F.filter(F.array(F.when(sends, own), F.when(net.has_flag(S.ACK), peer)), lambda m: m.isNotNull())
-    kept = [*S.SESSION, *ARRIVAL, "payload_len", "syn", "slice_us"]
+    kept = [*S.SESSION, *ARRIVAL, "payload_len", "syn", "slice_us", *keep]
     bytes_ = [F.when(F.col("m.kind") == "seq", F.col("payload")).alias("payload")] if payload else []
     sacked = "sacks" in flow_packets.columns
     if sacked:

@@ -54,7 +54,8 @@ def dns_txn(messages: DataFrame, open_s: int = S.DNS_OPEN_S) -> DataFrame:
     return dns_rows(dns_numbered(messages, open_s))
 
 
-def dns_rows(numbered_messages: DataFrame) -> DataFrame:
+def dns_rows(numbered_messages: DataFrame, extra: list[Column] = ()) -> DataFrame:
+    """One row per transaction, with the `extra` aggregates of its messages."""
     query, answer = F.col("qr") == 0, F.col("qr") == 1
     return (numbered_messages.groupBy("flow_id", "dns_id", "txn_no")
             .agg(F.max("client_ip").alias("client_ip"), F.max("server_ip").alias("server_ip"),
@@ -62,7 +63,7 @@ def dns_rows(numbered_messages: DataFrame) -> DataFrame:
                  F.max(F.when(answer, F.col("rcode"))).alias("rcode"),
                  F.max(F.when(query, F.col("ts_us"))).alias("req_us"), F.max(F.when(answer, F.col("ts_us"))).alias("rsp_us"),
                  total_if(query).alias("req_pkts"), total_if(query, "bytes").alias("req_bytes"),
-                 total_if(answer).alias("rsp_pkts"), total_if(answer, "bytes").alias("rsp_bytes")).transform(dns_told))
+                 total_if(answer).alias("rsp_pkts"), total_if(answer, "bytes").alias("rsp_bytes"), *extra).transform(dns_told))
 
 
 def dns_told(rows: DataFrame) -> DataFrame:
