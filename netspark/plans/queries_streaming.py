@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netspark import schema as S
-from netspark.operators import flows
+from netspark.operators import flows, late
 from netspark.plans import fixtures as fx
 from netspark.plans import frames as fr
 from netspark.plans import oracle as o
@@ -140,12 +140,16 @@ def reload_rules(spark, sf):
 
 
 @query("stream_captures", o.with_(P, f"""
-SELECT ts_us, CAST(wire_len + {TAG} AS INTEGER) AS wire_len, src_ip, dst_ip, src_port, dst_port, tcp_seq FROM packets"""))
+SELECT ts_us, CAST(wire_len + {TAG} AS INTEGER) AS wire_len, src_ip, dst_ip, src_port, dst_port, tcp_seq, TRUE AS unique_id, TRUE AS in_order FROM packets"""))
 def stream_captures(spark, sf):
-    """Capture files picked up by a stream, decoded and written as packets."""
+    """Capture files picked up by a stream, decoded and written as packets; ids are unique and follow each file's time."""
     path, out = fx.fresh_path(spark, "captures"), fx.fresh_path(spark, "packets")
     fr.write_capture_files(fr.frames(spark, sf), path, files=6)
-    frames = captures.number_packets(captures.stream_capture_files(spark, path, files_per_batch=3))
+    frames = captures.number_packets(captures.stream_capture_files(spark, path, fx.fresh_path(spark, "numbers") + "/last.json"))
     finish(decode.decode(frames.drop("cap_len")).drop("frame").writeStream.format("parquet").option("path", out)
            .option("checkpointLocation", fx.fresh_path(spark, "cp")).trigger(availableNow=True).start())
-    return spark.read.parquet(out).select("ts_us", "wire_len", "src_ip", "dst_ip", "src_port", "dst_port", "tcp_seq")
+    rows = spark.read.parquet(out)
+    ids = rows.groupBy(F.col("packet_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.join(ids, F.col("packet_id") == F.col("_id")).withColumn("file_no", F.shiftright("packet_id", 40))
+    rows = late.newest_time(rows.withColumn("place", F.col("packet_id").bitwiseAND(F.lit((1 << 40) - 1))), "place", ["file_no"])
+    return rows.select("ts_us", "wire_len", "src_ip", "dst_ip", "src_port", "dst_port", "tcp_seq", (F.col("_n") == 1).alias("unique_id"), (~F.col("late")).alias("in_order"))

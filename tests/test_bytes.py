@@ -1,5 +1,6 @@
 """Decoding and reassembly on literal bytes."""
 
+import os
 import random
 
 import pytest
@@ -72,6 +73,36 @@ def test_capture_file_with_cut_off_record(spark, tmp_path):
         ("a.pcap", 0, 10_000_000), ("a.pcap", 1, 10_000_001), ("a.pcap", 2, 10_000_002), ("b.pcap", 0, 10_000_000), ("b.pcap", 1, 10_000_001)]
 
 
+def test_stream_of_captures_goes_on(spark, tmp_path):
+    """Files come, the last one grows in the middle of a record, old ones go, the query starts again: each record once, ids as if read at once."""
+    import struct
+    folder, numbers, out, checkpoint = (str(tmp_path / n) for n in ("in", "numbers/last.json", "out", "cp"))
+    (tmp_path / "in").mkdir()
+    head = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
+    record = lambda t: struct.pack("<IIII", t, 0, 4, 60) + b"abcd"
+
+    def run():
+        frames = captures.number_packets(captures.stream_capture_files(spark, folder, numbers))
+        query = frames.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sorted((r.packet_id >> 40, r.packet_id & 0xFFFF, r.ts_us // 1_000_000) for r in spark.read.parquet(out).collect())
+
+    def put(name, data, at):
+        (tmp_path / "in" / name).write_bytes(data)
+        os.utime(tmp_path / "in" / name, (at, at))
+
+    put("b.pcap", head + record(1) + record(2), 100)
+    put("a.pcap", head + record(3) + record(4)[:-3], 101)
+    assert run() == [(1, 0, 1), (1, 1, 2), (2, 0, 3)]
+    put("a.pcap", head + record(3) + record(4) + record(5)[:5], 102)
+    assert run() == [(1, 0, 1), (1, 1, 2), (2, 0, 3), (2, 1, 4)]
+    os.remove(tmp_path / "in" / "b.pcap")
+    put("a.pcap", head + record(3) + record(4) + record(5), 103)
+    put("0.pcap", head + record(6), 104)
+    want = [(1, 0, 1), (1, 1, 2), (2, 0, 3), (2, 1, 4), (2, 2, 5), (3, 0, 6)]
+    assert run() == want and run() == want
+
+
 def segments(spark, parts):
     return spark.createDataFrame([(1, side, pos, ts, bytes(data)) for ts, (side, pos, data) in enumerate(parts)],
                                  "flow_id BIGINT, side INT, pos BIGINT, ts_us BIGINT, payload BINARY")
