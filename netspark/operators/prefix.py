@@ -33,7 +33,10 @@ def with_slice_width(df: DataFrame, keys: list[str], ts: str = "ts_us", rows: in
     shuffled for it.
     """
     many = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows).select(*keys)
-    many = bounded(many)
+    found = many.limit(BROADCAST_ROWS + 1).count()
+    if not found:
+        return df.withColumn("slice_us", F.lit(width_us).cast("bigint"))
+    many = F.broadcast(many) if found <= BROADCAST_ROWS else many
     unit = min(1000, width_us)
     fine = df.join(many, keys, "left_semi").groupBy(*keys, F.floor(F.col(ts) / unit).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
     ladder = [w for w in (width_us // 10**i for i in range(12)) if w >= unit]

@@ -245,7 +245,10 @@ def _app_metric_sql():
     return f"SELECT * FROM ({plain} UNION ALL {unit}) WHERE count <> 0"
 
 
-@query("app_metric_rows", o.with_(DNS, HTTP, MYSQL, _NODE_DNS, _PARSED, _HTTP_ENDS, _NODE_HTTP, _NODE_MYSQL, _app_metric_sql()))
+METRICS, METRIC_SQL = [DNS, HTTP, MYSQL, _NODE_DNS, _PARSED, _HTTP_ENDS, _NODE_HTTP, _NODE_MYSQL], _app_metric_sql()
+
+
+@query("app_metric_rows", o.with_(*METRICS, METRIC_SQL))
 def app_metric_rows(spark, sf):
     """The http.*, mysql.* and dns.* rows of the metric catalogue."""
     return metrics.app_metrics(node_dns_rows(spark, sf), tx.node_http(http_ends(spark, sf)), tx.node_mysql(mysql_ends(spark, sf)))

@@ -6,6 +6,7 @@ from netspark import schema as S
 from netspark.functions import net
 from netspark.operators import metrics, nodes, tcp
 from netspark.plans import fixtures as fx
+from netspark.plans import queries_apps as apps
 from netspark.plans import oracle as o
 from netspark.plans.registry import query
 
@@ -247,9 +248,10 @@ def all_metrics(packets, flow_packets):
                                    .unionByName(metrics.connection_metrics(connections)))
 
 
-@query("metric_rows", o.with_(*_METRICS, "SELECT * FROM metrics"))
+@query("metric_rows", o.with_(*_METRICS, *apps.METRICS, f"SELECT * FROM metrics UNION ALL BY NAME ({apps.METRIC_SQL})"))
 def metric_rows(spark, sf):
-    return all_metrics(fx.packets(spark, sf), fx.flow_packets(spark, sf))
+    """The whole catalogue: link, network, service, connection and application metrics in one table."""
+    return all_metrics(fx.packets(spark, sf), fx.flow_packets(spark, sf)).unionByName(metrics.nonzero_metrics(apps.app_metric_rows(spark, sf)))
 
 
 @query("nonzero_metrics", o.with_(P, ENDS, FACTS, f"""

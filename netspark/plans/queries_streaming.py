@@ -105,6 +105,28 @@ def stream_dns(spark, sf):
         *_DNS[:6], *[F.col(c).cast("int").alias(c) for c in _DNS[6:8]], *_DNS[8:])
 
 
+@query("stream_dns_joined", f"SELECT {', '.join(_DNS)} FROM ({ORACLES['dns_txn']})")
+def stream_dns_joined(spark, sf):
+    """The same transactions from an outer interval join."""
+    return output(spark, jobs.stream_dns_joined, fx.dns_msgs(spark, sf), "dns-joined").select(*_DNS)
+
+
+@query("stream_late_packets", f"SELECT * FROM ({ORACLES['late_packets']})")
+def stream_late_packets(spark, sf):
+    """Packets in files of rising ids; the SQL is that of the batch."""
+    packets, path, out = fx.packets(spark, sf), fx.fresh_path(spark, "in-late"), fx.fresh_path(spark, "late")
+    last = packets.agg(F.max("packet_id")).first()[0]
+    for i in range(3):
+        packets.filter(F.floor(F.col("packet_id") * 3 / (last + 1)) == i).coalesce(1).write.mode("append").parquet(path)
+    rows = jobs.stream_table(spark, path, packets.schema, files_per_batch=1)
+    counts = {}
+    finish(jobs.stream_late(rows, out, fx.fresh_path(spark, "marks"), fx.fresh_path(spark, "cp"), told=lambda n, metric: counts.__setitem__(n, metric["late"])))
+    found = spark.read.parquet(out)
+    if found.filter("late = true").count() != sum(counts.values()):
+        raise RuntimeError("the late packets are not as many as were observed")
+    return found.select("packet_id", "ts_us", "account_us", F.col("late").cast("boolean").alias("late"))
+
+
 @query("stream_http_mysql", o.with_(o.ORACLE_HTTP, o.ORACLE_MYSQL, f"""
 SELECT 'http' AS app, flow_id, turn_no, 'open' AS way, ts_us AS at_us, CAST(NULL AS BIGINT) AS rsp_count, CAST(NULL AS BIGINT) AS rsp_bytes FROM h WHERE kind = 'req'
 UNION ALL SELECT 'http', flow_id, turn_no, 'close', p.ts_us, NULL, NULL FROM (SELECT * FROM h WHERE kind = 'req') q JOIN (SELECT * FROM h WHERE kind = 'rsp') p USING (flow_id, turn_no)

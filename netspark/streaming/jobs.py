@@ -2,14 +2,14 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from netspark import schema as S
 from netspark.functions import net
-from netspark.operators import flows, metrics, nodes, transactions as tx
+from netspark.operators import flows, late, metrics, nodes, transactions as tx
 from netspark.operators.sessions import Timeouts
 from netspark.sources import rules
 from netspark.streaming import keyed
@@ -111,6 +111,27 @@ def stream_dns(messages: DataFrame, out: str, checkpoint: str, open_s: int = S.D
     return keyed.append(tx.dns_told(keyed.records(rows, ["flow_id", "dns_id"], keyed.Dns(open_s))), out, checkpoint, trigger)
 
 
+def stream_dns_joined(messages: DataFrame, out: str, checkpoint: str, open_s: int = S.DNS_OPEN_S, trigger: dict | None = None) -> StreamingQuery:
+    """Queries with their answers by an outer interval join of the stream with itself.
+
+    Both sides have the stream's watermark, so Spark drops a query from the
+    state once no answer can come any more and tells it unanswered then.  A
+    query that is repeated within the watermark's delay counts once; an answer
+    without a query is left out.  `stream_dns` tells those, too.
+    """
+    query, answer = F.col("qr") == 0, F.col("qr") == 1
+    ids = ["flow_id", "dns_id"]
+    told = ["client_ip", "server_ip", "opcode", "qname", "qtype"]
+    asked = messages.filter(query).dropDuplicatesWithinWatermark(ids).select(
+        *ids, *told, F.col("ts_us").alias("req_us"), F.col("bytes").alias("req_bytes"), F.col("ts").alias("req_ts"))
+    given = messages.filter(answer).select(*[F.col(c).alias(f"_{c}") for c in ids], "rcode", F.col("ts_us").alias("rsp_us"), F.col("bytes").alias("rsp_bytes"), F.col("ts").alias("rsp_ts"))
+    near = F.col("rsp_ts").between(F.col("req_ts"), F.col("req_ts") + F.expr(f"INTERVAL {open_s} SECONDS"))
+    pairs = asked.join(given, (F.col("flow_id") == F.col("_flow_id")) & (F.col("dns_id") == F.col("_dns_id")) & near, "left_outer")
+    rows = pairs.select(*ids, *told, "rcode", "req_us", "rsp_us", F.lit(1).cast("bigint").alias("req_pkts"), "req_bytes",
+                        F.col("rsp_us").isNotNull().cast("bigint").alias("rsp_pkts"), F.coalesce("rsp_bytes", F.lit(0)).alias("rsp_bytes"))
+    return keyed.append(tx.dns_told(rows), out, checkpoint, trigger)
+
+
 # ---- HTTP and MySQL ----
 
 def stream_transactions(messages: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -132,6 +153,34 @@ def mysql_updates(updates: DataFrame) -> DataFrame:
         F.min("open_us").alias("open_us"), F.max("rsp_us").alias("rsp_us"), F.sum("rsp_count").alias("rsp_count"), F.sum("rsp_bytes").alias("rsp_bytes"))
 
 
+# ---- late packets ----
+
+def stream_late(packets: DataFrame, out: str, marks: str, checkpoint: str, trigger: dict | None = None,
+                told: Callable[[int, dict], None] | None = None) -> StreamingQuery:
+    """Rows of `late.newest_time` as packets arrive; those behind the newest time stand in a partition of their own, `late=true`.
+
+    Packets of a batch come in the order of their ids.  The newest time goes
+    from batch to batch as one row under `marks`.  How many packets were late
+    is observed while a batch is written and handed to `told`.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.parquet(f"{marks}/batch={batch_id - 1}").first()["newest"] if batch_id else None
+        rows = late.newest_time(batch.drop("ts"))
+        behind = F.coalesce(F.lit(before) > F.col("ts_us"), F.lit(False))
+        rows = rows.withColumns({"account_us": F.greatest("account_us", F.lit(before).cast("bigint")), "late": F.col("late") | behind})
+        seen = Observation(f"late-{batch_id}")
+        rows = rows.observe(seen, nodes.count().alias("packets"), nodes.total_if(F.col("late")).alias("late"), F.max("ts_us").alias("newest"))
+        rows.write.mode("overwrite").partitionBy("late").parquet(f"{out}/batch={batch_id}")
+        metric = seen.get
+        newest = max((t for t in (before, metric["newest"]) if t is not None), default=None)
+        write_batch(spark.createDataFrame([(newest,)], "newest bigint"), marks, batch_id)
+        if told:
+            told(batch_id, metric)
+
+    return run(packets, checkpoint, each, trigger)
+
+
 # ---- rules ----
 
 def stream_app_tags(flow_rows: DataFrame, rule_path: str, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

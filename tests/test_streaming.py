@@ -168,3 +168,36 @@ def test_rows_behind_the_watermark_are_dropped_and_counted(spark, tmp_path):
     assert jobs.dropped_rows(query) == 1
     got = spark.read.parquet(str(tmp_path / "out")).select("dns_id", "req_timeout").orderBy("dns_id").collect()
     assert [tuple(r) for r in got] == [(1, False), (2, True), (3, False)]
+
+
+def test_late_answers_of_the_interval_join(spark, tmp_path):
+    schema = "flow_id bigint, dns_id bigint, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.Dns.held)
+    row = lambda dns, ts, qr: (1, dns, ts * SEC, qr, 1, 2, 0, "q", "t", None if qr == 0 else 0, 10)
+    path = str(tmp_path / "in")
+    # 1 is asked twice and answered, 2 is answered six seconds late, 3's answer comes too late in the stream, 5 is never asked.
+    for part in ([row(1, 1000, 0), row(1, 1001, 0), row(2, 1001, 0), row(3, 1002, 0)], [row(1, 1003, 1), row(2, 1007, 1), row(5, 1008, 1), row(4, 1040, 0)],
+                 [row(4, 1041, 1)], [row(3, 1004, 1)], [row(6, 9000, 0)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    rows = jobs.stream_table(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+    query = jobs.stream_dns_joined(rows, str(tmp_path / "out"), str(tmp_path / "cp"))
+    query.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("dns_id").collect()
+    assert [(r.dns_id, r.req_timeout, r.wait_ms) for r in got] == [(1, False, 3000), (2, True, None), (3, True, None), (4, False, 1000)]
+    assert jobs.dropped_rows(query) == 1
+
+
+def test_late_packets_stand_apart_and_are_counted(spark, tmp_path):
+    rng = random.Random(5)
+    times = [1000 + i + rng.choice([0, 0, 0, -5]) for i in range(60)]
+    df = packets(spark, [{"ts_us": t * SEC} for t in times])
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for low in range(0, 60, 20):
+        df.filter((F.col("packet_id") >= low) & (F.col("packet_id") < low + 20)).coalesce(1).write.mode("append").parquet(path)
+    counts = []
+    query = jobs.stream_late(jobs.stream_table(spark, path, df.schema, files_per_batch=1), out, str(tmp_path / "marks"), str(tmp_path / "cp"), told=lambda n, m: counts.append(m["late"]))
+    query.awaitTermination()
+    want = [(i, max(times[:i + 1]) * SEC, i > 0 and max(times[:i]) > t) for i, t in enumerate(times)]
+    got = spark.read.parquet(out).orderBy("packet_id").collect()
+    assert [(r.packet_id, r.account_us, str(r.late).lower() == "true") for r in got] == want
+    apart = [f for f in (tmp_path / "out").rglob("late=true/*.parquet")]
+    assert sum(spark.read.parquet(str(f)).count() for f in apart) == sum(counts) == sum(w[2] for w in want) > 0
