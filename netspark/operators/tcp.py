@@ -14,6 +14,7 @@ from netspark import schema as S
 from netspark.functions import net
 from netspark.operators.nodes import NODE, count, total, total_if
 from netspark.operators.prefix import Prior, time_slice, unwrap, with_priors
+from netspark.operators.sessions import Timeouts
 from netspark.session import cut
 
 ARRIVAL = ["ts_us", "packet_id"]
@@ -79,11 +80,12 @@ def tcp_errors(packets: DataFrame, flow_packets: DataFrame, seconds: int = S.PER
                  total_if(F.col("cause") == "ack").alias("ack_broken")))
 
 
-def tcp_close(flow_packets: DataFrame) -> DataFrame:
+def tcp_close(flow_packets: DataFrame, timeouts: Timeouts = Timeouts()) -> DataFrame:
     """Per session: final state, closing side, closing times and cause.
 
-    A session cut short by a new SYN on the same tuple has cause "abort"; it is
-    found by an equality join with the following session number.
+    A session cut short by a new SYN on the same tuple, while its state still
+    let it live, has cause "abort"; it is found by an equality join with the
+    following session number.
     """
     end = net.has_flag(S.FIN | S.RST)
     at = F.struct(*ARRIVAL, "dir")
@@ -92,17 +94,19 @@ def tcp_close(flow_packets: DataFrame) -> DataFrame:
         F.min("start_us").alias("start_us"), F.max("ts_us").alias("last_us"), F.max("start_isn").alias("isn"),
         F.min(F.when(end & (F.col("dir") == 1), at)).alias("_c"), F.min(F.when(end & (F.col("dir") == -1), at)).alias("_s"),
         F.max(net.has_flag(S.RST)).alias("reset"), F.max(~net.has_flag(S.SYN)).alias("_data"),
-        F.max(answers).alias("_answered"))
+        F.min(F.when(answers, F.col("ts_us"))).alias("_answered"))
     first = F.least("_c", "_s")
     both = F.col("_c").isNotNull() & F.col("_s").isNotNull()
     state = (F.when(both, "closed").when(first.isNotNull(), "waiting").when(F.col("_data"), "established")
-             .when(F.col("_answered"), "ack").when(F.col("isn").isNotNull(), "syn").otherwise("none"))
+             .when(F.col("_answered").isNotNull(), "ack").when(F.col("isn").isNotNull(), "syn").otherwise("none"))
     rows = rows.withColumns({"state": state, "closer": first["dir"], "close_us": first["ts_us"],
                              "closed_us": F.when(both, F.greatest("_c", "_s")["ts_us"])})
     follow = rows.filter(F.col("isn").isNotNull()).select(
         *S.FLOW_KEY, (F.col("session_no") - 1).alias("session_no"), F.col("start_us").alias("next_syn_us"))
-    cause = (F.when(F.col("reset"), "reset").when(F.col("state") == "closed", "normal")
-             .when(F.col("next_syn_us") - F.col("last_us") <= S.TCP_ACTIVE_S * S.US, "abort")
+    live = (F.when(F.col("state").isin("closed", "waiting"), F.col("close_us") + timeouts.closing_s * S.US)
+            .when(F.col("state") == "established", F.col("last_us") + timeouts.tcp_s * S.US)
+            .otherwise(F.coalesce("_answered", "start_us") + timeouts.opening_s * S.US))
+    cause = (F.when(F.col("reset"), "reset").when(F.col("state") == "closed", "normal").when(F.col("next_syn_us") <= live, "abort")
              .when(F.col("state") == "syn", "broken").otherwise("timeout"))
     return (rows.join(follow, S.SESSION, "left")
             .select(*S.SESSION, "start_us", "last_us", "state", "closer", "close_us", "closed_us", cause.alias("cause")))

@@ -152,16 +152,17 @@ CLOSE = f"""session_ends AS (
     min(rk) FILTER (WHERE fin_rst AND dir = 1) AS c_rk, min(rk) FILTER (WHERE fin_rst AND dir = -1) AS s_rk,
     arg_min(ts_us, rk) FILTER (WHERE fin_rst AND dir = 1) AS c_us, arg_min(ts_us, rk) FILTER (WHERE fin_rst AND dir = -1) AS s_us,
     bool_or((tcp_flags & 4) <> 0) AS reset, bool_or((tcp_flags & 2) = 0) AS has_data,
-    bool_or((tcp_flags & 18) = 18 AND dir = -1 AND coalesce(tcp_ack = (start_isn + 1) % 4294967296, FALSE)) AS answered
+    min(ts_us) FILTER (WHERE (tcp_flags & 18) = 18 AND dir = -1 AND tcp_ack = (start_isn + 1) % 4294967296) AS answered_us
   FROM (SELECT *, (tcp_flags & 5) <> 0 AS fin_rst FROM pf WHERE ip_proto = 6) GROUP BY ALL),
 states AS (
   SELECT *, CASE WHEN c_rk IS NOT NULL AND s_rk IS NOT NULL THEN 'closed' WHEN close_us IS NOT NULL THEN 'waiting'
-      WHEN has_data THEN 'established' WHEN answered THEN 'ack' WHEN isn IS NOT NULL THEN 'syn' ELSE 'none' END AS state,
+      WHEN has_data THEN 'established' WHEN answered_us IS NOT NULL THEN 'ack' WHEN isn IS NOT NULL THEN 'syn' ELSE 'none' END AS state,
     CASE WHEN c_rk IS NOT NULL AND s_rk IS NOT NULL THEN greatest(c_us, s_us) END AS closed_us,
     lead(CASE WHEN isn IS NOT NULL THEN start_us END) OVER (PARTITION BY {KEY} ORDER BY session_no) AS next_syn_us FROM session_ends),
 closes AS (
   SELECT {SESSION}, start_us, last_us, state, closer, close_us, closed_us,
-    CASE WHEN reset THEN 'reset' WHEN state = 'closed' THEN 'normal' WHEN next_syn_us - last_us <= 600000000 THEN 'abort'
+    CASE WHEN reset THEN 'reset' WHEN state = 'closed' THEN 'normal' WHEN next_syn_us <= CASE state WHEN 'closed' THEN close_us + 5000000 WHEN 'waiting' THEN close_us + 5000000 WHEN 'established' THEN last_us + 600000000
+           ELSE coalesce(answered_us, start_us) + 5000000 END THEN 'abort'
          WHEN state = 'syn' THEN 'broken' ELSE 'timeout' END AS cause FROM states)"""
 
 CONNECTIONS = f"""changes AS (

@@ -70,7 +70,13 @@ def test_close_causes(spark):
     assert cause([syn, data]) == ["timeout"]
     assert cause([syn, data, {"ts_us": 3, "tcp_flags": FIN | ACK}, {"ts_us": 4, "up": "s", "tcp_flags": FIN | ACK}]) == ["normal"]
     assert cause([syn, data, {"ts_us": 3, "tcp_flags": RST}]) == ["reset"]
-    assert cause([syn, data, {"ts_us": 9, "tcp_flags": SYN, "tcp_seq": 77}, {"ts_us": 10}]) == ["abort", "timeout"]
+    new = {"tcp_flags": SYN, "tcp_seq": 77}
+    assert cause([syn, data, {"ts_us": 9, **new}, {"ts_us": 10}]) == ["abort", "timeout"]
+    # A half-closed session lives five seconds, an established one ten minutes.
+    fin = {"ts_us": 3, "tcp_flags": FIN | ACK}
+    assert cause([syn, data, fin, {"ts_us": 4 * SEC, **new}]) == ["abort", "broken"]
+    assert cause([syn, data, fin, {"ts_us": 6 * SEC, **new}]) == ["timeout", "broken"]
+    assert cause([syn, data, {"ts_us": 6 * SEC, **new}]) == ["abort", "broken"]
 
 
 def brute_quality(rows, start):
