@@ -8,8 +8,10 @@ from netspark.plans import fixtures as fx
 from netspark.plans import frames as fr
 from netspark.plans import oracle as o
 from netspark.plans.queries_apps import _RCODE
-from netspark.plans.queries_flows import RTT
+from netspark.plans.queries_events import _LOOKUP, _RULES, rule_lines
+from netspark.plans.queries_flows import RTT, SUMMARY
 from netspark.plans.registry import query
+from netspark.sources import rules
 
 P, SS, SESSION = o.ORACLE_PACKETS, o.SESSIONS, o.SESSION
 
@@ -103,3 +105,16 @@ def dns_txn_from_packets(spark, sf):
     out = paths.dns_txn_from_packets(packets).withColumn("answers", F.array_join(F.transform("answers", lambda a: a["data"]), ","))
     return out.select("dns_id", "client_ip", "server_ip", "qname", "qtype", "opcode", "rcode", "error", "req_us", "rsp_us", "wait_ms", "req_timeout", "req_pkts", "rsp_pkts",
                       "req_bytes", "rsp_bytes", "req_l2_bytes", "rsp_l2_bytes", "truncated", "authoritative", "answers")
+
+
+@query("flow_protocol_ruled", o.with_(P, SS, SUMMARY, _RULES, f"""detected AS (
+  SELECT {SESSION}, CASE WHEN bool_or(ip_proto = 17 AND 53 IN (src_port, dst_port)) THEN 'dns'
+    WHEN bool_or(payload_len > 0 AND ip_proto = 6 AND 80 IN (src_port, dst_port)) THEN 'http'
+    WHEN bool_or(payload_len > 0 AND ip_proto = 6 AND 3306 IN (src_port, dst_port)) THEN 'mysql' ELSE 'unknown' END AS app FROM pf GROUP BY {SESSION})""", f"""
+SELECT {SESSION}, coalesce({_LOOKUP('s.client_ip', 's.client_port')}, {_LOOKUP('0', 's.client_port')}, {_LOOKUP('s.server_ip', 's.server_port')},
+  {_LOOKUP('0', 's.server_port')}, app) AS app FROM summary s JOIN detected USING ({SESSION})"""))
+def flow_protocol_ruled(spark, sf):
+    """Application of each session where the rule file has the last word."""
+    rows = fx.flow_packets(spark, sf)
+    tags = rules.app_tags(flows.flow_summary(rows), rules.load_rules(spark, rule_lines(spark, sf)))
+    return flows.flow_protocol(rows.withColumn("payload", fr.payload()), tags.select(*S.SESSION, F.col("rule_name").alias("rule_app")))
