@@ -80,34 +80,73 @@ def rules(f: str) -> dict[str, Column]:
     }
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, most_wrong: float = 0.002, least_pass: float = 0.8,
-              share_range: tuple = (0.1, 0.5)) -> dict:
+def kinds_of_junk(patterns: np.ndarray, counts: np.ndarray, least: float = 0.25, evidence: float = 16.0) -> list[list[int]]:
+    """Sets of rules that all confirm each other: the largest cliques of two rules or more.
+
+    Two rules confirm each other where their rejects correlate by `least` at
+    least over the texts on which both vote, and by more than chance explains.
+    """
+    reject, votes = (patterns == -1).astype(float), (patterns != 0).astype(float)
+    n = votes.T @ (votes * counts[:, None])
+    with np.errstate(all="ignore"):
+        here = reject.T @ (votes * counts[:, None]) / n
+        there = here.T
+        phi = np.nan_to_num((reject.T @ (reject * counts[:, None]) / n - here * there) / np.sqrt(here * (1 - here) * there * (1 - there)))
+    linked = (phi >= least) & (n * phi ** 2 >= evidence)
+    found = []
+
+    def grow(members: list[int], candidates: list[int], passed: list[int]):
+        if not candidates and not passed and len(members) > 1:
+            found.append(members)
+        for place, i in enumerate(candidates):
+            near = [j for j in candidates[place + 1:] if linked[i, j]]
+            grow(members + [i], near, [j for j in passed + candidates[:place] if linked[i, j]])
+
+    grow([], list(range(patterns.shape[1])), [])
+    return found
+
+
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 2000, caution: float = 0.05, least_attested: float = 0.25) -> dict:
     """EM over distinct vote patterns (rows of -1, 0, 1) and how often each occurs.
 
-    A document is good or bad; given that, rules vote independently, and no
-    opinion says nothing.  The start takes a text that some rule rejects for
-    bad.  Three bounds keep the two classes from becoming any two clusters:
-    a rule rejects at most `most_wrong` of good texts; a bad text passes a
-    rule with chance `least_pass` at least, since each kind of junk fails a
-    few rules only; and the share of bad texts stays in `share_range`.
-    Returns the share of bad texts and, per rule, the log-odds for bad of a
-    rejecting and of an approving vote.
+    A document is good or of one of some kinds of junk; given that, rules vote
+    independently, and no opinion says nothing.  Rules that reject the same
+    texts are not independent evidence of one class; each set of rules that
+    confirm each other starts a kind of its own, which takes in the texts that
+    they reject.  EM then finds the share of each class and each rule's chance
+    of rejecting its texts, without bounds.  A rule that no other confirms
+    starts no kind: its rejects count as far as EM finds them more frequent in
+    junk.  Where votes fit both readings, good and junk, `caution` decides: a
+    rule is thought to reject that part less of good texts, at any size of the
+    table.  A kind whose rules come to reject less than `least_attested` of its
+    texts is given up and the rest is fitted anew.
+
+    Returns the kinds (lists of rules), the share of each class and the chance
+    of a reject by class and rule; class 0 is good.
     """
     reject, approve = (patterns == -1).astype(float), (patterns == 1).astype(float)
-    bad = np.where((patterns == -1).any(axis=1), 0.9, 0.02)
-    share, against, for_ = share_range[0], None, None
-    for _ in range(rounds):
-        no, yes = counts * bad, counts * (1 - bad)
-        sensitivity = np.maximum((no @ reject + 0.5) / (no @ (reject + approve) + 1), most_wrong)
-        wrong = np.minimum((yes @ reject + 0.5) / (yes @ (reject + approve) + 1), most_wrong)
-        share = float(np.clip(no.sum() / counts.sum(), *share_range))
-        against, for_ = np.log(sensitivity / wrong), np.log(np.maximum(1 - sensitivity, least_pass) / (1 - wrong))
-        logit = np.log(share / (1 - share)) + reject @ against + approve @ for_
-        after = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
-        if np.abs(after - bad).max() < 1e-9:
-            break
-        bad = after
-    return {"share_bad": share, "against": against, "for": for_}
+    votes, kinds = reject + approve, kinds_of_junk(patterns, counts)
+    trust = np.array([1 + caution] + [1.0] * len(kinds))[:, None]
+    while True:
+        hits = np.stack([reject[:, k].sum(axis=1) for k in kinds], axis=1) if kinds else np.zeros((len(patterns), 0))
+        hit = hits.sum(axis=1, keepdims=True)
+        junk = np.where(hit > 0, 0.9 * hits / np.maximum(hit, 1), 0.02 / max(len(kinds), 1))
+        chance = np.hstack([1 - junk.sum(axis=1, keepdims=True), junk])
+        for _ in range(rounds):
+            weight = chance * counts[:, None]
+            share = (weight.sum(axis=0) + 1) / (counts.sum() + 1 + len(kinds))
+            rate = (weight.T @ reject + 0.05) / (trust * (weight.T @ votes) + 0.1)
+            log = np.log(share) + reject @ np.log(rate).T + approve @ np.log1p(-rate).T
+            after = np.exp(log - log.max(axis=1, keepdims=True))
+            after /= after.sum(axis=1, keepdims=True)
+            still = np.abs(after - chance).max() < 1e-9
+            chance = after
+            if still:
+                break
+        attested = [k for j, k in enumerate(kinds) if rate[j + 1, k].mean() >= least_attested]
+        if len(attested) == len(kinds):
+            return {"kinds": kinds, "share": share, "reject": rate}
+        kinds, trust = attested, trust[: len(attested) + 1]
 
 
 def fit(featured: DataFrame, f: str = "_q") -> dict:
@@ -121,12 +160,17 @@ def fit(featured: DataFrame, f: str = "_q") -> dict:
 
 def posterior(model: dict, f: str = "_q") -> Column:
     """Chance that a document is good, given its rules' votes."""
-    if not model:
+    if not model or not model["kinds"]:
         return F.lit(1.0)
-    logit = F.lit(float(np.log(1 - model["share_bad"]) - np.log(model["share_bad"])))
-    for j, vote in enumerate(rules(f).values()):
-        logit = logit - F.when(vote == -1, float(model["against"][j])).when(vote == 1, float(model["for"][j])).otherwise(0.0)
-    return 1 / (1 + F.exp(-logit))
+    odds = F.lit(1.0)
+    for k in range(1, len(model["share"])):
+        against = np.log(model["reject"][k] / model["reject"][0])
+        for_ = np.log1p(-model["reject"][k]) - np.log1p(-model["reject"][0])
+        logit = F.lit(float(np.log(model["share"][k] / model["share"][0])))
+        for j, vote in enumerate(rules(f).values()):
+            logit = logit + F.when(vote == -1, float(against[j])).when(vote == 1, float(for_[j])).otherwise(0.0)
+        odds = odds + F.exp(logit)
+    return 1 / odds
 
 
 def base_failed(f: str = "_q") -> Column:
@@ -139,6 +183,7 @@ def judge(docs: DataFrame, threshold: float = 0.5, text: str = "text") -> DataFr
     The counts are read twice: once for the fit, once for the verdict.  Null
     and empty texts have no words and fail the base rule; other columns,
     nulls and repeated rows pass through untouched.  An empty table stays empty.
+    Where no two rules confirm each other, the base rule alone decides.
     """
     featured = docs.withColumn("_q", features(F.col(text)))
     return with_verdict(featured, fit(featured), threshold)

@@ -27,7 +27,7 @@ def test_names_and_registration(spark):
     assert [n for n, _ in P.STAGES] == ["quality_rules", "near_duplicates", "secrets", "mixing", "packing"]
     assert entry.queries()["pipeline"] is P.run
     names = [k for k in entry.queries() if re.match(r"op\d+_", k)]
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in names) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("docs", ["given", "odd"])

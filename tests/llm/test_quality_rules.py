@@ -50,9 +50,73 @@ def test_repeated_words_renumber_before_overflow():
     assert Q.repeated_words(np.array([0, 0, 0]), 1) == 0
 
 
+def chance_good(model, pattern):
+    """The posterior of one pattern, summed class by class."""
+    p = np.array(model["share"], dtype=float)
+    for k in range(len(p)):
+        for j, v in enumerate(pattern):
+            p[k] *= {-1: model["reject"][k, j], 1: 1 - model["reject"][k, j], 0: 1.0}[v]
+    return p[0] / p.sum()
+
+
 def test_em_weighs_rules_and_ignores_abstention():
-    good, junk, odd = [1, 1, 1, 0], [-1, 1, 1, 0], [0, 0, 0, 0]
-    patterns, counts = np.array([good, junk, odd, [1, -1, -1, 0]]), np.array([900.0, 40.0, 30.0, 30.0])
-    model = Q.fit_votes(patterns, counts)
-    logit = lambda p: np.log(model["share_bad"] / (1 - model["share_bad"])) + sum(model["against"][j] * (v == -1) + model["for"][j] * (v == 1) for j, v in enumerate(p))
-    assert logit(good) < 0 and logit(odd) < 0 and logit(junk) > 0 and logit([1, -1, -1, 0]) > logit(junk)
+    good, lone, odd, junk = [1, 1, 1, 0], [-1, 1, 1, 0], [0, 0, 0, 0], [1, -1, -1, 0]
+    model = Q.fit_votes(np.array([good, lone, odd, junk]), np.array([900.0, 40.0, 30.0, 30.0]))
+    assert model["kinds"] == [[1, 2]]
+    assert chance_good(model, good) > 0.99 and chance_good(model, odd) > 0.9 and chance_good(model, junk) < 0.01
+    assert chance_good(model, lone) > 0.9  # no other rule confirms rule 0
+
+
+def planted(share, sensitive, wrong, n=100_000, seed=1):
+    rng = np.random.default_rng(seed)
+    bad = rng.random(n) < share
+    votes = np.where(rng.random((n, len(wrong))) < np.where(bad[:, None], sensitive, wrong), -1, 1)
+    votes[rng.random(votes.shape) < 0.1] = 0
+    patterns, which, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    return bad, patterns, which.ravel(), counts.astype(float)
+
+
+def test_planted_accuracies_are_found():
+    for share, sensitive, wrong in [(0.2, [0.8, 0.7, 0.6, 0.9, 0.25, 0.05], [0.02, 0.05, 0.01, 0.1, 0.2, 0.05]),
+                                    (0.1, [0.5, 0.5, 0.5, 0.5, 0.3, 0.3], [0.01, 0.02, 0.03, 0.05, 0.3, 0.1]),
+                                    (0.4, [0.8, 0.7, 0.6, 0.9, 0.5, 0.5], [0.1, 0.05, 0.1, 0.1, 0.3, 0.5])]:
+        bad, patterns, which, counts = planted(share, sensitive, wrong)
+        model = Q.fit_votes(patterns, counts)
+        assert len(model["kinds"]) == 1
+        assert abs(model["share"][1] - share) < 0.05
+        assert np.abs(model["reject"] - [wrong, sensitive]).max() < 0.05
+        good = np.array([chance_good(model, p) for p in patterns])[which]
+        rejected = (patterns == -1).any(axis=1)[which]
+        assert ((good < 0.5) == bad).mean() > (rejected == bad).mean() + 0.1  # beats all-must-pass
+        weak = [1] * 6
+        weak[4] = -1  # one weak reject, many strong approvals
+        assert chance_good(model, weak) > 0.9
+
+
+def test_the_posterior_keeps_texts_that_one_rule_rejects(spark):
+    """Kinds of junk of two rules each, and a rule that rejects some good texts at random."""
+    rng = np.random.default_rng(3)
+    kind = rng.choice(3, 20_000, p=[0.9, 0.06, 0.04])
+    rate = np.array([[0.0005, 0.0005, 0.0005, 0.0005, 0.05], [0.99, 0.6, 0.0, 0.0, 0.05], [0.0, 0.0, 0.99, 0.9, 0.05]])
+    votes = np.where(rng.random((len(kind), 5)) < rate[kind], -1, 1)
+    patterns, which, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    model = Q.fit_votes(patterns, counts.astype(float))
+    assert model["kinds"] == [[0, 1], [2, 3]]
+    good = np.array([chance_good(model, p) for p in patterns])[which.ravel()]
+    assert ((good >= 0.5) == (kind == 0)).mean() > 0.995
+    assert chance_good(model, [1, 1, 1, 1, -1]) > 0.99 and chance_good(model, [-1, 1, 1, 1, 1]) < 0.5
+    assert Q.fit_votes(np.array([[1, 1], [-1, 1]]), np.array([9.0, 1.0]))["kinds"] == []
+
+
+def test_the_fit_does_not_move_with_size():
+    _, patterns, _, counts = planted(0.2, [0.8, 0.7, 0.6, 0.9, 0.25, 0.05], [0.02, 0.05, 0.01, 0.1, 0.2, 0.05])
+    small, large = Q.fit_votes(patterns, counts), Q.fit_votes(patterns, counts * 1e6)
+    assert np.abs(small["reject"] - large["reject"]).max() < 1e-4 and small["kinds"] == large["kinds"]
+
+
+def test_column_equals_the_posterior_by_classes(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("_q", Q.features("text"))
+    model = Q.fit(docs)
+    got = docs.select(*[c.alias(n) for n, c in Q.rules("_q").items()], Q.posterior(model).alias("good")).collect()
+    for r in got:
+        assert abs(r["good"] - chance_good(model, r[:-1])) < 1e-9
