@@ -13,6 +13,13 @@ from netspark.llm import minhash, mixing, packing, quality_rules, secret_scan
 from netspark.llm.common import stage
 
 
+def fingerprint(docs: DataFrame):
+    """128 bits that name a row by its values and by which of its columns are null."""
+    row = F.struct("*")
+    nulls = F.concat(*[F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in docs.columns])
+    return F.struct(F.xxhash64(nulls, row).alias("a"), F.xxhash64(row, nulls).alias("b"))
+
+
 def with_copies(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of docs as often as `keys` (_key, rows, copies) says for all rows of a fingerprint together.
 
@@ -20,7 +27,7 @@ def with_copies(docs: DataFrame, keys: DataFrame) -> DataFrame:
     several times, equal in all columns, one is taken and repeated.
     """
     names = docs.columns
-    marked = docs.select(F.struct("*").alias("_row")).withColumn("_key", F.xxhash64("_row"))
+    marked = docs.select(F.struct("*").alias("_row"), fingerprint(docs).alias("_key"))
     met = marked.join(keys.filter("copies > 0"), "_key")
     few = met.filter("rows > 1").groupBy("_key").agg(F.first("_row").alias("_row"), F.first("rows").alias("rows"), F.first("copies").alias("copies"))
     met = met.filter("rows = 1").unionByName(few)
@@ -59,7 +66,7 @@ def mix(spark, docs, sf_dir):
 
     The document at which a source's target is reached is taken whole.
     """
-    keyed = docs.select("doc_id", "text", "source", F.xxhash64(F.struct(*docs.columns)).alias("_key"))
+    keyed = docs.select("doc_id", "text", "source", fingerprint(docs).alias("_key"))
     taken = mixing.taken_words(keyed, extra=("_key",))
     keys = taken.groupBy("_key").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies"))
     return with_copies(docs, keys)
