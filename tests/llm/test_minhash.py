@@ -101,3 +101,27 @@ def test_signatures_estimate_similarity():
     b = np.concatenate([a[:2400], rng.integers(0, 1 << 63, 600, dtype=np.uint64)])
     same = (minhash.signature(a) == minhash.signature(b)).mean()
     assert abs(same - 2400 / 3600) < 0.08
+
+
+def test_words_of_two_letters_in_thue_morse_order_do_not_collide(spark):
+    """A polynomial modulo 2 ** 64 takes such words for equal."""
+    order = [bin(i).count("1") & 1 for i in range(4096)]
+    hashed = lambda w: int(hashing.word_hashes(np.frombuffer(w.encode(), np.uint8))[0])
+    for n in (64, 1024, 2048, 4096):
+        x, y = "".join("ab"[b] for b in order[:n]), "".join("ba"[b] for b in order[:n])
+        assert hashed(x) != hashed(y)
+    swapped = [hashed(w) for w in ("aaaaaaaabbbbbbbb", "bbbbbbbbaaaaaaaa", "aaaaaaaa", "aaaaaaaa\0", "\0aaaaaaaa")]
+    assert len(set(swapped)) == len(swapped)
+    x, y = "".join("ab"[b] for b in order[:1024]), "".join("ba"[b] for b in order[:1024])
+    docs = spark.createDataFrame([(1, f"{x} one two three four"), (2, f"{y} one two three four")], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows(minhash.near_duplicates(docs))) == [(1, 1), (2, 2)]
+
+
+def test_word_hashes_equal_those_of_single_words():
+    rng = random.Random(8)
+    text = ["".join(rng.choice("aAbBzZ09é") for _ in range(rng.choice([1, 7, 8, 9, 40]))) for _ in range(500)]
+    got = hashing.word_hashes(np.frombuffer(" \t".join(text).encode(), np.uint8))
+    one = [int(hashing.word_hashes(np.frombuffer(w.encode(), np.uint8))[0]) for w in text]
+    assert got.tolist() == one
+    low = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in text]
+    assert len(set(one)) == len(set(low))

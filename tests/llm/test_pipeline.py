@@ -82,6 +82,14 @@ def test_repeated_rows_mix_as_often_as_their_copies(spark):
     assert len(TEXTS) and minhash.BANDS and secret_scan.KINDS
 
 
+def test_rows_that_differ_in_which_column_is_null_are_told_apart(spark):
+    docs = spark.createDataFrame([(1, None, "x", "a b c"), (1, "x", None, "a b c")], "doc_id bigint, source string, lang string, text string")
+    names = [tuple(r[0]) for r in docs.select(P.fingerprint(docs)).collect()]
+    assert names[0] != names[1]
+    got = {(r["source"], r["lang"]) for r in rows(run(spark, "mixing", docs))}
+    assert got == {(None, "x"), ("x", None)}
+
+
 def test_run_equals_stages(spark):
     out = rows(P.run(spark, SF))
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} == set(out[0])
