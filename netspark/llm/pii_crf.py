@@ -375,7 +375,7 @@ def scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
 
     Null and empty texts have none; the other columns, null ids and repeated
     rows pass through; an empty table stays empty, and one without personal
-    data adds nothing.
+    data adds nothing.  An input column named _pii is replaced.
     """
     model = fit(docs) if model is None else model
 

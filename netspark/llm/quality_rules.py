@@ -183,7 +183,8 @@ def judge(docs: DataFrame, threshold: float = 0.5, text: str = "text") -> DataFr
     The counts are read twice: once for the fit, once for the verdict.  Null
     and empty texts have no words and fail the base rule; other columns,
     nulls and repeated rows pass through untouched.  An empty table stays empty.
-    Where no two rules confirm each other, the base rule alone decides.
+    Where no two rules confirm each other, the base rule alone decides.  Input
+    columns named _q or _verdict are replaced.
     """
     featured = docs.withColumn("_q", features(F.col(text)))
     return with_verdict(featured, fit(featured), threshold)

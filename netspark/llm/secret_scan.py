@@ -88,7 +88,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with the column _secrets, the spans of `found`.
 
     Null and empty texts have none; the other columns, null ids and repeated
-    rows pass through; an empty table stays empty.
+    rows pass through; an empty table stays empty.  An input column named
+    _secrets is replaced.
     """
     return docs.withColumn("_secrets", found(F.col(text)))
 

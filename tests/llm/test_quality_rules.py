@@ -120,3 +120,11 @@ def test_column_equals_the_posterior_by_classes(spark):
     got = docs.select(*[c.alias(n) for n, c in Q.rules("_q").items()], Q.posterior(model).alias("good")).collect()
     for r in got:
         assert abs(r["good"] - chance_good(model, r[:-1])) < 1e-9
+
+
+def test_input_columns_of_reserved_names_are_replaced(spark):
+    from netspark.llm import pii_crf, secret_scan
+    docs = spark.createDataFrame([(1, "mail a.b@c.org", "x", "x", "x", "x")], "doc_id bigint, text string, _q string, _verdict string, _pii string, _secrets string")
+    (judged,), (found,), (secret,) = rows(Q.judge(docs)), rows(pii_crf.scan(docs)), rows(secret_scan.scan(docs))
+    assert judged["_q"]["n_words"] == 2 and judged["_verdict"]["base_failed"] and judged["_pii"] == "x"
+    assert found["_pii"][0]["start"] == 5 and found["_q"] == "x" and secret["_secrets"] == [] and secret["_pii"] == "x"
