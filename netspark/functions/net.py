@@ -137,11 +137,17 @@ def flow_ends() -> tuple[Column, Column]:
 
 
 def flow_key_columns() -> list[Column]:
-    """Unordered pair of (ip, port); both directions agree."""
+    """Unordered pair of (ip, port); both directions agree.
+
+    The lower end comes first, null below all numbers.  Ends are compared as
+    plain numbers, which stays in generated code; structs would not.
+    """
     src, dst = flow_ends()
-    low, high = F.least(src, dst), F.greatest(src, dst)
-    return [low["ip"].alias("ip_a"), low["port"].alias("port_a"),
-            high["ip"].alias("ip_b"), high["port"].alias("port_b")]
+    number = lambda end, field: F.coalesce(end[field], F.lit(-1))
+    same_ip = number(src, "ip") == number(dst, "ip")
+    swap = (number(src, "ip") > number(dst, "ip")) | (same_ip & (number(src, "port") > number(dst, "port")))
+    pick = lambda a, b, field, name: F.when(swap, a[field]).otherwise(b[field]).alias(name)
+    return [pick(dst, src, "ip", "ip_a"), pick(dst, src, "port", "port_a"), pick(src, dst, "ip", "ip_b"), pick(src, dst, "port", "port_b")]
 
 
 def dimension(metric: str, dim: str, value) -> Column:

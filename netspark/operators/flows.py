@@ -7,7 +7,7 @@ from netspark import schema as S
 from netspark.functions import net
 from netspark.operators import nodes
 from netspark.operators.prefix import time_slice, with_slice_width
-from netspark.operators.sessions import Timeouts, soft_starts
+from netspark.operators.sessions import Timeouts, flow_profile, soft_starts
 
 ARRIVAL = ["ts_us", "packet_id"]
 
@@ -47,9 +47,10 @@ def packets_with_flow(packets: DataFrame, slice_us: int = S.SLICE_US, busy_rows:
 
     is_syn = (F.col("ip_proto") == S.PROTO_TCP) & net.pure_syn()
     keyed = with_flow_key(packets)
-    keyed = (with_slice_width(keyed, S.FLOW_KEY, rows=busy_rows, width_us=slice_us) if busy_rows
+    profile = flow_profile(keyed, timeouts, busy_rows)
+    keyed = (with_slice_width(keyed, S.FLOW_KEY, rows=busy_rows, width_us=slice_us, counts=profile) if busy_rows
              else keyed.withColumn("slice_us", F.lit(slice_us).cast("bigint")))
-    soft = soft_starts(keyed, timeouts)
+    soft = soft_starts(keyed, profile, timeouts)
     keyed = (keyed.withColumn("_soft", F.lit(False)) if soft is None else
              keyed.join(soft.withColumn("_soft", F.lit(True)), [*S.FLOW_KEY, *ARRIVAL], "left").withColumn("_soft", F.coalesce("_soft", F.lit(False))))
     rows = (keyed

@@ -22,7 +22,8 @@ def bounded(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
-def with_slice_width(df: DataFrame, keys: list[str], ts: str = "ts_us", rows: int = S.SLICE_ROWS, width_us: int = S.SLICE_US) -> DataFrame:
+def with_slice_width(df: DataFrame, keys: list[str], ts: str = "ts_us", rows: int = S.SLICE_ROWS, width_us: int = S.SLICE_US,
+                     counts: DataFrame | None = None) -> DataFrame:
     """Add slice_us: the usual width, or for keys of more than `rows` rows one so narrow that no slice holds more.
 
     The width of a busy key follows its densest stretch, not its mean: its rows
@@ -30,9 +31,12 @@ def with_slice_width(df: DataFrame, keys: list[str], ts: str = "ts_us", rows: in
     which the widest without an overfull slice is taken.  Idle time makes no
     slices, so narrow slices cost nothing there.  Busy keys are few (all rows /
     `rows` at most), so the table of their widths is small and no row is
-    shuffled for it.
+    shuffled for it.  `counts` (keys, _n) saves the count where the caller has
+    it; keys of fewer rows may be left out of it.
     """
-    many = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows).select(*keys)
+    if counts is None:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    many = counts.filter(F.col("_n") > rows).select(*keys)
     found = many.limit(BROADCAST_ROWS + 1).count()
     if not found:
         return df.withColumn("slice_us", F.lit(width_us).cast("bigint"))

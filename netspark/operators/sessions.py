@@ -53,16 +53,22 @@ def new_syn(isn: Column, before: Column) -> Column:
     return isn.isNotNull() & (before.isNull() | (before != isn))
 
 
-def _line(rows: DataFrame, timeouts: Timeouts) -> DataFrame:
-    """TCP packets of the flows that last longer than the shortest timeout, with what they are to a session.
+def flow_profile(rows: DataFrame, timeouts: Timeouts, busy_rows: int | None) -> DataFrame:
+    """Flows that one pass by usual slices does not settle: of more than `busy_rows` packets (_n), or `lasting`: TCP
+    longer than the shortest timeout.  Both come from one reading of the packets."""
+    shortest = min(timeouts.opening_s, timeouts.closing_s) * S.US
+    lasting = (F.col("ip_proto") == S.PROTO_TCP) & (F.col("_span") > shortest)
+    busy = F.col("_n") > busy_rows if busy_rows else F.lit(False)
+    flows = rows.groupBy(*S.FLOW_KEY).agg(F.count(F.lit(1)).alias("_n"), (F.max("ts_us") - F.min("ts_us")).alias("_span"))
+    return cut(flows.select(*S.FLOW_KEY, "_n", lasting.alias("lasting")).filter(busy | F.col("lasting")))
+
+
+def _line(rows: DataFrame, lasting: DataFrame, timeouts: Timeouts) -> DataFrame:
+    """TCP packets of the lasting flows, with what they are to a session.
 
     kind: "syn", "answer" (SYN-ACK), "end" (FIN or RST) or "plain".
     """
     tcp = rows.filter(F.col("ip_proto") == S.PROTO_TCP).select(*S.FLOW_KEY, *ARRIVAL, "tcp_flags", "tcp_seq", "tcp_ack", "slice_us")
-    shortest = min(timeouts.opening_s, timeouts.closing_s) * S.US
-    lasting = cut(tcp.groupBy(*S.FLOW_KEY).agg((F.max("ts_us") - F.min("ts_us")).alias("_span")).filter(F.col("_span") > shortest).select(*S.FLOW_KEY))
-    if lasting.isEmpty():
-        return lasting
     tcp = tcp.join(lasting, S.FLOW_KEY, "left_semi").withColumn("_isn", F.when(net.pure_syn(), F.col("tcp_seq")))
     tcp = with_priors(tcp, S.FLOW_KEY, ARRIVAL, time_slice(tcp), [Prior("_prev_ts", "lag", F.col("ts_us")), Prior("_prev_isn", "last", F.col("_isn"))])
     kind = (F.when(net.pure_syn(), "syn").when(net.has_flag(S.SYN), "answer").when(net.has_flag(S.FIN | S.RST), "end").otherwise("plain"))
@@ -117,12 +123,12 @@ def _pointers(ahead: DataFrame, timeouts: Timeouts) -> DataFrame:
     return ends.select(*S.FLOW_KEY, "a", "b", "a_hard")
 
 
-def soft_starts(rows: DataFrame, timeouts: Timeouts) -> DataFrame | None:
+def soft_starts(rows: DataFrame, profile: DataFrame, timeouts: Timeouts) -> DataFrame | None:
     """(flow, ts_us, packet_id) of packets that start a session because the state of the one before let it end; None where there is none."""
-    line = _line(rows, timeouts)
-    if "kind" not in line.columns:
+    lasting = profile.filter("lasting").select(*S.FLOW_KEY)
+    if lasting.isEmpty():
         return None
-    edges = cut(_pointers(_ahead(line, timeouts), timeouts))
+    edges = cut(_pointers(_ahead(_line(rows, lasting, timeouts), timeouts), timeouts))
     reached = edges.filter("a_hard").select(*S.FLOW_KEY, F.col("a").alias("at"), F.lit(False).alias("soft"))
     while not edges.isEmpty():
         here = reached.select(*S.FLOW_KEY, F.col("at").alias("a")).distinct()
