@@ -20,21 +20,28 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def _event(rows: DataFrame, phase: str, code, content: str, at: str, client="client_ip", server="server_ip", size=None):
+def _event(phase: str, code, content: str, at, size=None):
+    """One event as a struct; `at` null tells that it did not happen."""
     code = F.lit(EVENT_CODE[code]) if isinstance(code, str) else code
-    return rows.select(F.lit(PHASES[phase]).alias("phase"), code.alias("event_code"), F.lit(content).alias("content"),
-                       F.col(at).alias("at_us"), F.col(client).alias("client_ip"), F.col(server).alias("server_ip"),
-                       (F.lit(0) if size is None else size).cast("bigint").alias("bytes"))
+    return F.struct(F.lit(PHASES[phase]).alias("phase"), code.alias("event_code"), F.lit(content).alias("content"), net.col(at).alias("at_us"),
+                    (F.lit(0) if size is None else size).cast("bigint").alias("bytes"))
 
 
-def arp_events(packets: DataFrame) -> DataFrame:
-    return _event(packets.filter(F.col("eth_type") == S.ETH_ARP), "event", "arp", "arp", "ts_us", "src_ip", "dst_ip",
-                  F.col("wire_len"))
+def _events(rows: DataFrame, events, client: str = "client_ip", server: str = "server_ip") -> DataFrame:
+    """The events of each row, so that the rows are computed once for all of them."""
+    happened = F.filter(events, lambda e: e["at_us"].isNotNull())
+    rows = rows.select(F.explode(happened).alias("e"), F.col(client).alias("client_ip"), F.col(server).alias("server_ip"))
+    return rows.select(*[F.col(f"e.{c}") if c not in ("client_ip", "server_ip") else F.col(c) for c in EVENT])
 
 
-def icmp_events(packets: DataFrame) -> DataFrame:
-    return _event(packets.filter((F.col("ip_proto") == S.PROTO_ICMP) & (F.col("icmp_type") == 3)), "event", "icmp",
-                  "icmp_unreachable", "ts_us", "src_ip", "dst_ip", F.col("wire_len"))
+def packet_events(packets: DataFrame) -> DataFrame:
+    """ARP packets and ICMP messages of unreachable ends."""
+    arp = F.col("eth_type") == S.ETH_ARP
+    unreachable = (F.col("ip_proto") == S.PROTO_ICMP) & (F.col("icmp_type") == 3)
+    size = F.col("wire_len")
+    events = F.array(_event("event", "arp", "arp", F.when(arp, F.col("ts_us")), size),
+                     _event("event", "icmp", "icmp_unreachable", F.when(unreachable, F.col("ts_us")), size))
+    return _events(packets.filter(arp | unreachable), events, "src_ip", "dst_ip")
 
 
 def flow_events(summary: DataFrame, cycle_us: int = S.TICK_S * S.US) -> DataFrame:
@@ -42,31 +49,28 @@ def flow_events(summary: DataFrame, cycle_us: int = S.TICK_S * S.US) -> DataFram
     size = F.col("client_bytes") + F.col("server_bytes")
     by_proto = lambda what: (F.when(F.col("ip_proto") == S.PROTO_TCP, EVENT_CODE[f"tcp_{what}"])
                              .otherwise(EVENT_CODE[f"udp_{what}"]))
-    streams = summary.filter(F.col("ip_proto") != S.PROTO_ICMP)
     step = F.lit(cycle_us).cast("bigint")
-    long = streams.filter(F.col("last_us") - F.col("start_us") >= cycle_us)
-    ticks = long.withColumn("_tick", F.explode(F.sequence(F.col("start_us") + step, F.col("last_us"), step)))
-    return union([
-        _event(streams, "flow_open", by_proto("open"), "flow_head", "start_us"),
-        _event(ticks, "tick", "flow_tick", "flow_body", "_tick"),
-        _event(streams, "flow_close", by_proto("close"), "flow_body", "last_us", size=size),
-        _event(summary.filter(F.col("ip_proto") == S.PROTO_ICMP), "flow_close", "icmp", "icmp_echo", "last_us", size=size)])
+    long = F.col("last_us") - F.col("start_us") >= cycle_us
+    times = F.when(long, F.sequence(F.col("start_us") + step, F.col("last_us"), step)).otherwise(F.array().cast("array<bigint>"))
+    ticks = F.transform(times, lambda at: _event("tick", "flow_tick", "flow_body", at))
+    stream = F.concat(F.array(_event("flow_open", by_proto("open"), "flow_head", "start_us"),
+                              _event("flow_close", by_proto("close"), "flow_body", "last_us", size)), ticks)
+    echo = F.array(_event("flow_close", "icmp", "icmp_echo", "last_us", size))
+    return _events(summary, F.when(F.col("ip_proto") == S.PROTO_ICMP, echo).otherwise(stream))
 
 
 def transaction_events(dns: DataFrame, http: DataFrame, mysql: DataFrame) -> DataFrame:
     """HTTP open events and the close events of finished transactions."""
-    done = http.filter(F.col("rsp_us").isNotNull())
     size = F.col("req_bytes") + F.col("rsp_bytes")
     return union([
-        _event(http, "txn_open", "http_request", "http", "req_us", size=F.col("req_bytes")),
-        _event(done, "txn_close", "http_response", "http", "rsp_us", size=size),
-        _event(dns.withColumn("_at", F.coalesce("rsp_us", "req_us")), "txn_close", "dns", "dns", "_at", size=size),
-        _event(mysql.withColumn("_at", F.coalesce("rsp_last_us", "req_last_us")), "txn_close", "mysql", "mysql_command", "_at",
-               size=size)])
+        _events(http, F.array(_event("txn_open", "http_request", "http", "req_us", F.col("req_bytes")),
+                              _event("txn_close", "http_response", "http", "rsp_us", size))),
+        _events(dns, F.array(_event("txn_close", "dns", "dns", F.coalesce("rsp_us", "req_us"), size))),
+        _events(mysql, F.array(_event("txn_close", "mysql", "mysql_command", F.coalesce("rsp_last_us", "req_last_us"), size)))])
 
 
 def all_events(packets, summary, dns, http, mysql, cycle_us: int = S.TICK_S * S.US) -> DataFrame:
-    return union([arp_events(packets), icmp_events(packets), flow_events(summary, cycle_us), transaction_events(dns, http, mysql)])
+    return union([packet_events(packets), flow_events(summary, cycle_us), transaction_events(dns, http, mysql)])
 
 
 def event_totals(events: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ forward along the key; the two are combined.  The result equals the plain
 window, yet the largest task holds one slice.
 """
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -128,32 +129,49 @@ def with_priors(df: DataFrame, keys: list[str], order: list[str], slice_: Column
             .withColumns(merged).drop(*helper))
 
 
+def with_steps(df: DataFrame, keys: list[str], order: list[str], slice_: Column, value: Column,
+               step: Callable[[Column, Column], Column], name: str, first: int = 0, previous: str | None = None) -> DataFrame:
+    """Add `name`: the sum of step(value before, value) over a key's rows up to this one; `first` stands for its first row.
+
+    `value` is a struct.  Steps are summed inside the slice; slices are chained
+    by the step from one slice's last value to the next one's first, so a
+    border and the number of borders before it come from one pass.  `previous`
+    names a column for the value before.
+    """
+    df = df.withColumns({"_slice": slice_, "_value": value})
+    local = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*keys).orderBy("_slice")
+    place = F.struct(*order)
+
+    def taken(before, at, otherwise):
+        moved = F.coalesce(step(F.col(before), F.col(at)).cast("bigint"), F.lit(0))
+        return F.when(F.col(before).isNull(), F.lit(otherwise)).otherwise(moved).cast("bigint")
+
+    rows = df.withColumn("_before", F.lag("_value").over(local)).withColumn("_step", taken("_before", "_value", 0))
+    rows = rows.withColumn("_here", F.sum("_step").over(upto))
+    slices = (rows.groupBy(*keys, "_slice")
+              .agg(F.min_by("_value", place).alias("first"), F.max_by("_value", place).alias("last"), F.sum("_step").alias("moved"))
+              .withColumn("_carried", F.lag("last").over(across)).withColumn("jump", taken("_carried", "first", first))
+              .withColumn("_base", F.sum("jump").over(across)
+                          + F.coalesce(F.sum("moved").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+              .select(*keys, "_slice", "_base", "_carried"))
+    out = rows.join(slices, [*keys, "_slice"]).withColumn(name, F.col("_base") + F.col("_here"))
+    if previous:
+        out = out.withColumn(previous, F.coalesce("_before", "_carried"))
+    return out.drop("_slice", "_value", "_before", "_step", "_here", "_base", "_carried")
+
+
 def unwrap(df: DataFrame, keys: list[str], order: list[str], slice_: Column, value: str, name: str,
            modulus: int = 1 << 32) -> DataFrame:
     """Add `name`: a 32-bit circular counter as a running distance from the key's first value.
 
     Each step is the signed circular distance to the previous row, so a stream
-    may pass any number of wraps.  Steps are summed inside the slice; slices
-    are chained by the distance from one slice's last value to the next one's
-    first.
+    may pass any number of wraps.
     """
     half = modulus // 2
 
-    def step(a, b):
-        return F.pmod(b - a + half, F.lit(modulus)) - half
+    def distance(a, b):
+        return F.pmod(b["at"] - a["at"] + half, F.lit(modulus)) - half
 
-    df = df.withColumn("_slice", slice_)
-    local = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    upto = local.rowsBetween(Window.unboundedPreceding, 0)
-    across = Window.partitionBy(*keys).orderBy("_slice")
-    place = F.struct(*order)
-    rows = (df.withColumn("_step", F.coalesce(step(F.lag(value).over(local), F.col(value)), F.lit(0).cast("bigint")))
-            .withColumn("_here", F.sum("_step").over(upto)))
-    slices = (rows.groupBy(*keys, "_slice")
-              .agg(F.min_by(value, place).alias("first"), F.max_by(value, place).alias("last"), F.sum("_step").alias("moved"))
-              .withColumn("jump", F.coalesce(step(F.lag("last").over(across), F.col("first")), F.lit(0).cast("bigint")))
-              .withColumn("_base", F.sum(F.col("jump")).over(across)
-                          + F.coalesce(F.sum("moved").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .select(*keys, "_slice", "_base"))
-    return (rows.join(slices, [*keys, "_slice"]).withColumn(name, F.col("_base") + F.col("_here"))
-            .drop("_slice", "_step", "_here", "_base"))
+    return with_steps(df, keys, order, slice_, F.struct(F.col(value).alias("at")), distance, name)

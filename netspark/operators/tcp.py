@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from netspark import schema as S
 from netspark.functions import net
 from netspark.operators.nodes import NODE, count, total, total_if
-from netspark.operators.prefix import Prior, time_slice, unwrap, with_priors
+from netspark.operators.prefix import Prior, time_slice, unwrap, with_priors, with_steps
 from netspark.operators.sessions import Timeouts
 from netspark.session import cut
 
@@ -160,18 +160,15 @@ def turn_rows(flow_packets: DataFrame) -> DataFrame:
     by (session, run) and no run is looked up.
     """
     rows = data_packets(flow_packets).select(*S.SESSION, *ARRIVAL, "dir", "payload_len", "slice_us")
-    rows = with_priors(rows, S.SESSION, ARRIVAL, time_slice(rows),
-                       [Prior("prev_dir", "lag", F.col("dir")), Prior("prev_ts", "lag", F.col("ts_us"))])
-    change = (F.col("prev_dir").isNull() | (F.col("prev_dir") != F.col("dir"))).cast("bigint")
-    rows = with_priors(rows.withColumn("_change", change), S.SESSION, ARRIVAL, time_slice(rows),
-                       [Prior("_before", "sum", F.col("_change"))])
-    turn = F.col("_before") + F.col("_change")
+    rows = with_steps(rows, S.SESSION, ARRIVAL, time_slice(rows), F.struct("dir", "ts_us"), lambda a, b: a["dir"] != b["dir"], "turn",
+                      first=1, previous="_last")
+    turn = F.col("turn")
     none = F.lit(None).cast("bigint")
     packet = F.struct(turn.alias("turn"), F.col("ts_us").alias("at"), F.col("payload_len").cast("bigint").alias("bytes"),
                       none.alias("gap"))
     report = F.struct((turn - 1).alias("turn"), none.alias("at"), none.alias("bytes"),
-                      (F.col("ts_us") - F.col("prev_ts")).alias("gap"))
-    both = F.when((F.col("_change") == 1) & (turn > 1), F.array(packet, report)).otherwise(F.array(packet))
+                      (F.col("ts_us") - F.col("_last.ts_us")).alias("gap"))
+    both = F.when(F.col("_last.dir") != F.col("dir"), F.array(packet, report)).otherwise(F.array(packet))
     return (rows.select(*S.SESSION, F.explode(both).alias("p")).groupBy(*S.SESSION, F.col("p.turn").alias("turn"))
             .agg((F.max("p.at") - F.min("p.at")).alias("duration_us"), F.max("p.gap").alias("interval_us"),
                  total(F.col("p.bytes")).alias("bytes"))

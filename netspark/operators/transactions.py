@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from netspark import schema as S
 from netspark.functions import names, net
 from netspark.operators.nodes import NODE, both_ends, count, total, total_if
-from netspark.operators.prefix import Prior, sliced, time_slice, with_priors
+from netspark.operators.prefix import Prior, sliced, time_slice, with_priors, with_steps
 
 
 # ---- ICMP ----
@@ -36,12 +36,8 @@ def dns_numbered(messages: DataFrame, open_s: int = S.DNS_OPEN_S) -> DataFrame:
     """Messages with txn_no, the number of their transaction among those of (flow, id)."""
     keys, order = ["flow_id", "dns_id"], ["ts_us", "qr"]
     messages = sliced(messages, keys)
-    rows = with_priors(messages, keys, order, time_slice(messages),
-                       [Prior("prev_qr", "lag", F.col("qr")), Prior("prev_ts", "lag", F.col("ts_us"))])
-    cut = (F.col("prev_qr").isNull() | (F.col("prev_qr") == 1)
-           | (F.col("ts_us") - F.col("prev_ts") > open_s * S.US)).cast("bigint")
-    rows = with_priors(rows.withColumn("_cut", cut), keys, order, time_slice(rows), [Prior("_before", "sum", F.col("_cut"))])
-    return rows.withColumn("txn_no", F.col("_before") + F.col("_cut")).drop("prev_qr", "prev_ts", "_cut", "_before")
+    begins = lambda before, here: (before["qr"] == 1) | (here["ts_us"] - before["ts_us"] > open_s * S.US)
+    return with_steps(messages, keys, order, time_slice(messages), F.struct("qr", "ts_us"), begins, "txn_no", first=1)
 
 
 def dns_txn(messages: DataFrame, open_s: int = S.DNS_OPEN_S) -> DataFrame:
