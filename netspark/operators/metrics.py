@@ -130,13 +130,24 @@ def _side_sums(columns: dict[str, tuple[str, int | None]]):
             for column, side in columns.values()]
 
 
-def _app(rows: DataFrame, columns: dict[str, tuple[str, int | None]], rtt: str | None = None) -> DataFrame:
+def _app(rows: DataFrame, columns: dict[str, tuple[str, int | None]], rtt: str | None = None, unit: str | None = None) -> DataFrame:
+    """Rows of the counters, of the mean round trip `rtt` and of the four values of `unit`, from one sum per node."""
     aggs = [s.alias(f"m{i}") for i, s in enumerate(_side_sums(columns))]
     names = {f"m{i}": metric for i, metric in enumerate(columns)}
     if rtt:
         aggs.append(net.safe_mean(F.sum("rtt_sum"), F.sum("rtt_count")).alias("m_rtt"))
         names["m_rtt"] = rtt
-    return complete(to_metrics(rows.groupBy(*NODE).agg(*aggs), NODE, names), "ip")
+    if unit:
+        aggs += [total("rtt_count").alias("u_count"), total("rtt_sum").alias("u_sum"), F.min("rtt_min").alias("u_min"), F.max("rtt_max").alias("u_max")]
+
+    def item(metric, number, *rest):
+        values = [F.col(c) for c in rest] or [F.lit(None)] * 3
+        return F.struct(F.lit(metric).alias("metric"), F.col(number).cast("bigint").alias("count"),
+                        *[v.cast("bigint").alias(n) for n, v in zip(("sum", "min", "max"), values)])
+
+    items = [item(metric, column) for column, metric in names.items()] + ([item(unit, "u_count", "u_sum", "u_min", "u_max")] if unit else [])
+    found = F.explode(F.filter(F.array(*items), lambda m: m["count"] != 0)).alias("m")
+    return complete(rows.groupBy(*NODE).agg(*aggs).select(*NODE, found).select(*NODE, "m.*"), "ip")
 
 
 def app_metrics(dns: DataFrame, http: DataFrame, mysql: DataFrame) -> DataFrame:
@@ -151,8 +162,5 @@ def app_metrics(dns: DataFrame, http: DataFrame, mysql: DataFrame) -> DataFrame:
     dns_rows = _app(dns, {**{f"dns.{c}": (c, None) for c in ("req_pkts", "req_bytes", "rsp_pkts", "rsp_bytes")},
                           **{f"dns.req_opcodes|dns_opcode|{i}": (f"req_opcode_{i}", -1) for i in range(3)},
                           **{f"dns.rsp_rcodes|dns_rcode|{i}": (f"rsp_rcode_{i}", None) for i in range(6)},
-                          "dns.rsp_errors": ("rsp_errors", 1), "dns.req_timeout": ("timeouts", None)})
-    dns_unit = complete(dns.groupBy(*NODE).agg(
-        total("rtt_count").alias("count"), total("rtt_sum").alias("sum"), F.min("rtt_min").alias("min"),
-        F.max("rtt_max").alias("max")).withColumn("metric", F.lit("dns.rtt")).filter(F.col("count") > 0), "ip")
-    return http_rows.unionByName(mysql_rows).unionByName(dns_rows).unionByName(dns_unit)
+                          "dns.rsp_errors": ("rsp_errors", 1), "dns.req_timeout": ("timeouts", None)}, unit="dns.rtt")
+    return http_rows.unionByName(mysql_rows).unionByName(dns_rows)

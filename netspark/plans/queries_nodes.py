@@ -9,6 +9,7 @@ from netspark.plans import fixtures as fx
 from netspark.plans import queries_apps as apps
 from netspark.plans import oracle as o
 from netspark.plans.registry import query
+from netspark.session import cut
 
 P, ENDS, FACTS = o.ORACLE_PACKETS, o.ENDS, o.FACTS
 
@@ -240,8 +241,12 @@ _METRICS = [P, ENDS, FACTS, o.SESSIONS, _SERVICES, o.HANDSHAKE, o.CLOSE, o.CONNE
 
 
 def all_metrics(packets, flow_packets):
-    """Link, network and service metrics of a packet table."""
-    base = metrics.node_metrics(nodes.node_facts(packets))
+    """Link, network and service metrics of a packet table.
+
+    The facts are few rows a node and period; they are written once, so both
+    levels are summed from one reading of the packets.
+    """
+    base = metrics.node_metrics(cut(nodes.node_facts(packets)))
     services = nodes.service_traffic(flow_packets)
     connections = tcp.node_connections(tcp.handshake(flow_packets), tcp.tcp_close(flow_packets))
     return metrics.nonzero_metrics(base.unionByName(metrics.service_metrics(services))
