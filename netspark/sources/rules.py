@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from netspark import schema as S
 from netspark.operators.prefix import bounded
+from netspark.session import cut
 
 # Layout of the rule file and protocol names.
 FIELDS = ("proto STRING, ip STRING, port INT, flag INT, application INT, major INT, minor INT, attribute INT, name STRING")
@@ -33,9 +34,10 @@ def load_rules(spark: SparkSession, path: str) -> DataFrame:
 def app_tags(flows: DataFrame, rules: DataFrame) -> DataFrame:
     """Flows with the first matching rule: exact source, source port, exact destination, destination port.
 
-    A rule for address 0 matches every address.
+    A rule for address 0 matches every address.  The rules are read and summed
+    once for the four lookups.
     """
-    rules = bounded(rules.select("proto", "ip", "port", F.struct(*VALUES, "name").alias("tag")))
+    rules = bounded(cut(rules.select("proto", "ip", "port", F.struct(*VALUES, "name").alias("tag"))))
     out = flows
     steps = [("client_ip", "client_port"), (None, "client_port"), ("server_ip", "server_port"), (None, "server_port")]
     for i, (ip, port) in enumerate(steps):
