@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netspark.operators.prefix import Prior, with_priors
+from netspark.operators.prefix import BATCH_ROWS, Prior, arrow_rows, grouped, with_priors
 from netspark.session import cut
 from netspark.sources import streams
 
@@ -131,11 +131,16 @@ def marks_of(chunk_rows: DataFrame, line: list[str], size: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                found = scan(streams.ChunkView(row["parts"][0].as_py(), row["chunk"][0].as_py() * size, size), row["side"][0].as_py())
-                keys = [pa.array([row[k][0].as_py()] * len(found), row.schema.field(k).type) for k in line]
-                yield pa.RecordBatch.from_arrays([*keys, *[pa.array([m[n] for m in found], t) for n, t, _ in MARKS]], names=[*line, *[n for n, _, _ in MARKS]])
+            kinds = [*[batch.schema.field(k).type for k in line], *[t for _, t, _ in MARKS]]
+            found, names = [], [*line, *[n for n, _, _ in MARKS]]
+            for i, key in enumerate(zip(*(batch[k].to_pylist() for k in line))):
+                view = streams.ChunkView(batch["parts"][i].as_py(), batch["chunk"][i].as_py() * size, size)
+                found += [(*key, *(m[n] for n, _, _ in MARKS)) for m in scan(view, key[-1])]
+                if len(found) >= BATCH_ROWS:
+                    yield arrow_rows(found, names, kinds)
+                    found = []
+            if found:
+                yield arrow_rows(found, names, kinds)
 
     return chunk_rows.select(*line, "chunk", "parts").mapInArrow(run, columns)
 
@@ -234,24 +239,22 @@ def reached(edges: DataFrame, firsts: DataFrame, line: list[str], size: int) ->
     firsts = edges.join(firsts.withColumn("type", F.lit("H")), [*line, "type", "at"], "left_semi")
     entered = edges.filter(F.floor(F.col("to_at") / size) != F.col("chunk")).select(*line, F.col("to_type").alias("type"), F.col("to_at").alias("at"))
     entered = entered.unionByName(firsts.select(*line, "type", "at")).distinct()
-    types = {f.name: f.dataType.simpleString() for f in edges.schema}
-    keys = ", ".join(f"{k} {types[k]}" for k in line)
+    node = [("type", pa.string(), "STRING"), ("at", pa.int64(), "BIGINT")]
+    chunk = [*line, "chunk"]
+    told = [*chunk, "type", "at", "body", "to_type", "to_at", "entry"]
 
-    def table(rows: list[dict], schema: pa.Schema, names: list[str]) -> pa.Table:
-        return pa.Table.from_pylist([{n: r[n] for n in names} for r in rows], pa.schema([schema.field(n) for n in names]))
-
-    def leaves(group: pa.Table) -> pa.Table:
+    def leaves(group: list[tuple]) -> list[tuple]:
         """Where each entry of a chunk leaves it; pointers lead onward, so a pass from the end knows all ends."""
         ends, out = {}, []
-        for row in sorted(group.to_pylist(), key=lambda r: -r["at"]):
-            to = None if row["to_at"] is None else (row["to_type"], row["to_at"])
-            goal = ends[row["type"], row["at"]] = ends.get(to, to)
-            if row["entry"] and goal:
-                out.append(row | {"to_type": goal[0], "to_at": goal[1]})
-        return table(out, group.schema, [*line, "type", "at", "to_type", "to_at"])
-
-    flagged = edges.join(entered.withColumn("entry", F.lit(True)), [*line, "type", "at"], "left")
-    jumps = flagged.groupBy(*line, "chunk").applyInArrow(leaves, f"{keys}, type STRING, at BIGINT, to_type STRING, to_at BIGINT")
+        for type_, at, _, to_type, to_at, entry in sorted(group, key=lambda r: -r[1]):
+            to = None if to_at is None else (to_type, to_at)
+            goal = ends[type_, at] = ends.get(to, to)
+            if entry and goal:
+                out.append((type_, at, *goal))
+        return out
+
+    flagged = edges.join(entered.withColumn("entry", F.lit(True)), [*line, "type", "at"], "left").select(*told)
+    jumps = grouped(flagged, chunk, leaves, [*node, ("to_type", pa.string(), "STRING"), ("to_at", pa.int64(), "BIGINT")]).drop("chunk")
     jumps = cut(jumps)
     known = firsts.select(*line, "type", "at")
     while not jumps.isEmpty():
@@ -260,16 +263,16 @@ def reached(edges: DataFrame, firsts: DataFrame, line: list[str], size: int) ->
         on = jumps.select(*line, F.col("type").alias("to_type"), F.col("at").alias("to_at"), F.col("to_type").alias("_type"), F.col("to_at").alias("_at"))
         jumps = cut(jumps.join(on, [*line, "to_type", "to_at"]).select(*line, "type", "at", F.col("_type").alias("to_type"), F.col("_at").alias("to_at")))
 
-    def walked(group: pa.Table) -> pa.Table:
+    def walked(group: list[tuple]) -> list[tuple]:
         on, out = set(), []
-        for row in sorted(group.to_pylist(), key=lambda r: r["at"]):
-            if row["entry"] or (row["type"], row["at"]) in on:
-                out.append(row)
-                on.add((row["to_type"], row["to_at"]))
-        return table(out, group.schema, [*line, "type", "at", "body"])
-
-    flagged = edges.join(known.withColumn("entry", F.lit(True)), [*line, "type", "at"], "left")
-    return flagged.groupBy(*line, "chunk").applyInArrow(walked, f"{keys}, type STRING, at BIGINT, body BIGINT")
+        for type_, at, body, to_type, to_at, entry in sorted(group, key=lambda r: r[1]):
+            if entry or (type_, at) in on:
+                out.append((type_, at, body))
+                on.add((to_type, to_at))
+        return out
+
+    flagged = edges.join(known.withColumn("entry", F.lit(True)), [*line, "type", "at"], "left").select(*told)
+    return grouped(flagged, chunk, walked, [*node, ("body", pa.int64(), "BIGINT")]).drop("chunk")
 
 
 def body_framing(segments: DataFrame, keys: list[str], size: int = streams.CHUNK, ahead: int = streams.AHEAD) -> DataFrame:
