@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netspark.operators.prefix import Prior, with_priors
+from netspark.operators.prefix import BATCH_ROWS, Prior, arrow_rows, with_priors
 from netspark.session import cut
 
 POS_SLICE = 1 << 20
@@ -112,19 +112,24 @@ def framed(chunk_rows: DataFrame, keys: list[str], parser: Parser, fields: list[
                              "units ARRAY<STRUCT<" + ", ".join(f"{n}: {d}" for n, _, d in fields) + ">>"])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*line, "chunk", "at", "mode", "next_at", "next_mode", "units"]
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                view = ChunkView(row["parts"], row["chunk"] * size, size)
-                place = None if row["at"] is None else (row["at"], row["mode"])
+            kinds = [*[batch.schema.field(c).type for c in (*line, "chunk")], pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(unit)]
+            done, held = [], 0
+            for i, (*key, chunk, at, mode) in enumerate(zip(*(batch[c].to_pylist() for c in (*line, "chunk", "at", "mode")))):
+                view = ChunkView(batch["parts"][i].as_py(), chunk * size, size)
+                place = None if at is None else (at, mode)
                 if place and place[0] >= view.start + size:
                     units, began, following = [], place, place
                 else:
-                    units, began, following = parser(view, row["side"], place)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.slice(i, 1)[c] for c in [*line, "chunk"]]
-                    + [pa.array([began[0]], pa.int64()), pa.array([began[1]]), pa.array([following[0]], pa.int64()), pa.array([following[1]]), pa.array([units], pa.list_(unit))],
-                    names=[*line, "chunk", "at", "mode", "next_at", "next_mode", "units"])
+                    units, began, following = parser(view, key[-1], place)
+                done.append((*key, chunk, *began, *following, units))
+                held += len(units) + 1
+                if held >= BATCH_ROWS:
+                    yield arrow_rows(done, names, kinds)
+                    done, held = [], 0
+            if done:
+                yield arrow_rows(done, names, kinds)
 
     def run(rows: DataFrame) -> DataFrame:
         return rows.select(*line, "chunk", "at", "mode", "parts").mapInArrow(parse, out_columns)
