@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from netspark.session import work_dir
+from netspark.session import with_scheme, work_dir
 
 # File magic and header sizes.
 MAGIC = 0xA1B2C3D4
@@ -199,7 +199,7 @@ def stream_capture_files(spark: SparkSession, path: str, numbers: str | None = N
     One file is one task of a batch, of any size.
     """
     spark.dataSource.register(CaptureSource)
-    numbers = numbers or f"{work_dir(spark)}/capture-numbers/{crc32(path.encode()):08x}.json"
+    numbers = numbers or with_scheme(spark, f"{work_dir(spark)}/capture-numbers/{crc32(path.encode()):08x}.json")
     return spark.readStream.format("capture").option("numbers", numbers).load(shared(spark, path))
 
 
