@@ -25,26 +25,7 @@ LATE_US = 4_000_000
 DAY_US = 86_400 * S.US
 
 
-def stream_input(spark, rows: DataFrame, name: str, parts: int = 3, ends: bool = False) -> str:
-    """A table written as successive files, as a collector would: rows arrive up to four seconds late, so parts overlap in time.
-
-    The stream takes files in the order in which they were written.  With `ends`
-    one more row follows, far ahead in time, so that the watermark passes all
-    that came before it; that row itself is held back.
-    """
-    path = fx.fresh_path(spark, f"in-{name}")
-    first, last = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
-    width = (last - first + LATE_US) // parts + 1
-    arrival = F.col("ts_us") + F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("payload", "head")]), F.lit(LATE_US))
-    for i in range(parts):
-        rows.filter(F.floor((arrival - first) / width) == i).coalesce(1).write.mode("append").parquet(path)
-    if ends:
-        rows.limit(1).withColumn("ts_us", F.lit(last + 10**11)).coalesce(1).write.mode("append").parquet(path)
-    return path
-
-
-def open_stream(spark, rows: DataFrame, name: str, ends: bool = False) -> DataFrame:
-    return jobs.stream_table(spark, stream_input(spark, rows, name, ends=ends), rows.schema, files_per_batch=1)
+ALL_FILES = 1_000_000
 
 
 def finish(started):
@@ -54,12 +35,39 @@ def finish(started):
     return started
 
 
+def run_parts(spark, parts: list[DataFrame], name: str, start) -> list:
+    """A job run on a folder that grows by one part after the other, as a collector would fill it; the finished runs.
+
+    Each run goes on from the checkpoint of the one before and takes the new
+    part as one micro-batch.  A part is written by as many tasks as its table
+    is read by, in as many files.
+    """
+    path, runs = fx.fresh_path(spark, f"in-{name}"), []
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        runs.append(finish(start(jobs.stream_table(spark, path, part.schema, files_per_batch=ALL_FILES))))
+    return runs
+
+
+def parts_of(rows: DataFrame, parts: int = 3, ends: bool = False) -> list[DataFrame]:
+    """A table as it arrives, up to four seconds late, so parts overlap in time.
+
+    With `ends` one more row follows, far ahead in time, so that the watermark
+    passes all that came before it; that row itself is held back.
+    """
+    first, last = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
+    width = (last - first + LATE_US) // parts + 1
+    arrival = F.col("ts_us") + F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("payload", "head")]), F.lit(LATE_US))
+    out = [rows.filter(F.floor((arrival - first) / width) == i) for i in range(parts)]
+    return [*out, rows.limit(1).withColumn("ts_us", F.lit(last + 10**11))] if ends else out
+
+
 def output(spark, job, rows: DataFrame, name: str, **options) -> DataFrame:
     """What a job appends by the time its input has ended."""
-    out = fx.fresh_path(spark, name)
-    started = finish(job(open_stream(spark, rows, name, ends=True), out, fx.fresh_path(spark, "cp"), **options))
-    if jobs.dropped_rows(started):
-        raise RuntimeError("rows came behind the watermark")
+    out, checkpoint = fx.fresh_path(spark, name), fx.fresh_path(spark, "cp")
+    for started in run_parts(spark, parts_of(rows, ends=True), name, lambda stream: job(stream, out, checkpoint, **options)):
+        if jobs.dropped_rows(started):
+            raise RuntimeError("rows came behind the watermark")
     return spark.read.parquet(out)
 
 
@@ -69,9 +77,9 @@ _NODE_METRICS = _metrics_oracle(services=False)
 @query("stream_node_metrics", o.with_(P, o.ENDS, o.FACTS, _NODE_METRICS, "SELECT * FROM metrics"))
 def stream_node_metrics(spark, sf):
     """Periods the stream finished, and the last ones flushed at the end of the input."""
-    packets, out = fx.packets(spark, sf), fx.fresh_path(spark, "metrics")
-    started = finish(jobs.stream_node_metrics(open_stream(spark, packets, "packets"), out, fx.fresh_path(spark, "cp")))
-    return read_output(spark, out).unionByName(jobs.final_flush(packets, jobs.watermark_us(started)))
+    packets, out, checkpoint = fx.packets(spark, sf), fx.fresh_path(spark, "metrics"), fx.fresh_path(spark, "cp")
+    started = run_parts(spark, parts_of(packets), "packets", lambda stream: jobs.stream_node_metrics(stream, out, checkpoint))
+    return read_output(spark, out).unionByName(jobs.final_flush(packets, jobs.watermark_us(started[-1])))
 
 
 @query("final_flush", o.with_(P, o.ENDS, o.FACTS, _NODE_METRICS, """
@@ -114,13 +122,11 @@ def stream_dns_joined(spark, sf):
 @query("stream_late_packets", f"SELECT * FROM ({ORACLES['late_packets']})")
 def stream_late_packets(spark, sf):
     """Packets in files of rising ids; the SQL is that of the batch."""
-    packets, path, out = fx.packets(spark, sf), fx.fresh_path(spark, "in-late"), fx.fresh_path(spark, "late")
+    packets, out, marks, checkpoint = fx.packets(spark, sf), *(fx.fresh_path(spark, n) for n in ("late", "marks", "cp"))
     last = packets.agg(F.max("packet_id")).first()[0]
-    for i in range(3):
-        packets.filter(F.floor(F.col("packet_id") * 3 / (last + 1)) == i).coalesce(1).write.mode("append").parquet(path)
-    rows = jobs.stream_table(spark, path, packets.schema, files_per_batch=1)
+    parts = [packets.filter(F.floor(F.col("packet_id") * 3 / (last + 1)) == i) for i in range(3)]
     counts = {}
-    finish(jobs.stream_late(rows, out, fx.fresh_path(spark, "marks"), fx.fresh_path(spark, "cp"), told=lambda n, metric: counts.__setitem__(n, metric["late"])))
+    run_parts(spark, parts, "late", lambda rows: jobs.stream_late(rows, out, marks, checkpoint, told=lambda n, metric: counts.__setitem__(n, metric["late"])))
     found = spark.read.parquet(out)
     if found.filter("late = true").count() != sum(counts.values()):
         raise RuntimeError("the late packets are not as many as were observed")
@@ -157,7 +163,8 @@ def reload_rules(spark, sf):
     """Flows tagged by a stream that reads the rule file in every micro-batch."""
     out = fx.fresh_path(spark, "tags")
     summary = flows.flow_summary(fx.flow_packets(spark, sf)).withColumn("ts_us", F.col("start_us"))
-    finish(jobs.stream_app_tags(open_stream(spark, summary, "flows"), rule_lines(spark, sf), out, fx.fresh_path(spark, "cp")))
+    rules, checkpoint = rule_lines(spark, sf), fx.fresh_path(spark, "cp")
+    run_parts(spark, parts_of(summary), "flows", lambda stream: jobs.stream_app_tags(stream, rules, out, checkpoint))
     return read_output(spark, out).select(*S.SESSION, "rule_name")
 
 
