@@ -1,9 +1,10 @@
 """Streaming jobs run to the end of the given tables; they give what the batch SQL gives."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netspark import schema as S
+from netspark.functions import net
 from netspark.operators import flows, late
 from netspark.plans import fixtures as fx
 from netspark.plans import frames as fr
@@ -49,23 +50,24 @@ def run_parts(spark, parts: list[DataFrame], name: str, start) -> list:
     return runs
 
 
-def parts_of(rows: DataFrame, parts: int = 3, ends: bool = False) -> list[DataFrame]:
+def parts_of(rows: DataFrame, parts: int = 3, ends: Column | None = None) -> list[DataFrame]:
     """A table as it arrives, up to four seconds late, so parts overlap in time.
 
     With `ends` one more row follows, far ahead in time, so that the watermark
-    passes all that came before it; that row itself is held back.
+    passes all that came before it; that row itself is held back.  It is one
+    for which `ends` holds: a row that the job leaves out moves no watermark.
     """
     first, last = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
     width = (last - first + LATE_US) // parts + 1
     arrival = F.col("ts_us") + F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("payload", "head")]), F.lit(LATE_US))
     out = [rows.filter(F.floor((arrival - first) / width) == i) for i in range(parts)]
-    return [*out, rows.limit(1).withColumn("ts_us", F.lit(last + 10**11))] if ends else out
+    return out if ends is None else [*out, rows.filter(ends).limit(1).withColumn("ts_us", F.lit(last + 10**11))]
 
 
-def output(spark, job, rows: DataFrame, name: str, **options) -> DataFrame:
+def output(spark, job, rows: DataFrame, name: str, ends: Column | None = None, **options) -> DataFrame:
     """What a job appends by the time its input has ended."""
     out, checkpoint = fx.fresh_path(spark, name), fx.fresh_path(spark, "cp")
-    for started in run_parts(spark, parts_of(rows, ends=True), name, lambda stream: job(stream, out, checkpoint, **options)):
+    for started in run_parts(spark, parts_of(rows, ends=F.lit(True) if ends is None else ends), name, lambda stream: job(stream, out, checkpoint, **options)):
         if jobs.dropped_rows(started):
             raise RuntimeError("rows came behind the watermark")
     return spark.read.parquet(out)
@@ -97,7 +99,8 @@ FROM (SELECT *, 'open' AS way, start_us AS at_us FROM summary UNION ALL SELECT *
       UNION ALL SELECT *, 'tick', unnest(generate_series(start_us + 5000, last_us, 5000)) FROM summary)"""))
 def stream_flows(spark, sf):
     """Open, tick and close records."""
-    rows = output(spark, jobs.stream_flows, fx.packets(spark, sf), "flows", cycle_us=5000)
+    tracked = net.is_ipv4() & (F.col("frag_offset") == 0) & ~net.syn_with_data()
+    rows = output(spark, jobs.stream_flows, fx.packets(spark, sf), "flows", ends=tracked, cycle_us=5000)
     closing = F.col("way") == "close"
     return rows.select(*S.FLOW_KEY, "client_ip", "client_port", "server_ip", "server_port", "start_us", "way", "at_us",
                        *[F.when(closing, F.col(c)).alias(c) for c in COUNTERS])

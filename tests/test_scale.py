@@ -80,3 +80,8 @@ def test_packets_of_a_conversation_stay_together(spark):
     found = fx.packets(spark, "/root/testdata/sf0.001").select("conv_id", F.input_file_name().alias("f"))
     assert found.select("f").distinct().count() > 1
     assert found.distinct().groupBy("conv_id").count().filter("count > 1").isEmpty()
+
+
+def test_the_end_row_is_one_that_the_job_takes(spark):
+    rows = spark.range(0, 100, 1, 4).select("id", (F.col("id") * SEC).alias("ts_us"))
+    assert [r.id for r in qs.parts_of(rows, ends=F.col("id") == 61)[-1].collect()] == [61]
