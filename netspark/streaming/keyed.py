@@ -4,11 +4,18 @@ Spark holds the state per key, writes only what a batch changed and calls a key
 again when the watermark passes its timer.  A processor holds back the rows of
 its key until the watermark has passed them, since earlier ones may still come;
 rows behind the watermark are dropped and counted by Spark (`dropped_rows`).
+
+Keys may be many with few rows each, so Spark's key is a bucket of them
+(`Buckets`): a call of Python and a write of state serve a bucket's keys
+together, where a call a key would cost far more than its rows.
 """
 
+import pickle
 from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,7 +59,12 @@ class InOrder(StatefulProcessor):
         yield from self._advance(tuple(key), [], timerValues)
 
     def _advance(self, key: tuple, new: list[tuple], timer_values) -> Iterator[Row]:
-        mark_us = timer_values.getCurrentWatermarkInMs() * 1000
+        names = self.record.names
+        for record in self.advance(key, new, timer_values.getCurrentWatermarkInMs() * 1000):
+            yield Row(**dict(zip(names, record)))
+
+    def advance(self, key: tuple, new: list[tuple], mark_us: int) -> list[tuple]:
+        """Records with their key, after new rows and up to a time."""
         before = list(map(tuple, self._held.get())) if self._held.exists() else []
         rows = sorted(before + new)
         due = bisect_right(rows, mark_us, key=lambda r: r[0])
@@ -69,9 +81,7 @@ class InOrder(StatefulProcessor):
         elif old is None or tuple(old) != state:
             self._state.update(state)
         self._wake(min(wake_us, rows[due][0] if due < len(rows) else NEVER))
-        names = self.record.names
-        for record in records:
-            yield Row(**dict(zip(names, (*key, *record))))
+        return [(*key, *record) for record in records]
 
     def _wake(self, at_us: int) -> None:
         """One timer a key, at the first millisecond that is not before a time."""
@@ -87,10 +97,126 @@ class InOrder(StatefulProcessor):
         pass
 
 
+class Cell:
+    """A value or list of one key."""
+
+    def __init__(self, values: dict, name: str):
+        self._values, self._name = values, name
+
+    def exists(self) -> bool:
+        return self._name in self._values
+
+    def get(self):
+        return self._values.get(self._name)
+
+    def update(self, value) -> None:
+        self._values[self._name] = value
+
+    put = update
+
+    def clear(self) -> None:
+        self._values.pop(self._name, None)
+
+
+class Kept:
+    """The state of one key in its bucket, with the calls of Spark's handle that a processor makes."""
+
+    def __init__(self, values: dict, timers: set[int]):
+        self.values, self.timers = values, timers
+
+    def getValueState(self, name: str, schema: T.StructType) -> Cell:
+        return Cell(self.values, name)
+
+    getListState = getValueState
+
+    def listTimers(self) -> Iterator[int]:
+        return iter(self.timers)
+
+    def registerTimer(self, at: int) -> None:
+        self.timers.add(at)
+
+    def deleteTimer(self, at: int) -> None:
+        self.timers.discard(at)
+
+
+class Buckets(StatefulProcessor):
+    """Runs a processor for all keys of a bucket.
+
+    The state of a bucket's keys is one value, written when a batch changed
+    one of them; its timer is the earliest of theirs.  Rows of a batch come as
+    data frames (`packed`).
+    """
+
+    def __init__(self, processor: InOrder, keys: list[str]):
+        self.processor, self.keys = processor, keys
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._kept = handle.getValueState("keys", T.StructType([T.StructField("kept", T.BinaryType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names, width = [*self.keys, *self.processor.held.names], len(self.keys)
+        new = defaultdict(list)
+        for pdf in rows:
+            for nulls, *row in zip(pdf[NULLS].tolist(), *(pdf[n].tolist() for n in names)):
+                if nulls:
+                    row = [None if nulls >> i & 1 else v for i, v in enumerate(row)]
+                new[tuple(row[:width])].append(tuple(row[width:]))
+        yield from self._advance(new, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advance({}, timerValues)
+
+    def _advance(self, new: dict[tuple, list[tuple]], timer_values) -> Iterator[pd.DataFrame]:
+        mark_ms = timer_values.getCurrentWatermarkInMs()
+        before = self._kept.get()
+        kept = {} if before is None else pickle.loads(before[0])
+        records = []
+        due = [k for k, (_, timers) in kept.items() if k not in new and any(t < mark_ms for t in timers)]
+        for key in [*new, *due]:
+            values, timers = kept.pop(key, None) or ({}, set())
+            timers = {t for t in timers if t >= mark_ms}
+            self.processor.init(Kept(values, timers))
+            records += self.processor.advance(key, new.get(key, []), mark_ms * 1000)
+            if values or timers:
+                kept[key] = values, timers
+        if kept:
+            self._kept.update((pickle.dumps(kept, pickle.HIGHEST_PROTOCOL),))
+        elif before is not None:
+            self._kept.clear()
+        first = min((t for _, timers in kept.values() for t in timers), default=None)
+        timers = list(self._handle.listTimers())
+        for t in timers:
+            if t != first:
+                self._handle.deleteTimer(t)
+        if first is not None and first not in timers:
+            self._handle.registerTimer(first)
+        if records:
+            yield pd.DataFrame(records, columns=self.processor.record.names, dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+# Fixed for the life of a checkpoint.
+BUCKETS = 1024
+NULLS = "nulls"
+
+
+def packed(rows: DataFrame, keys: list[str], held: list[str]) -> DataFrame:
+    """Rows with their bucket and, as pandas has no null number, a bit for each number that is null."""
+    types = dict(rows.dtypes)
+    names = [*keys, *held]
+    numbers = [n for n in names if types[n] != "string"]
+    nulls = sum((F.col(n).isNull().cast("bigint") * (1 << names.index(n)) for n in numbers), F.lit(0).cast("bigint"))
+    return rows.withColumns({"bucket": F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)), NULLS: nulls,
+                             **{n: F.coalesce(n, F.lit(0).cast(types[n])) for n in numbers}})
+
+
 def records(rows: DataFrame, keys: list[str], processor: InOrder) -> DataFrame:
-    """Records of a stream of rows with keys and a watermark, made by a processor per key."""
+    """Records of a stream of rows with keys and a watermark, made by a processor that takes each key's rows in order."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return rows.groupBy(*keys).transformWithState(processor, processor.record, "Append", "EventTime")
+    return packed(rows, keys, processor.held.names).groupBy("bucket").transformWithStateInPandas(Buckets(processor, keys), processor.record, "Append", "EventTime")
 
 
 def columns(schema: T.StructType) -> list:
