@@ -5,6 +5,9 @@ hexadecimal) and its fields are cut from fixed places of it, so a filter on
 one field stays a short expression when it is pushed towards the scan.
 """
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,17 +142,26 @@ def _options(data: bytes) -> dict:
 
 
 def tcp_options(packets: DataFrame) -> DataFrame:
-    """MSS, window scale, SACK blocks and time stamp of the TCP packets that carry options."""
-    import pandas as pd
-
-    @F.pandas_udf(OPTIONS)
-    def parse(data: pd.Series) -> pd.DataFrame:
-        rows = pd.DataFrame([_options(bytes(d)) for d in data], columns=["mss", "shift", "stamp", "sack_ok", "sacks"])
-        return rows.astype({"mss": "Int32", "shift": "Int32", "stamp": "Int64"})
-
-    return (packets.filter(F.col("tcp_options").isNotNull())
-            .select("packet_id", "tcp_window", "tcp_flags", parse("tcp_options").alias("o"))
-            .select("packet_id", "tcp_window", "tcp_flags", "o.*")
+    """MSS, window scale, SACK blocks and time stamp of the TCP packets that carry options.
+
+    The packets without options are left out behind the decoding: a filter
+    would be pushed into it, and decode the headers again for each field that
+    its condition rests on.
+    """
+    kept = ["packet_id", "tcp_window", "tcp_flags"]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"mss": pa.int32(), "shift": pa.int32(), "stamp": pa.int64(), "sack_ok": pa.bool_(),
+                 "sacks": pa.list_(pa.struct([("left", pa.int64()), ("right", pa.int64())]))}
+        for batch in batches:
+            batch = batch.filter(batch["tcp_options"].is_valid())
+            if batch.num_rows:
+                parsed = [_options(data) for data in batch["tcp_options"].to_pylist()]
+                found = [pa.array([p[name] for p in parsed], kind) for name, kind in kinds.items()]
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *found], names=[*kept, *kinds])
+
+    types = dict(packets.select(*kept).dtypes)
+    return (packets.select(*kept, "tcp_options").mapInArrow(parse, ", ".join([*(f"{c} {types[c]}" for c in kept), OPTIONS]))
             .withColumn("window", F.when(F.col("tcp_flags").bitwiseAND(F.lit(S.SYN | S.RST | S.FIN)) != 0, -1)
                         .otherwise(F.col("tcp_window") * F.pow(F.lit(2), F.coalesce("shift", F.lit(0))).cast("int")))
             .drop("tcp_flags", "tcp_window"))
