@@ -7,7 +7,9 @@ rows behind the watermark are dropped and counted by Spark (`dropped_rows`).
 
 Keys may be many with few rows each, so Spark's key is a bucket of them
 (`Buckets`): a call of Python and a write of state serve a bucket's keys
-together, where a call a key would cost far more than its rows.
+together, where a call a key would cost far more than its rows.  A key may also
+have very many rows: processors of HTTP and MySQL (`InColumns`) take all rows
+of a bucket as columns, not one by one.
 """
 
 import pickle
@@ -15,11 +17,13 @@ from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from netspark import schema as S
 
@@ -156,6 +160,9 @@ class Buckets(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         names, width = [*self.keys, *self.processor.held.names], len(self.keys)
+        if isinstance(self.processor, InColumns):
+            yield from self._advance_columns([self.processor.coded(pdf, names) for pdf in rows], timerValues)
+            return
         new = defaultdict(list)
         for pdf in rows:
             for nulls, *row in zip(pdf[NULLS].tolist(), *(pdf[n].tolist() for n in names)):
@@ -165,7 +172,19 @@ class Buckets(StatefulProcessor):
         yield from self._advance(new, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance({}, timerValues)
+        yield from self._advance_columns([], timerValues) if isinstance(self.processor, InColumns) else self._advance({}, timerValues)
+
+    def _advance_columns(self, new: list[dict], timer_values) -> Iterator[pd.DataFrame]:
+        before = self._kept.get()
+        kept = {} if before is None else {name: widened(table) for name, table in pickle.loads(before[0]).items()}
+        told, kept, wake_us = self.processor.advance(self.keys, kept, new, timer_values.getCurrentWatermarkInMs() * 1000)
+        if kept:
+            self._kept.update((pickle.dumps({name: narrowed(table) for name, table in kept.items()}, pickle.HIGHEST_PROTOCOL),))
+        elif before is not None:
+            self._kept.clear()
+        self._wake(None if wake_us is None else -(-wake_us // 1000))
+        for first in range(0, len(told), FRAME_ROWS):
+            yield told[first:first + FRAME_ROWS]
 
     def _advance(self, new: dict[tuple, list[tuple]], timer_values) -> Iterator[pd.DataFrame]:
         mark_ms = timer_values.getCurrentWatermarkInMs()
@@ -184,15 +203,17 @@ class Buckets(StatefulProcessor):
             self._kept.update((pickle.dumps(kept, pickle.HIGHEST_PROTOCOL),))
         elif before is not None:
             self._kept.clear()
-        first = min((t for _, timers in kept.values() for t in timers), default=None)
+        self._wake(min((t for _, timers in kept.values() for t in timers), default=None))
+        if records:
+            yield pd.DataFrame(records, columns=self.processor.record.names, dtype=object)
+
+    def _wake(self, first: int | None) -> None:
         timers = list(self._handle.listTimers())
         for t in timers:
             if t != first:
                 self._handle.deleteTimer(t)
         if first is not None and first not in timers:
             self._handle.registerTimer(first)
-        if records:
-            yield pd.DataFrame(records, columns=self.processor.record.names, dtype=object)
 
     def close(self) -> None:
         pass
@@ -201,6 +222,38 @@ class Buckets(StatefulProcessor):
 # Fixed for the life of a checkpoint.
 BUCKETS = 1024
 NULLS = "nulls"
+FRAME_ROWS = 50_000
+
+
+class Grouped:
+    """The state of a group of Spark's rows, with the calls of a processor's handle that `Buckets` makes: one value, one timer.
+
+    A group's timer holds until its next call only, so there is none to list.
+    """
+
+    def __init__(self, state: GroupState):
+        self._state = state
+
+    def getValueState(self, name: str, schema: T.StructType) -> "Grouped":
+        return self
+
+    def get(self) -> tuple | None:
+        return self._state.getOption
+
+    def update(self, value: tuple) -> None:
+        self._state.update(value)
+
+    def clear(self) -> None:
+        self._state.remove()
+
+    def listTimers(self) -> Iterator[int]:
+        return iter(())
+
+    def registerTimer(self, at: int) -> None:
+        self._state.setTimeoutTimestamp(at)
+
+    def getCurrentWatermarkInMs(self) -> int:
+        return max(self._state.getCurrentWatermarkMs(), 0)
 
 
 def packed(rows: DataFrame, keys: list[str], held: list[str]) -> DataFrame:
@@ -214,9 +267,18 @@ def packed(rows: DataFrame, keys: list[str], held: list[str]) -> DataFrame:
 
 
 def records(rows: DataFrame, keys: list[str], processor: InOrder) -> DataFrame:
-    """Records of a stream of rows with keys and a watermark, made by a processor that takes each key's rows in order."""
+    """Records of a stream of rows with keys and a watermark, made by a processor that takes each key's rows in order.
+
+    `applyInPandasWithState` hands a group's rows to Python as slices of Arrow
+    batches; `transformWithStateInPandas` makes an object of each row first.
+    """
+    def each(bucket, frames, state: GroupState) -> Iterator[pd.DataFrame]:
+        buckets, handle = Buckets(processor, keys), Grouped(state)
+        buckets.init(handle)
+        yield from buckets.handleExpiredTimer(bucket, handle, None) if state.hasTimedOut else buckets.handleInputRows(bucket, frames, handle)
+
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return packed(rows, keys, processor.held.names).groupBy("bucket").transformWithStateInPandas(Buckets(processor, keys), processor.record, "Append", "EventTime")
+    return packed(rows, keys, processor.held.names).groupBy("bucket").applyInPandasWithState(each, processor.record, "kept binary", "append", "EventTimeTimeout")
 
 
 def columns(schema: T.StructType) -> list:
@@ -351,83 +413,191 @@ class Dns(InOrder):
 
 # ---- HTTP and MySQL ----
 
-class Turns(InOrder):
-    """Open and close events of requests and responses matched first in, first out.
+Table = dict[str, np.ndarray]
+
+
+def picked(table: Table, where) -> Table:
+    return {name: values[where] for name, values in table.items()}
+
+
+def joined(tables: list[Table]) -> Table:
+    return {name: np.concatenate([t[name] for t in tables]) for name in tables[0]}
+
+
+def narrowed(table: Table) -> Table:
+    """Columns as the shortest numbers that hold them; `widened` undoes it."""
+    return {name: v.astype(np.result_type(np.min_scalar_type(v.min()), np.min_scalar_type(v.max()))) if len(v) and min(v.min(), -v.max()) > -2**31 else v
+            for name, v in table.items()}
+
+
+def widened(table: Table) -> Table:
+    return {name: v.astype(np.int64) for name, v in table.items()}
+
+
+def nullable(values: np.ndarray, null: np.ndarray):
+    return pd.arrays.IntegerArray(values, null)
 
-    Messages without a partner wait in a list of their own.  Counts and waiting
-    messages go once the flow has been silent for the session timeout.
+
+class InColumns(StatefulProcessor):
+    """Hands on the rows of many keys in the order of their times, as columns of numbers.
+
+    A subclass names `held` and `record` as for `InOrder`, the numbers of a
+    key's state (`state`, the last one last_us) and what else it keeps, and
+    defines `step`.  Whatever the number of keys and of a key's rows, a call
+    takes a few passes over columns.
     """
 
-    held = T.StructType([*longs("ts_us"), T.StructField("kind", T.StringType()), *longs("n")])
-    state = T.StructType(longs("requests", "responses", "last_us"))
-    waits = T.StructType(longs("turn_no", "ts_us", "n"))
-    record = T.StructType([*longs("flow_id", "turn_no"), T.StructField("way", T.StringType()), *longs("at_us", "n")])
+    held: T.StructType
+    state: T.StructType
+    record: T.StructType
 
     def __init__(self, silent_s: int):
         self.silent_us = silent_s * S.US
 
-    def init(self, handle):
-        super().init(handle)
-        self._waits = handle.getListState("waits", self.waits)
+    def step(self, at: np.ndarray, rows: Table, state: Table, kept: dict[str, Table]) -> tuple[np.ndarray, Table]:
+        """(key numbers, record columns) of due rows, sorted by key number `at` and time; brings `state` and `kept` up to date.
 
-    def waiting(self) -> list[tuple]:
-        return list(map(tuple, self._waits.get())) if self._waits.exists() else []
+        A state has one number a key, zero where the key is new; a kept table
+        tells its rows' keys in `at`.
+        """
+        raise NotImplementedError
 
-    def keep(self, waiting: list[tuple]) -> None:
-        self._waits.put(waiting) if waiting else self._waits.clear()
+    def coded(self, frame: pd.DataFrame, names: list[str]) -> Table:
+        """A frame as numbers."""
+        return {n: frame[n].to_numpy(np.int64) for n in (*names, NULLS)}
+
+    def advance(self, keys: list[str], kept: dict[str, Table], new: list[Table], mark_us: int) -> tuple[pd.DataFrame, dict[str, Table], int | None]:
+        """(records, what is kept, time of the next call) after new rows and up to a time."""
+        columns, own = self.held.names, 1 << len(keys)
+        if any((t[NULLS] & own).any() for t in new):
+            raise ValueError(f"a row has no {columns[0]}")
+        none = {n: np.empty(0, np.int64) for n in (*keys, *columns, NULLS)}
+        rows = joined([kept.get("held", none), *new])
+        rows = picked(rows, np.lexsort([rows[c] for c in reversed(columns)]))
+        due = np.searchsorted(rows[columns[0]], mark_us, "right")
+        rows, later = picked(rows, slice(due)), picked(rows, slice(due, None))
+
+        # Keys get numbers, those with a state first.
+        ids = [*keys, "key_nulls"]
+        rows["key_nulls"] = rows[NULLS] & (own - 1)
+        old = kept.get("state", {n: np.empty(0, np.int64) for n in (*ids, *self.state.names)})
+        named = joined([picked({n: t[n] for n in ids}, slice(None)) for t in (old, rows)])
+        number = pd.DataFrame(named).groupby(ids, sort=False).ngroup().to_numpy()
+        firsts = np.unique(number, return_index=True)[1]
+        known, at = len(old["key_nulls"]), number[len(old["key_nulls"]):]
+        state = {n: np.concatenate([old[n], np.zeros(len(firsts) - known, np.int64)]) for n in self.state.names}
+        others = {n: t for n, t in kept.items() if n not in ("held", "state")}
+
+        order = np.argsort(at, kind="stable")
+        at, rows = at[order], picked(rows, order)
+        told_at, told = self.step(at, rows, state, others)
+        last = np.append(at[1:] != at[:-1], True) if len(at) else np.empty(0, bool)
+        state[self.state.names[-1]][at[last]] = rows[columns[0]][last]
+
+        # A key goes once it has been silent.
+        lives = state[self.state.names[-1]] + self.silent_us >= mark_us
+        index = np.cumsum(lives) - 1
+        named = picked(named, firsts)
+        out = {"held": later, "state": picked({**named, **state}, lives)}
+        for name, table in others.items():
+            table = picked(table, lives[table["at"]])
+            out[name] = {**table, "at": index[table["at"]]}
+        wakes = [t.min() for t in (out["state"][self.state.names[-1]] + self.silent_us + 1, later[columns[0]]) if len(t)]
+        told = {**{k: nullable(named[k][told_at], (named["key_nulls"][told_at] >> i & 1).astype(bool)) for i, k in enumerate(keys)}, **told}
+        return pd.DataFrame(told, columns=self.record.names), {n: t for n, t in out.items() if any(map(len, t.values()))}, min(wakes, default=None) and int(min(wakes))
+
+    # One key alone is a bucket of one.
 
-    def take(self, key, state, rows, mark_us):
-        requests, responses, last = state or (0, 0, 0)
-        records = []
-        if rows:
-            before = self.waiting()
-            # Those that wait are all requests or all responses; the first one waits longest.
-            waiting, done = before[:], 0
-            for ts, kind, n in rows:
-                ask = kind == "req"
-                turn = requests + 1 if ask else responses + 1
-                requests, responses = requests + ask, responses + (not ask)
-                if ask:
-                    records.append((turn, "open", ts, n))
-                if (requests > responses) if ask else (responses > requests):
-                    waiting.append((turn, ts, n))
-                    continue
-                _, other_ts, other_n = waiting[done]
-                done += 1
-                records.append((turn, "close", other_ts if ask else ts, n if ask else other_n))
-            if waiting[done:] != before:
-                self.keep(waiting[done:])
-            last = rows[-1][0]
-        if last + self.silent_us < mark_us:
-            if requests != responses:
-                self.keep([])
-            return records, None, NEVER
-        return records, (requests, responses, last), last + self.silent_us + 1
-
-
-class Commands(InOrder):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+
+    def _alone(self, key: tuple) -> Buckets:
+        buckets = Buckets(self, self.record.names[:len(key)])
+        buckets.init(self._handle)
+        return buckets
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        buckets = self._alone(key)
+        frame = pd.DataFrame([{**dict(zip(buckets.keys, key)), **{n: r[n] for n in self.held.names}, NULLS: 0} for r in rows])
+        for pdf in buckets.handleInputRows(key, iter([frame]), timerValues):
+            yield from (Row(**r) for r in pdf.to_dict("records"))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        for pdf in self._alone(key).handleExpiredTimer(key, timerValues, expiredTimerInfo):
+            yield from (Row(**r) for r in pdf.to_dict("records"))
+
+    def close(self) -> None:
+        pass
+
+
+def within(at: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Running count of marks inside each run of equal numbers."""
+    sums = np.cumsum(marks)
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.empty(0, np.int64)
+    before = sums[first] - marks[first]
+    return sums - np.repeat(before, np.diff(np.append(first, len(at))))
+
+
+class Turns(InColumns):
+    """Open and close events of requests and responses matched first in, first out.
+
+    Requests and responses are numbered alike, so equal numbers match.
+    Messages without a partner wait in a table of their own.  Counts and
+    waiting messages go once the flow has been silent for the session timeout.
+    """
+
+    held = T.StructType([*longs("ts_us"), T.StructField("kind", T.StringType()), *longs("n")])
+    state = T.StructType(longs("requests", "responses", "last_us"))
+    record = T.StructType([*longs("flow_id", "turn_no"), T.StructField("way", T.StringType()), *longs("at_us", "n")])
+
+    def coded(self, frame, names):
+        return super().coded(frame.assign(kind=(frame["kind"] != "req").astype("int64")), names)
+
+    def step(self, at, rows, state, kept):
+        sides, none = {}, {n: np.empty(0, np.int64) for n in ("at", "turn_no", "ts_us", "n", "no_n")}
+        waits = kept.get("waits", none)
+        asked = state["requests"] > state["responses"]
+        for side, code, waiting in (("requests", 0, asked[waits["at"]]), ("responses", 1, ~asked[waits["at"]])):
+            mine = rows["kind"] == code
+            here = at[mine]
+            new = {"at": here, "turn_no": state[side][here] + within(here, np.ones(len(here), np.int64)), "ts_us": rows["ts_us"][mine], "n": rows["n"][mine],
+                   "no_n": rows[NULLS][mine] >> NULL_N & 1}
+            sides[side] = new, joined([picked(waits, waiting), new])
+        for side, (new, _) in sides.items():
+            state[side] += np.bincount(new["at"], minlength=len(state[side]))
+        opened, (asks, answers) = sides["requests"][0], [both for _, both in sides.values()]
+        place = lambda t: t["at"] << 40 | t["turn_no"]
+        _, a, b = np.intersect1d(place(asks), place(answers), assume_unique=True, return_indices=True)
+        kept["waits"] = joined([picked(asks, np.setdiff1d(np.arange(len(asks["at"])), a, True)), picked(answers, np.setdiff1d(np.arange(len(answers["at"])), b, True))])
+        closed = {**picked(asks, a), "ts_us": answers["ts_us"][b]}
+        told = joined([opened, closed])
+        way = np.repeat(np.array(["open", "close"], object), [len(opened["at"]), len(a)])
+        return told["at"], {"turn_no": told["turn_no"], "way": way, "at_us": told["ts_us"], "n": nullable(told["n"], told["no_n"].astype(bool))}
+
+
+# The bit of n behind the flow, time and kind.
+NULL_N = 3
+
+
+class Commands(InColumns):
     """Per command the open time and the sums of its responses, told again whenever some are due (`jobs.mysql_updates` sums them)."""
 
     held = T.StructType(longs("ts_us", "late", "bytes"))
     state = T.StructType(longs("commands", "last_us"))
     record = T.StructType(longs("flow_id", "command_no", "open_us", "rsp_us", "rsp_count", "rsp_bytes"))
 
-    def __init__(self, silent_s: int):
-        self.silent_us = silent_s * S.US
-
-    def take(self, key, state, rows, mark_us):
-        commands, last = state or (0, 0)
-        told: dict[int, list] = {}
-        for ts, late, size in rows:
-            commands += not late
-            if commands:
-                row = told.setdefault(commands, [commands, None, None, 0, 0])
-                if not late:
-                    row[1] = ts
-                else:
-                    row[2], row[3], row[4] = ts, row[3] + 1, row[4] + size
-            last = ts
-        records = list(map(tuple, told.values()))
-        if last + self.silent_us < mark_us:
-            return records, None, NEVER
-        return records, (commands, last), last + self.silent_us + 1
+    def step(self, at, rows, state, kept):
+        command = rows["late"] == 0
+        number = state["commands"][at] + within(at, command.astype(np.int64))
+        state["commands"] += np.bincount(at[command], minlength=len(state["commands"]))
+        named = number > 0
+        at, number, late, ts, size = at[named], number[named], ~command[named], rows["ts_us"][named], rows["bytes"][named]
+        if not len(at):
+            none = np.empty(0, np.int64)
+            return at, {n: none for n in self.record.names[1:]}
+        # Rows of a command follow each other, the command first where it is among them.
+        first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (number[1:] != number[:-1])))
+        last = np.append(first[1:], len(at)) - 1
+        responses = np.add.reduceat(late.astype(np.int64), first)
+        return at[first], {"command_no": number[first], "open_us": nullable(ts[first], late[first]), "rsp_us": nullable(ts[last], responses == 0),
+                           "rsp_count": responses, "rsp_bytes": np.add.reduceat(np.where(late, size, 0), first)}
