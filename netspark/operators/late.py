@@ -16,7 +16,7 @@ def newest_time(packets: DataFrame, order: str = "packet_id", keys: list[str] |
     """
     packets = packets if keys else packets.withColumn("_all", F.lit(0))
     slice_ = F.floor(F.col(order) / RECORD_SLICE)
-    rows = with_priors(packets, keys or ["_all"], [order], slice_, [Prior("_newest", "max", F.col("ts_us"))])
+    rows = with_priors(packets, keys or ["_all"], [order], slice_, [Prior("_newest", "max", F.col("ts_us"))], divided=True)
     rows = rows.withColumns({"account_us": F.greatest("ts_us", "_newest"),
                              "late": F.coalesce(F.col("_newest") > F.col("ts_us"), F.lit(False))})
     return rows.drop("_newest") if keys else rows.drop("_newest", "_all")
