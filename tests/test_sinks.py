@@ -1,5 +1,6 @@
 """Sinks and capture numbering."""
 
+import os
 import struct
 
 import pytest
@@ -43,3 +44,31 @@ def test_work_folder_comes_from_settings(spark):
     assert work_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     with pytest.raises(ValueError):
         captures.shared(type("Cluster", (), {"sparkContext": type("C", (), {"master": "yarn"})}), "/data/captures")
+
+
+def test_steps_and_nulls_keep_the_other_windows(spark, tmp_path, monkeypatch):
+    """In several steps, with rows and old rows of no window, and windows of which some rows are gone in the new run."""
+    monkeypatch.setattr(sinks, "SLICE_ROWS", 40, raising=False)
+    frame = lambda part: spark.createDataFrame(part, "window_us BIGINT, metric STRING, count BIGINT")
+    path, rows = str(tmp_path / "metrics"), [(w * 300 * S, m, w) for w in range(400) for m in "ab"] + [(None, "a", 7), (None, "a", 7)]
+    sinks.write_metrics(frame(rows), path)
+    again = [(w, m, n + 1000) for w, m, n in rows if w is not None and 100 <= n < 250 and m == "a"]
+    sinks.write_metrics(frame(again), path)
+    gone = {w for w, _, _ in again}
+    want = [*again, *(r for r in rows if r[0] not in gone)]
+    got = [tuple(r) for r in spark.read.parquet(path).select("window_us", "metric", "count").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_a_run_holds_no_copy_of_its_rows_in_checkpoints(spark, tmp_path, monkeypatch):
+    """New and kept rows are not checkpointed, only the windows; what is stored for the run goes with it."""
+    cuts, stages = [], []
+    monkeypatch.setattr(sinks, "cut", lambda df: (cuts.append(df.columns), df.cache())[1])
+    store = getattr(sinks, "store", None)
+    monkeypatch.setattr(sinks, "store", lambda rows, at: (stages.append(at), store(rows, at))[1], raising=False)
+    frame = lambda part: spark.createDataFrame(part, "window_us BIGINT, metric STRING, count BIGINT")
+    for _ in range(2):
+        sinks.write_metrics(frame([(w * 30 * S, "m", w) for w in range(200)]), str(tmp_path / "metrics"))
+    assert cuts == [["window_us", "day", "hour"]]
+    assert len(stages) == 2 and not any(os.path.exists(s) for s in stages)
+
