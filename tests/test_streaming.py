@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from helpers import packets
 from netspark import schema as S
-from netspark.operators import flows, transactions as tx
+from netspark.operators import flows, metrics, nodes, transactions as tx
 from netspark.operators.sessions import Timeouts
+from netspark.session import settings
 from netspark.streaming import jobs, keyed
 
 SEC = S.US
@@ -201,3 +202,26 @@ def test_late_packets_stand_apart_and_are_counted(spark, tmp_path):
     assert [(r.packet_id, r.account_us, str(r.late).lower() == "true") for r in got] == want
     apart = [f for f in (tmp_path / "out").rglob("late=true/*.parquet")]
     assert sum(spark.read.parquet(str(f)).count() for f in apart) == sum(counts) == sum(w[2] for w in want) > 0
+
+
+def test_node_metrics_hold_a_row_of_state_a_node(spark, tmp_path):
+    """Packets of many classes; the state's bound of memory does not hang on the session's settings."""
+    rng, provider = random.Random(6), "spark.sql.streaming.stateStore.providerClass"
+    rows = [{"ts_us": t * SEC, "up": rng.choice("cs"), "wire_len": rng.choice([60, 200, 600, 1600, None]), "src_mac": rng.choice([1, 2]), "dst_mac": rng.choice([1, 2, S.MAC_BROADCAST, None]),
+             "ip_proto": rng.choice([6, 17, 1]), "frag_offset": rng.choice([0, 0, 0, 9]), "l4_len": rng.choice([None, 5]), "vlan_id": rng.choice([0, 7])} for t in range(1000, 1200)]
+    rows += [{**r, "ip_proto": 0, "eth_type": S.ETH_ARP} for r in rows[::9]] + [{"ts_us": 9000 * SEC, "src_mac": 5, "dst_mac": 6}]
+    df, path, out = packets(spark, rows), str(tmp_path / "in"), str(tmp_path / "out")
+    for low, high in ((0, 1080), (1080, 1150), (1150, 9999)):
+        df.filter((F.col("ts_us") >= low * SEC) & (F.col("ts_us") < high * SEC)).coalesce(1).write.mode("append").parquet(path)
+    with settings(spark, {provider: "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"}):
+        query = jobs.stream_node_metrics(jobs.stream_table(spark, path, df.schema, files_per_batch=3), out, str(tmp_path / "cp"))
+        assert "HDFSBacked" in spark.conf.get(provider)
+    query.awaitTermination()
+    facts = nodes.node_facts(df)
+    want = metrics.node_metrics(facts).filter(F.col("window_us") < 9000 * SEC - 30 * SEC)
+    got = spark.read.parquet(out).drop("batch")
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    states = [op for p in query.recentProgress for op in p["stateOperators"]]
+    assert sum(op["numRowsUpdated"] for op in states) == facts.select(*nodes.NODE).distinct().count() < facts.count() / 2
+    assert any("rocksdb" in name for op in states for name in op["customMetrics"])
+    assert jobs.STATE["spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"] == "true"
