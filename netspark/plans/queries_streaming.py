@@ -56,11 +56,13 @@ def parts_of(rows: DataFrame, parts: int = 3, ends: Column | None = None) -> lis
     With `ends` one more row follows, far ahead in time, so that the watermark
     passes all that came before it; that row itself is held back.  It is one
     for which `ends` holds: a row that the job leaves out moves no watermark.
+    The bounds of a part's times let a reader pass over what cannot be in it.
     """
     first, last = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
     width = (last - first + LATE_US) // parts + 1
     arrival = F.col("ts_us") + F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("payload", "head")]), F.lit(LATE_US))
-    out = [rows.filter(F.floor((arrival - first) / width) == i) for i in range(parts)]
+    near = lambda i: F.col("ts_us").between(first + i * width - LATE_US, first + (i + 1) * width)
+    out = [rows.filter(near(i)).filter(F.floor((arrival - first) / width) == i) for i in range(parts)]
     return out if ends is None else [*out, rows.filter(ends).limit(1).withColumn("ts_us", F.lit(last + 10**11))]
 
 

@@ -9,6 +9,7 @@ from helpers import packets
 from netspark import schema as S
 from netspark.operators import flows, metrics, nodes, transactions as tx
 from netspark.operators.sessions import Timeouts
+from netspark.plans import queries_streaming as qs
 from netspark.session import settings
 from netspark.streaming import jobs, keyed
 
@@ -225,3 +226,10 @@ def test_node_metrics_hold_a_row_of_state_a_node(spark, tmp_path):
     assert sum(op["numRowsUpdated"] for op in states) == facts.select(*nodes.NODE).distinct().count() < facts.count() / 2
     assert any("rocksdb" in name for op in states for name in op["customMetrics"])
     assert jobs.STATE["spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"] == "true"
+
+
+def test_parts_are_read_by_their_times(spark, tmp_path):
+    spark.range(0, 400, 1, 4).select("id", (F.col("id") * SEC).alias("ts_us")).write.parquet(str(tmp_path / "rows"))
+    parts = qs.parts_of(spark.read.parquet(str(tmp_path / "rows")))
+    assert all("GreaterThanOrEqual(ts_us" in part._jdf.queryExecution().executedPlan().toString() for part in parts)
+    assert sorted(r.id for part in parts for r in part.collect()) == list(range(400))
